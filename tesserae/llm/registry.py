@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, url_filter
+from . import decontaminate, licenses, quality, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_license_scans": licenses.op4_license_scans,
+    "op6_quality_rules": quality.op6_quality_rules,
 }
 ORACLE = {"op1_url_filters": url_filter.ORACLE}
