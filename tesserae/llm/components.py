@@ -21,22 +21,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round's edges are written to the shared folder.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = None
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    nodes = edges
     sign = None
     for _ in range(max_rounds):
         least = _both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _both_ways(edges).join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(edges.join(least, "a").filter("m = a").select("a", "b")).filter("a <> b").distinct()
+        large = large.filter("a <> b").distinct()
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         down = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(down, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = written(small, "edges")
         total = new.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if edges is not nodes:
-            drop_written(edges)
+        drop_written(edges)
         edges = new
         if sign == (total["n"], total["h"]):
             break

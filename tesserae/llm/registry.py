@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, secrets, url_filter
+from . import decontaminate, licenses, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_license_scans": licenses.op4_license_scans,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLE = {"op1_url_filters": url_filter.ORACLE}

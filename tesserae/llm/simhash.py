@@ -41,15 +41,7 @@ def fingerprints_of(data: np.ndarray, starts: np.ndarray) -> list[int]:
     low = ASCII_LOWER[data]
     begins, ends, first = word_bounds(low, starts, SPACED)
     sizes = np.diff(first)
-    # Words with one space between, as one string; a shingle is a slice of it.
-    keep = SPACED[low]
-    if len(low):
-        keep[1:] |= keep[:-1]
-    gap = np.where(SPACED[low], low, np.uint8(32))
-    form = gap[keep]
-    place = np.concatenate([[0], np.cumsum(keep)])
-    tight = _closed(form, place, begins, ends, low)
-    blob, at, to = tight
+    blob, at, to = _joined(low, begins, ends)
     out = []
     for k in range(len(sizes)):
         a, b = int(first[k]), int(first[k + 1])
@@ -60,17 +52,18 @@ def fingerprints_of(data: np.ndarray, starts: np.ndarray) -> list[int]:
     return out
 
 
-def _closed(form, place, begins, ends, low):
-    """(string of all words with one space after each, begins, ends of the words in it)."""
+def _joined(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int], list[int]]:
+    """(all words with one space after each, begins, ends of the words in it); a shingle is a slice of it."""
     sizes = ends - begins
     to = np.cumsum(sizes + 1) - 1
     at = to - sizes
     out = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
-    out[np.repeat(at - begins, sizes) + _inside(begins, sizes)] = low[_inside(begins, sizes)]
+    out[_inside(at, sizes)] = low[_inside(begins, sizes)]
     return out.tobytes(), at.tolist(), to.tolist()
 
 
 def _inside(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places in the spans of these sizes."""
     total = np.cumsum(sizes)
     return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begins - (total - sizes), sizes)
 
@@ -130,14 +123,15 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, and of rows that share it the least as a struct.
+    """docs with one row of each group: that of the smallest doc_id and, of rows that share it, the least row.
 
-    Rows without a doc_id stay only if no row of their group has one; then they all stay.
+    Rows without a doc_id can't be named as a group's first and all stay.
     """
     groups = group_near_duplicates(docs.select("doc_id", "text"))
     stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"))
-    return rows.join(stay, F.col("id_") == F.col("keep_")).dropDuplicates(["keep_"]).select("row_.*")
+    kept = rows.join(stay, F.col("id_") == F.col("keep_")).groupBy("keep_").agg(F.min("row_").alias("row_"))
+    return kept.select("row_.*").union(docs.filter("doc_id IS NULL"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
