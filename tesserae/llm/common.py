@@ -50,6 +50,6 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed(df: DataFrame, needed: Sequence[str], name: str = "row_") -> DataFrame:
-    """The needed columns beside one struct of the whole row, so that no column of the input can clash with a new one."""
-    return df.select(*needed, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+def packed(df: DataFrame, needed: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """The needed columns beside row_, a struct of the kept ones (all by default), so that no column can clash with a new one."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row_"), *needed)

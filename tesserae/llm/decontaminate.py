@@ -231,8 +231,8 @@ def _search(matcher, columns: list[str]):
     return search
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row_ (a struct of the columns of docs), n_words, n_hit, items (sorted as strings), spans and contaminated.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """row_ (a struct of the kept columns, all by default), n_words, n_hit, items (sorted as strings), spans and contaminated.
 
     A document word is hit if it stands in an occurrence of a window of 13 consecutive words of an item (of all its
     words if it has fewer); spans are the runs of hit words. A document is contaminated if it has a hit and
@@ -240,7 +240,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     item ids that repeat count once. Rows of docs that repeat give repeated rows; an empty table gives none.
     """
     spark = docs.sparkSession
-    rows = packed(docs, ["text"]).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<long>"))
+    rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<long>"))
     for block in [*_blocks(benchmark, block_bytes)] or [[]]:
         rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile(block)), rows.columns), rows.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
@@ -254,5 +254,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select("row_.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

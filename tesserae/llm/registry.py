@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, secrets, simhash, url_filter
+from . import bpe, decontaminate, language, licenses, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_language_id": language.op2_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_license_scans": licenses.op4_license_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
+    "op8_bpe": bpe.op8_bpe,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLE = {"op1_url_filters": url_filter.ORACLE}
