@@ -1,6 +1,55 @@
-"""A corpus pipeline of five operators over the table documents."""
+"""A corpus pipeline of five operators over the table documents; each stage's result is written and read again."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tesserae.llm import bpe, decontaminate, language, secrets, simhash
+from tesserae.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is undetermined or doubtful; fills a null lang."""
+    return language.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near-duplicates."""
+    return simhash.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the benchmark contaminates."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in place of every secret."""
+    return secrets.redact_secrets(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of their text."""
+    return bpe.token_digests(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("bpe", tokenize),
+]
+#: The network of the first stage is not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}

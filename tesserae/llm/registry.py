@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, licenses, quality, secrets, simhash, url_filter
+from . import bpe, decontaminate, language, licenses, quality, secrets, simhash, substrings, suffixes, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_language_id": language.op2_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_license_scans": licenses.op4_license_scans,
+    "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLE = {"op1_url_filters": url_filter.ORACLE}
