@@ -87,24 +87,23 @@ def _bit(k: int) -> Column:
 def links(prints: DataFrame) -> DataFrame:
     """prints: distinct longs f. Pairs a, b of different ones that link them all as 'within two bits' does: every
     linked pair is in the rows or connected through rows whose ends are within two bits."""
-    low = (1 << SEGMENT) - 1
     keys = []
     for k in range(BITS):
-        inside = F.lit(low if k < SEGMENT else ~low).cast("long")
-        keys.append(F.struct(F.lit(k).cast("tinyint").alias("v"), F.col("f").bitwiseAND(inside).bitwiseAND(F.bitwise_not(_bit(k))).alias("key")))
-    variants = prints.select("f", F.inline(F.array(*keys)))
-    sizes = variants.groupBy("v", "key").agg(F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).filter("n > 1")
-    sizes = written(sizes, "buckets")
+        segment = F.col("f").bitwiseAND(F.lit((1 << SEGMENT) - 1)) if k < SEGMENT else F.call_function("shiftrightunsigned", F.col("f"), F.lit(SEGMENT))
+        keys.append(segment.bitwiseAND(F.bitwise_not(_bit(k % SEGMENT))).bitwiseOR(F.lit(k << SEGMENT).cast("long")))
+    variants = prints.select("f", F.explode(F.array(*keys)).alias("key"))
+    # Counting combines on the map side, so a key of very many fingerprints is no group in one task. Both sides grow with
+    # the input, so they are always joined by a shuffle, which can split such a key.
+    sizes = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    many = written(variants.join(sizes.hint("merge"), "key"), "buckets")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WITHIN
-    pairs = sizes.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).filter(near("a", "b"))
-    few = variants.join(sizes.filter(f"n > 2 AND n <= {BUCKET}").select("v", "key"), ["v", "key"])
-    few = few.groupBy("v", "key").agg(F.sort_array(F.collect_list("f")).alias("fs"))
+    few = many.filter(f"n <= {BUCKET}").groupBy("key").agg(F.sort_array(F.collect_list("f")).alias("fs"))
     ones = few.select(F.posexplode("fs").alias("i", "a"), "fs").select("a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b")).filter(near("a", "b"))
-    hot = variants.join(sizes.filter(f"n > {BUCKET}").select("v", "key"), ["v", "key"], "left_semi").select("f").distinct()
+    hot = many.filter(f"n > {BUCKET}").select("f").distinct()
     around = [F.col("f"), *[F.col("f").bitwiseXOR(_bit(k)) for k in range(BITS)]]
     balls = hot.select("f", F.explode(F.array(*around)).alias("centre")).groupBy("centre").agg(F.sort_array(F.collect_list("f")).alias("fs")).filter(F.size("fs") > 1)
     stars = balls.select(F.element_at("fs", 1).alias("a"), F.explode(F.slice("fs", 2, BITS + 1)).alias("b"))
-    return pairs.union(ones).union(stars).distinct()
+    return ones.union(stars).distinct()
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
