@@ -62,15 +62,19 @@ def _tables(seed: int) -> tuple[np.ndarray, int]:
 
 
 @lru_cache(4)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base below STRIDE and in steps of it, and of its inverse."""
     base = _tables(seed)[1]
-    with np.errstate(over="ignore"):
-        out = []
-        for r in (base, pow(base, -1, 2**64)):
-            p = np.full(size, r & (2**64 - 1), np.uint64)
+    out = []
+    for r in (base, pow(base, -1, 2**64)):
+        for step in (r, pow(r, STRIDE, 2**64)):
+            p = np.full(STRIDE, step & (2**64 - 1), np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    return tuple(out)
+
+
+STRIDE = 1 << 13
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,14 +85,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    size = 1 << max(10, len(data).bit_length())
-    power, inverse = _powers(seed, size)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_tables(seed)[0][data] * power[: len(data)], out=total[1:])
-        h = (total[ends] - total[begins]) * inverse[begins]
-        return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span of bytes, the same wherever the span stands. At most 64 MB of data."""
+    low, high, low_inverse, high_inverse = _powers(seed)
+    n, table = len(data), _tables(seed)[0]
+    total = np.zeros(n + 1, np.uint64)
+    for at in range(0, n, STRIDE):
+        part = table[data[at : at + STRIDE]]
+        part *= low[: len(part)]
+        part *= high[at // STRIDE]
+        np.cumsum(part, out=total[at + 1 : at + 1 + len(part)])
+        total[at + 1 : at + 1 + len(part)] += total[at]
+    h = total[ends] - total[begins]
+    h *= low_inverse[begins % STRIDE]
+    h *= high_inverse[begins // STRIDE]
+    return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sums_by_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:

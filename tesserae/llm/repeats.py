@@ -18,7 +18,7 @@ The texts are shuffled once, by batch, and that exchange is read again by each s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .bytetext import span_hash
 
-#: Bytes of text in a batch, on average, and batches for each bucket of seeds.
-BATCH_BYTES, BATCHES_PER_BUCKET = 2 << 20, 3
+#: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
+#: of seeds for each batch.
+BATCH_BYTES, SLICE_BYTES, BUCKETS_PER_BATCH = 8 << 20, 1 << 20, 2
 #: Batches that hold a seed beyond which its windows go out one by one.
 HOT_BATCHES = 4096
 
@@ -110,27 +111,46 @@ def _several_texts(e: Entries) -> np.ndarray:
     return out
 
 
-class Batch:
-    """A group of documents, ordered so that every step sees the same one."""
-
-    def __init__(self, table: pa.Table, shape: Shape):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
-        self.ids = np.array([ids[k] for k in order], np.int64)
-        raw = [(texts[k] or "").encode() for k in order]
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
-        self.shape, self.units = shape, shape.units(self.data, self.starts)
-        self.seeds = find_seeds(self.units, shape)
+@dataclass
+class Slice:
+    """Some texts of a batch: the number of the first, their ids, units and seeds."""
+
+    text: int
+    ids: np.ndarray
+    units: Units
+    seeds: Entries
+
+
+def slices(table: pa.Table, shape: Shape, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    """A batch's documents in an order that every step sees alike, in slices of about so many bytes."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
+    at = 0
+    while at < len(order):
+        raw, size, first = [], 0, at
+        while at < len(order) and (not raw or size < limit):
+            raw.append((texts[order[at]] or "").encode())
+            size += len(raw[-1])
+            at += 1
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        units = shape.units(data, np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64))
+        yield Slice(first, np.array([ids[k] for k in order[first:at]], np.int64), units, find_seeds(units, shape))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the batch's seeds, in order, and whether each stands in several slices."""
+    parts = [np.unique(s.seeds.hash) for s in slices(table, shape)]
+    values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+    return values, count > 1
+
+
 def _seed_rows(shape: Shape, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h = np.unique(Batch(table, shape).seeds.hash)
+        h = _distinct_hashes(table, shape)[0]
         b = _bucket(h, buckets)
         cut = np.searchsorted(b, np.arange(buckets + 1))
         some = np.flatnonzero(cut[1:] > cut[:-1])
@@ -198,49 +218,49 @@ def _context_rows(shape: Shape, buckets: int):
         number = key[0].as_py()
         if not table.num_rows or not answers.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch") else pa.binary()) for c in ("bucket", "batch", *PACKED, "bytes", "cover")})
-        batch = Batch(table, shape)
-        u, e = batch.units, batch.seeds
-        values = np.unique(e.hash)
+        values, several = _distinct_hashes(table, shape)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         flags = answers.column("flags").to_pylist()
-        flag = np.concatenate([np.frombuffer(flags[k], np.uint8) for k in order])[np.searchsorted(values, e.hash)]
-        e2 = e.take(np.flatnonzero(((flag > 0) | _several_texts(e)) & (flag < 2)))
-        hot = e.take(np.flatnonzero(flag == 2))
-        many = hot.hi - hot.lo + 1
-        place = spans_to_places(hot.lo, many)
-        # Windows of hot seeds, each its own seed and context.
-        w = Entries(span_hash(u.form, u.begins[place], u.ends[place + shape.window - 1], 11), np.repeat(hot.text, many), place, place, place)
-        e = Entries(*[np.concatenate([getattr(e2, f), getattr(w, f)]) for f in ("hash", "text", "at", "lo", "hi")])
-        mark = np.concatenate([np.zeros(len(e2.at), np.int32), np.ones(len(w.at), np.int32)])
-        begin, size = u.begins[e.lo], u.ends[e.hi + shape.window - 1] - u.begins[e.lo]
-        before = u.begins[e.at] - begin
-        doc = batch.ids[e.text]
-        lost = repeats_of_smaller((before, e.hash), doc, u.form, begin, size)
-        relative = e.lo - u.first[e.text]
-        cover = np.stack([e.text[lost], relative[lost], relative[lost] + e.hi[lost] - e.lo[lost]], 1).astype(np.int32)
-        stay = np.flatnonzero(~lost)
-        stay = stay[np.argsort(e.hash[stay], kind="stable")]
-        columns = {"h": e.hash, "text": e.text, "doc": doc, "lo": relative, "windows": e.hi - e.lo + 1, "before": before, "size": size, "mark": mark}
-        cut = np.searchsorted(_bucket(e.hash[stay], buckets), np.arange(buckets + 1))
-        some = np.flatnonzero(cut[1:] > cut[:-1])
-        if not len(some) and len(cover):
-            some = np.zeros(1, np.int64)
-        out = {"bucket": some, "batch": np.full(len(some), number)}
-        out = {c: pa.array(v, pa.int64()) for c, v in out.items()}
-        for c, v in columns.items():
-            v = v[stay].astype(TYPES[c])
-            out[c] = pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-        parts = []
-        for k in some:
-            part = stay[cut[k] : cut[k + 1]]
-            parts.append(u.form[spans_to_places(begin[part], size[part])].tobytes())
-        out["bytes"] = pa.array(parts, pa.binary())
-        out["cover"] = pa.array([cover.tobytes() if j == 0 else b"" for j in range(len(some))], pa.binary())
-        return pa.table(out)
+        flag = np.maximum(np.concatenate([np.frombuffer(flags[k], np.uint8) for k in order]), several)
+        made = [_slice_contexts(s, shape, buckets, number, values, flag) for s in slices(table, shape)]
+        return pa.concat_tables(made)
 
     return run
 
 
+def _slice_contexts(s: Slice, shape: Shape, buckets: int, number: int, values: np.ndarray, flag: np.ndarray) -> pa.Table:
+    u, e = s.units, s.seeds
+    own = flag[np.searchsorted(values, e.hash)] if len(values) else np.zeros(0, np.uint8)
+    cold = e.take(np.flatnonzero(((own > 0) | _several_texts(e)) & (own < 2)))
+    hot = e.take(np.flatnonzero(own == 2))
+    # Windows of hot seeds, each its own seed and context.
+    many = hot.hi - hot.lo + 1
+    place = spans_to_places(hot.lo, many)
+    w = Entries(span_hash(u.form, u.begins[place], u.ends[place + shape.window - 1], 11), np.repeat(hot.text, many), place, place, place)
+    e = Entries(*[np.concatenate([getattr(cold, f), getattr(w, f)]) for f in ("hash", "text", "at", "lo", "hi")])
+    mark = np.concatenate([np.zeros(len(cold.at), np.int32), np.ones(len(w.at), np.int32)])
+    begin = u.begins[e.lo]
+    size, before = u.ends[e.hi + shape.window - 1] - begin, u.begins[e.at] - begin
+    doc, relative = s.ids[e.text], e.lo - u.first[e.text]
+    lost = repeats_of_smaller((before, mark, e.hash), doc, u.form, begin, size)
+    cover = np.stack([s.text + e.text[lost], relative[lost], relative[lost] + e.hi[lost] - e.lo[lost]], 1).astype(np.int32)
+    stay = np.flatnonzero(~lost)
+    stay = stay[np.argsort(e.hash[stay], kind="stable")]
+    columns = {"h": e.hash, "text": s.text + e.text, "doc": doc, "lo": relative, "windows": e.hi - e.lo + 1, "before": before, "size": size, "mark": mark}
+    cut = np.searchsorted(_bucket(e.hash[stay], buckets), np.arange(buckets + 1))
+    some = np.flatnonzero(cut[1:] > cut[:-1])
+    if not len(some) and len(cover):
+        some = np.zeros(1, np.int64)
+    out = {"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), number), pa.int64())}
+    for c, v in columns.items():
+        v = v[stay].astype(TYPES[c])
+        out[c] = pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+    parts = [stay[cut[k] : cut[k + 1]] for k in some]
+    out["bytes"] = pa.array([u.form[spans_to_places(begin[p], size[p])].tobytes() for p in parts], pa.binary())
+    out["cover"] = pa.array([cover.tobytes() if j == 0 else b"" for j in range(len(some))], pa.binary())
+    return pa.table(out)
+
+
 @dataclass
 class Contexts:
     """Contexts that one bucket compares: seed (a dense number), doc, windows, where the seed begins in the context's
@@ -296,38 +316,44 @@ def _cover_rows(compare: Compare):
 
 def _cut_rows(shape: Shape):
     def run(key: tuple, table: pa.Table, covers: pa.Table) -> pa.Table:
-        batch = Batch(table, shape) if table.num_rows else None
-        if batch is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_units": pa.array([], pa.int64()), "spans": pa.array([], SPANS), "kept": pa.array([], pa.binary())})
-        u = batch.units
         cover = np.concatenate([np.zeros((0, 3), np.int32), *[np.frombuffer(x, np.int32).reshape(-1, 3) for x in covers.column("cover").to_pylist()]]).astype(np.int64)
-        n, edge = len(u.begins), np.zeros(len(u.begins) + 1, np.int64)
-        np.add.at(edge, u.first[cover[:, 0]] + cover[:, 1], 1)
-        np.add.at(edge, np.minimum(u.first[cover[:, 0]] + cover[:, 2] + shape.window, n), -1)
-        removed = np.cumsum(edge[:n]) > 0
-        start, stop = removed.copy(), removed.copy()
-        border = u.first[(u.first > 0) & (u.first < n)]
-        start[1:] &= ~removed[:-1]
-        stop[:-1] &= ~removed[1:]
-        start[border] = removed[border]
-        stop[border - 1] = removed[border - 1]
-        start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        text = np.searchsorted(u.first, start, "right") - 1
-        sizes = np.bincount(text, minlength=len(batch.ids))
-        spans = pa.StructArray.from_arrays([pa.array(start - u.first[text]), pa.array(stop - start)], ["first", "n"])
-        keep = np.flatnonzero(~removed)
-        width = u.ends - u.begins
-        kept = u.form[spans_to_places(u.begins[keep], width[keep])].tobytes()
-        total = np.concatenate([[0], np.cumsum(np.where(removed, 0, width))])[u.first]
-        return pa.table({
-            "doc_id": pa.array(batch.ids), "n_units": pa.array(np.diff(u.first), pa.int64()),
-            "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), spans),
-            "kept": pa.array([kept[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)], pa.binary()),
-        })
+        cover = cover[np.argsort(cover[:, 0], kind="stable")]
+        made = [pa.table({"doc_id": pa.array([], pa.int64()), "n_units": pa.array([], pa.int64()), "spans": pa.array([], SPANS), "kept": pa.array([], pa.binary())})]
+        for s in slices(table, shape):
+            a, b = np.searchsorted(cover[:, 0], [s.text, s.text + len(s.ids)])
+            made.append(_cut_slice(s, cover[a:b] - [s.text, 0, 0], shape.window))
+        return pa.concat_tables(made)
 
     return run
 
 
+def _cut_slice(s: Slice, cover: np.ndarray, window: int) -> pa.Table:
+    u = s.units
+    n, edge = len(u.begins), np.zeros(len(u.begins) + 1, np.int64)
+    np.add.at(edge, u.first[cover[:, 0]] + cover[:, 1], 1)
+    np.add.at(edge, np.minimum(u.first[cover[:, 0]] + cover[:, 2] + window, n), -1)
+    removed = np.cumsum(edge[:n]) > 0
+    start, stop = removed.copy(), removed.copy()
+    border = u.first[(u.first > 0) & (u.first < n)]
+    start[1:] &= ~removed[:-1]
+    stop[:-1] &= ~removed[1:]
+    start[border] = removed[border]
+    stop[border - 1] = removed[border - 1]
+    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    text = np.searchsorted(u.first, start, "right") - 1
+    runs = np.bincount(text, minlength=len(s.ids))
+    spans = pa.StructArray.from_arrays([pa.array(start - u.first[text], pa.int64()), pa.array(stop - start, pa.int64())], ["first", "n"])
+    keep = np.flatnonzero(~removed)
+    width = u.ends - u.begins
+    kept = u.form[spans_to_places(u.begins[keep], width[keep])].tobytes()
+    total = np.concatenate([[0], np.cumsum(np.where(removed, 0, width))])[u.first]
+    return pa.table({
+        "doc_id": pa.array(s.ids), "n_units": pa.array(np.diff(u.first), pa.int64()),
+        "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]), pa.int32()), spans),
+        "kept": pa.array([kept[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True)], pa.binary()),
+    })
+
+
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
@@ -341,7 +367,7 @@ def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = max(1, -(-size // batch_bytes))
-    buckets = max(1, -(-batches // BATCHES_PER_BUCKET))
+    buckets = BUCKETS_PER_BATCH * batches
     dealt = docs.filter("doc_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
     seeds = dealt.groupBy("batch").applyInArrow(_seed_rows(shape, buckets), "bucket long, batch long, hashes binary")
     answers = seeds.groupBy("bucket").applyInArrow(_answer_rows(hot_batches), "bucket long, batch long, flags binary")
