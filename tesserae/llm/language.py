@@ -216,8 +216,8 @@ def _predict(net: Network):
                 part = batch.slice(row, end - row)
                 lettered = part.column("lettered").to_pylist()
                 p = predict_slice(net, data, starts)
-                best = p.argmax(1) if len(net.langs) else np.zeros(len(p), int)
-                known = [bool(x) and len(net.langs) > 0 for x in lettered]
+                best = p.argmax(1)
+                known = lettered
                 names = [net.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known, strict=True)]
                 score = [round(min(1.0, float(p[i, b])), 6) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), known, strict=True))]
                 yield pa.RecordBatch.from_arrays([part.column("row_"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["row_", "lang_pred", "score"])
@@ -231,6 +231,8 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
     Only text is read. Null texts and texts without a letter are undetermined with score 0, as is every text if the
     network has learned no language. Equal texts get equal rows; an empty table gives none.
     """
+    if not net.langs:
+        return packed(docs, [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")], keep)
     rows = packed(docs, ["text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")], keep)
     return rows.mapInArrow(_predict(net), f"row_ {rows.schema['row_'].dataType.simpleString()}, lang_pred string, score double")
 
