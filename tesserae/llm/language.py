@@ -238,7 +238,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
 
 
 #: A document stays in the corpus if some language is found with at least this score.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -83,7 +83,7 @@ RULES = {
     "few_words": f"n_words < {MIN_WORDS}",
     "repeated_words": f"100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "n_lines > 4 AND 10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_lines > 4 AND 2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 12 * n_words",
     "many_words": "n_words > 100000",
