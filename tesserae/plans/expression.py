@@ -106,6 +106,15 @@ def _(spark, d):
     return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 4).alias("silhouette"))
 
 
+@query("x9_silhouette_squared", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), dd AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) AS s FROM e a, e b GROUP BY ALL),
+nn AS (SELECT label AS other, count(*) AS n FROM e GROUP BY ALL), m AS (SELECT vec_id, label, other, n, s / CASE WHEN label = other THEN greatest(n - 1, 1) ELSE n END AS m FROM dd JOIN nn USING (other)),
+ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM m GROUP BY ALL)
+SELECT label, count(*) AS n, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 4) AS silhouette FROM ab GROUP BY label""")
+def _(spark, d):
+    s = X.silhouette_squared(D.read(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 4).alias("silhouette"))
+
+
 @query("x10_top_genes", "SELECT feature_name, count(*) AS n FROM transcripts GROUP BY ALL ORDER BY n DESC, feature_name LIMIT 20")
 def _(spark, d):
     return X.top_genes(D.transcripts(spark, d))
