@@ -11,8 +11,8 @@ by a hash of their id, and so much is exchanged:
    the operators do in their own ways); it answers each batch with runs of repeated windows;
 4. the batch cuts its texts.
 
-So a line or passage in a third of all documents costs one entry for each batch. A seed that very many batches hold may
-stand in many different contexts; its windows then go out one by one, each under its own hash, which splits the group.
+So a line or passage in a third of all documents costs one entry for each slice of a batch. The windows of a seed that
+stands in very many different contexts go out one by one, each under its own hash, which splits the group.
 The texts are shuffled once, by batch, and that exchange is read again by each step.
 """
 
@@ -31,8 +31,8 @@ from .bytetext import span_hash
 #: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
 #: of seeds for each batch.
 BATCH_BYTES, SLICE_BYTES, BUCKETS_PER_BATCH = 8 << 20, 1 << 20, 2
-#: Batches that hold a seed beyond which its windows go out one by one.
-HOT_BATCHES = 4096
+#: Different contexts of a seed, summed over slices, beyond which its windows go out one by one.
+HOT_CONTEXTS = 10_000
 
 
 @dataclass
@@ -141,20 +141,32 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the batch's seeds, in order, and whether each stands in several slices."""
-    parts = [np.unique(s.seeds.hash) for s in slices(table, shape)]
-    values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-    return values, count > 1
+def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the batch's seeds in order, whether each stands in several slices, and its different contexts in all of
+    them, 65535 at most."""
+    parts, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for s in slices(table, shape):
+        u, e = s.units, s.seeds
+        context = span_hash(u.form, u.begins[e.lo], u.ends[e.hi + shape.window - 1])
+        order = np.lexsort((context, e.hash))
+        h, context = e.hash[order], context[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
+        values, count = np.unique(h[new], return_counts=True)
+        parts.append(values)
+        numbers.append(count)
+    values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    contexts = np.bincount(inverse, np.concatenate(numbers), len(values))
+    return values, count > 1, np.minimum(contexts, 65535).astype(np.uint16)
 
 
 def _seed_rows(shape: Shape, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h = _distinct_hashes(table, shape)[0]
-        b = _bucket(h, buckets)
-        cut = np.searchsorted(b, np.arange(buckets + 1))
+        h, _, contexts = _distinct_hashes(table, shape)
+        cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
         some = np.flatnonzero(cut[1:] > cut[:-1])
-        return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), key[0].as_py()), pa.int64()), "hashes": pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())})
+        part = lambda v: pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+        return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), key[0].as_py()), pa.int64()), "hashes": part(h), "contexts": part(contexts)})
 
     return run
 
@@ -162,9 +174,10 @@ def _seed_rows(shape: Shape, buckets: int):
 def _answer_rows(hot: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        every = np.concatenate(parts)
-        values, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-        flag = ((count > 1).astype(np.uint8) + (count > hot).astype(np.uint8))[inverse]
+        contexts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("contexts").to_pylist()])
+        values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        many = np.bincount(inverse, contexts, len(values)) > hot
+        flag = np.where(many, 2, count > 1).astype(np.uint8)[inverse]
         cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "flags": pa.array([flag[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
@@ -218,7 +231,7 @@ def _context_rows(shape: Shape, buckets: int):
         number = key[0].as_py()
         if not table.num_rows or not answers.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch") else pa.binary()) for c in ("bucket", "batch", *PACKED, "bytes", "cover")})
-        values, several = _distinct_hashes(table, shape)
+        values, several, _ = _distinct_hashes(table, shape)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         flags = answers.column("flags").to_pylist()
         flag = np.maximum(np.concatenate([np.frombuffer(flags[k], np.uint8) for k in order]), several)
@@ -357,7 +370,7 @@ def _cut_slice(s: Slice, cover: np.ndarray, window: int) -> pa.Table:
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes: int = BATCH_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_units, spans (first unit and number of each maximal run that is removed) and kept (bytes of the rest).
 
     A unit is removed if a window that covers it also starts in a document with a smaller doc_id, by the input as it is.
@@ -369,8 +382,8 @@ def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes:
     batches = max(1, -(-size // batch_bytes))
     buckets = BUCKETS_PER_BATCH * batches
     dealt = docs.filter("doc_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
-    seeds = dealt.groupBy("batch").applyInArrow(_seed_rows(shape, buckets), "bucket long, batch long, hashes binary")
-    answers = seeds.groupBy("bucket").applyInArrow(_answer_rows(hot_batches), "bucket long, batch long, flags binary")
+    seeds = dealt.groupBy("batch").applyInArrow(_seed_rows(shape, buckets), "bucket long, batch long, hashes binary, contexts binary")
+    answers = seeds.groupBy("bucket").applyInArrow(_answer_rows(hot_contexts), "bucket long, batch long, flags binary")
     contexts = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_context_rows(shape, buckets), CONTEXTS)
     covers = contexts.groupBy("bucket").applyInArrow(_cover_rows(compare), "batch long, cover binary")
     cut = dealt.groupBy("batch").cogroup(covers.groupBy("batch")).applyInArrow(_cut_rows(shape), "doc_id long, n_units long, spans array<struct<first:long,n:long>>, kept binary")

@@ -199,7 +199,7 @@ def brute_removal(docs, units, width):
     return out
 
 
-@pytest.mark.parametrize(("batch", "hot", "paired"), [(8 << 20, 4096, 24), (60_000, 2, 1)])
+@pytest.mark.parametrize(("batch", "hot", "paired"), [(8 << 20, 10_000, 24), (60_000, 3, 1)])
 def test_removed_repeats_equal_brute_force(spark, small, monkeypatch, batch, hot, paired):
     monkeypatch.setattr(substrings, "PAIRED", paired)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
