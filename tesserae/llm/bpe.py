@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table
+from .common import bound_batches, packed, table
 
 # Fixed value: how the vocabulary's format cuts text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -218,6 +218,7 @@ def encode_and_decode(docs: DataFrame, path: str, keep: list[str] | None = None)
     Null and empty texts have no ids and decode to the empty text. Texts that repeat give equal rows; an empty table
     gives none. Any UTF-8 text decodes to itself.
     """
+    bound_batches(docs.sparkSession)
     rows = packed(docs, ["text"], keep)
     row = rows.schema["row_"].dataType.simpleString()
     columns = ["row_", "ids", "decoded"]

@@ -50,6 +50,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch of rows that a Python task gets at once, where the session sets no limit of its own. Batches counted in
+#: rows alone have no bound where texts are long.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def packed(df: DataFrame, needed: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """The needed columns beside row_, a struct of the kept ones (all by default), so that no column can clash with a new one."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row_"), *needed)

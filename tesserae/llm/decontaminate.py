@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, LETTERED, text_slices
-from .common import WORD_CLASS, packed, table
+from .common import WORD_CLASS, bound_batches, packed, table
 
 WINDOW = 13
 #: Items are compiled in blocks of at most so many bytes of text; each block is one broadcast and one search.
@@ -240,6 +240,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     item ids that repeat count once. Rows of docs that repeat give repeated rows; an empty table gives none.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<long>"))
     for block in [*_blocks(benchmark, block_bytes)] or [[]]:
         rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile(block)), rows.columns), rows.schema)

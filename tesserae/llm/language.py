@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import byte_class, text_slices
-from .common import packed, table
+from .common import bound_batches, packed, table
 
 WINDOW, HIDDEN = 64, 8
 #: The sample: rows of each language and bytes of a row, and the languages that are learned. It bounds what the driver holds.
@@ -231,6 +231,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
     Only text is read. Null texts and texts without a letter are undetermined with score 0, as is every text if the
     network has learned no language. Equal texts get equal rows; an empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     if not net.langs:
         return packed(docs, [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")], keep)
     rows = packed(docs, ["text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")], keep)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import SPACED, byte_class, span_hash, sums_by_text, text_slices, word_bounds
-from .common import table
+from .common import bound_batches, table
 
 # Symbols, and the limits of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -113,6 +113,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     One row for each row of docs (repeated rows repeat); null text has no words; doc_id may be null.
     """
+    bound_batches(docs.sparkSession)
     measured = docs.select("doc_id", "text").mapInArrow(_measure, SCHEMA)
     bits = sum((F.when(F.expr(failure), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, failure in enumerate(RULES.values())), F.lit(0).cast("long"))
     return measured.withColumn("failed", bits)

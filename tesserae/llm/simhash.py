@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, SPACED, text_slices, word_bounds
-from .common import table, written
+from .common import bound_batches, table, written
 from .components import connected_components
 
 BITS, SEGMENT, WITHIN, SHINGLE, SEED = 64, 32, 2, 3, 42
@@ -77,6 +77,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and f, the fingerprint as a signed long; null texts have fingerprint zero."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint, "doc_id long, f long")
 
 
