@@ -67,14 +67,14 @@ def _powers(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     base = _tables(seed)[1]
     out = []
     for r in (base, pow(base, -1, 2**64)):
-        for step in (r, pow(r, STRIDE, 2**64)):
-            p = np.full(STRIDE, step & (2**64 - 1), np.uint64)
+        for step, size in ((r, STRIDE), (pow(r, STRIDE, 2**64), STRIDES)):
+            p = np.full(size, step & (2**64 - 1), np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
     return tuple(out)
 
 
-STRIDE = 1 << 13
+STRIDE, STRIDES = 1 << 13, 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands. At most 64 MB of data."""
+    """A 64-bit hash of each span of bytes, the same wherever the span stands. At most 1 GB of data."""
     low, high, low_inverse, high_inverse = _powers(seed)
     n, table = len(data), _tables(seed)[0]
     total = np.zeros(n + 1, np.uint64)

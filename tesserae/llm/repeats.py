@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import span_hash
+from .bytetext import mix, span_hash
 
 #: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
 #: of seeds for each batch.
@@ -96,7 +96,8 @@ def find_seeds(u: Units, shape: Shape) -> Entries:
     new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (window[1:] != window[:-1] + 1)]))
     at, lo = seed[new], window[new]
     hi = window[np.concatenate([new[1:], [len(window)]]) - 1]
-    return Entries(h[at], np.searchsorted(u.first, at, "right") - 1, at, lo, hi)
+    # Least hashes are small ones; mixed again they spread evenly over the buckets.
+    return Entries(mix(h[at]), np.searchsorted(u.first, at, "right") - 1, at, lo, hi)
 
 
 def _several_texts(e: Entries) -> np.ndarray:
