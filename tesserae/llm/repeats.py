@@ -167,14 +167,15 @@ def _seed_rows(shape: Shape, buckets: int):
         cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
         some = np.flatnonzero(cut[1:] > cut[:-1])
         part = lambda v: pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-        return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), key[0].as_py()), pa.int64()), "hashes": part(h), "contexts": part(contexts)})
+        return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), key[0].as_py()), pa.int64()), "hashes": part(h.astype(np.uint32)), "contexts": part(contexts)})
 
     return run
 
 
 def _answer_rows(hot: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        # Half a hash is enough here: a bucket holds a bounded number of seeds, and one taken for repeated is only looked at.
+        parts = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
         contexts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("contexts").to_pylist()])
         values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         many = np.bincount(inverse, contexts, len(values)) > hot
@@ -270,7 +271,7 @@ def _slice_contexts(s: Slice, shape: Shape, buckets: int, number: int, values: n
         v = v[stay].astype(TYPES[c])
         out[c] = pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
     parts = [stay[cut[k] : cut[k + 1]] for k in some]
-    out["bytes"] = pa.array([u.form[spans_to_places(begin[p], size[p])].tobytes() for p in parts], pa.binary())
+    out["bytes"] = pa.array([pa.compress(u.form[spans_to_places(begin[p], size[p])].tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())
     out["cover"] = pa.array([cover.tobytes() if j == 0 else b"" for j in range(len(some))], pa.binary())
     return pa.table(out)
 
@@ -300,7 +301,8 @@ def _cover_rows(compare: Compare):
         c = {name: np.concatenate(rows[i * n : (i + 1) * n]) for i, name in enumerate(TYPES)}
         counts = np.array([len(r) for r in rows[:n]], np.int64)
         owner = np.repeat(np.arange(n), counts)
-        blob = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        held = [int(r.sum()) for r in rows[n * list(TYPES).index("size") : n * (list(TYPES).index("size") + 1)]]
+        blob = np.frombuffer(b"".join(pa.decompress(x, k, "zstd", asbytes=True) for x, k in zip(table.column("bytes").to_pylist(), held, strict=True)), np.uint8)
         size, before = c["size"].astype(np.int64), c["before"].astype(np.int64)
         begin = np.cumsum(size) - size
         lost = repeats_of_smaller((before, c["mark"], c["h"]), c["doc"], blob, begin, size)
