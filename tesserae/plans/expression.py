@@ -131,10 +131,10 @@ def _(spark, d):
     return rounded(X.polygons_to_boundaries(cells(spark, d)), 6)
 
 
-@query("i12_boundaries_to_polygons", "SELECT inst_id AS cell_id, 5 AS points, round(((xmax-xmin)*(ymax-ymin))::DOUBLE, 3) AS area_px, round((xmax-xmin)*(ymax-ymin) * 0.2125::DOUBLE * 0.2125::DOUBLE, 3) AS area_um FROM detections WHERE branch = 'he_cell'")
+@query("i12_boundaries_to_polygons", "SELECT inst_id AS cell_id, 5 AS points, round(((xmax-xmin)*(ymax-ymin))::DOUBLE, 8) AS area_px, round((xmax-xmin)*(ymax-ymin) * 0.2125::DOUBLE * 0.2125::DOUBLE, 8) AS area_um FROM detections WHERE branch = 'he_cell'")
 def _(spark, d):
     p = X.boundaries_to_polygons(X.polygons_to_boundaries(cells(spark, d)))
-    return rounded(p.select("cell_id", F.size("ring").alias("points"), "area_px", "area_um"), 3)
+    return rounded(p.select("cell_id", F.size("ring").alias("points"), "area_px", "area_um"), 8)
 
 
 @query("s17_cells_metadata", "SELECT inst_id AS cell_id, round((3*xmin + 2*xmax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS x_centroid, round((3*ymin + 2*ymax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS y_centroid, 0.0::DOUBLE AS cell_area, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area_pixels FROM detections WHERE branch = 'he_cell'")
