@@ -96,8 +96,9 @@ def log_share(n: Column, most: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """1.2M, 3.4K or the number."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, 1), F.lit("M"))).when(n >= 1_000, F.concat(F.format_number(n / 1e3, 1), F.lit("K"))).otherwise(n.cast("string"))
+    """1.2M, 3.4K or the number; no separators of thousands, and ties of the double go to the even digit as in printf."""
+    one = lambda v: F.replace(F.format_number(v, 1), F.lit(","), F.lit(""))
+    return F.when(n >= 1_000_000, F.concat(one(n / 1e6), F.lit("M"))).when(n >= 1_000, F.concat(one(n / 1e3), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def channel_name(text: Column) -> Column:

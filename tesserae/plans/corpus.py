@@ -107,6 +107,16 @@ def _(spark, d):
     return reg(spark, d).filter("row_id % 100 = 0").select("row_id", C.short_count(F.col("row_id") * 1000).alias("label"))
 
 
+SHORT = "CASE WHEN %(n)s >= 1000000 THEN printf('%%.1fM', %(n)s / 1e6) WHEN %(n)s >= 1000 THEN printf('%%.1fK', %(n)s / 1e3) ELSE (%(n)s)::VARCHAR END"
+
+
+# Every row; small holds ties of the K form, large ties of the M form and numbers beyond 999.9M.
+@query("f18_short_count_all", f"SELECT row_id, {SHORT % {'n': 'row_id * 50'}} AS small, {SHORT % {'n': 'row_id * 1000'}} AS label, {SHORT % {'n': 'row_id * 12350000'}} AS large FROM registry")
+def _(spark, d):
+    n = F.col("row_id")
+    return reg(spark, d).select("row_id", C.short_count(n * 50).alias("small"), C.short_count(n * 1000).alias("label"), C.short_count(n * 12350000).alias("large"))
+
+
 @query("f19_channel_name", "SELECT row_id, organ_text AS name FROM registry")
 def _(spark, d):
     return reg(spark, d).select("row_id", C.channel_name(F.concat(F.lit("img - "), "organ_text", F.lit(".ome.tif"))).alias("name"))

@@ -41,11 +41,20 @@ def _(spark, d):
     return S.read_geojson_annotations(spark, path, whole=False).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def stored_transcripts(spark, d):
+    t = saved(D.transcripts(spark, d).select(F.col("x").alias("x_location"), F.col("y").alias("y_location"), "feature_name"), "transcripts")
+    return S.read_transcripts(spark, t.inputFiles()[0].rsplit("/", 1)[0])
+
+
 @query("s3_read_transcripts", "SELECT feature_name, count(*) AS n, round(sum(x), 3) AS sx FROM transcripts WHERE x < 1024 GROUP BY ALL")
 def _(spark, d):
-    t = saved(D.transcripts(spark, d).select(F.col("x").alias("x_location"), F.col("y").alias("y_location"), "feature_name"), "transcripts")
-    path = t.inputFiles()[0].rsplit("/", 1)[0]
-    return S.read_transcripts(spark, path).filter("x < 1024").groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"))
+    return stored_transcripts(spark, d).filter("x < 1024").groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"))
+
+
+@query("s3_read_transcripts_all", "SELECT feature_name, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, count(*) FILTER (x < 1024) AS n_left FROM transcripts GROUP BY ALL")
+def _(spark, d):
+    left = F.count(F.when(F.col("x") < 1024, 1))
+    return stored_transcripts(spark, d).groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"), left.alias("n_left"))
 
 
 @query("s5_rle_masks", """WITH px AS (SELECT p_partkey % 50 AS image_id, dense_rank() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS label, unnest(range(p_partkey % 97, p_partkey % 97 + 5)) AS p FROM part)

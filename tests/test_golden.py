@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import polygons as P
+from tesserae.operators import corpus
 from tesserae.operators import instances as I
 from tesserae.operators import scores as S
 from tesserae.operators import spatial, tiles
@@ -158,3 +159,9 @@ def test_slides_by_extension(spark, tmp_path):
     for n in ("a.svs", "b.svs", "c.txt"):
         (tmp_path / n).write_text("x")
     assert formats.slide_manifest(spark, str(tmp_path), ".svs").count() == 2
+
+
+def test_short_counts_have_ties_and_no_separators(spark):
+    rows = [(k,) for k in (0, 999, 1000, 1049, 1050, 1150, 1250, 1350, 999_949, 999_999, 1_000_000, 1_250_000, 1_350_000, 12_350_000, 999_999_999, 1_234_500_000, 12_350_000_001)]
+    got = {r["n"]: r["s"] for r in spark.createDataFrame(rows, "n long").select("n", corpus.short_count(F.col("n")).alias("s")).collect()}
+    assert got == {n: f"{n / 1e6:.1f}M" if n >= 1e6 else f"{n / 1e3:.1f}K" if n >= 1e3 else str(n) for (n,) in rows}
