@@ -13,6 +13,8 @@ from ..functions import geometry as G
 
 # Fixed value: microns in a pixel.
 PIXEL = 0.2125
+#: Columns of a matrix of cells and genes: above the largest panels in use, below what a plan can hold.
+MAX_GENES = 10_000
 
 
 def um_to_px(value: Column, pixel: float = PIXEL, area: bool = False) -> Column:
@@ -53,6 +55,14 @@ def expression_matrix(counts: DataFrame, genes: Sequence[str], cell: str = "cell
     return counts.groupBy(cell).pivot(gene, list(genes)).agg(F.sum("count")).fillna(0)
 
 
+def gene_names(counts: DataFrame, gene: str = "feature_name", most: int = MAX_GENES) -> list[str]:
+    """All genes of the table in order, for the columns of a matrix; an error if there are more than most."""
+    found = sorted(r[0] for r in counts.filter(F.col(gene).isNotNull()).select(gene).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} genes: a matrix has a column for each")
+    return found
+
+
 def per_cell(counts: DataFrame, cell: str = "cell_id") -> DataFrame:
     return counts.groupBy(cell).agg(F.sum("count").alias("transcripts"), F.count("*").alias("genes"))
 

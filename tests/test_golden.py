@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import polygons as P
-from tesserae.operators import corpus
+from tesserae.operators import corpus, expression
 from tesserae.operators import instances as I
 from tesserae.operators import scores as S
 from tesserae.operators import spatial, tiles
@@ -165,3 +165,16 @@ def test_short_counts_have_ties_and_no_separators(spark):
     rows = [(k,) for k in (0, 999, 1000, 1049, 1050, 1150, 1250, 1350, 999_949, 999_999, 1_000_000, 1_250_000, 1_350_000, 12_350_000, 999_999_999, 1_234_500_000, 12_350_000_001)]
     got = {r["n"]: r["s"] for r in spark.createDataFrame(rows, "n long").select("n", corpus.short_count(F.col("n")).alias("s")).collect()}
     assert got == {n: f"{n / 1e6:.1f}M" if n >= 1e6 else f"{n / 1e3:.1f}K" if n >= 1e3 else str(n) for (n,) in rows}
+
+
+def test_matrix_has_all_genes_and_cells(spark):
+    from tesserae import plans
+
+    from .conftest import DATA
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    m = plans.QUERIES["x3_expression_matrix_all"](spark, DATA).toPandas().set_index("cell_id")
+    assert m.to_numpy().sum() == events.count() and not m.isna().any().any()
+    assert len(m) == events.select("user_id").distinct().count() and m.shape[1] == events.selectExpr("user_id % 40").distinct().count()
+    with pytest.raises(ValueError, match="more than 3 genes"):
+        expression.gene_names(spark.createDataFrame([(f"G{k}",) for k in range(4)], "feature_name string"), most=3)
