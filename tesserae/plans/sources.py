@@ -74,10 +74,7 @@ def _(spark, d):
 @query("s7_aperio_xml", "SELECT branch AS class_name, count(*) AS n, sum((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections GROUP BY ALL")
 def _(spark, d):
     path = folder(spark, "xml")
-    vertex = F.array_join(F.transform("ring", lambda p: F.concat(F.lit('<Vertex X="'), p["x"].cast("string"), F.lit('" Y="'), p["y"].cast("string"), F.lit('"/>'))), "")
-    row = F.concat(F.lit('<Annotation Name="'), F.col("type"), F.lit('"><Regions><Region Id="'), F.col("id").cast("string"), F.lit('"><Vertices>'), vertex, F.lit("</Vertices></Region></Regions></Annotation>"))
-    docs = cells(spark, d).groupBy((F.col("id") % 16).alias("b")).agg(F.concat(F.lit("<Annotations>"), F.array_join(F.collect_list(row), ""), F.lit("</Annotations>")).alias("value"))
-    docs.write.partitionBy("b").text(path)
+    S.write_documents(S.aperio_documents(cells(spark, d)), path)
     return S.read_aperio_xml(spark, path).groupBy("class_name").agg(F.count("*").alias("n"), F.sum(G.area(F.col("ring"))).alias("area"))
 
 

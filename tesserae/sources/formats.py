@@ -100,6 +100,20 @@ def polyline_rings(rows: DataFrame) -> DataFrame:
 APERIO = "_Name string, Regions struct<Region:array<struct<_Id:string,Vertices:struct<Vertex:array<struct<_X:double,_Y:double>>>>>>"
 
 
+def aperio_documents(cells: DataFrame, ids: int = 10_000) -> DataFrame:
+    """One text column: documents of the annotations of at most so many following ids (about 2 MB), so that no text grows with
+    the table. id is an integer and unique."""
+    vertex = F.array_join(F.transform("ring", lambda p: F.concat(F.lit('<Vertex X="'), p["x"].cast("string"), F.lit('" Y="'), p["y"].cast("string"), F.lit('"/>'))), "")
+    row = F.concat(F.lit('<Annotation Name="'), F.col("type"), F.lit('"><Regions><Region Id="'), F.col("id").cast("string"), F.lit('"><Vertices>'), vertex, F.lit("</Vertices></Region></Regions></Annotation>"))
+    groups = cells.groupBy(F.floor(F.col("id") / ids).alias("b")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    return groups.select(F.concat(F.lit("<Annotations>"), "rows", F.lit("</Annotations>")).alias("value"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A file for each document: readers of XML stop at the end of the first root."""
+    documents.write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_aperio_xml(spark: SparkSession, path: str) -> DataFrame:
     """class_name, region and ring of every region with three vertices or more."""
     df = spark.read.format("xml").option("rowTag", "Annotation").schema(APERIO).load(path)

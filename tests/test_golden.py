@@ -178,3 +178,30 @@ def test_matrix_has_all_genes_and_cells(spark):
     assert len(m) == events.select("user_id").distinct().count() and m.shape[1] == events.selectExpr("user_id % 40").distinct().count()
     with pytest.raises(ValueError, match="more than 3 genes"):
         expression.gene_names(spark.createDataFrame([(f"G{k}",) for k in range(4)], "feature_name string"), most=3)
+
+
+def test_aperio_documents_stay_small(spark, tmp_path):
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 3), (0, 3))])
+    cells = spark.range(0, 40_000).select("id", ring.alias("ring"), F.lit("he_cell").alias("type"))
+    docs = formats.aperio_documents(cells, 1000)
+    r = docs.agg(F.count("*").alias("n"), F.max(F.size(F.split("value", "<Annotation "))).alias("most")).first()
+    assert (r["n"], r["most"]) == (40, 1001)
+    formats.write_documents(docs, str(tmp_path / "xml"))
+    found = formats.read_aperio_xml(spark, str(tmp_path / "xml"))
+    assert found.count() == 40_000 and found.filter(F.size("ring") != 4).count() == 0
+
+
+def test_aperio_query_writes_no_line_that_grows(spark):
+    import glob
+
+    from tesserae import plans
+
+    from .conftest import DATA
+
+    before = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/xml-*"))
+    plans.QUERIES["s7_aperio_xml"](spark, DATA).collect()
+    (path,) = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/xml-*")) - before
+    lines = spark.read.text(path)
+    assert lines.count() > 0
+    ids = lines.select(F.expr("transform(regexp_extract_all(value, 'Region Id=\"([0-9]+)\"', 1), x -> cast(x as long))").alias("ids"))
+    assert ids.filter(F.array_max("ids") - F.array_min("ids") >= 10_000).count() == 0
