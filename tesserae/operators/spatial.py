@@ -117,52 +117,45 @@ def link_nuclei(nuclei: DataFrame, cells: DataFrame, keys: Sequence[str], id: st
     return links, orphans
 
 
-def min_label_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, component for nodes of edges a, b: the least label spreads over the edges until nothing changes. Objects
-    overlap in small clusters, so rounds are few."""
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "overlaps")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(max_rounds):
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = saved(labels.join(spread, labels["node"] == spread["a"]).select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("changed")), "labels")
-        labels = new.drop("changed")
-        if not new.filter("changed").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def _replay(objects: DataFrame, links: DataFrame, id: str, rounds: int, strict_component_key: str = "component") -> DataFrame:
-    """Ids removed by the order-dependent scan, replayed within each connected cluster of overlapping objects."""
-    comp = min_label_components(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    dealt = links.join(comp, links["a_id"] == comp["node"]).select("component", "a_id", "b_id", "a_area", "b_area")
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        size: dict[int, float] = {}
-        for a, b, sa, sb in group[["a_id", "b_id", "a_area", "b_area"]].itertuples(index=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-            size[a], size[b] = sa, sb
-        alive, removed = set(near), []
-        for _ in range(rounds):
-            done: set[int] = set()
-            merged = False
-            for seed in sorted(alive):
-                if seed in done or seed not in alive:
-                    continue
-                cluster = [seed, *sorted(x for x in near[seed] if x in alive and x not in done)]
-                done.update(cluster)
-                if len(cluster) > 1:
-                    merged = True
-                    keep = max(cluster, key=lambda x: (size[x], x == seed, -x))
-                    gone = [x for x in cluster if x != keep]
-                    removed += gone
-                    alive.difference_update(gone)
-            if not merged:
-                break
-        return pd.DataFrame({id: pd.Series(removed, dtype="int64")})
-
-    return dealt.groupBy("component").applyInPandas(scan, f"{id} long")
+def claimed_by_seeds(links: DataFrame) -> DataFrame:
+    """node: objects that the scan in id order claims, for links lo, hi (lo < hi). An object is a seed if no linked object
+    of a lower id is one, else it is claimed. Each round decides all objects whose lower neighbours are decided, at least
+    the lowest one left; rounds follow the longest rising chain of open objects, and each is written to the shared folder."""
+    open_, claimed = links.select("lo", "hi"), None
+    while True:
+        seeds = open_.join(open_.select(F.col("hi").alias("h_")).distinct(), F.col("lo") == F.col("h_"), "left_anti")
+        new = saved(seeds.select(F.col("hi").alias("node")).distinct(), "claimed")
+        claimed = new if claimed is None else claimed.union(new)
+        n = new.withColumnRenamed("node", "n_")
+        open_ = saved(open_.join(n, F.col("lo") == F.col("n_"), "left_anti").join(n, F.col("hi") == F.col("n_"), "left_anti"), "open")
+        if not open_.limit(1).count():
+            return claimed
+
+
+def _replay(links: DataFrame, id: str, rounds: int) -> DataFrame:
+    """Ids removed by the order-dependent scan, as rounds of joins over the links (a_id, b_id, a_area, b_area): a claimed object
+    goes to its lowest seed, which is the first to reach it, and of each cluster the largest stays."""
+    low = F.col("a_id") < F.col("b_id")
+    side = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    alive = links.select(side("a_id", "b_id").alias("lo"), side("b_id", "a_id").alias("hi"), side("a_area", "b_area").alias("lo_area"), side("b_area", "a_area").alias("hi_area"))
+    removed = None
+    for _ in range(rounds):
+        if not alive.limit(1).count():
+            break
+        claimed = saved(claimed_by_seeds(alive), "claimed")
+        c = claimed.withColumnRenamed("node", "c_")
+        from_seeds = alive.join(c, F.col("lo") == F.col("c_"), "left_anti")
+        owned = from_seeds.groupBy("hi").agg(F.min_by(F.struct("lo", "lo_area", "hi_area"), "lo").alias("s"))
+        own = F.struct(F.col("s.hi_area").alias("area"), F.lit(False).alias("seed"), (-F.col("hi")).alias("order"))
+        seed = F.struct(F.col("s.lo_area").alias("area"), F.lit(True).alias("seed"), (-F.col("s.lo")).alias("order"))
+        members = saved(owned.select(F.col("s.lo").alias("cluster"), F.inline(F.array(own, seed))), "members")
+        keep = members.groupBy("cluster").agg((-F.max(F.struct("area", "seed", "order"))["order"]).alias("keep"))
+        gone = members.join(keep, "cluster").filter(-F.col("order") != F.col("keep")).select((-F.col("order")).alias(id)).distinct()
+        gone = saved(gone, "removed")
+        removed = gone if removed is None else removed.union(gone)
+        g = gone.withColumnRenamed(id, "g_")
+        alive = saved(alive.join(g, F.col("lo") == F.col("g_"), "left_anti").join(g, F.col("hi") == F.col("g_"), "left_anti"), "alive")
+    return links.select(F.col("a_id").alias(id)).limit(0) if removed is None else removed
 
 
 def dedupe_iou(objects: DataFrame, keys: Sequence[str], threshold: float = 0.5, rounds: int = 5, id: str = "inst_id", cell: float = CELL) -> DataFrame:
@@ -170,7 +163,7 @@ def dedupe_iou(objects: DataFrame, keys: Sequence[str], threshold: float = 0.5,
     the largest stays (ties: the seed, then the lower id); repeated until nothing merges, or rounds times."""
     pairs = ring_pairs(objects, keys, id, cell)
     links = saved(pairs.filter(iou(pairs) >= threshold).select("a_id", "b_id", "a_area", "b_area"), "links")
-    return objects.filter(G.area(F.col("ring")) > 0).join(_replay(objects, links, id, rounds), id, "left_anti")
+    return objects.filter(G.area(F.col("ring")) > 0).join(_replay(links, id, rounds), id, "left_anti")
 
 
 def dedupe_containment(objects: DataFrame, keys: Sequence[str], threshold: float = 0.5, rounds: int = 20, id: str = "inst_id", status: str = "edge", cell: float = CELL) -> DataFrame:
@@ -178,7 +171,7 @@ def dedupe_containment(objects: DataFrame, keys: Sequence[str], threshold: float
     edge = objects.filter(F.coalesce(F.col(status), F.lit(1)) != 0)
     pairs = ring_pairs(edge, keys, id, cell)
     links = saved(pairs.filter(containment(pairs) > threshold).select("a_id", "b_id", "a_area", "b_area"), "links")
-    return objects.filter(F.col(status) == 0).unionByName(edge.join(_replay(edge, links, id, rounds), id, "left_anti"))
+    return objects.filter(F.col(status) == 0).unionByName(edge.join(_replay(links, id, rounds), id, "left_anti"))
 
 
 def local_maxima(objects: DataFrame, links: DataFrame, id: str = "inst_id") -> DataFrame:

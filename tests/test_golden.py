@@ -205,3 +205,39 @@ def test_aperio_query_writes_no_line_that_grows(spark):
     assert lines.count() > 0
     ids = lines.select(F.expr("transform(regexp_extract_all(value, 'Region Id=\"([0-9]+)\"', 1), x -> cast(x as long))").alias("ids"))
     assert ids.filter(F.array_max("ids") - F.array_min("ids") >= 10_000).count() == 0
+
+
+def scanned(links, rounds):
+    """The scan itself: in id order a seed and its open neighbours make a cluster, of which the largest stays."""
+    near, size, removed = {}, {}, set()
+    for a, b, sa, sb in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+        size[a], size[b] = sa, sb
+    for _ in range(rounds):
+        done = set()
+        for seed in sorted(near):
+            if seed not in done | removed:
+                cluster = {seed, *(x for x in near[seed] if x not in done | removed)}
+                done |= cluster
+                removed |= cluster - {max(cluster, key=lambda x: (size[x], x == seed, -x))}
+    return removed
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_replay_equals_the_scan(spark, rounds):
+    rng = np.random.default_rng(rounds)
+    size = rng.integers(1, 6, 60).astype(float)
+    pairs = sorted({tuple(sorted(int(x) for x in rng.choice(60, 2, replace=False))) for _ in range(90)})
+    links = [(a, b, float(size[a]), float(size[b])) for a, b in pairs]
+    df = spark.createDataFrame(links, "a_id long, b_id long, a_area double, b_area double")
+    assert {r["inst_id"] for r in spatial._replay(df, "inst_id", rounds).collect()} == scanned(links, rounds)
+    assert spatial._replay(df.limit(0), "inst_id", rounds).count() == 0
+
+
+def test_replay_of_a_long_chain(spark):
+    """A component of diameter 239, whose ids don't rise along it."""
+    ids = np.random.default_rng(1).permutation(240).tolist()
+    links = [(min(a, b), max(a, b), 1.0 + min(a, b) % 7, 1.0 + max(a, b) % 7) for a, b in itertools.pairwise(ids)]
+    df = spark.createDataFrame(links, "a_id long, b_id long, a_area double, b_area double")
+    assert {r["inst_id"] for r in spatial._replay(df, "inst_id", 1).collect()} == scanned(links, 1)
