@@ -1,6 +1,8 @@
 """License scans: fixed phrases by place, and templates by an exact set-similarity join over text blocks.
 
-The main path uses DataFrame functions only. A text block is one line. Tokens are ordered by how many blocks of the
+The main path uses DataFrame functions only. A text block is one line, or a window of words across line ends, so that
+a wrapped notice is found: for templates of up to c words (c a power of two) windows of 2 c words begin at every c-th
+word, so any run of c words lies in one. Only texts that hold enough words of a template are cut into windows. Tokens are ordered by how many blocks of the
 corpus hold them, rarest first. A template of n tokens contained to the share t needs a = ceil(t n) shared tokens, so
 a block must hold one of the template's n - a + 1 first tokens (prefix filter), at least a of the templates' tokens
 (length filter), and from the first shared token on both sides must have enough tokens left (positional filter).
@@ -14,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CLASS, WORD_CLASS, ascii_lower, table
+from .common import GAP_CLASS, WORD_CLASS, ascii_lower, table, written
 
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -47,15 +49,54 @@ def _units(words: Column) -> Column:
     return F.expr("1").cast("long") * (F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit("")))) / 2
 
 
-def _template_rows(templates: Mapping[str, Sequence[str]]) -> list[tuple[int, str, list[str]]]:
+def _template_words(text: str) -> list[str]:
     import re
 
-    word = re.compile(WORD_CLASS + "+")
-    rows = [(label, sorted(set(word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))))) for label, texts in sorted(templates.items()) for text in texts]
+    return re.findall(WORD_CLASS + "+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def _template_rows(templates: Mapping[str, Sequence[str]]) -> list[tuple[int, str, list[str]]]:
+    rows = [(label, sorted(set(_template_words(text)))) for label, texts in sorted(templates.items()) for text in texts]
     assert sum(len(tokens) for _, tokens in rows) <= MAX_TEMPLATE_TOKENS, "too many template tokens"
     return [(k, label, tokens) for k, (label, tokens) in enumerate(rows) if tokens]
 
 
+def _by_size(templates: Mapping[str, Sequence[str]]) -> dict[int, dict[str, list[str]]]:
+    """Templates by the least power of two that is not below their number of words."""
+    out: dict[int, dict[str, list[str]]] = {}
+    for label, texts in templates.items():
+        for text in texts:
+            if n := len(_template_words(text)):
+                out.setdefault(1 << (n - 1).bit_length(), {}).setdefault(label, []).append(text)
+    return out
+
+
+def window_blocks(docs: DataFrame, templates: Mapping[str, Sequence[str]], threshold: float) -> dict[int, DataFrame]:
+    """docs: key columns and text. For each size of templates: the key columns and tokens, the template words in a window,
+    for windows that can hold a template. They are written once to the shared folder."""
+    keys, sizes = [c for c in docs.columns if c != "text"], _by_size(templates)
+    if not sizes:
+        return {}
+    need = lambda tokens: math.ceil(threshold * len(tokens) - 1e-9)
+    array = lambda words: F.array(*[F.lit(w) for w in words])
+    rows = {c: [tokens for _, _, tokens in _template_rows(t)] for c, t in sizes.items()}
+    known = {c: sorted({w for tokens in some for w in tokens}) for c, some in rows.items()}
+    every = F.array(*[F.struct(array(tokens).alias("tokens"), F.lit(need(tokens)).alias("need")) for some in rows.values() for tokens in some])
+    # Arrays of one element make the engine compute what lambdas use once for a row.
+    held = F.array(F.array_intersect(words_of(F.col("text")), array(sorted({w for some in known.values() for w in some}))))
+    near = docs.filter(F.exists(held, lambda h: F.exists(every, lambda t: F.size(F.array_intersect(h, t["tokens"])) >= t["need"])))
+    near = near.select(*keys, F.explode(F.array(words_of(F.col("text")))).alias("words"))
+
+    def cut(c: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - c - 1, F.lit(0)), F.lit(c))
+        return F.transform(starts, lambda s: F.struct(F.lit(c).alias("c"), F.array_intersect(F.slice("words", s + 1, 2 * c), array(known[c])).alias("tokens")))
+
+    least = F.create_map(*[x for c, some in rows.items() for x in (F.lit(c), F.lit(min(map(need, some))))])
+    windows = near.select(*keys, F.inline(F.concat(*[cut(c) for c in sizes]))).filter(F.size("tokens") >= least[F.col("c")])
+    windows = written(windows, "license-windows")
+    return {c: windows.filter(F.col("c") == c).select(*keys, "tokens") for c in sizes}
+
+
 def template_blocks(blocks: DataFrame, templates: Mapping[str, Sequence[str]], threshold: float) -> DataFrame:
     """blocks: key columns and tokens (an array of words). Returns the key columns, label and containment of every
     pair of a block and a template whose containment reaches the threshold."""
@@ -93,7 +134,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMP
     """docs: doc_id and text. Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null text counts as empty. Rows are told apart by doc_id and text, so rows that repeat get equal results and a null
-    doc_id is kept. score is the largest containment of a template in one line, 1 if a phrase stands in the text.
+    doc_id is kept. score is the largest containment of a template in a line or a window, 1 if a phrase stands in the text.
     """
     words = words_of(F.col("text"))
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), spaced(words).alias("s"), F.col("text"))
@@ -110,7 +151,11 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMP
     base = rows.select("doc_id", "text_key", n.alias("n_words"), sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"))
     lines = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
     blocks = lines.filter(F.length("line") > 0).select("doc_id", "text_key", words_of(F.col("line")).alias("tokens"))
-    found = template_blocks(blocks, templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = template_blocks(blocks, templates, threshold)
+    sizes = _by_size(templates)
+    for c, windows in window_blocks(docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text"), templates, threshold).items():
+        found = found.union(template_blocks(windows, sizes[c], threshold))
+    found = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     joined = base.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))

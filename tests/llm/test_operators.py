@@ -180,6 +180,39 @@ def test_template_join_equals_brute_force(spark):
         assert got == want
 
 
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for label, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in (12, 25, 40, 66):
+                for mark in ("", "# "):
+                    lines = textwrap.wrap(notice, width, break_long_words=False)
+                    rows.append((len(rows), "\n".join(["some words of other prose " * 9, *[mark + x for x in lines], "", "tail of it " * 30])))
+                    want[rows[-1][0]] = label
+    rows.append((len(rows), "Redistribution and use in source\n" + "other words stand here " * 20 + "\nand binary forms, with or without modification, are permitted"))
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k][0] and got[k][1] == 1 for k, label in want.items())
+    assert got[len(rows) - 1] == ([""], 0)
+
+
+def test_windows_hold_every_run(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    templates = {f"t{k}": [" ".join(rng.choice(vocabulary, rng.integers(2, 8)))] for k in range(6)}
+    docs = {k: [str(w) for w in rng.choice(vocabulary, rng.integers(0, 40))] for k in range(80)}
+    df = spark.createDataFrame([(k, "\n".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan_licenses(df, templates, 0.8).collect()}
+    for k, w in docs.items():
+        for label, (t,) in templates.items():
+            m, tokens = len(t.split()), set(t.split())
+            c = 1 << (m - 1).bit_length()
+            some = lambda n, step: any(len(tokens & set(w[a : a + n])) >= 0.8 * len(tokens) - 1e-9 for a in range(0, len(w), step))  # noqa: B023, E731
+            assert not some(m, 1) or label in got[k]
+            assert (label in got[k]) == some(2 * c, c)
+
+
 # Substrings
 
 
