@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, LETTERED, text_slices
-from .common import WORD_CLASS, bound_batches, packed, table
+from .common import WORD_CLASS, bound_batches, drop_written, packed, table, written
 
 WINDOW = 13
 #: Items are compiled in blocks of at most so many bytes of text; each block is one broadcast and one search.
@@ -179,10 +179,15 @@ def search_slice(matcher: Matcher, data: np.ndarray, starts: np.ndarray) -> tupl
 
 
 def _blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark, a stated set of queries, in blocks of bounded size; one block at a time is on the driver."""
+    """The benchmark, a stated set of queries, in blocks of bounded size; one block at a time is on the driver, as rows are
+    dealt to partitions of about that size, which are fetched one by one."""
     block: list[tuple[int, str]] = []
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > limit:
+        items = items.repartition(-(-total // limit))
+    for r in items.toLocalIterator():
         if block and size + len(r["text"]) > limit:
             yield block
             block, size = [], 0
@@ -242,8 +247,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     spark = docs.sparkSession
     bound_batches(spark)
     rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<long>"))
-    for block in [*_blocks(benchmark, block_bytes)] or [[]]:
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile(block)), rows.columns), rows.schema)
+    # The rows searched for a block are written before the next block is broadcast, so that one block is alive at a time.
+    used, table_ = None, None
+    for block in _blocks(benchmark, block_bytes):
+        if used is not None:
+            new = written(rows, "searched")
+            used.unpersist()
+            if table_ is not None:
+                drop_written(table_)
+            rows = table_ = new
+        used = spark.sparkContext.broadcast(Matcher.compile(block))
+        rows = rows.mapInArrow(_search(used, rows.columns), rows.schema)
+    if used is None:
+        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile([])), rows.columns), rows.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
     out = rows.select("row_", "n_words", n_hit.alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"), "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -147,6 +147,23 @@ def test_decontamination_short_items_and_odd_rows(spark):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_one_benchmark_block_at_a_time(spark, monkeypatch):
+    cut, compiled, seen = decontaminate._blocks, decontaminate.Matcher.compile, []
+
+    def blocks(*a):
+        for b in cut(*a):
+            seen.append("cut")
+            yield b
+
+    monkeypatch.setattr(decontaminate, "_blocks", blocks)
+    monkeypatch.setattr(decontaminate.Matcher, "compile", staticmethod(lambda b: seen.append("compiled") or compiled(b)))
+    bench = spark.createDataFrame([(k, f"item{k} " * 20) for k in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"item{k} " * 15) for k in range(6)], "doc_id long, text string")
+    got = {r["row_"]["doc_id"]: r["contaminated"] for r in decontaminate.find_contamination(docs, bench, block_bytes=150).collect()}
+    assert seen == ["cut", "compiled"] * 4
+    assert got == {k: k < 4 for k in range(6)}
+
+
 # Licenses
 
 
