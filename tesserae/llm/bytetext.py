@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,8 +84,8 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def span_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands. At most 1 GB of data."""
+def span_hasher(data: np.ndarray, seed: int = 7) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From begins and ends to a 64-bit hash of each span of data, the same wherever the span stands. At most 1 GB of data."""
     low, high, low_inverse, high_inverse = _powers(seed)
     n, table = len(data), _tables(seed)[0]
     total = np.zeros(n + 1, np.uint64)
@@ -95,10 +95,38 @@ def span_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int
         part *= high[at // STRIDE]
         np.cumsum(part, out=total[at + 1 : at + 1 + len(part)])
         total[at + 1 : at + 1 + len(part)] += total[at]
-    h = total[ends] - total[begins]
-    h *= low_inverse[begins % STRIDE]
-    h *= high_inverse[begins // STRIDE]
-    return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def of(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = total[ends] - total[begins]
+        h *= low_inverse[begins % STRIDE]
+        h *= high_inverse[begins // STRIDE]
+        return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return of
+
+
+def span_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
+    return span_hasher(data, seed)(begins, ends)
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x[a : a + size] and y[b : b + size] are equal, for each row."""
+    same = np.ones(len(a), bool)
+    alive = np.arange(len(a))
+    for k in range(int(size.max(initial=0))):
+        alive = alive[size[alive] > k]
+        good = x[a[alive] + k] == y[b[alive] + k]
+        same[alive[~good]] = False
+        alive = alive[good]
+        if not len(alive):
+            break
+    return same
+
+
+def span_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places in the spans of these sizes, span after span."""
+    total = np.cumsum(sizes)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begins - (total - sizes), sizes)
 
 
 def sums_by_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:

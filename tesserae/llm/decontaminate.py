@@ -2,93 +2,116 @@
 
 Texts become normal forms: A-Z lower-cased, words with one space between, before and after them. A window of item
 words is such a form too, so a window occurs in a text as often as its bytes do. The windows of a block of items are
-compiled to a shift table over hashed blocks of bytes, which tells how far the search may jump, and buckets by the hash of
-the last bytes, whose windows are compared byte by byte. Many texts are searched at once, each at its own place.
+compiled to a shift table over hashed blocks of bytes, which tells how far the search may jump, and to buckets by the hash of
+the last bytes. A bucket is ordered by the hash of the whole window, so a place in a text selects the one window that can
+stand there, however many share their first words, and bytes are compared directly. Many texts are searched at once.
+
+The benchmark is cut into pieces of bounded size, which Spark spreads over blocks; one block at a time is compiled and
+broadcast, and windows are held as places in the block's text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import ASCII_LOWER, LETTERED, text_slices
-from .common import WORD_CLASS, bound_batches, drop_written, packed, table, written
+from .bytetext import ASCII_LOWER, LETTERED, equal_spans, span_hasher, span_places, text_slices
+from .common import LOWER, UPPER, WORD_CLASS, bound_batches, drop_written, packed, table, written
 
 WINDOW = 13
-#: Items are compiled in blocks of at most so many bytes of text; each block is one broadcast and one search.
-BLOCK_BYTES = 8 << 20
-#: Bits of the shift table's address, and lengths at which another table is made for shorter windows.
-TABLE_BITS = 20
+#: Bytes of benchmark text that are compiled, broadcast and searched for at once; words of a piece of a long item.
+BLOCK_BYTES, PIECE_WORDS = 8 << 20, 2048
+#: Least and most bits of the shift table's address, and lengths at which another table is made for shorter windows.
+TABLE_BITS = (16, 24)
 CLASSES = (3, 6, 12, 24, 48)
 #: A text is searched in parts of so many bytes, all at once.
 PART = 512
+FOLDED = str.maketrans(UPPER, LOWER)
+#: Item ids that a batch of results holds, a document more at most.
+IDS_PER_BATCH = 200_000
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return re.findall(WORD_CLASS.encode() + b"+", (text or "").encode().lower()) if text else []
-
-
-def item_windows(text: str | None, width: int = WINDOW) -> set[bytes]:
-    """Normal forms of the item's windows; an item of fewer words, but not none, is one window."""
-    words = item_words(text)
-    return {b" " + b" ".join(words[k : k + width]) + b" " for k in range(max(1, len(words) - width + 1))} if words else set()
-
-
-def _hash_block(columns: list[np.ndarray]) -> np.ndarray:
+def _hash_block(columns: list[np.ndarray], bits: int) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint32)
     with np.errstate(over="ignore"):
         for c in columns:
             h = (h ^ c) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-    return h >> np.uint32(32 - TABLE_BITS)
+    return h >> np.uint32(32 - bits)
+
+
+def _bucket_key(code: np.ndarray, window_hash: np.ndarray) -> np.ndarray:
+    """The bucket in the upper bits and the window's hash below."""
+    return (code.astype(np.uint64) << np.uint64(40)) | (window_hash >> np.uint64(24))
+
+
+@dataclass
+class Form:
+    """Texts in normal form: bytes, the texts' begins, the places of all spaces and the first space of each text."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    spaces: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray) -> Form:
+        form, begin = normal_form(data, starts)
+        spaces = np.flatnonzero(form == 32)
+        return cls(form, begin, spaces, np.searchsorted(spaces, begin))
+
+    @property
+    def words(self) -> np.ndarray:
+        """The number of words of each text."""
+        return np.diff(self.first) - 1
 
 
 @dataclass
 class Searcher:
-    """Patterns of at least `least` bytes: shift table, suffix buckets and the patterns' bytes."""
+    """Windows of one number of words and of at least `least` bytes: shift table, and buckets as ordered keys."""
 
+    words: int
     least: int
     width: int
+    bits: int
     shift: np.ndarray
-    bucket_start: np.ndarray
-    bucket: np.ndarray
-    blob: np.ndarray
-    starts: np.ndarray
-    names: list[int] = field(default_factory=list)
+    key: np.ndarray
+    window: np.ndarray
 
     @classmethod
-    def compile(cls, patterns: list[tuple[int, bytes]]) -> Searcher:
-        least = min(len(p) for _, p in patterns)
+    def compile(cls, blob: np.ndarray, begin: np.ndarray, size: np.ndarray, window_hash: np.ndarray, window: np.ndarray, words: int) -> Searcher:
+        least = int(size.min())
         width = min(8, least)
-        blob = np.frombuffer(b"".join(p for _, p in patterns), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(p) for _, p in patterns])])
-        shift = np.full(1 << TABLE_BITS, least - width + 1, np.int64)
+        bits = int(np.clip((len(begin) * (least - width + 1) * 4).bit_length(), *TABLE_BITS))
+        shift = np.full(1 << bits, min(least - width + 1, 255), np.uint8)
+        # From the largest shift to the least, so that the least stays where blocks share an address.
         for end in range(width, least + 1):
-            code = _hash_block([blob[starts[:-1] + end - width + k] for k in range(width)])
-            np.minimum.at(shift, code, least - end)
-        last = _hash_block([blob[starts[:-1] + least - width + k] for k in range(width)])
-        order = np.argsort(last, kind="stable")
-        return cls(least, width, shift, np.searchsorted(last[order], np.arange((1 << TABLE_BITS) + 1)), order, blob, starts, [n for n, _ in patterns])
-
-    def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, patterns) of all occurrences in data."""
-        m, b = self.least, self.width
+            if least - end < 255:
+                shift[_hash_block([blob[begin + end - width + k] for k in range(width)], bits)] = least - end
+        last = _hash_block([blob[begin + least - width + k] for k in range(width)], bits)
+        key = _bucket_key(last, window_hash)
+        order = np.argsort(key)
+        return cls(words, least, width, bits, shift, key[order], window[order])
+
+    def find(self, form: Form, hashes, blob: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, windows) of all occurrences in the form."""
+        data, m, b, none = form.data, self.least, self.width, np.zeros(0, np.int64)
         if len(data) < m:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         # at: the end of the window that each part looks at; a part answers for the places that begin in it.
-        begin = np.arange(0, len(data) - m + 1, PART)
-        at, stop = begin + m, np.minimum(begin + PART, len(data) - m + 1) + m
+        start = np.arange(0, len(data) - m + 1, PART)
+        at, stop = start + m, np.minimum(start + PART, len(data) - m + 1) + m
         seen: list[np.ndarray] = []
         while len(at):
-            code = _hash_block([data[at - b + k] for k in range(b)])
+            code = _hash_block([data[at - b + k] for k in range(b)], self.bits)
             jump = self.shift[code]
-            hit = jump == 0
+            hit = (jump == 0) & (data[at - m] == 32)
             if hit.any():
                 seen.append(np.stack([at[hit] - m, code[hit].astype(np.int64)], 1))
             at = at + np.maximum(jump, 1)
@@ -96,46 +119,88 @@ class Searcher:
             if not live.all():
                 at, stop = at[live], stop[live]
         if not seen:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         place, code = np.concatenate(seen).T
-        many = self.bucket_start[code + 1] - self.bucket_start[code]
-        place, first = np.repeat(place, many), np.repeat(self.bucket_start[code] - np.cumsum(many) + many, many)
-        pattern = self.bucket[first + np.arange(len(place))]
-        size = self.starts[pattern + 1] - self.starts[pattern]
-        fits = place + size <= len(data)
-        place, pattern, size = place[fits], pattern[fits], size[fits]
-        # Direct comparison, eight bytes at a time, of the pairs that are still equal.
-        equal = np.ones(len(place), bool)
-        alive = np.arange(len(place))
-        for k in range(0, int(size.max(initial=0)), 8):
-            alive = alive[size[alive] > k]
-            for j in range(k, k + 8):
-                more = alive[size[alive] > j]
-                equal[more] &= data[place[more] + j] == self.blob[self.starts[pattern[more]] + j]
-            alive = alive[equal[alive]]
-        return place[equal], pattern[equal]
+        # The span of as many words as the windows have, where the text has them.
+        text, k = np.searchsorted(form.begin, place, "right") - 1, np.searchsorted(form.spaces, place)
+        fits = k + self.words < form.first[text + 1]
+        place, code, k = place[fits], code[fits], k[fits]
+        end = form.spaces[k + self.words] + 1
+        key = _bucket_key(code, hashes(place, end))
+        low = np.searchsorted(self.key, key)
+        many = np.searchsorted(self.key, key, "right") - low
+        candidate = self.window[span_places(low, many)]
+        place, length = np.repeat(place, many), np.repeat(end - place, many)
+        same = size[candidate] == length
+        place, candidate = place[same], candidate[same]
+        equal = equal_spans(data, place, blob, begin[candidate], size[candidate])
+        return place[equal], candidate[equal]
 
 
 @dataclass
 class Matcher:
-    """All windows of a block of items; items_of: the items that hold a window."""
+    """All windows of a block of items: their places in the block's text, words, and the set of items that hold each.
+
+    Windows that stand in the same items share a set; members lists the sets' items, ids names them.
+    """
 
     searchers: list[Searcher]
-    items_of: list[list[int]]
-    lengths: np.ndarray
+    blob: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
     words: np.ndarray
+    item_set: np.ndarray
+    set_start: np.ndarray
+    members: np.ndarray
+    ids: list[str]
 
     @classmethod
-    def compile(cls, items: list[tuple[int, str]]) -> Matcher:
-        owners: dict[bytes, set[int]] = {}
-        for item, text in items:
-            for w in item_windows(text):
-                owners.setdefault(w, set()).add(item)
-        windows = sorted(owners)
-        groups: dict[int, list[tuple[int, bytes]]] = {}
-        for n, w in enumerate(windows):
-            groups.setdefault(sum(len(w) >= c for c in CLASSES), []).append((n, w))
-        return cls([Searcher.compile(g) for g in groups.values()], [sorted(owners[w]) for w in windows], np.array([len(w) for w in windows], np.int64), np.array([w.count(b" ") - 1 for w in windows], np.int64))
+    def compile(cls, items: list[tuple[str, str]], width: int = WINDOW) -> Matcher:
+        none = np.zeros(0, np.int64)
+        if not items:
+            return cls([], none.astype(np.uint8), none, none, none, none, np.zeros(1, np.int64), none, [])
+        ids = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(ids)}
+        raw = [t.encode() for _, t in items]
+        form = Form.of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        n = form.words
+        words = np.minimum(n, width)
+        many = np.where(n > 0, n - words + 1, 0)
+        first = span_places(form.first[:-1], many)
+        words, owner = np.repeat(words, many), np.repeat(np.array([number[i] for i, _ in items], np.int64), many)
+        begin = form.spaces[first]
+        size = form.spaces[first + words] + 1 - begin
+        h = span_hasher(form.data)(begin, begin + size)
+        # Equal windows become one; unequal ones of equal hash (not to be expected) stay apart.
+        order = np.lexsort((owner, size, h))
+        begin, size, words, owner, h = begin[order], size[order], words[order], owner[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+        leader = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+        new |= ~equal_spans(form.data, begin, form.data, begin[leader], size)
+        window = np.cumsum(new) - 1
+        once = np.ones(len(h), bool)
+        once[1:] = new[1:] | (owner[1:] != owner[:-1])
+        counts = np.bincount(window[once], minlength=int(new.sum()))
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        owner = owner[once].astype(np.int32)
+        sets: dict[bytes, int] = {}
+        item_set = np.array([sets.setdefault(owner[a:b].tobytes(), len(sets)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.int64)
+        members = [np.frombuffer(s, np.int32) for s in sets]
+        begin, size, words, h = begin[new], size[new], words[new], h[new]
+        searchers = []
+        for w in np.unique(words):
+            for c in range(len(CLASSES) + 1):
+                some = np.flatnonzero((words == w) & (np.searchsorted(CLASSES, size, "right") == c))
+                if len(some):
+                    searchers.append(Searcher.compile(form.data, begin[some], size[some], h[some], some, int(w)))
+        return cls(searchers, form.data, begin, size, words, item_set, np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *members]), ids)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Ids of the items that hold any of the windows, in order."""
+        sets = np.unique(self.item_set[windows])
+        found = np.unique(self.members[span_places(self.set_start[sets], np.diff(self.set_start)[sets])])
+        return [self.ids[k] for k in found.tolist()]
 
 
 def normal_form(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,52 +225,65 @@ def normal_form(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def search_slice(matcher: Matcher, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words in each text, and for every occurrence: text, first word in the text, window)."""
-    form, begin = normal_form(data, starts)
-    space = form == 32
-    before = np.concatenate([[0], np.cumsum(space)])
-    words = before[begin[1:]] - before[begin[:-1]] - 1
-    places, windows = [], []
-    for s in matcher.searchers:
-        place, pattern = s.find(form)
-        places.append(place)
-        windows.append(np.array(s.names, np.int64)[pattern])
-    place = np.concatenate([np.zeros(0, np.int64), *places])
-    window = np.concatenate([np.zeros(0, np.int64), *windows])
-    text = np.searchsorted(begin, place, "right") - 1
-    ok = place + matcher.lengths[window] <= begin[text + 1]
-    place, window, text = place[ok], window[ok], text[ok]
-    return words, text, before[place] - before[begin[text]], window
-
-
-def _blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark, a stated set of queries, in blocks of bounded size; one block at a time is on the driver, as rows are
+    """(words in each text, and for every occurrence in order of texts: text, first word in the text, window)."""
+    form = Form.of(data, starts)
+    hashes = span_hasher(form.data)
+    found = [s.find(form, hashes, matcher.blob, matcher.begin, matcher.size) for s in matcher.searchers]
+    place = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in found]])
+    window = np.concatenate([np.zeros(0, np.int64), *[w for _, w in found]])
+    order = np.argsort(place, kind="stable")
+    place, window = place[order], window[order]
+    text = np.searchsorted(form.begin, place, "right") - 1
+    return form.words, text, np.searchsorted(form.spaces, place) - form.first[text], window
+
+
+def item_pieces(text: str | None, words: int = PIECE_WORDS, width: int = WINDOW) -> Iterator[str]:
+    """The item's words in pieces that overlap by width - 1 words, so that each window stands in one; none without words."""
+    held: list[str] = []
+    cut = False
+    for m in re.finditer(WORD_CLASS + "+", (text or "").translate(FOLDED)):
+        held.append(m[0])
+        if len(held) == words + width - 1:
+            yield " ".join(held)
+            held, cut = held[words:], True
+    if held and (not cut or len(held) >= width):
+        yield " ".join(held)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for piece in item_pieces(text):
+                yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([piece])], names=["item_id", "text"])
+
+
+def _blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark, a stated set of queries, in blocks of bounded size; one block at a time is on the driver, as pieces are
     dealt to partitions of about that size, which are fetched one by one."""
-    block: list[tuple[int, str]] = []
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    pieces = written(items.mapInArrow(_pieces, "item_id string, text string"), "benchmark")
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = pieces.repartition(-(-total // limit)) if total > limit else pieces
+    block: list[tuple[str, str]] = []
     size = 0
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > limit:
-        items = items.repartition(-(-total // limit))
-    for r in items.toLocalIterator():
-        if block and size + len(r["text"]) > limit:
+    for r in dealt.toLocalIterator():
+        n = len(r["text"].encode())
+        if block and size + n > limit:
             yield block
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += n
     if block:
         yield block
+    drop_written(pieces)
 
 
-def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _runs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open spans as maximal runs."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return first[new], reach[np.concatenate([new[1:], [len(first)]]) - 1]
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
@@ -214,24 +292,33 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 def _search(matcher, columns: list[str]):
     """The task's function: adds one block's findings to the columns spans and items, and sets n_words."""
 
+    def results(block: Matcher, part: pa.RecordBatch, data: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n_words, texts, firsts, windows = search_slice(block, data, starts)
+        spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
+        cut = np.searchsorted(texts, np.arange(len(n_words) + 1))
+        begun, held = 0, 0
+        for t in range(len(n_words)):
+            a, b = int(cut[t]), int(cut[t + 1])
+            if b > a:
+                first, end = firsts[a:b], firsts[a:b] + block.words[windows[a:b]]
+                old = np.array([(s["first"], s["first"] + s["n"]) for s in spans[t]], np.int64).reshape(-1, 2)
+                runs = _runs(np.concatenate([first, old[:, 0]]), np.concatenate([end, old[:, 1]]))
+                spans[t] = [{"first": x, "n": y - x} for x, y in zip(*(r.tolist() for r in runs), strict=True)]
+                found = block.items_of(windows[a:b])
+                items[t] = sorted({*found, *items[t]}) if items[t] else found
+            held += len(items[t])
+            if held > IDS_PER_BATCH or t == len(n_words) - 1:
+                made = {"n_words": pa.array(n_words[begun : t + 1], pa.int64()), "spans": pa.array(spans[begun : t + 1], SPANS), "items": pa.array(items[begun : t + 1], pa.list_(pa.string()))}
+                items[begun : t + 1] = [None] * (t + 1 - begun)
+                rows = part.slice(begun, t + 1 - begun)
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in columns], names=columns)
+                begun, held = t + 1, 0
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = matcher.value
         for batch in batches:
             for row, end, data, starts in text_slices(batch.column("text")):
-                part = batch.slice(row, end - row)
-                n_words, texts, firsts, windows = search_slice(block, data, starts)
-                spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                hits: dict[int, tuple[list, set]] = {}
-                for t, first, w in zip(texts.tolist(), firsts.tolist(), windows.tolist(), strict=True):
-                    runs, owners = hits.setdefault(t, ([], set()))
-                    runs.append((first, first + int(block.words[w])))
-                    owners.update(block.items_of[w])
-                for t, (runs, owners) in hits.items():
-                    runs += [(s["first"], s["first"] + s["n"]) for s in spans[t]]
-                    spans[t] = [{"first": a, "n": b - a} for a, b in _runs(runs)]
-                    items[t] = sorted(owners.union(items[t]))
-                made = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in columns], names=columns)
+                yield from results(block, batch.slice(row, end - row), data, starts)
 
     return search
 
@@ -241,12 +328,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
 
     A document word is hit if it stands in an occurrence of a window of 13 consecutive words of an item (of all its
     words if it has fewer); spans are the runs of hit words. A document is contaminated if it has a hit and
-    20 n_hit >= n_words. Null texts have no words and are clean; items without an id or without words match nothing;
-    item ids that repeat count once. Rows of docs that repeat give repeated rows; an empty table gives none.
+    20 n_hit >= n_words. Null and empty texts have no words and are clean; long texts are searched whole. Items without
+    an id or without words match nothing; item ids are strings, and one that repeats counts once, with the windows of
+    all its texts. Rows of docs that repeat give repeated rows; an empty table gives none, an empty benchmark no hits.
+    Columns of docs with the names of results stay in row_.
+
+    A benchmark of one block costs one pass; each further block of block_bytes costs one more and a written table.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<long>"))
+    rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<string>"))
     # The rows searched for a block are written before the next block is broadcast, so that one block is alive at a time.
     used, table_ = None, None
     for block in _blocks(benchmark, block_bytes):
@@ -261,12 +352,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     if used is None:
         rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile([])), rows.columns), rows.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    out = rows.select("row_", "n_words", n_hit.alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"), "spans")
+    out = rows.select("row_", "n_words", n_hit.alias("n_hit"), "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
+    """docs without the contaminated ones; nulls, repeated rows and an empty table as find_contamination has them."""
     return find_contamination(docs, benchmark).filter(~F.col("contaminated")).select("row_.*")
 
 

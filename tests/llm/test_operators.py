@@ -164,6 +164,39 @@ def test_one_benchmark_block_at_a_time(spark, monkeypatch):
     assert got == {k: k < 4 for k in range(6)}
 
 
+def test_items_that_share_a_prompt(spark):
+    import time
+
+    prompt = "read the text below with care and then choose the one right answer from the list that follows it here"
+    items = [(f"q{k}", f"{prompt} question{k} is about topic{k % 7} and more") for k in range(20_000)]
+    texts = {0: "x " + f"{prompt} question77 is about topic0 and more " * 200, 1: f"{prompt} question5 " * 1500, 2: "care and then " * 3000}
+    began = time.perf_counter()
+    block = decontaminate.Matcher.compile(items)
+    raw = [t.encode() for t in texts.values()]
+    words, text, first, window = decontaminate.search_slice(block, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert time.perf_counter() - began < 30
+    want = brute_contamination(texts, items)
+    for t in texts:
+        at = text == t
+        hit = {p for a, w in zip(first[at].tolist(), window[at].tolist(), strict=True) for p in range(a, a + int(block.words[w]))}
+        assert (int(words[t]), len(hit), block.items_of(window[at])) == want[t][:3]
+    # A place has one candidate at most for windows of one length in words.
+    assert len(np.unique(np.stack([text, first, block.words[window]]), axis=1).T) == len(first)
+
+
+def test_long_items_are_cut_without_loss(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 400, 9000)]
+    for n in (0, 1, 12, 13, 2060, 2061, 4108, 9000):
+        text = " ".join(words[:n])
+        found = {tuple(w[k : k + 13]) for w in map(str.split, decontaminate.item_pieces(text)) for k in range(max(1, len(w) - 12))}
+        assert found == {tuple(words[:n][k : k + 13]) for k in range(max(1, n - 12)) if n}
+    items, docs = [("id/a", " ".join(words))], {1: " ".join(words[2050:2070]), 2: " ".join(reversed(words))}
+    got = decontaminate.find_contamination(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), ["doc_id"], 20_000).collect()
+    want = brute_contamination(docs, items)
+    assert {r["row_"]["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got} == want and want[1][3]
+
+
 # Licenses
 
 
