@@ -26,7 +26,7 @@ from .common import LOWER, UPPER, WORD_CLASS, bound_batches, drop_written, packe
 
 WINDOW = 13
 #: Bytes of benchmark text that are compiled, broadcast and searched for at once; words of a piece of a long item.
-BLOCK_BYTES, PIECE_WORDS = 8 << 20, 2048
+BLOCK_BYTES, PIECE_WORDS = 4 << 20, 2048
 #: Least and most bits of the shift table's address, and lengths at which another table is made for shorter windows.
 TABLE_BITS = (16, 24)
 CLASSES = (3, 6, 12, 24, 48)
@@ -97,7 +97,7 @@ class Searcher:
         last = _hash_block([blob[begin + least - width + k] for k in range(width)], bits)
         key = _bucket_key(last, window_hash)
         order = np.argsort(key)
-        return cls(words, least, width, bits, shift, key[order], window[order])
+        return cls(words, least, width, bits, shift, key[order], window[order].astype(np.int32))
 
     def find(self, form: Form, hashes, blob: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, windows) of all occurrences in the form."""
@@ -194,7 +194,8 @@ class Matcher:
                 some = np.flatnonzero((words == w) & (np.searchsorted(CLASSES, size, "right") == c))
                 if len(some):
                     searchers.append(Searcher.compile(form.data, begin[some], size[some], h[some], some, int(w)))
-        return cls(searchers, form.data, begin, size, words, item_set, np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *members]), ids)
+        short = [v.astype(np.int32) for v in (begin, size, words, item_set)]
+        return cls(searchers, form.data, *short, np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *members]), ids)
 
     def items_of(self, windows: np.ndarray) -> list[str]:
         """Ids of the items that hold any of the windows, in order."""

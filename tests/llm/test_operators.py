@@ -484,6 +484,58 @@ def test_random_strings_stand_out_from_words(spark):
     assert sum(bool(s) for k, s in got.items() if k < 1000) <= 3
 
 
+def brute_battery(word, repeat):
+    """The battery in plain Python."""
+    import math
+
+    def tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    k = next(k for k, (_, a) in enumerate(secrets.ENCODINGS) if set(word) <= set(a))
+    alphabet = secrets.ENCODINGS[k][1]
+    n, size = len(word), len(alphabet)
+    chi2 = sum(word.count(c) ** 2 for c in set(word)) * size / n - n
+    z_chi2 = ((chi2 / (size - 1)) ** (1 / 3) - (1 - 2 / (9 * (size - 1)))) / math.sqrt(2 / (9 * (size - 1)))
+    x = [alphabet.index(c) + 1 for c in word]
+    high = [v > size // 2 for v in x]
+    both = 2 * sum(high) * (n - sum(high))
+    spread = both * (both - n) / (n * n * (n - 1))
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    z_runs = (runs - both / n - 1) / math.sqrt(spread) if spread > 0 else 99.0
+    mean = sum(x) / n
+    variance = sum((v - mean) ** 2 for v in x)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / variance + 1 / n) * math.sqrt(n) if variance > 1e-9 else 99.0
+    beyond = max(repeat[k] * size - 1, 0) * (n - 1)
+    chance = max(tail(-(chi2 - (size - 1 + beyond)) / math.sqrt(2 * (size - 1) + 4 * beyond)), 10 ** (-secrets.BINS / secrets.STEP))
+    return min(tail(z_chi2), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial))) * 3, -math.log10(chance) * secrets.STEP
+
+
+def test_battery_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list(a), rng.integers(20, 90))) for _, a in secrets.ENCODINGS for _ in range(40)] + ["thequickbrownfoxjumpsover", "a" * 30, "ab" * 20, "".join(rng.choice(list(secrets.ENCODINGS[-1][1]), 9000))]
+    repeat = [0.2, 0.2, 0.2, 0.07, 0.07, *[0.06] * 4]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", secrets.battery(F.col("word"), repeat).alias("b")).collect()
+    for r in rows:
+        chance, bin_ = brute_battery(r["word"], repeat)
+        if abs(chance - secrets.REJECT) > 1e-4:
+            assert r["b"]["random"] == (chance >= secrets.REJECT), r["word"]
+        assert abs(r["b"]["bin"] - bin_) <= 1 + 0.02 * bin_, r["word"]
+
+
+def test_secrets_of_long_texts_take_linear_time(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 5_000_000))
+    many = "".join(f"token={k:08d}x é " for k in range(200_000))
+    docs = spark.createDataFrame([(1, f"data {blob} end"), (2, many)], "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.redact_secrets(docs).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[1]["text"] == "data [secret] end"
+    assert got[2]["text"] == "[secret] é " * 200_000
+
+
 # Pipeline
 
 
