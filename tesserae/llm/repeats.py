@@ -1,18 +1,19 @@
 """Which windows of a text also start in a document with a smaller doc_id: the plan that two operators share.
 
 A text is a sequence of units (bytes, or words). Every window of `window` units holds a seed, the gram of `gram` units
-with the least hash (the first of equals); equal windows hold equal seeds at equal places. Documents are dealt to batches
-by a hash of their id, and so much is exchanged:
+with the least hash (the first of equals); equal windows hold equal seeds at equal places. Texts are dealt to batches
+by a hash, and so much is exchanged:
 
 1. each batch sends its distinct seed hashes to buckets; a bucket answers each batch which of them another batch has;
-2. for seeds that repeat, a batch sends the context: the units of all windows that have this seed. Equal contexts within
-   the batch are sent for the smallest doc_id only, as all windows of the others are repeats;
-3. a bucket drops contexts equal to one of a smaller doc_id, and compares the different contexts of a seed (this is what
-   the operators do in their own ways); it answers each batch with runs of repeated windows;
+2. for seeds that repeat, a batch takes the context: the units of all windows that have this seed. The contexts of a seed are
+   compared, in the operator's own way, within each slice of the batch, then between its slices; contexts whose windows
+   all repeat windows of a smaller doc_id go no further;
+3. a bucket compares what is left of all batches, and answers each batch with runs of repeated windows;
 4. the batch cuts its texts.
 
-So a line or passage in a third of all documents costs one entry for each slice of a batch. The windows of a seed that
-stands in very many different contexts go out one by one, each under its own hash, which splits the group.
+So a line or passage in a third of all documents costs one entry for each batch, and every window that is removed was found
+by the operator's comparison. A seed that stands in very many different contexts is a hot group: it is split, its windows
+go to buckets one by one, each under its own hash, and are compared there in the same way.
 The texts are shuffled once, by batch, and that exchange is read again by each step.
 """
 
@@ -26,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import mix, span_hash
+from .bytetext import mix, span_hash, span_places
+from .common import bound_batches
 
 #: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
 #: of seeds for each batch.
 BATCH_BYTES, SLICE_BYTES, BUCKETS_PER_BATCH = 8 << 20, 1 << 20, 2
-#: Different contexts of a seed, summed over slices, beyond which its windows go out one by one.
-HOT_CONTEXTS = 10_000
+#: Batches (and their buckets) that a task works on, one after the other, where there are many.
+BATCHES_PER_TASK, LEAST_TASKS = 4, 64
+#: Different contexts of a seed, summed over slices, beyond which its group is split by window.
+SPLIT_CONTEXTS = 10_000
 
 
 @dataclass
@@ -122,8 +126,8 @@ class Slice:
     seeds: Entries
 
 
-def slices(table: pa.Table, shape: Shape, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """A batch's documents in an order that every step sees alike, in slices of about so many bytes."""
+def slices(table: pa.Table, shape: Shape, limit: int = SLICE_BYTES, seeds: bool = True) -> Iterator[Slice]:
+    """A batch's documents in an order that every step sees alike, in slices of about so many bytes. Seeds are found if asked for."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
     at = 0
@@ -135,17 +139,19 @@ def slices(table: pa.Table, shape: Shape, limit: int = SLICE_BYTES) -> Iterator[
             at += 1
         data = np.frombuffer(b"".join(raw), np.uint8)
         units = shape.units(data, np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64))
-        yield Slice(first, np.array([ids[k] for k in order[first:at]], np.int64), units, find_seeds(units, shape))
+        yield Slice(first, np.array([ids[k] for k in order[first:at]], np.int64), units, find_seeds(units, shape) if seeds else None)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that occur, cuts between them) of hashes in order."""
+    some, cut = np.unique(((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), return_index=True)
+    return some, np.append(cut, len(h))
 
 
-def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the batch's seeds in order, whether each stands in several slices, and its different contexts in all of
-    them, 65535 at most."""
-    parts, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[list[Entries], np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of each slice; their hashes in order, whether each stands in several slices, and its different contexts in
+    all of them, 65535 at most."""
+    seeds, parts, numbers = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for s in slices(table, shape):
         u, e = s.units, s.seeds
         context = span_hash(u.form, u.begins[e.lo], u.ends[e.hi + shape.window - 1])
@@ -154,31 +160,31 @@ def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndar
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
         values, count = np.unique(h[new], return_counts=True)
+        seeds.append(e)
         parts.append(values)
         numbers.append(count)
     values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     contexts = np.bincount(inverse, np.concatenate(numbers), len(values))
-    return values, count > 1, np.minimum(contexts, 65535).astype(np.uint16)
+    return seeds, values, count > 1, np.minimum(contexts, 65535).astype(np.uint16)
 
 
 def _seed_rows(shape: Shape, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        h, _, contexts = _distinct_hashes(table, shape)
-        cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-        some = np.flatnonzero(cut[1:] > cut[:-1])
-        part = lambda v: pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+        _, h, _, contexts = _distinct_hashes(table, shape)
+        some, cut = _by_bucket(h, buckets)
+        part = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
         return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), key[0].as_py()), pa.int64()), "hashes": part(h.astype(np.uint32)), "contexts": part(contexts)})
 
     return run
 
 
-def _answer_rows(hot: int):
+def _answer_rows(split: int):
     def run(table: pa.Table) -> pa.Table:
         # Half a hash is enough here: a bucket holds a bounded number of seeds, and one taken for repeated is only looked at.
         parts = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
         contexts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("contexts").to_pylist()])
         values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        many = np.bincount(inverse, contexts, len(values)) > hot
+        many = np.bincount(inverse, contexts, len(values)) > split
         flag = np.where(many, 2, count > 1).astype(np.uint8)[inverse]
         cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "flags": pa.array([flag[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
@@ -186,143 +192,146 @@ def _answer_rows(hot: int):
     return run
 
 
-PACKED = ("h", "text", "doc", "lo", "windows", "before", "size", "mark")
+@dataclass
+class Contexts:
+    """Contexts that are compared: seed (a dense number), doc, windows, where the seed begins in the context's
+    bytes (before), the bytes blob[begin : begin + size]."""
+
+    seed: np.ndarray
+    doc: np.ndarray
+    windows: np.ndarray
+    before: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    blob: np.ndarray
+
+
+#: A comparison returns, for contexts of seeds with several, (context, first window, last window) of runs of repeats.
+Compare = Callable[[Contexts], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+@dataclass
+class Rows:
+    """Contexts on their way to the buckets: hash of the seed, number of the text in its batch, doc, first window in the
+    text, number of windows, where the seed begins, size; and the bytes, one after the other."""
+
+    h: np.ndarray
+    text: np.ndarray
+    doc: np.ndarray
+    lo: np.ndarray
+    windows: np.ndarray
+    before: np.ndarray
+    size: np.ndarray
+    blob: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        return cls(*[np.concatenate([getattr(p, f) for p in parts]) for f in cls.__dataclass_fields__])
+
+    def take(self, which: np.ndarray) -> Rows:
+        begin = np.cumsum(self.size) - self.size
+        return Rows(*[getattr(self, f)[which] for f in PACKED], self.blob[span_places(begin[which], self.size[which])])
+
+    def compared(self, compare: Compare) -> tuple[np.ndarray, np.ndarray]:
+        """(runs: row, first window, last window of windows that repeat one of a smaller doc; rows with windows beside these)."""
+        runs, stay = np.zeros((0, 3), np.int64), np.ones(len(self.h), bool)
+        order = np.argsort(self.h, kind="stable")
+        if len(order):
+            new = np.concatenate([[True], self.h[order][1:] != self.h[order][:-1]])
+            doc, start = self.doc[order], np.flatnonzero(new)
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            group = np.cumsum(new) - 1
+            order, group = order[several[group]], group[several[group]]
+        if len(order):
+            begin = np.cumsum(self.size) - self.size
+            seed = np.unique(group, return_inverse=True)[1]
+            which, a, b = compare(Contexts(seed, self.doc[order], self.windows[order], self.before[order], begin[order], self.size[order], self.blob))
+            # As single windows, then as maximal runs; a context has fewer windows than SPREAD - 1.
+            window = np.unique(np.repeat(order[which] * SPREAD, b - a + 1) + span_places(a, b - a + 1))
+            first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1] + 1])) if len(window) else window
+            last = np.append(first[1:], len(window))[: len(first)] - 1
+            runs = np.stack([window[first] // SPREAD, window[first] % SPREAD, window[last] % SPREAD], 1)
+            stay = np.bincount(window // SPREAD, minlength=len(self.h)) < self.windows
+        return runs, stay
+
+    def cover(self, runs: np.ndarray) -> np.ndarray:
+        """Runs as (text, first window in the text, last one)."""
+        return np.stack([self.text[runs[:, 0]], self.lo[runs[:, 0]] + runs[:, 1], self.lo[runs[:, 0]] + runs[:, 2]], 1).astype(np.int32)
+
+
+SPREAD = 64
+PACKED = ("h", "text", "doc", "lo", "windows", "before", "size")
 CONTEXTS = "bucket long, batch long, " + ", ".join(f"{c} binary" for c in PACKED) + ", bytes binary, cover binary"
-TYPES = {"h": np.uint64, "text": np.int32, "doc": np.int64, "lo": np.int32, "windows": np.int32, "before": np.int32, "size": np.int32, "mark": np.int32}
-
-
-def spans_to_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.cumsum(sizes)
-    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begins - (total - sizes), sizes)
-
-
-def _equal_bytes(blob: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether blob[a:a+size] and blob[b:b+size] are equal, for each row."""
-    same = np.ones(len(a), bool)
-    alive = np.arange(len(a))
-    for k in range(int(size.max(initial=0))):
-        alive = alive[(size[alive] > k)]
-        good = blob[a[alive] + k] == blob[b[alive] + k]
-        same[alive[~good]] = False
-        alive = alive[good]
-        if not len(alive):
-            break
-    return same
-
-
-def repeats_of_smaller(key: tuple[np.ndarray, ...], doc: np.ndarray, blob: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Entries whose bytes equal those of an entry with an equal key and a smaller doc. Bytes are compared, not only hashes."""
-    digest = span_hash(blob, begin, begin + size)
-    order = np.lexsort((doc, digest, size, *key))
-    keys = [k[order] for k in (digest, size, *key)]
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    leader = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-    later = doc[order] > doc[leader]
-    a, b = order[later], leader[later]
-    out = np.zeros(len(order), bool)
-    out[a] = _equal_bytes(blob, begin[a], begin[b], size[a])
-    return out
+TYPES = {"h": np.uint64, "text": np.int32, "doc": np.int64, "lo": np.int32, "windows": np.uint8, "before": np.uint32, "size": np.uint32}
 
 
-def _context_rows(shape: Shape, buckets: int):
+def _context_rows(shape: Shape, buckets: int, compare: Compare):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         number = key[0].as_py()
         if not table.num_rows or not answers.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch") else pa.binary()) for c in ("bucket", "batch", *PACKED, "bytes", "cover")})
-        values, several, _ = _distinct_hashes(table, shape)
+        seeds, values, several, _ = _distinct_hashes(table, shape)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         flags = answers.column("flags").to_pylist()
         flag = np.maximum(np.concatenate([np.frombuffer(flags[k], np.uint8) for k in order]), several)
-        made = [_slice_contexts(s, shape, buckets, number, values, flag) for s in slices(table, shape)]
-        return pa.concat_tables(made)
+        left, covers = [], []
+        for s, e in zip(slices(table, shape, seeds=False), seeds, strict=True):
+            rows = _slice_contexts(s, e, shape, values, flag)
+            runs, stay = rows.compared(compare)
+            covers.append(rows.cover(runs))
+            left.append(rows.take(np.flatnonzero(stay)))
+        rows = Rows.joined(left)
+        runs, stay = rows.compared(compare)
+        stay = np.flatnonzero(stay)
+        covers.append(rows.cover(runs))
+        return _packed_rows(rows.take(stay[np.argsort(rows.h[stay], kind="stable")]), buckets, number, np.concatenate(covers))
 
     return run
 
 
-def _slice_contexts(s: Slice, shape: Shape, buckets: int, number: int, values: np.ndarray, flag: np.ndarray) -> pa.Table:
-    u, e = s.units, s.seeds
+def _slice_contexts(s: Slice, e: Entries, shape: Shape, values: np.ndarray, flag: np.ndarray) -> Rows:
+    """Contexts of the seeds that repeat, and the windows of those that are split, each its own seed and context."""
+    u = s.units
     own = flag[np.searchsorted(values, e.hash)] if len(values) else np.zeros(0, np.uint8)
-    cold = e.take(np.flatnonzero(((own > 0) | _several_texts(e)) & (own < 2)))
+    whole = e.take(np.flatnonzero(((own > 0) | _several_texts(e)) & (own < 2)))
     hot = e.take(np.flatnonzero(own == 2))
-    # Windows of hot seeds, each its own seed and context.
     many = hot.hi - hot.lo + 1
-    place = spans_to_places(hot.lo, many)
+    place = span_places(hot.lo, many)
     w = Entries(span_hash(u.form, u.begins[place], u.ends[place + shape.window - 1], 11), np.repeat(hot.text, many), place, place, place)
-    e = Entries(*[np.concatenate([getattr(cold, f), getattr(w, f)]) for f in ("hash", "text", "at", "lo", "hi")])
-    mark = np.concatenate([np.zeros(len(cold.at), np.int32), np.ones(len(w.at), np.int32)])
+    e = Entries(*[np.concatenate([getattr(whole, f), getattr(w, f)]) for f in ("hash", "text", "at", "lo", "hi")])
     begin = u.begins[e.lo]
-    size, before = u.ends[e.hi + shape.window - 1] - begin, u.begins[e.at] - begin
-    doc, relative = s.ids[e.text], e.lo - u.first[e.text]
-    lost = repeats_of_smaller((before, mark, e.hash), doc, u.form, begin, size)
-    cover = np.stack([s.text + e.text[lost], relative[lost], relative[lost] + e.hi[lost] - e.lo[lost]], 1).astype(np.int32)
-    stay = np.flatnonzero(~lost)
-    stay = stay[np.argsort(e.hash[stay], kind="stable")]
-    columns = {"h": e.hash, "text": s.text + e.text, "doc": doc, "lo": relative, "windows": e.hi - e.lo + 1, "before": before, "size": size, "mark": mark}
-    cut = np.searchsorted(_bucket(e.hash[stay], buckets), np.arange(buckets + 1))
-    some = np.flatnonzero(cut[1:] > cut[:-1])
+    size = u.ends[e.hi + shape.window - 1] - begin
+    return Rows(e.hash, s.text + e.text, s.ids[e.text], e.lo - u.first[e.text], e.hi - e.lo + 1, u.begins[e.at] - begin, size, u.form[span_places(begin, size)])
+
+
+def _packed_rows(rows: Rows, buckets: int, number: int, cover: np.ndarray) -> pa.Table:
+    """A row for each bucket; what the batch has found itself goes with the first one and comes back to it."""
+    some, cut = _by_bucket(rows.h, buckets)
+    at = np.concatenate([[0], np.cumsum(rows.size)])
+    out = {}
+    for c, t in TYPES.items():
+        v = getattr(rows, c).astype(t)
+        out[c] = [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    out["bytes"] = [pa.compress(rows.blob[at[a] : at[b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     if not len(some) and len(cover):
-        some = np.zeros(1, np.int64)
-    out = {"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), number), pa.int64())}
-    for c, v in columns.items():
-        v = v[stay].astype(TYPES[c])
-        out[c] = pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-    parts = [stay[cut[k] : cut[k + 1]] for k in some]
-    out["bytes"] = pa.array([pa.compress(u.form[spans_to_places(begin[p], size[p])].tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())
-    out["cover"] = pa.array([cover.tobytes() if j == 0 else b"" for j in range(len(some))], pa.binary())
-    return pa.table(out)
-
-
-@dataclass
-class Contexts:
-    """Contexts that one bucket compares: seed (a dense number), doc, windows, where the seed begins in the context's
-    bytes (before), the bytes blob[begin : begin + size]."""
-
-    seed: np.ndarray
-    doc: np.ndarray
-    windows: np.ndarray
-    before: np.ndarray
-    begin: np.ndarray
-    size: np.ndarray
-    blob: np.ndarray
-
-
-#: A comparison returns, for contexts of seeds with several, (context, first window, last window) of runs of repeats.
-Compare = Callable[[Contexts], tuple[np.ndarray, np.ndarray, np.ndarray]]
+        some, out = np.zeros(1, np.int64), {c: [pa.compress(b"", "zstd", asbytes=True) if c == "bytes" else b""] for c in out}
+    out["cover"] = [cover.tobytes() if k == 0 else b"" for k in range(len(some))]
+    return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), number), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
 
 def _cover_rows(compare: Compare):
     def run(table: pa.Table) -> pa.Table:
-        rows = [{c: np.frombuffer(x, t) for x in [table.column(c)[k].as_py()]}[c] for c, t in TYPES.items() for k in range(table.num_rows)]
         n = table.num_rows
-        c = {name: np.concatenate(rows[i * n : (i + 1) * n]) for i, name in enumerate(TYPES)}
-        counts = np.array([len(r) for r in rows[:n]], np.int64)
-        owner = np.repeat(np.arange(n), counts)
-        held = [int(r.sum()) for r in rows[n * list(TYPES).index("size") : n * (list(TYPES).index("size") + 1)]]
+        parts = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in TYPES.items()}
+        held = [int(x.sum()) for x in parts["size"]]
+        owner = np.repeat(np.arange(n), [len(x) for x in parts["h"]])
         blob = np.frombuffer(b"".join(pa.decompress(x, k, "zstd", asbytes=True) for x, k in zip(table.column("bytes").to_pylist(), held, strict=True)), np.uint8)
-        size, before = c["size"].astype(np.int64), c["before"].astype(np.int64)
-        begin = np.cumsum(size) - size
-        lost = repeats_of_smaller((before, c["mark"], c["h"]), c["doc"], blob, begin, size)
-        found = [np.stack([np.flatnonzero(lost), np.zeros(int(lost.sum()), np.int64), c["windows"][lost] - 1], 1)]
-        # What is left of a seed is compared if it stands in several documents. Single windows have been compared in full.
-        stay = np.flatnonzero(~lost & (c["mark"] == 0))
-        stay = stay[np.argsort(c["h"][stay], kind="stable")]
-        if len(stay):
-            group = np.cumsum(np.concatenate([[0], c["h"][stay][1:] != c["h"][stay][:-1]]))
-            start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            several = (np.minimum.reduceat(c["doc"][stay], start) != np.maximum.reduceat(c["doc"][stay], start))[group]
-            stay, group = stay[several], group[several]
-        if len(stay):
-            which, a, b = compare(Contexts(group, c["doc"][stay], c["windows"][stay].astype(np.int64), before[stay], begin[stay], size[stay], blob))
-            found.append(np.stack([stay[which], a, b], 1))
-        runs = np.concatenate(found)
-        lo, text = c["lo"].astype(np.int64), c["text"].astype(np.int64)
-        made = np.stack([text[runs[:, 0]], lo[runs[:, 0]] + runs[:, 1], lo[runs[:, 0]] + runs[:, 2]], 1).astype(np.int32)
-        by_row = np.argsort(owner[runs[:, 0]], kind="stable")
-        cut = np.searchsorted(owner[runs[:, 0]][by_row], np.arange(n + 1))
+        column = {c: np.concatenate(v) for c, v in parts.items()}
+        rows = Rows(column.pop("h"), *[column[c].astype(np.int64) for c in PACKED[1:]], blob)
+        runs, _ = rows.compared(compare)
+        made, source = rows.cover(runs), owner[runs[:, 0]]
+        by_row = np.argsort(source, kind="stable")
+        cut = np.searchsorted(source[by_row], np.arange(n + 1))
         local = table.column("cover").to_pylist()
         covers = [made[by_row[cut[k] : cut[k + 1]]].tobytes() + local[k] for k in range(n)]
         return pa.table({"batch": table.column("batch"), "cover": pa.array(covers, pa.binary())})
@@ -335,7 +344,7 @@ def _cut_rows(shape: Shape):
         cover = np.concatenate([np.zeros((0, 3), np.int32), *[np.frombuffer(x, np.int32).reshape(-1, 3) for x in covers.column("cover").to_pylist()]]).astype(np.int64)
         cover = cover[np.argsort(cover[:, 0], kind="stable")]
         made = [pa.table({"doc_id": pa.array([], pa.int64()), "n_units": pa.array([], pa.int64()), "spans": pa.array([], SPANS), "kept": pa.array([], pa.binary())})]
-        for s in slices(table, shape):
+        for s in slices(table, shape, seeds=False):
             a, b = np.searchsorted(cover[:, 0], [s.text, s.text + len(s.ids)])
             made.append(_cut_slice(s, cover[a:b] - [s.text, 0, 0], shape.window))
         return pa.concat_tables(made)
@@ -361,7 +370,7 @@ def _cut_slice(s: Slice, cover: np.ndarray, window: int) -> pa.Table:
     spans = pa.StructArray.from_arrays([pa.array(start - u.first[text], pa.int64()), pa.array(stop - start, pa.int64())], ["first", "n"])
     keep = np.flatnonzero(~removed)
     width = u.ends - u.begins
-    kept = u.form[spans_to_places(u.begins[keep], width[keep])].tobytes()
+    kept = u.form[span_places(u.begins[keep], width[keep])].tobytes()
     total = np.concatenate([[0], np.cumsum(np.where(removed, 0, width))])[u.first]
     return pa.table({
         "doc_id": pa.array(s.ids), "n_units": pa.array(np.diff(u.first), pa.int64()),
@@ -373,25 +382,30 @@ def _cut_slice(s: Slice, cover: np.ndarray, window: int) -> pa.Table:
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes: int = BATCH_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes: int = BATCH_BYTES, split_contexts: int = SPLIT_CONTEXTS) -> DataFrame:
     """doc_id, n_units, spans (first unit and number of each maximal run that is removed) and kept (bytes of the rest).
 
     A unit is removed if a window that covers it also starts in a document with a smaller doc_id, by the input as it is.
     One row for each row of docs. Rows that share a doc_id are one document for this rule: they remove nothing from each
-    other. Rows without a doc_id neither remove nor lose anything. Null texts have no units.
+    other, and need not be in one batch. Rows without a doc_id neither remove nor lose anything. Null and empty texts have no
+    units; a long text is one slice, and is cut whole. An empty table gives no rows. Other columns are not read, so
+    none can clash.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = max(1, -(-size // batch_bytes))
     buckets = BUCKETS_PER_BATCH * batches
-    dealt = docs.filter("doc_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    # The number of tasks grows with the input, so that what one of them reads does not.
+    tasks = max(-(-batches // BATCHES_PER_TASK), min(batches, LEAST_TASKS))
+    dealt = docs.filter("doc_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).repartition(tasks, "batch")
     seeds = dealt.groupBy("batch").applyInArrow(_seed_rows(shape, buckets), "bucket long, batch long, hashes binary, contexts binary")
-    answers = seeds.groupBy("bucket").applyInArrow(_answer_rows(hot_contexts), "bucket long, batch long, flags binary")
-    contexts = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_context_rows(shape, buckets), CONTEXTS)
-    covers = contexts.groupBy("bucket").applyInArrow(_cover_rows(compare), "batch long, cover binary")
+    answers = seeds.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answer_rows(split_contexts), "bucket long, batch long, flags binary")
+    contexts = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_context_rows(shape, buckets, compare), CONTEXTS)
+    covers = contexts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_cover_rows(compare), "batch long, cover binary")
     cut = dealt.groupBy("batch").cogroup(covers.groupBy("batch")).applyInArrow(_cut_rows(shape), "doc_id long, n_units long, spans array<struct<first:long,n:long>>, kept binary")
-    single = docs.filter("doc_id IS NULL").withColumn("batch", F.lit(0).cast("long"))
-    whole = single.mapInArrow(_whole(shape), "doc_id long, n_units long, spans array<struct<first:long,n:long>>, kept binary")
+    single = docs.filter("doc_id IS NULL")
+    whole = single.select("doc_id", "text").mapInArrow(_whole(shape), "doc_id long, n_units long, spans array<struct<first:long,n:long>>, kept binary")
     return cut.union(whole)
 
 

@@ -1,9 +1,10 @@
 """Substring deduplication by seed and extend, over words.
 
-Documents meet at winnowed anchors: the seeds of shared windows. From an anchor two contexts are extended both ways as far
-as they are equal; a common run of at least WINDOW words makes the windows in it repeats, and runs of repeated windows are
-the maximal repeats over the threshold. Seeds with many different contexts are not compared in pairs: their windows are
-told apart one by one.
+Documents meet at winnowed anchors: the seeds of shared windows. At an anchor each context is joined with the document of
+the smallest id that has one of its windows there, and both are extended both ways from the anchor as far as they are equal.
+A common run of at least WINDOW words makes the windows in it repeats, and runs of repeated windows are the maximal
+repeats over the threshold. A context has at most WINDOW - GRAM + 1 windows, so it is joined with as many others at most,
+however many meet at its anchor.
 """
 
 from __future__ import annotations
@@ -12,13 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import SPACED, word_bounds
+from .bytetext import SPACED, span_hash, span_places, word_bounds
 from .common import table
-from .repeats import Contexts, Shape, Units, remove_repeats, repeats_of_smaller, spans_to_places
+from .repeats import Contexts, Shape, Units, remove_repeats
 
 WINDOW, GRAM = 13, 4
-#: Different contexts of a seed up to which they are extended in pairs.
-PAIRED = 24
 
 
 def word_units(data: np.ndarray, starts: np.ndarray) -> Units:
@@ -27,7 +26,7 @@ def word_units(data: np.ndarray, starts: np.ndarray) -> Units:
     sizes = ends - begins
     to = np.cumsum(sizes + 1)
     form = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
-    form[spans_to_places(to - sizes - 1, sizes)] = data[spans_to_places(begins, sizes)]
+    form[span_places(to - sizes - 1, sizes)] = data[span_places(begins, sizes)]
     return Units(form, to - sizes - 1, to, first)
 
 
@@ -49,24 +48,27 @@ def _extend(blob: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, st
     return words
 
 
-def extend_pairs(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of repeated windows, by pairs of contexts of a seed where these are few, else window by window."""
-    order = np.lexsort((c.doc, c.seed))
-    seed = c.seed[order]
-    start = np.searchsorted(seed, seed)
-    stop = np.searchsorted(seed, seed, "right")
-    few = stop - start <= PAIRED
-    place = np.arange(len(order))
-    earlier = np.where(few, place - start, 0)
-    a, b = order[spans_to_places(start, earlier)], order[np.repeat(place, earlier)]
-    smaller = c.doc[a] < c.doc[b]
-    a, b = a[smaller], b[smaller]
+def extend_anchors(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a context shares with one of a smaller doc, by extension from the anchor."""
+    n = len(c.seed)
     # A space in front of every context, so that its first word is seen to begin there.
     sizes = c.size + 1
     begin = np.cumsum(sizes) - sizes
     blob = np.full(int(sizes.sum()), 32, np.uint8)
-    blob[spans_to_places(begin + 1, c.size)] = c.blob[spans_to_places(c.begin, c.size)]
+    blob[span_places(begin + 1, c.size)] = c.blob[span_places(c.begin, c.size)]
     at = begin + 1 + c.before
+    # The context of the smallest doc for each window, told by its hash; the extension decides.
+    word = np.flatnonzero(blob == 32) + 1
+    window = span_places(np.searchsorted(word, begin + 1), c.windows)
+    owner = np.repeat(np.arange(n), c.windows)
+    h = span_hash(blob, word[window], word[window + WINDOW])
+    order = np.lexsort((c.doc[owner], h, c.seed[owner]))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c.seed[owner][1:] != c.seed[owner][:-1])
+    leader = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(owner) else owner
+    later = c.doc[leader] < c.doc[owner]
+    a, b = np.divmod(np.unique(leader[later] * n + owner[later]), max(n, 1))
     right = _extend(blob, at[a], at[b], np.minimum((begin + sizes - at)[a], (begin + sizes - at)[b]), 1)
     left = _extend(blob, at[a] - 1, at[b] - 1, np.minimum((at - begin)[a], (at - begin)[b]), -1) - 1
     total = np.concatenate([[0], np.cumsum(blob == 32)])
@@ -74,23 +76,13 @@ def extend_pairs(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ahead = (total[at] - total[begin] - 1)[b]
     lo, hi = np.maximum(ahead - left, 0), np.minimum(ahead + right - WINDOW, c.windows[b] - 1)
     good = lo <= hi
-    out = [np.stack([b[good], lo[good], hi[good]], 1)]
-    many = order[~few]
-    if len(many):
-        word_begin = np.flatnonzero(blob == 32) + 1
-        first = np.searchsorted(word_begin, begin + 1)
-        window = spans_to_places(first[many], c.windows[many])
-        owner = np.repeat(many, c.windows[many])
-        x, y = word_begin[window], word_begin[window + WINDOW]
-        repeated = repeats_of_smaller((c.seed[owner],), c.doc[owner], blob, x, y - x)
-        k = (window - first[owner])[repeated]
-        out.append(np.stack([owner[repeated], k, k], 1))
-    return tuple(np.concatenate(out).T)
+    return b[good], lo[good], hi[good]
 
 
 def deduplicate_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_units (words), spans (removed runs of words) and kept (the rest, a space after each word)."""
-    return remove_repeats(docs, SHAPE, extend_pairs)
+    """doc_id, n_units (words), spans (removed runs of words) and kept (the rest, a space after each word); odd rows as in
+    remove_repeats."""
+    return remove_repeats(docs, SHAPE, extend_anchors)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Suffix-array deduplication: removes byte strings of WINDOW bytes that also start in a document with a smaller id.
 
-Suffixes are sorted where a seed has several different contexts (see repeats): those that begin at the seed, and the
-reversed ones that end before it. Sorting is deep-shallow: multikey sorting by letters of eight bytes down to a shallow
+Suffixes are sorted where a seed stands in several documents (see repeats): those that begin at the seed, and the
+reversed ones that end before it. Sorting is deep-shallow: multikey quicksort by letters of eight bytes down to a shallow
 depth, where most groups have fallen apart, then a blind trie for each group that still has a long common prefix. Neighbours in
 the two suffix arrays with their common-prefix lengths tell which contexts share a window, for each place of the seed in it.
 """
@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytetext import span_places
 from .common import table
 from .repeats import Contexts, Shape, Units, remove_repeats
 
@@ -89,64 +90,98 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _letters(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int, step: int) -> np.ndarray:
+def _letters(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: np.ndarray, step: int) -> np.ndarray:
     """Eight bytes from depth on as one number, most significant first; past the end of a string there are zeros."""
     out = np.zeros(len(begin), np.uint64)
-    for k in range(depth, depth + LETTER):
-        inside = size > k
+    for k in range(LETTER):
+        place = depth + k
+        inside = size > place
         byte = np.zeros(len(begin), np.uint64)
-        byte[inside] = blob[begin[inside] + k * step]
+        byte[inside] = blob[begin[inside] + place[inside] * step]
         out = out << np.uint64(8) | byte
     return out
 
 
+def _multikey_quicksort(blob: np.ndarray, order: np.ndarray, new: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, shallow: int) -> np.ndarray:
+    """Sorts order in place within its segments, which begin where new is set, by the first `shallow` bytes; the segments
+    that are left hold strings that are equal so far. All open segments are split in one go.
+
+    A segment is split into letters below, equal to and above the median of three; only the middle part goes on to the next
+    letter. Returns new.
+    """
+    n = len(order)
+    depth = np.zeros(n, np.int64)
+    letter = _letters(blob, begin[order], size[order], depth, step)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, n))
+    while True:
+        go = (count > 1) & (depth[start] < shallow)
+        start, count = start[go], count[go]
+        if not len(start):
+            return new
+        at = span_places(start, count)
+        seg = np.repeat(np.arange(len(start)), count)
+        pivot = np.sort(np.stack([letter[start], letter[start + count // 2], letter[start + count - 1]]), axis=0)[1][seg]
+        own = letter[at]
+        side = 1 + (own > pivot).astype(np.int64) - (own < pivot)
+        parts = np.bincount(seg * 3 + side, minlength=3 * len(start))
+        offset = np.cumsum(parts) - parts
+        to = np.empty(len(at), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            before = np.cumsum(parts[k::3]) - parts[k::3]
+            to[mine] = offset[seg[mine] * 3 + k] + np.arange(len(mine)) - before[seg[mine]]
+        for v in (order, letter, depth):
+            v[at[to]] = v[at]
+        at_part = np.append(at, n)[offset]
+        full = parts > 0
+        new[at_part[full]] = True
+        start, count = at_part[full], parts[full]
+        middle = np.flatnonzero(full)[np.arange(len(start))] % 3 == 1
+        equal = span_places(start[middle], count[middle])
+        depth[equal] += LETTER
+        deeper = equal[(depth[equal] < shallow)]
+        letter[deeper] = _letters(blob, begin[order[deeper]], size[order[deeper]], depth[deeper], step)
+
+
 def deep_shallow_sort(blob: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within their groups, and for each in that order the bytes in common with the one before it
     (-1 at the first of a group). A string is size bytes from begin on in steps of step, padded with zeros to limit."""
     order = np.argsort(group, kind="stable")
     n = len(order)
-    segment = np.cumsum(np.concatenate([[0], group[order][1:] != group[order][:-1]])) if n else order
+    if not n:
+        return order, order
+    shallow = min(SHALLOW, limit)
+    head = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    new = _multikey_quicksort(blob, order, head.copy(), begin, size, step, shallow)
     common = np.full(n, limit, np.int64)
-    if n:
-        common[np.concatenate([[True], segment[1:] != segment[:-1]])] = -1
-    depth = 0
-    while depth < min(SHALLOW, limit):
-        # Only segments with several strings go on.
-        open_ = np.zeros(n, bool)
-        open_[:-1] |= segment[1:] == segment[:-1]
-        open_[1:] |= segment[1:] == segment[:-1]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            return order, np.minimum(common, limit)
-        letter = _letters(blob, begin[order[at]], size[order[at]], depth, step)
-        by = np.lexsort((letter, segment[at]))
-        order[at], letter = order[at[by]], letter[by]
-        inner = np.flatnonzero(segment[at[1:]] == segment[at[:-1]])
-        differ = letter[inner + 1] ^ letter[inner]
-        new = differ != 0
-        zeros = np.zeros(int(new.sum()), np.int64)
+    # Neighbours that fell apart: the first letter in which they differ.
+    pair = np.flatnonzero(new & ~head)
+    for depth in range(0, shallow, LETTER):
+        x, y = order[pair - 1], order[pair]
+        d = np.full(len(pair), depth)
+        differ = _letters(blob, begin[x], size[x], d, step) ^ _letters(blob, begin[y], size[y], d, step)
+        apart = differ != 0
+        same = np.zeros(int(apart.sum()), np.int64)
         for k in range(1, LETTER):
-            zeros += differ[new] < np.uint64(1) << np.uint64(64 - 8 * k)
-        where = at[inner[new] + 1]
-        common[where] = depth + zeros
-        mark = np.zeros(n, np.int64)
-        mark[where] = 1
-        mark[1:] |= segment[1:] != segment[:-1]
-        segment = np.cumsum(mark)
-        depth += LETTER
-    # Deep groups.
-    start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    stop = np.concatenate([start[1:], [n]])
-    for a, b in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist(), strict=True):
+            same += differ[apart] < np.uint64(1) << np.uint64(64 - 8 * k)
+        common[pair[apart]] = depth + same
+        pair = pair[~apart]
+    # Deep groups, if anything stands beyond the shallow depth.
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], n)
+    deep = (stop - start > 1) & (np.maximum.reduceat(size[order], start) > shallow)
+    for a, b in zip(start[deep].tolist(), stop[deep].tolist(), strict=True):
         trie, texts = BlindTrie(), {}
         for x in order[a:b].tolist():
             m = min(int(size[x]), limit)
-            s = blob[begin[x] + depth : begin[x] + m] if step > 0 else blob[begin[x] - m + 1 : begin[x] - depth + 1][::-1]
-            texts[x] = s.tobytes().ljust(limit - depth, b"\0")
+            s = blob[begin[x] + shallow : begin[x] + m] if step > 0 else blob[begin[x] - m + 1 : begin[x] - shallow + 1][::-1]
+            texts[x] = s.tobytes().ljust(limit - shallow, b"\0")
             trie.insert(texts[x], x, texts)
         numbers, shared = trie.in_order()
         order[a:b] = numbers
-        common[a + 1 : b] = [limit if c < 0 else depth + c for c in shared[1:]]
+        common[a + 1 : b] = [limit if c < 0 else shallow + c for c in shared[1:]]
+    common[head] = -1
     return order, np.minimum(common, limit)
 
 
@@ -178,7 +213,7 @@ def compare_suffixes(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def deduplicate_suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_units (bytes), spans (removed runs of bytes) and kept (the remaining bytes)."""
+    """doc_id, n_units (bytes), spans (removed runs of bytes) and kept (the remaining bytes); odd rows as in remove_repeats."""
     return remove_repeats(docs, SHAPE, compare_suffixes)
 
 
