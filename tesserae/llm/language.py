@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained on the driver from a bounded sample of labelled rows, by backpropagation through time in numpy;
-tasks then run it over every byte of every text. Texts are cut into windows of WINDOW bytes, which run side by side. Each
+tasks then run it over every byte of every text. Texts are cut into windows, which run side by side: each answers for STRIDE
+bytes and reads CONTEXT more on either side, so that no byte is judged from a state that has just begun. Each
 position gets the chances of all languages from the states of both directions; a document's are the mean over the
 positions of its letters. Gates use x / (1 + |x|) for tanh, and half of one more than that for the logistic function.
 """
@@ -19,10 +20,14 @@ from pyspark.sql import functions as F
 from .bytetext import byte_class, text_slices
 from .common import bound_batches, packed, table
 
-WINDOW, HIDDEN = 64, 8
-#: The sample: rows of each language and bytes of a row, and the languages that are learned. It bounds what the driver holds.
-ROWS_PER_LANG, BYTES_PER_ROW, MAX_LANGS = 400, 512, 64
-#: Windows that run side by side in a task.
+STRIDE, CONTEXT, HIDDEN = 128, 16, 8
+WINDOW = STRIDE + 2 * CONTEXT
+#: Bytes of a training window.
+TRAINED = 64
+#: The sample: rows of each language, rows in all (so fewer of each where there are many languages), and bytes of a row. It
+#: bounds what the driver holds.
+ROWS_PER_LANG, SAMPLE_ROWS, BYTES_PER_ROW = 400, 25_600, 512
+#: Windows that run side by side in a task, with few languages.
 SIDE_BY_SIDE = 2048
 UNDETERMINED = "und"
 LETTERS = byte_class("".join(chr(c) for c in range(128) if not chr(c).isalpha()))
@@ -128,14 +133,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(texts: list[bytes], langs: list[str], epochs: int = 6, batch: int = 512, rate: float = 0.02, seed: int = 5) -> Network:
+def fit(texts: list[bytes], langs: list[str], epochs: int = 8, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam over windows of the texts, in an order that depends on the seed only."""
     names = sorted(set(langs))
     net = Network.new(names, seed=seed)
     if not texts:
         return net
-    windows = [(t[k : k + WINDOW], names.index(n)) for t, n in zip(texts, langs, strict=True) for k in range(0, max(1, len(t)), WINDOW)]
-    x = np.zeros((len(windows), WINDOW), np.uint8)
+    windows = [(t[k : k + TRAINED], names.index(n)) for t, n in zip(texts, langs, strict=True) for k in range(0, max(1, len(t)), TRAINED)]
+    x = np.zeros((len(windows), TRAINED), np.uint8)
     for k, (w, _) in enumerate(windows):
         x[k, : len(w)] = np.frombuffer(w, np.uint8)
     y = np.array([n for _, n in windows])
@@ -160,19 +165,22 @@ def predict_slice(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndar
     """Mean chances (texts x K) over each text's letters, zero for texts without."""
     n, k = len(starts) - 1, len(net.langs)
     sizes = np.diff(starts)
-    windows = -(-sizes // WINDOW)
+    windows = -(-sizes // STRIDE)
     text = np.repeat(np.arange(n), windows)
     first = np.cumsum(windows) - windows
-    begin = starts[:-1][text] + (np.arange(len(text)) - first[text]) * WINDOW
-    size = np.minimum(WINDOW, starts[1:][text] - begin)
+    begin = starts[:-1][text] + (np.arange(len(text)) - first[text]) * STRIDE
     sums, letters = np.zeros((n, k)), np.zeros(n)
-    padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-    steps = np.arange(WINDOW)
-    for at in range(0, len(text), SIDE_BY_SIDE):
-        part = slice(at, at + SIDE_BY_SIDE)
-        x = padded[begin[part][None, :] + steps[:, None]]
-        x[steps[:, None] >= size[part][None, :]] = 0
-        counted = LETTERS[x]
+    padded = np.concatenate([np.zeros(CONTEXT, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+    steps = np.arange(WINDOW)[:, None]
+    core = (steps >= CONTEXT) & (steps < CONTEXT + STRIDE)
+    side = max(64, SIDE_BY_SIDE * 8 // max(8, k))
+    for at in range(0, len(text), side):
+        part = slice(at, at + side)
+        # padded holds place p of the data at p + CONTEXT.
+        x = padded[begin[part] + steps]
+        place = begin[part] + steps - CONTEXT
+        x[(place < starts[:-1][text[part]]) | (place >= starts[1:][text[part]])] = 0
+        counted = LETTERS[x] & core
         p = net.chances(x)
         p *= counted
         for j in range(k):
@@ -187,22 +195,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, lang: str = "lang") -> Network:
-    """A network from at most ROWS_PER_LANG rows of each of at most MAX_LANGS languages, the most frequent ones, chosen by
-    hash of the id. Held-out rows, rows without an id, language or letter are not used; source is never read."""
-    usable = docs.filter(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    ids = docs.filter(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(lang).alias("lang"))
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    # A share of each language's rows by hash that is a little over what is needed, so that no text is read in vain.
-    wanted = F.lit(False)
-    for r in counts:
-        share = min(1.0, 2.0 * ROWS_PER_LANG / r["n"])
-        wanted = wanted | ((F.col(lang) == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1))
-    sample = usable.filter(wanted).select(F.col(lang).alias("lang"), F.substring(F.encode("text", "UTF-8"), 1, BYTES_PER_ROW).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = sorted((r["lang"], r["h"], r["doc_id"], bytes(r["text"])) for r in sample.collect())
+    """A network from at most ROWS_PER_LANG rows of each language and SAMPLE_ROWS in all, chosen by hash of id and text.
+    Every language is learned; more of them than SAMPLE_ROWS raise an error. Held-out rows, rows without an id, language
+    or letter are not used, and equal rows count once; source is never read."""
+    fit_for = F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    counts = docs.filter(fit_for).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(SAMPLE_ROWS + 1).collect()
+    if len(counts) > SAMPLE_ROWS:
+        raise ValueError(f"more than {SAMPLE_ROWS} languages")
+    rows_each = min(ROWS_PER_LANG, SAMPLE_ROWS // max(1, len(counts)))
+    # A share of each language's rows by hash that is a little over what is needed, from a table of the languages.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2.0 * rows_each / r["n"]) * (1 << 40)) + 1) for r in counts], "lang_ string, share_ long")
+    h = F.xxhash64("doc_id", "text")
+    usable = docs.filter(fit_for & F.col("text").rlike(r"\p{L}")).join(shares, F.col(lang) == F.col("lang_")).filter(F.pmod(h, F.lit(1 << 40)) < F.col("share_"))
+    sample = usable.select(F.col(lang).alias("lang"), F.substring(F.encode("text", "UTF-8"), 1, BYTES_PER_ROW).alias("text"), h.alias("h"), F.col("doc_id").cast("string").alias("id")).distinct()
+    rows = sorted((r["lang"], r["h"], r["id"], bytes(r["text"])) for r in sample.collect())
     taken: dict[str, int] = {}
     texts, langs = [], []
     for name, _, _, text in rows:
-        if taken.setdefault(name, 0) < ROWS_PER_LANG:
+        if taken.setdefault(name, 0) < rows_each:
             taken[name] += 1
             texts.append(text)
             langs.append(name)
@@ -229,7 +239,8 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
     """row_ (a struct of the kept columns, all by default), lang_pred and score, the mean chance of that language.
 
     Only text is read. Null texts and texts without a letter are undetermined with score 0, as is every text if the
-    network has learned no language. Equal texts get equal rows; an empty table gives none.
+    network has learned no language. Of languages with equal chances the first by name is taken. Equal texts get equal
+    rows; long texts are read whole; an empty table gives none; columns that are called as results stay in row_.
     """
     bound_batches(docs.sparkSession)
     if not net.langs:
@@ -238,13 +249,23 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
     return rows.mapInArrow(_predict(net), f"row_ {rows.schema['row_'].dataType.simpleString()}, lang_pred string, score double")
 
 
-#: A document stays in the corpus if some language is found with at least this score.
-MIN_SCORE = 0.35
+#: A document stays in the corpus if some language is found with at least this score: so much more than an even chance, but
+#: no more than MOST_SCORE.
+OVER_CHANCE, MOST_SCORE = 1.4, 0.5
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those of undetermined or doubtful language; a null lang is filled with the one found."""
-    found = identify(docs, learn(docs)).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+def least_score(languages: int) -> float:
+    return min(MOST_SCORE, OVER_CHANCE / max(1, languages))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs without those of undetermined or doubtful language; a null lang is filled with the one found.
+
+    Null texts, empty ones and those without a letter go. Rows that repeat stay or go together; an empty table gives none;
+    other columns, whatever they are called, are not touched.
+    """
+    net = learn(docs)
+    found = identify(docs, net).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score(len(net.langs))))
     return found.select(*[F.coalesce("row_.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row_.`{c}`") for c in docs.columns])
 
 
