@@ -12,18 +12,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: longs a and b. Returns node and component, the least node that it is linked with, for nodes that have edges.
 
     Each round links the neighbours of a node to the least of them: large-star those above the node, small-star those
     below. Rounds grow with the logarithm of the number of nodes in a component; a node is a row per edge, so a hub
     costs its edges once per round and never a product. Edges may repeat, be given either way round, or be loops.
-    Each round's edges are written to the shared folder.
+    Each round's edges are written to the shared folder, and the last round's deleted; the rounds end when the edges stay.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
-    for _ in range(max_rounds):
+    while True:
         least = _both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _both_ways(edges).join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
@@ -38,6 +38,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if sign == (total["n"], total["h"]):
             break
         sign = (total["n"], total["h"])
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

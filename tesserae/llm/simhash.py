@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, SPACED, text_slices, word_bounds
-from .common import bound_batches, table, written
+from .common import bound_batches, drop_written, table, written
 from .components import connected_components
 
 BITS, SEGMENT, WITHIN, SHINGLE, SEED = 64, 32, 2, 3, 42
@@ -104,18 +104,23 @@ def links(prints: DataFrame) -> DataFrame:
     around = [F.col("f"), *[F.col("f").bitwiseXOR(_bit(k)) for k in range(BITS)]]
     balls = hot.select("f", F.explode(F.array(*around)).alias("centre")).groupBy("centre").agg(F.sort_array(F.collect_list("f")).alias("fs")).filter(F.size("fs") > 1)
     stars = balls.select(F.element_at("fs", 1).alias("a"), F.explode(F.slice("fs", 2, BITS + 1)).alias("b"))
-    return ones.union(stars).distinct()
+    found = written(ones.union(stars).distinct(), "links")
+    drop_written(many)
+    return found
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, f and component_id: the smallest doc_id that the fingerprint is linked with by steps of at most two bits.
 
     One row for each row of docs. Null texts and texts without words share the fingerprint zero; a text of fewer than
-    three words is one shingle. A null doc_id is kept and never the component's; a component of null ids alone has none.
+    three words is one shingle; long texts are read whole. A null doc_id is kept and never the component's; a component of
+    null ids alone has none. An empty table gives no rows; other columns are not read, so none can clash.
     """
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = connected_components(links(distinct.select("f")))
+    edges = links(distinct.select("f"))
+    found = connected_components(edges)
+    drop_written(edges)
     joined = distinct.join(found, distinct["f"] == found["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     best = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     of_print = joined.join(best, "c").select("f", "component_id")
@@ -123,14 +128,17 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id and, of rows that share it, the least row.
+    """docs with one row of each group: that of the smallest doc_id and, of rows that share it, the one of the least hash of
+    all columns (rows of equal hash are equal).
 
-    Rows without a doc_id can't be named as a group's first and all stay.
+    Rows without a doc_id can't be named as a group's first and all stay. Null texts and texts without words are one group.
+    An empty table gives none. Columns may be of any type, maps included, and may be called as results.
     """
     groups = group_near_duplicates(docs.select("doc_id", "text"))
     stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"))
-    kept = rows.join(stay, F.col("id_") == F.col("keep_")).groupBy("keep_").agg(F.min("row_").alias("row_"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row_"), F.col("doc_id").cast("long").alias("id_"))
+    kept = rows.join(stay, F.col("id_") == F.col("keep_")).groupBy("keep_").agg(F.min_by("row_", F.xxhash64(F.to_json("row_"))).alias("row_"))
     return kept.select("row_.*").union(docs.filter("doc_id IS NULL"))
 
 
