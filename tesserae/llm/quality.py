@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import SPACED, byte_class, span_hash, sums_by_text, text_slices, word_bounds
-from .common import bound_batches, table
+from .common import bound_batches, table, written
 
 # Symbols, and the limits of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -111,7 +111,8 @@ STRICT = Policy("v1", tuple(RULES))
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and failed, a long with a bit for each rule.
 
-    One row for each row of docs (repeated rows repeat); null text has no words; doc_id may be null.
+    One row for each row of docs (repeated rows repeat); null and empty texts have no words; doc_id may be null; long texts
+    are measured whole; an empty table gives none. Other columns are not read, so none can clash.
     """
     bound_batches(docs.sparkSession)
     measured = docs.select("doc_id", "text").mapInArrow(_measure, SCHEMA)
@@ -124,13 +125,28 @@ def passes(policy: Policy) -> Column:
 
 
 def ablations(book: DataFrame, policy: Policy) -> DataFrame:
-    """For each rule of a policy: rows that fail it, rows that fail it alone (its removal would keep them), and rows kept."""
-    failed = F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))
+    """For each rule of a policy: version, rule, rows that fail it, rows that only it removes (they would be kept without it)
+    and rows kept. Bits are counted by failure pattern, of which there are 2 ** rules at most, and the patterns are then
+    asked bit by bit. An empty ledger gives zeros."""
     bits = {name: 1 << k for k, name in enumerate(RULES) if name in policy.rules}
-    sums = [F.struct(F.lit(name).alias("rule"), F.count_if(failed.bitwiseAND(F.lit(b).cast("long")) != 0).alias("fails"), F.count_if(failed == b).alias("fails_alone"), F.count_if(F.bit_count(failed) <= policy.allowed).alias("kept")) for name, b in bits.items()]
-    return book.agg(F.bit_or(failed).alias("any"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]).select(F.inline(F.array(*[f"s{k}" for k in range(len(sums))])))
+    rules = book.sparkSession.createDataFrame([(name,) for name in bits], "rule string")
+    failed = F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))
+    patterns = book.groupBy(failed.alias("pattern")).agg(F.count("*").alias("n"))
+    asked = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(b).cast("long").alias("bit")) for name, b in bits.items()])
+    each = patterns.select("pattern", "n", F.inline(asked))
+    fails, others = F.col("pattern").bitwiseAND(F.col("bit")) != 0, F.bit_count(F.col("pattern").bitwiseAND(F.bitwise_not("bit")))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    found = each.groupBy("rule").agg(total(fails).alias("fails"), total(fails & (F.bit_count("pattern") > policy.allowed) & (others <= policy.allowed)).alias("removes_alone"), total(F.bit_count("pattern") <= policy.allowed).alias("kept"))
+    zero = F.lit(0).cast("long")
+    return rules.join(found, "rule", "left").select(F.lit(policy.version).alias("version"), "rule", *[F.coalesce(c, zero).alias(c) for c in ("fails", "removes_alone", "kept")])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = ledger(table(spark, sf_dir, "documents"))
     return book.select("doc_id", *MEASURES[:-1], (~passes(BASE)).alias("base_failed"), (passes(BASE) & passes(STRICT)).alias("kept"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policies' ablations from one ledger, which is written once and read for each."""
+    book = written(ledger(table(spark, sf_dir, "documents")), "ledger")
+    return ablations(book, BASE).union(ablations(book, STRICT))
