@@ -216,7 +216,8 @@ def encode_and_decode(docs: DataFrame, path: str, keep: list[str] | None = None)
     """row_ (a struct of the kept columns, all by default), ids (an array of ints) and decoded, the text of the ids.
 
     Null and empty texts have no ids and decode to the empty text. Texts that repeat give equal rows; an empty table
-    gives none. Any UTF-8 text decodes to itself.
+    gives none. Any UTF-8 text decodes to itself; long texts are encoded whole; columns that are called as results stay in
+    row_.
     """
     bound_batches(docs.sparkSession)
     rows = packed(docs, ["text"], keep)

@@ -25,9 +25,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares; where none is set (tests on one machine), a new local one."""
+    """The folder that the whole cluster shares. Where none is set, a new local one on a single machine, and an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-tesserae-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -50,12 +52,12 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bytes of a batch of rows that a Python task gets at once, where the session sets no limit of its own. Batches counted in
-#: rows alone have no bound where texts are long.
+#: Bytes of a batch of rows that a Python task gets at once, where the session sets no limit of its own.
 ARROW_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit, which holds for whatever runs later too, unless it is set already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(ARROW_BYTES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, licenses, quality, secrets, simhash, substrings, suffixes, url_filter
+from . import bpe, decontaminate, language, licenses, oracle, quality, secrets, simhash, substrings, suffixes, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "quality_ablations": quality.quality_ablations,
+}
+ORACLE = {
+    "op1_url_filters": url_filter.ORACLE,
+    "op3_decontamination": oracle.DECONTAMINATION,
+    "op5_suffix_array_dedup": oracle.SUFFIXES,
+    "op6_quality_rules": oracle.QUALITY,
+    "op10_substring_dedup": oracle.SUBSTRINGS,
+    "quality_ablations": oracle.ABLATIONS,
 }
-ORACLE = {"op1_url_filters": url_filter.ORACLE}

@@ -33,8 +33,8 @@ from .common import bound_batches
 #: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
 #: of seeds for each batch.
 BATCH_BYTES, SLICE_BYTES, BUCKETS_PER_BATCH = 8 << 20, 1 << 20, 2
-#: Batches (and their buckets) that a task works on, one after the other, where there are many.
-BATCHES_PER_TASK, LEAST_TASKS = 4, 64
+#: Up to so many batches there is a task for each on average; of more, a task works on up to so many, one after the other.
+MANY_TASKS, BATCHES_PER_TASK = 4096, 16
 #: Different contexts of a seed, summed over slices, beyond which its group is split by window.
 SPLIT_CONTEXTS = 10_000
 
@@ -397,7 +397,7 @@ def remove_repeats(docs: DataFrame, shape: Shape, compare: Compare, batch_bytes:
     batches = max(1, -(-size // batch_bytes))
     buckets = BUCKETS_PER_BATCH * batches
     # The number of tasks grows with the input, so that what one of them reads does not.
-    tasks = max(-(-batches // BATCHES_PER_TASK), min(batches, LEAST_TASKS))
+    tasks = max(-(-batches // BATCHES_PER_TASK), min(batches, MANY_TASKS))
     dealt = docs.filter("doc_id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).repartition(tasks, "batch")
     seeds = dealt.groupBy("batch").applyInArrow(_seed_rows(shape, buckets), "bucket long, batch long, hashes binary, contexts binary")
     answers = seeds.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answer_rows(split_contexts), "bucket long, batch long, flags binary")
