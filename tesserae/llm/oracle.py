@@ -5,7 +5,6 @@ from __future__ import annotations
 from .decontaminate import WINDOW as ITEM_WINDOW
 from .quality import BASE, RULES, STRICT
 from .substrings import WINDOW as WORD_WINDOW
-from .suffixes import WINDOW as BYTE_WINDOW
 
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,31 +27,17 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
 
 
-def _removal(units: str, window: int, gram: str) -> str:
-    """Common tables: u (doc_id and units), one row for each unit with whether it is removed, and each document's sums."""
-    return f"""
-WITH u AS (SELECT doc_id, {units} AS w FROM documents),
-windows AS (SELECT doc_id, i, {gram} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window} + 2)) AS i FROM u WHERE len(w) >= {window})),
+SUBSTRINGS = f"""
+WITH u AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+windows AS (SELECT doc_id, i, list_slice(w, i, i + {WORD_WINDOW - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WORD_WINDOW} + 2)) AS i FROM u WHERE len(w) >= {WORD_WINDOW})),
 least_of AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
 starts AS (SELECT doc_id, i FROM windows JOIN least_of USING (g) WHERE first < doc_id),
 units AS (SELECT doc_id, w[i] AS unit, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM u)),
-marked AS (SELECT n.doc_id, n.i, unit, coalesce(max(s.i) OVER (PARTITION BY n.doc_id ORDER BY n.i) > n.i - {window}, false) AS removed
+marked AS (SELECT n.doc_id, n.i, unit, coalesce(max(s.i) OVER (PARTITION BY n.doc_id ORDER BY n.i) > n.i - {WORD_WINDOW}, false) AS removed
   FROM units n LEFT JOIN starts s ON n.doc_id = s.doc_id AND n.i = s.i),
-runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked)
-"""
-
-
-SUBSTRINGS = _removal(f"regexp_extract_all(coalesce(text, ''), '{SPACED}')", WORD_WINDOW, f"list_slice(w, i, i + {WORD_WINDOW - 1})") + """
-, sums AS (SELECT doc_id, count_if(removed) AS n_removed, string_agg(unit, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM runs GROUP BY doc_id)
+sums AS (SELECT doc_id, count_if(removed) AS n_removed, string_agg(unit, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM marked GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM u LEFT JOIN sums USING (doc_id)
-"""
-
-#: Bytes as pairs of hexadecimal digits.
-SUFFIXES = _removal("regexp_extract_all(hex(encode(coalesce(text, ''))), '..')", BYTE_WINDOW, f"array_to_string(list_slice(w, i, i + {BYTE_WINDOW - 1}), '')") + """
-, sums AS (SELECT doc_id, count_if(removed) AS n_removed, count_if(opens) AS n_spans, string_agg(unit, '' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM runs GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM u LEFT JOIN sums USING (doc_id)
-"""
+"""
 
 MEASURES = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),

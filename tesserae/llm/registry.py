@@ -20,7 +20,6 @@ QUERIES = {
 ORACLE = {
     "op1_url_filters": url_filter.ORACLE,
     "op3_decontamination": oracle.DECONTAMINATION,
-    "op5_suffix_array_dedup": oracle.SUFFIXES,
     "op6_quality_rules": oracle.QUALITY,
     "op10_substring_dedup": oracle.SUBSTRINGS,
     "quality_ablations": oracle.ABLATIONS,
