@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -20,41 +21,106 @@ def signed_area(p: np.ndarray) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
-def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """subject cut down to a convex, counter-clockwise clip polygon."""
-    for a, b in zip(clip, np.roll(clip, -1, 0), strict=True):
-        if not len(subject):
-            break
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        out = []
-        for k in range(len(subject)):
-            j = k - 1
-            if (side[k] >= 0) != (side[j] >= 0):
-                t = side[j] / (side[j] - side[k])
-                out.append(subject[j] + t * (subject[k] - subject[j]))
-            if side[k] >= 0:
-                out.append(subject[k])
-        subject = np.array(out).reshape(-1, 2)
-    return subject
-
-
-def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Shared area of two simple polygons: both fall into signed triangles from their first point, which are convex."""
-    total = 0.0
-    for i in range(1, len(p) - 1):
-        s = p[[0, i, i + 1]]
-        a = signed_area(s)
-        if not a:
-            continue
-        s = s if a > 0 else s[::-1]
-        for j in range(1, len(q) - 1):
-            t = q[[0, j, j + 1]]
-            b = signed_area(t)
-            if b:
-                cut = clip_convex(s, t if b > 0 else t[::-1])
-                if len(cut) > 2:
-                    total += abs(signed_area(cut)) * (1 if (a > 0) == (b > 0) else -1)
-    return abs(total)
+def padded_rings(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rings x points x 2, number of points) of a list column of points, without closing points; what is beyond the number
+    repeats the last point. Null and empty rings have no points."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    count = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten()
+    xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], 1) if len(flat) else np.zeros((0, 2))
+    start = np.cumsum(count) - count
+    many = count > 1
+    last, first = xy[(start + count - 1)[many]], xy[start[many]]
+    count[many] -= (last == first).all(1)
+    if not len(xy):
+        return np.zeros((len(count), 1, 2)), count
+    at = start[:, None] + np.minimum(np.arange(max(1, int(count.max(initial=1)))), np.maximum(count - 1, 0)[:, None])
+    return xy[np.minimum(at, len(xy) - 1)], count
+
+
+def _next(p: np.ndarray, n: np.ndarray, step: int = 1) -> np.ndarray:
+    """The point after (or before) each of a ring's points."""
+    k = np.arange(p.shape[1])[None, :]
+    to = np.where(k < n[:, None], (k + step) % np.maximum(n, 1)[:, None], k)
+    return np.take_along_axis(p, to[:, :, None], 1)
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+
+
+def signed_areas(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of padded rings; measured from each ring's first point, so that far-away rings lose no digits."""
+    q = p - p[:, :1]
+    valid = np.arange(p.shape[1])[None, :] < n[:, None]
+    return (_cross(q, _next(q, n)) * valid).sum(1) / 2
+
+
+def turned(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The rings counter-clockwise."""
+    k = np.arange(p.shape[1])[None, :]
+    back = np.where(k < n[:, None], n[:, None] - 1 - k, k)
+    return np.where((signed_areas(p, n) < 0)[:, None, None], np.take_along_axis(p, back[:, :, None], 1), p)
+
+
+def are_convex(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of simple counter-clockwise rings: no turn to the right."""
+    valid = np.arange(p.shape[1])[None, :] < n[:, None]
+    after = _next(p, n)
+    return ((_cross(after - p, _next(after, n) - after) >= 0) | ~valid).all(1)
+
+
+def clip_convex(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex counter-clockwise rings p cut down to the rings q, row by row, all rows at once (Sutherland-Hodgman).
+
+    A crossing is one quotient of products, so it is exact where coordinates are integers and it is one.
+    """
+    rows = np.arange(len(p))
+    for e in range(q.shape[1]):
+        a, b = q[:, e], q[rows, (e + 1) % np.maximum(m, 1)]
+        used = e < m
+        valid = np.arange(p.shape[1])[None, :] < n[:, None]
+        side = _cross((b - a)[:, None], p - a[:, None])
+        side[~used] = 1
+        before, other = _next(p, n, -1), _next(side[:, :, None], n, -1)[:, :, 0]
+        inside = (side >= 0) & valid
+        crossed = valid & ((side >= 0) != (other >= 0))
+        part = np.where(crossed, side - other, 1.0)
+        cut = (before * side[:, :, None] - p * other[:, :, None]) / part[:, :, None]
+        points = np.stack([cut, p], 2).reshape(len(p), -1, 2)
+        kept = np.stack([crossed, inside], 2).reshape(len(p), -1)
+        n = kept.sum(1)
+        new = np.zeros((len(p), max(1, int(n.max(initial=0))), 2))
+        row, at = np.nonzero(kept)
+        new[row, (np.cumsum(kept, 1) - 1)[row, at]] = points[row, at]
+        p = new
+    return p, n
+
+
+def intersection_areas(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Shared areas of simple rings, row by row. Convex rings are clipped as they are; others fall into signed triangles
+    from their first point. Coordinates are taken from a corner near by."""
+    out = np.zeros(len(p))
+    live = (n > 2) & (m > 2)
+    if not live.any():
+        return out
+    p, n, q, m = p[live], n[live], q[live], m[live]
+    corner = np.floor(np.minimum(p.min(1), q.min(1)))[:, None]
+    p, q = turned(p - corner, n), turned(q - corner, m)
+    convex = are_convex(p, n) & are_convex(q, m)
+    area = np.zeros(len(p))
+    if convex.any():
+        area[convex] = np.abs(signed_areas(*clip_convex(p[convex], n[convex], q[convex], m[convex])))
+    rest = np.flatnonzero(~convex)
+    for i in range(1, p.shape[1] - 1):
+        for j in range(1, q.shape[1] - 1):
+            some = rest[(n[rest] > i + 1) & (m[rest] > j + 1)]
+            if len(some):
+                s, t, three = p[some][:, [0, i, i + 1]], q[some][:, [0, j, j + 1]], np.full(len(some), 3)
+                sign = np.sign(signed_areas(s, three)) * np.sign(signed_areas(t, three))
+                area[some] += sign * np.abs(signed_areas(*clip_convex(turned(s, three), three, turned(t, three), three)))
+    out[live] = np.abs(area)
+    return out
 
 
 def is_simple(p: np.ndarray) -> bool:
@@ -62,15 +128,12 @@ def is_simple(p: np.ndarray) -> bool:
     n = len(p)
     if n < 3 or not signed_area(p):
         return False
-    turn = lambda a, b, c: np.sign((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
-    for i in range(n):
-        for j in range(i + 2, n):
-            if i == 0 and j == n - 1:
-                continue
-            a, b, c, d = p[i], p[(i + 1) % n], p[j], p[(j + 1) % n]
-            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
-                return False
-    return True
+    i, j = np.triu_indices(n, 2)
+    apart = ~((i == 0) & (j == n - 1))
+    i, j = i[apart], j[apart]
+    a, b, c, d = p[i], p[(i + 1) % n], p[j], p[(j + 1) % n]
+    turn = lambda a, b, c: np.sign(_cross(b - a, c - a))
+    return not ((turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)).any()
 
 
 def hull_area(p: np.ndarray) -> float:

@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polygons import as_array, intersection_area, is_simple
+from ..functions.polygons import intersection_areas, is_simple, padded_rings, signed_areas
 
 #: Side of a grid cell: about twice the largest object, so that most objects meet one to four cells.
 CELL = 64
@@ -27,6 +27,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-tesserae-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
@@ -49,31 +51,33 @@ def box_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell
     return pairs.filter(lower("xmin", "gx_") & lower("ymin", "gy_") & (G.box_intersection() > 0)).select(*keys, "a", "b")
 
 
+def measured_rings(objects: DataFrame, ring: str = "ring") -> DataFrame:
+    """objects with simple_ (no edges of the ring cross, and it has an area) and area_."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, n = padded_rings(batch.column(ring))
+            simple = [bool(is_simple(p[k, : n[k]])) for k in range(len(n))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simple), pa.array(np.abs(signed_areas(p, n)))], names=[*batch.schema.names, "simple_", "area_"])
+
+    return objects.mapInArrow(run, f"{kinds}, simple_ boolean, area_ double")
+
+
 def ring_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
     """keys, a_id, b_id, a_area, b_area, shared: exact areas of rings whose boxes meet. Rings that are not simple or have
-    no area take no part."""
-    pairs = box_pairs(objects, keys, id, cell)
-    flat = pairs.select(*keys, F.col(f"a.{id}").alias("a_id"), F.col(f"b.{id}").alias("b_id"), F.col("a.ring").alias("ra"), F.col("b.ring").alias("rb"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields if f.name not in ("ra", "rb"))
+    no area take no part (measured_rings tells which). Each ring is measured once, before the join."""
+    good = measured_rings(objects.select(*dict.fromkeys([*keys, id, "xmin", "ymin", "xmax", "ymax", "ring"]))).filter("simple_")
+    pairs = box_pairs(good, keys, id, cell)
+    flat = pairs.select(*keys, F.col(f"a.{id}").alias("a_id"), F.col(f"b.{id}").alias("b_id"), F.col("a.area_").alias("a_area"), F.col("b.area_").alias("b_area"), F.col("a.ring").alias("ra"), F.col("b.ring").alias("rb"))
+    kept = [f for f in flat.schema.fields if f.name not in ("ra", "rb")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, tuple[bool, float]] = {}
-
-            def of(p: np.ndarray) -> tuple[bool, float]:
-                k = p.tobytes()
-                if k not in known:
-                    x, y = p[:, 0], p[:, 1]
-                    known[k] = is_simple(p), abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
-                return known[k]
-
-            rings = [(as_array(a), as_array(b)) for a, b in zip(batch["ra"], batch["rb"], strict=True)]
-            good = [of(a)[0] and of(b)[0] for a, b in rings]
-            out = batch.drop(columns=["ra", "rb"])[good].copy()
-            chosen = [r for r, g in zip(rings, good, strict=True) if g]
-            yield out.assign(a_area=[of(a)[1] for a, _ in chosen], b_area=[of(b)[1] for _, b in chosen], shared=[intersection_area(a, b) for a, b in chosen])
-
-    return flat.mapInPandas(run, f"{kinds}, a_area double, b_area double, shared double").filter("shared > 0")
+            shared = intersection_areas(*padded_rings(batch.column("ra")), *padded_rings(batch.column("rb")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(shared)], names=[*[f.name for f in kept], "shared"])
+
+    return flat.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", shared double").filter("shared > 0")
 
 
 def iou(pairs: DataFrame) -> Column:

@@ -102,16 +102,11 @@ def _(spark, d):
     return reg(spark, d).groupBy(C.diagnosis_group(F.col("diagnosis"), [("small", "A"), ("st", "B"), ("e", "C")]).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("f18_short_count", "SELECT row_id, CASE WHEN row_id * 1000 >= 1000000 THEN printf('%.1fM', row_id * 1000 / 1e6) WHEN row_id * 1000 >= 1000 THEN printf('%.1fK', row_id * 1000 / 1e3) ELSE (row_id * 1000)::VARCHAR END AS label FROM registry WHERE row_id % 100 = 0")
-def _(spark, d):
-    return reg(spark, d).filter("row_id % 100 = 0").select("row_id", C.short_count(F.col("row_id") * 1000).alias("label"))
-
-
 SHORT = "CASE WHEN %(n)s >= 1000000 THEN printf('%%.1fM', %(n)s / 1e6) WHEN %(n)s >= 1000 THEN printf('%%.1fK', %(n)s / 1e3) ELSE (%(n)s)::VARCHAR END"
 
 
 # Every row; small holds ties of the K form, large ties of the M form and numbers beyond 999.9M.
-@query("f18_short_count_all", f"SELECT row_id, {SHORT % {'n': 'row_id * 50'}} AS small, {SHORT % {'n': 'row_id * 1000'}} AS label, {SHORT % {'n': 'row_id * 12350000'}} AS large FROM registry")
+@query("f18_short_count", f"SELECT row_id, {SHORT % {'n': 'row_id * 50'}} AS small, {SHORT % {'n': 'row_id * 1000'}} AS label, {SHORT % {'n': 'row_id * 12350000'}} AS large FROM registry")
 def _(spark, d):
     n = F.col("row_id")
     return reg(spark, d).select("row_id", C.short_count(n * 50).alias("small"), C.short_count(n * 1000).alias("label"), C.short_count(n * 12350000).alias("large"))
@@ -217,9 +212,9 @@ def _(spark, d):
     return C.choose_sample_files(D.slides(spark, d).select(F.expr("slide_id div 4").alias("case"), F.explode(name).alias("name")))
 
 
-@query("g5_build_patch_index", "SELECT dataset, sample, unnest(range(n)) AS patch_idx FROM (SELECT dataset, sample, least(count(*), count(*) FILTER (tile_id % 3 = 0)) // 64 AS n FROM metric_rows GROUP BY ALL) WHERE n > 0")
+@query("g5_build_patch_index", "SELECT dataset, sample, unnest(range(n)) AS patch_idx FROM (SELECT dataset, sample, least(count(*), count(*) FILTER (tile_id % 3 = 0)) // 8 AS n FROM metric_rows GROUP BY ALL) WHERE n > 0")
 def _(spark, d):
-    s = D.metric_rows(spark, d).groupBy("dataset", "sample").agg(F.expr("count(*) div 64").alias("n_images"), F.expr("count_if(tile_id % 3 = 0) div 64").alias("n_masks"))
+    s = D.metric_rows(spark, d).groupBy("dataset", "sample").agg(F.expr("count(*) div 8").alias("n_images"), F.expr("count_if(tile_id % 3 = 0) div 8").alias("n_masks"))
     return C.patch_index(s).drop("sub_sample")
 
 

@@ -15,12 +15,6 @@ EX = "WITH ex AS (SELECT cell_key % 97 AS cell_id, feature_name, count(*) AS cou
 CPM = EX.rstrip() + ", cpm AS (SELECT ex.cell_id, feature_name, ln(1 + count / total * 1e6) AS value FROM ex JOIN tot ON ex.cell_id = tot.cell_id)\n"
 
 
-def counts(spark, d):
-    """A denser table: users stand for cells."""
-    t = D.transcripts(spark, d).filter("cell_key % 11 <> 0").withColumn("cell_id", F.col("cell_key") % 97)
-    return X.expression_counts(t)
-
-
 def assigned(spark, d):
     return assign_to_many(D.transcripts(spark, d), {"by_cell": cells(spark, d), "by_nucleus": cells(spark, d, "he_nuclei")}, ["slide_id"], "transcript_id", "cell_id")
 
@@ -53,45 +47,6 @@ def _(spark, d):
     return X.expression_counts(assigned(spark, d).withColumnRenamed("by_cell", "cell_id"))
 
 
-@query("x3_expression_matrix", EX + "SELECT cell_id, " + ", ".join(f"sum(CASE WHEN feature_name = 'G{k}' THEN count ELSE 0 END)::BIGINT AS G{k}" for k in range(6)) + " FROM ex WHERE feature_name IN ('G0','G1','G2','G3','G4','G5') GROUP BY cell_id")
-def _(spark, d):
-    genes = [f"G{k}" for k in range(6)]
-    return X.expression_matrix(counts(spark, d).filter(F.col("feature_name").isin(genes)), genes)
-
-
-@query("x4_transcripts_per_cell", EX + "SELECT count(*) AS cells, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std FROM tot")
-def _(spark, d):
-    return rounded(X.per_cell_summary(X.per_cell(counts(spark, d))), 6)
-
-
-@query("p23_keep_rich_cells", EX + "SELECT cell_id, feature_name, count FROM ex WHERE cell_id IN (SELECT cell_id FROM tot WHERE total >= 5) AND (SELECT count(*) FROM tot WHERE total >= 5) >= 20")
-def _(spark, d):
-    return X.keep_rich_cells(counts(spark, d), 5, 20)
-
-
-@query("x5_detect_doublets", EX + """, mk AS (SELECT unnest(['a','a','a','a','a','b','b','b','c','c']) AS lineage, unnest(['G1','G2','G3','G4','G5','G11','G12','G13','G21','G99']) AS feature_name),
-hi AS (SELECT cell_id, lineage FROM ex JOIN mk USING (feature_name) GROUP BY ALL HAVING sum(count) > 3), ln AS (SELECT cell_id, count(*) AS lineages FROM hi GROUP BY ALL)
-SELECT t.cell_id, coalesce(lineages, 0) AS lineages, coalesce(lineages, 0) >= 2 AS doublet FROM tot t LEFT JOIN ln USING (cell_id)""")
-def _(spark, d):
-    return X.detect_doublets(counts(spark, d), MARKERS)
-
-
-@query("u4_markers_present", EX + "SELECT DISTINCT feature_name FROM ex WHERE feature_name IN ('G1', 'G21', 'G99')")
-def _(spark, d):
-    return X.markers_present(counts(spark, d), ["G1", "G21", "G99"])
-
-
-@query("x6_cpm_log1p", CPM + "SELECT cell_id, feature_name, round(value, 6) AS value FROM cpm")
-def _(spark, d):
-    return rounded(X.cpm_log1p(counts(spark, d)).select("cell_id", "feature_name", "value"), 6)
-
-
-@query("x7_standardize", CPM + """, n AS (SELECT count(*) AS n FROM tot), m AS (SELECT feature_name, sum(value) / n AS mean, sqrt(greatest(sum(value*value) / n - pow(sum(value) / n, 2), 0)) AS std FROM cpm, n GROUP BY feature_name, n)
-SELECT cell_id, feature_name, round((value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END, 5) AS value, round(-mean / CASE WHEN std > 0 THEN std ELSE 1 END, 5) AS zero_value FROM cpm JOIN m USING (feature_name)""")
-def _(spark, d):
-    return rounded(X.standardize(X.cpm_log1p(counts(spark, d))).select("cell_id", "feature_name", "value", "zero_value"), 5)
-
-
 # The same over every transcript, each user a cell: no transcript is left out and cells grow with the table.
 EX_ALL = "WITH ex AS (SELECT cell_key AS cell_id, feature_name, count(*) AS count FROM transcripts GROUP BY ALL), tot AS (SELECT cell_id, sum(count) AS total, count(*) AS genes FROM ex GROUP BY ALL)\n"
 CPM_ALL = EX_ALL.rstrip() + ", cpm AS (SELECT ex.cell_id, feature_name, ln(1 + count / total * 1e6) AS value FROM ex JOIN tot ON ex.cell_id = tot.cell_id)\n"
@@ -101,40 +56,40 @@ def all_counts(spark, d):
     return X.expression_counts(D.transcripts(spark, d).withColumnRenamed("cell_key", "cell_id"))
 
 
-@query("x3_expression_matrix_all", EX_ALL + "SELECT cell_id, coalesce(COLUMNS(* EXCLUDE (cell_id)), 0)::BIGINT FROM (PIVOT ex ON feature_name USING sum(count) GROUP BY cell_id)")
+@query("x3_expression_matrix", EX_ALL + "SELECT cell_id, coalesce(COLUMNS(* EXCLUDE (cell_id)), 0)::BIGINT FROM (PIVOT ex ON feature_name USING sum(count) GROUP BY cell_id)")
 def _(spark, d):
     c = all_counts(spark, d)
     return X.expression_matrix(c, X.gene_names(D.transcripts(spark, d)))
 
 
-@query("x4_transcripts_per_cell_all", EX_ALL + "SELECT count(*) AS cells, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std FROM tot")
+@query("x4_transcripts_per_cell", EX_ALL + "SELECT count(*) AS cells, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std FROM tot")
 def _(spark, d):
     return rounded(X.per_cell_summary(X.per_cell(all_counts(spark, d))), 6)
 
 
-@query("p23_keep_rich_cells_all", EX_ALL + "SELECT cell_id, feature_name, count FROM ex WHERE cell_id IN (SELECT cell_id FROM tot WHERE total >= 60) AND (SELECT count(*) FROM tot WHERE total >= 60) >= 5")
+@query("p23_keep_rich_cells", EX_ALL + "SELECT cell_id, feature_name, count FROM ex WHERE cell_id IN (SELECT cell_id FROM tot WHERE total >= 60) AND (SELECT count(*) FROM tot WHERE total >= 60) >= 5")
 def _(spark, d):
     return X.keep_rich_cells(all_counts(spark, d), 60, 5)
 
 
-@query("x5_detect_doublets_all", EX_ALL + """, mk AS (SELECT unnest(['a','a','a','a','a','b','b','b','c','c']) AS lineage, unnest(['G1','G2','G3','G4','G5','G11','G12','G13','G21','G99']) AS feature_name),
+@query("x5_detect_doublets", EX_ALL + """, mk AS (SELECT unnest(['a','a','a','a','a','b','b','b','c','c']) AS lineage, unnest(['G1','G2','G3','G4','G5','G11','G12','G13','G21','G99']) AS feature_name),
 hi AS (SELECT cell_id, lineage FROM ex JOIN mk USING (feature_name) GROUP BY ALL HAVING sum(count) > 3), ln AS (SELECT cell_id, count(*) AS lineages FROM hi GROUP BY ALL)
 SELECT t.cell_id, coalesce(lineages, 0) AS lineages, coalesce(lineages, 0) >= 2 AS doublet FROM tot t LEFT JOIN ln USING (cell_id)""")
 def _(spark, d):
     return X.detect_doublets(all_counts(spark, d), MARKERS)
 
 
-@query("u4_markers_present_all", EX_ALL + "SELECT DISTINCT feature_name FROM ex WHERE feature_name IN ('G1', 'G21', 'G99')")
+@query("u4_markers_present", EX_ALL + "SELECT DISTINCT feature_name FROM ex WHERE feature_name IN ('G1', 'G21', 'G99')")
 def _(spark, d):
     return X.markers_present(all_counts(spark, d), ["G1", "G21", "G99"])
 
 
-@query("x6_cpm_log1p_all", CPM_ALL + "SELECT cell_id, feature_name, round(value, 6) AS value FROM cpm")
+@query("x6_cpm_log1p", CPM_ALL + "SELECT cell_id, feature_name, round(value, 6) AS value FROM cpm")
 def _(spark, d):
     return rounded(X.cpm_log1p(all_counts(spark, d)).select("cell_id", "feature_name", "value"), 6)
 
 
-@query("x7_standardize_all", CPM_ALL + """, n AS (SELECT count(*) AS n FROM tot), m AS (SELECT feature_name, sum(value) / n AS mean, sqrt(greatest(sum(value*value) / n - pow(sum(value) / n, 2), 0)) AS std FROM cpm, n GROUP BY feature_name, n)
+@query("x7_standardize", CPM_ALL + """, n AS (SELECT count(*) AS n FROM tot), m AS (SELECT feature_name, sum(value) / n AS mean, sqrt(greatest(sum(value*value) / n - pow(sum(value) / n, 2), 0)) AS std FROM cpm, n GROUP BY feature_name, n)
 SELECT cell_id, feature_name, round((value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END, 5) AS value, round(-mean / CASE WHEN std > 0 THEN std ELSE 1 END, 5) AS zero_value FROM cpm JOIN m USING (feature_name)""")
 def _(spark, d):
     return rounded(X.standardize(X.cpm_log1p(all_counts(spark, d))).select("cell_id", "feature_name", "value", "zero_value"), 5)

@@ -107,9 +107,9 @@ def _(spark, d):
     return rounded(I.filter_min_area_um(a, 15.0, F.lit(I.MODEL_MPP)).select("inst_id", "area_pixels", "area_um"))
 
 
-@query("p11_filter_area_range", INST + "SELECT tile_id, label, area FROM i WHERE area BETWEEN 8 AND 12")
+@query("p11_filter_area_range", INST + "SELECT tile_id, label, area FROM i WHERE area BETWEEN 2 AND 8")
 def _(spark, d):
-    return I.filter_area_range(I.from_labels(labels(spark, d), K), 8, 12).select("tile_id", "label", "area")
+    return I.filter_area_range(I.from_labels(labels(spark, d), K), 2, 8).select("tile_id", "label", "area")
 
 
 @query("p12_binarize", "SELECT tile_id, sum(CASE WHEN x / 15.0::DOUBLE > 0.4::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS above, sum(CASE WHEN x / 15.0::DOUBLE >= 0.4::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS from_on FROM label_pixels GROUP BY tile_id")

@@ -46,12 +46,7 @@ def stored_transcripts(spark, d):
     return S.read_transcripts(spark, t.inputFiles()[0].rsplit("/", 1)[0])
 
 
-@query("s3_read_transcripts", "SELECT feature_name, count(*) AS n, round(sum(x), 3) AS sx FROM transcripts WHERE x < 1024 GROUP BY ALL")
-def _(spark, d):
-    return stored_transcripts(spark, d).filter("x < 1024").groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"))
-
-
-@query("s3_read_transcripts_all", "SELECT feature_name, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, count(*) FILTER (x < 1024) AS n_left FROM transcripts GROUP BY ALL")
+@query("s3_read_transcripts", "SELECT feature_name, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, count(*) FILTER (x < 1024) AS n_left FROM transcripts GROUP BY ALL")
 def _(spark, d):
     left = F.count(F.when(F.col("x") < 1024, 1))
     return stored_transcripts(spark, d).groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"), left.alias("n_left"))

@@ -141,10 +141,12 @@ def _(spark, d):
     return P.suppress(D.detections(spark, d), links(spark, d, 0.3)).select("inst_id")
 
 
-@query("t1_largest_part", "SELECT slide_id, branch, max(a) AS area FROM (SELECT *, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS a FROM detections) GROUP BY ALL")
+@query("t1_largest_part", """SELECT slide_id, branch, inst_id, a AS area, xmin::DOUBLE AS x0, ymin::DOUBLE AS y0, 4 AS points FROM (SELECT *, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS a FROM detections)
+QUALIFY row_number() OVER (PARTITION BY slide_id, branch ORDER BY a DESC, inst_id) = 1""")
 def _(spark, d):
     a = G.area(F.col("ring"))
-    return D.detections(spark, d).groupBy(*K).agg(F.max_by(a, F.struct(a, -F.col("inst_id"))).alias("area"))
+    best = D.detections(spark, d).groupBy(*K).agg(F.max_by(F.struct("inst_id", "ring", a.alias("area")), F.struct(a, -F.col("inst_id"))).alias("kept"))
+    return best.select(*K, "kept.inst_id", "kept.area", F.col("kept.ring")[0]["x"].alias("x0"), F.col("kept.ring")[0]["y"].alias("y0"), F.size("kept.ring").alias("points"))
 
 
 @query("p13_crop_any_vertex", "SELECT inst_id, (xmin - 1000)::DOUBLE AS x0, (ymin - 1000)::DOUBLE AS y0 FROM detections WHERE (xmin >= 1000 AND xmin < 2000 OR xmax >= 1000 AND xmax < 2000) AND (ymin >= 1000 AND ymin < 2000 OR ymax >= 1000 AND ymax < 2000)")

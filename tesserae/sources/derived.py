@@ -1,6 +1,6 @@
 """Tables of the tissue-image domain that Spark derives from the star-schema tables, with the same rows in DuckDB's SQL.
 
-Integer arithmetic only, so both engines agree. TABLES_SQL is a WITH list; queries' SQL is put behind it.
+Integer arithmetic only, so both engines agree. Slides are as dense at every size: their number grows with the rows. TABLES_SQL is a WITH list; queries' SQL is put behind it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"), F.floor(F.max("l_quantity")).alias("qt"), F.max("l_linestatus").alias("ls"), F.max("l_returnflag").alias("sm"))
     box = u.select(
         F.expr("cast(l_orderkey * 8 + l_linenumber as bigint)").alias("inst_id"),
-        F.expr("cast(sk % 4 as bigint)").alias("slide_id"),
+        F.expr("cast(4 * (l_orderkey div 16384) + sk % 4 as bigint)").alias("slide_id"),
         F.expr("CASE WHEN ls = 'O' THEN 'he_nuclei' ELSE 'he_cell' END").alias("branch"),
         F.expr("cast((l_orderkey * 7919 + l_linenumber * 104729) % 4096 as bigint)").alias("xmin"),
         F.expr("cast((pk * 6151 + sk * 3571 + l_linenumber * 12289) % 4096 as bigint)").alias("ymin"),
@@ -35,7 +35,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """transcript_id, slide_id, x, y (between pixels), feature_name, cell_key."""
     return read(spark, sf_dir, "events").select(
         F.col("event_id").cast("long").alias("transcript_id"),
-        F.expr("cast(event_id % 4 as bigint)").alias("slide_id"),
+        F.expr("cast(4 * (event_id div 16384) + event_id % 4 as bigint)").alias("slide_id"),
         F.expr("cast((event_id * 2654435761) % 4096 as double) + 0.5D").alias("x"),
         F.expr("cast((event_id * 40503 + user_id * 7919) % 4096 as double) + 0.5D").alias("y"),
         F.expr("concat('G', cast(user_id % 40 as string))").alias("feature_name"),
@@ -95,7 +95,7 @@ METRICS = ("dice", "iou", "pq", "aji")
 
 TABLES_SQL = r"""
 WITH detections AS (
-  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS inst_id, CAST(sk % 4 AS BIGINT) AS slide_id,
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS inst_id, CAST(4 * (l_orderkey // 16384) + sk % 4 AS BIGINT) AS slide_id,
     CASE WHEN ls = 'O' THEN 'he_nuclei' ELSE 'he_cell' END AS branch,
     CAST((l_orderkey * 7919 + l_linenumber * 104729) % 4096 AS BIGINT) AS xmin,
     CAST((pk * 6151 + sk * 3571 + l_linenumber * 12289) % 4096 AS BIGINT) AS ymin,
@@ -104,7 +104,7 @@ WITH detections AS (
   FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS pk, max(l_suppkey) AS sk, CAST(floor(max(l_quantity)) AS BIGINT) AS qt, max(l_linestatus) AS ls, max(l_returnflag) AS sm
         FROM lineitem GROUP BY l_orderkey, l_linenumber)),
 transcripts AS (
-  SELECT CAST(event_id AS BIGINT) AS transcript_id, CAST(event_id % 4 AS BIGINT) AS slide_id,
+  SELECT CAST(event_id AS BIGINT) AS transcript_id, CAST(4 * (event_id // 16384) + event_id % 4 AS BIGINT) AS slide_id,
     CAST((event_id * 2654435761) % 4096 AS DOUBLE) + 0.5 AS x, CAST((event_id * 40503 + user_id * 7919) % 4096 AS DOUBLE) + 0.5 AS y,
     'G' || CAST(user_id % 40 AS VARCHAR) AS feature_name, CAST(user_id AS BIGINT) AS cell_key FROM events),
 label_pixels AS (

@@ -16,6 +16,11 @@ from tesserae.operators import spatial, tiles
 from tesserae.sources import formats
 
 
+def shared_area(a, b):
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    return P.intersection_areas(a[None], np.array([len(a)]), b[None], np.array([len(b)]))[0]
+
+
 def counts(spark, rows):
     return spark.createDataFrame([(1, *r) for r in rows], "tile_id long, g long, p long, n long")
 
@@ -115,13 +120,48 @@ def corners(r):
 def test_intersection_of_rectangles(a, b):
     w = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
     h = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
-    assert P.intersection_area(corners(a), corners(b)) == pytest.approx(w * h, abs=1e-6)
+    assert shared_area(corners(a), corners(b)) == pytest.approx(w * h, abs=1e-6)
+
+
+def test_intersection_is_exact_at_ties():
+    # Far from the origin, with an overlap of 12 x 15 in boxes whose IoU is just 0.3.
+    a, b = corners((4_000_001, 3_999_990, 20, 19)), corners((4_000_009, 3_999_994, 20, 21))
+    assert shared_area(a, b) == 12 * 15
+    rng = np.random.default_rng(4)
+    p = np.stack([corners((x, y, w, h)) for x, y, w, h in rng.integers(1, 30, (300, 4))]).astype(float)
+    q = np.stack([corners((x, y, w, h)) for x, y, w, h in rng.integers(1, 30, (300, 4))]).astype(float)
+    four = np.full(300, 4)
+    want = np.maximum(np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0]), 0).prod(1)
+    assert (P.intersection_areas(p, four, q, four) == want).all()
+
+
+def test_intersection_of_any_simple_rings():
+    rng = np.random.default_rng(7)
+    grid = np.stack(np.meshgrid(np.arange(0.05, 20, 0.1), np.arange(0.05, 20, 0.1)), -1).reshape(-1, 2)
+
+    def inside(ring):
+        out = np.zeros(len(grid), bool)
+        for a, b in zip(ring, np.roll(ring, -1, 0), strict=True):
+            out ^= ((a[1] > grid[:, 1]) != (b[1] > grid[:, 1])) & (grid[:, 0] < (b[0] - a[0]) * (grid[:, 1] - a[1]) / (b[1] - a[1] or 1) + a[0])
+        return out
+
+    for _ in range(12):
+        rings = []
+        for _ in range(2):
+            n = int(rng.integers(3, 12))
+            t, r, c = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(1, 7, n), rng.uniform(7, 13, 2)
+            rings.append(np.stack([np.cos(t), np.sin(t)], 1) * r[:, None] + c)
+        if all(P.is_simple(r) for r in rings):
+            assert shared_area(*rings) == pytest.approx((inside(rings[0]) & inside(rings[1])).sum() / 100, abs=1.0)
+    bow = np.array([(0, 0), (2, 2), (2, 0), (0, 3)], float)
+    touching = np.array([(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)], float)
+    assert not P.is_simple(bow) and P.is_simple(touching) and P.is_simple(corners((0, 0, 2, 2)))
 
 
 def test_intersection_of_concave_polygons():
     ell = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float)
-    assert P.intersection_area(ell, ell) == pytest.approx(7)
-    assert P.intersection_area(ell, corners((1, 1, 3, 3))) == pytest.approx(0, abs=1e-9)
+    assert shared_area(ell, ell) == pytest.approx(7)
+    assert shared_area(ell, corners((1, 1, 3, 3))) == pytest.approx(0, abs=1e-9)
     assert P.is_simple(ell) and not P.is_simple(np.array([(0, 0), (2, 2), (2, 0), (0, 2)], float))
 
 
@@ -173,7 +213,7 @@ def test_matrix_has_all_genes_and_cells(spark):
     from .conftest import DATA
 
     events = spark.read.parquet(f"{DATA}/events.parquet")
-    m = plans.QUERIES["x3_expression_matrix_all"](spark, DATA).toPandas().set_index("cell_id")
+    m = plans.QUERIES["x3_expression_matrix"](spark, DATA).toPandas().set_index("cell_id")
     assert m.to_numpy().sum() == events.count() and not m.isna().any().any()
     assert len(m) == events.select("user_id").distinct().count() and m.shape[1] == events.selectExpr("user_id % 40").distinct().count()
     with pytest.raises(ValueError, match="more than 3 genes"):
