@@ -123,17 +123,26 @@ def intersection_areas(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarra
     return out
 
 
-def is_simple(p: np.ndarray) -> bool:
-    """No two edges cross, with an area above zero."""
-    n = len(p)
-    if n < 3 or not signed_area(p):
-        return False
-    i, j = np.triu_indices(n, 2)
-    apart = ~((i == 0) & (j == n - 1))
-    i, j = i[apart], j[apart]
-    a, b, c, d = p[i], p[(i + 1) % n], p[j], p[(j + 1) % n]
+def are_simple(p: np.ndarray, n: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """Of padded rings: no two edges cross, with an area above zero. Rings of one length are tested together."""
+    out = (n > 2) & (signed_areas(p, n) != 0)
     turn = lambda a, b, c: np.sign(_cross(b - a, c - a))
-    return not ((turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)).any()
+    for size in np.unique(n[out]).tolist():
+        i, j = np.triu_indices(size, 2)
+        apart = ~((i == 0) & (j == size - 1))
+        i, j = i[apart], j[apart]
+        rows = np.flatnonzero(out & (n == size))
+        step = max(1, at_once // max(1, len(i)))
+        for at in range(0, len(rows) if len(i) else 0, step):
+            part = rows[at : at + step]
+            q = p[part]
+            a, b, c, d = q[:, i], q[:, (i + 1) % size], q[:, j], q[:, (j + 1) % size]
+            out[part] = ~((turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)).any(1)
+    return out
+
+
+def is_simple(p: np.ndarray) -> bool:
+    return bool(are_simple(p[None], np.array([len(p)]))[0]) if len(p) else False
 
 
 def hull_area(p: np.ndarray) -> float:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polygons import intersection_areas, is_simple, padded_rings, signed_areas
+from ..functions.polygons import are_simple, intersection_areas, padded_rings, signed_areas
 
 #: Side of a grid cell: about twice the largest object, so that most objects meet one to four cells.
 CELL = 64
@@ -58,8 +58,7 @@ def measured_rings(objects: DataFrame, ring: str = "ring") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, n = padded_rings(batch.column(ring))
-            simple = [bool(is_simple(p[k, : n[k]])) for k in range(len(n))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simple), pa.array(np.abs(signed_areas(p, n)))], names=[*batch.schema.names, "simple_", "area_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(are_simple(p, n)), pa.array(np.abs(signed_areas(p, n)))], names=[*batch.schema.names, "simple_", "area_"])
 
     return objects.mapInArrow(run, f"{kinds}, simple_ boolean, area_ double")
 
