@@ -203,10 +203,11 @@ def learn(docs: DataFrame, lang: str = "lang") -> Network:
     if len(counts) > SAMPLE_ROWS:
         raise ValueError(f"more than {SAMPLE_ROWS} languages")
     rows_each = min(ROWS_PER_LANG, SAMPLE_ROWS // max(1, len(counts)))
-    # A share of each language's rows by hash that is a little over what is needed, from a table of the languages.
+    # A share of each language's rows by hash that is a little over what is needed, from a table of the
+    # languages, which SAMPLE_ROWS bounds.
     shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2.0 * rows_each / r["n"]) * (1 << 40)) + 1) for r in counts], "lang_ string, share_ long")
     h = F.xxhash64("doc_id", "text")
-    usable = docs.filter(fit_for & F.col("text").rlike(r"\p{L}")).join(shares, F.col(lang) == F.col("lang_")).filter(F.pmod(h, F.lit(1 << 40)) < F.col("share_"))
+    usable = docs.filter(fit_for & F.col("text").rlike(r"\p{L}")).join(F.broadcast(shares), F.col(lang) == F.col("lang_")).filter(F.pmod(h, F.lit(1 << 40)) < F.col("share_"))
     sample = usable.select(F.col(lang).alias("lang"), F.substring(F.encode("text", "UTF-8"), 1, BYTES_PER_ROW).alias("text"), h.alias("h"), F.col("doc_id").cast("string").alias("id")).distinct()
     rows = sorted((r["lang"], r["h"], r["id"], bytes(r["text"])) for r in sample.collect())
     taken: dict[str, int] = {}
