@@ -196,6 +196,14 @@ def accept_dense_patches(patches: DataFrame, group: str, least: int = 300, n: in
     return patches.filter(F.col("cells") >= least).withColumn("k_", k).filter(F.col("k_") <= n).drop("k_")
 
 
+def filter_tiles_by_count(tiles: DataFrame, least: int = 0, drop_empty: bool = False, counts: Sequence[str] = ("he_nuclei", "he_cell", "mif_nuclei", "mif_cell")) -> DataFrame:
+    """Tiles with at least so many instances over all counts (a missing count is 0) and, with drop_empty, with none of the
+    counts at 0. By default every tile stays."""
+    n = [F.coalesce(F.col(c), F.lit(0)) for c in counts]
+    kept = tiles.filter(sum(n[1:], n[0]) >= least)
+    return kept.filter(F.least(*n, F.lit(1 << 62)) > 0) if drop_empty else kept
+
+
 def split_ratio(df: DataFrame, id: str, train: float, val: float, test: float, seed: int = 0, explicit: Mapping[int, str] | None = None) -> DataFrame:
     """split of every row by a hash of its id, so shares hold approximately and no row needs another; explicit ids win."""
     if abs(train + val + test - 1) > 1e-3:

@@ -14,14 +14,16 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a job. sql: a select over the derived tables, or WITH, more named tables and a select."""
+    """Registers a job. sql: a select over the derived tables, or WITH (RECURSIVE), more named tables and a select."""
 
     def add(job: Query) -> Query:
         assert name not in QUERIES, name
         QUERIES[name] = job
         if sql is not None:
-            body = sql.strip()
-            ORACLE[name] = TABLES_SQL + body.removeprefix("WITH ") if body.startswith("WITH ") else f"{TABLES_SQL.rstrip(', \n')}\n{body}"
+            body, tables = sql.strip(), TABLES_SQL
+            if body.startswith("WITH RECURSIVE "):
+                body, tables = body.replace(" RECURSIVE", "", 1), tables.replace("WITH", "WITH RECURSIVE", 1)
+            ORACLE[name] = tables + body.removeprefix("WITH ") if body.startswith("WITH ") else f"{tables.rstrip(', \n')}\n{body}"
         return job
 
     return add

@@ -26,6 +26,12 @@ def reg(spark, d):
     return D.registry(spark, d)
 
 
+@query("q14_filter_tiles_by_count", TILES + "SELECT tile_id, he_nuclei + he_cell + mif_nuclei + mif_cell AS n, he_cell FROM ti WHERE he_nuclei + he_cell + mif_nuclei + mif_cell >= 20 AND he_nuclei > 0 AND he_cell > 0")
+def _(spark, d):
+    kept = C.filter_tiles_by_count(C.filter_tiles_by_count(tiles(spark, d), least=20), drop_empty=True, counts=("he_nuclei", "he_cell"))
+    return kept.select("tile_id", F.expr("he_nuclei + he_cell + mif_nuclei + mif_cell").alias("n"), "he_cell")
+
+
 @query("w6_dedupe_keep_first", "SELECT slide_id, row_id, diagnosis FROM registry QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY row_id) = 1")
 def _(spark, d):
     return C.dedupe_keep_first(reg(spark, d), ["slide_id"], ["row_id"]).select("slide_id", "row_id", "diagnosis")

@@ -1,12 +1,11 @@
 """Queries of readers and writers: what is written and read back, and what is decoded from texts."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.expression import polygons_to_boundaries
 from ..operators.scores import rounded
-from ..operators.spatial import saved
+from ..operators.spatial import saved, shared_path
 from ..sources import derived as D
 from ..sources import formats as S
 from .catalog import query
@@ -16,27 +15,19 @@ def cells(spark, d):
     return D.detections(spark, d).select(F.col("inst_id").alias("id"), "ring", F.col("branch").alias("type"), "slide_id")
 
 
-def folder(spark, name):
-    """A new folder that all nodes see."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tesserae-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 AREA = "SELECT inst_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS perimeter, (xmin+xmax)/2.0 AS cx FROM detections"
 
 
 @query("s1_geojson_cells", "SELECT inst_id::VARCHAR AS cell_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections")
 def _(spark, d):
-    path = folder(spark, "geojson")
+    path = shared_path(spark, "geojson")
     S.write_lines(S.polygon_features(cells(spark, d)), path)
     return S.read_geojson_cells(spark, path, whole=False).select("cell_id", G.area(F.col("ring")).alias("area"))
 
 
 @query("s2_geojson_annotations", "SELECT CASE WHEN branch = 'he_cell' THEN 'Cell' ELSE 'Nucleus' END AS type, count(*) AS n FROM detections GROUP BY ALL")
 def _(spark, d):
-    path = folder(spark, "annotations")
+    path = shared_path(spark, "annotations")
     S.write_lines(S.polygon_features(cells(spark, d)), path, gzip=True)
     return S.read_geojson_annotations(spark, path, whole=False).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -52,6 +43,21 @@ def _(spark, d):
     return stored_transcripts(spark, d).groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"), left.alias("n_left"))
 
 
+@query("s3_read_boundaries", "SELECT inst_id AS cell_id, 4 AS vertices, round(4 * 0.2125::DOUBLE * (xmin + xmax) / 2, 6) AS sx, round(ymin * 0.2125::DOUBLE, 6) AS first_y FROM detections WHERE branch = 'he_cell'")
+def _(spark, d):
+    path = shared_path(spark, "boundaries")
+    polygons_to_boundaries(cells(spark, d).filter("type = 'he_cell'").withColumnRenamed("id", "cell_id")).write.parquet(path)
+    b = S.read_boundaries(spark, path)
+    return b.groupBy("cell_id").agg(F.count("*").cast("int").alias("vertices"), F.round(F.sum("vertex_x"), 6).alias("sx"), F.round(F.min_by("vertex_y", "vertex_idx"), 6).alias("first_y"))
+
+
+@query("s4_read_registry_csv", "SELECT row_id, slide_id, diagnosis, count_text FROM registry")
+def _(spark, d):
+    path = shared_path(spark, "registry")
+    D.registry(spark, d).select("row_id", F.col("slide_id").alias(" Slide_ID"), F.col("diagnosis").alias("Diagnosis"), "count_text").write.option("header", True).csv(path)
+    return S.read_registry_csv(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
+
+
 @query("s5_rle_masks", """WITH px AS (SELECT p_partkey % 50 AS image_id, dense_rank() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS label, unnest(range(p_partkey % 97, p_partkey % 97 + 5)) AS p FROM part)
 SELECT image_id, p % 16 AS y, p // 16 AS x, max(label) AS label FROM px GROUP BY ALL""")
 def _(spark, d):
@@ -68,7 +74,7 @@ def _(spark, d):
 
 @query("s7_aperio_xml", "SELECT branch AS class_name, count(*) AS n, sum((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections GROUP BY ALL")
 def _(spark, d):
-    path = folder(spark, "xml")
+    path = shared_path(spark, "xml")
     S.write_documents(S.aperio_documents(cells(spark, d)), path)
     return S.read_aperio_xml(spark, path).groupBy("class_name").agg(F.count("*").alias("n"), F.sum(G.area(F.col("ring"))).alias("area"))
 
@@ -81,7 +87,7 @@ def _(spark, d):
 
 @query("s9_slide_manifest", "SELECT 'slide' || slide_id || '.svs' AS path FROM slides WHERE slide_id % 3 <> 0")
 def _(spark, d):
-    path = folder(spark, "manifest")
+    path = shared_path(spark, "manifest")
     name = F.concat(F.lit("slide"), F.col("slide_id").cast("string"), F.lit(".svs"))
     D.slides(spark, d).select(F.when(F.col("slide_id") % 3 == 0, F.concat(F.lit("# "), name)).otherwise(name).alias("value")).write.text(path)
     return S.slide_manifest(spark, path, is_list=True)
@@ -89,21 +95,21 @@ def _(spark, d):
 
 @query("s11_detection_records", AREA.replace("perimeter, ", "p, ").replace("SELECT inst_id, ", "SELECT inst_id AS id, ").replace(", (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS p", ""))
 def _(spark, d):
-    path = folder(spark, "records")
+    path = shared_path(spark, "records")
     S.detection_records(cells(spark, d)).write.json(path)
     return spark.read.schema("id long, centroid array<double>, area double").json(path).select("id", "area", F.col("centroid")[0].alias("cx"))
 
 
 @query("s12_segmentation_records", AREA.replace("SELECT inst_id, ", "SELECT inst_id AS id, ").replace(", (xmin+xmax)/2.0 AS cx", ", 4 AS points"))
 def _(spark, d):
-    path = folder(spark, "contours")
+    path = shared_path(spark, "contours")
     S.detection_records(cells(spark, d), contour=True).write.json(path)
     return spark.read.schema("id long, area double, perimeter double, contour array<array<double>>").json(path).select("id", "area", "perimeter", F.size("contour").alias("points"))
 
 
 @query("s13_points_geojson", "SELECT inst_id AS id, (xmax-xmin)::DOUBLE AS width, (ymax-ymin)::DOUBLE AS height FROM detections")
 def _(spark, d):
-    path = folder(spark, "points")
+    path = shared_path(spark, "points")
     S.write_lines(S.point_features(cells(spark, d)), path)
     p = spark.read.schema("properties struct<id:long,bbox_width:double,bbox_height:double>").json(path)
     return p.select("properties.id", F.col("properties.bbox_width").alias("width"), F.col("properties.bbox_height").alias("height"))
@@ -111,14 +117,14 @@ def _(spark, d):
 
 @query("s14_simplified_polygons", "SELECT inst_id::VARCHAR AS cell_id, 5 AS points FROM detections")
 def _(spark, d):
-    path = folder(spark, "polygons")
+    path = shared_path(spark, "polygons")
     S.write_lines(S.polygon_features(cells(spark, d), eps=0.5), path)
     return S.read_geojson_cells(spark, path, whole=False).select("cell_id", F.size("ring").alias("points"))
 
 
 @query("s15_cells_parquet", "SELECT inst_id AS id, slide_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS perimeter, branch AS classification FROM detections")
 def _(spark, d):
-    path = folder(spark, "cells")
+    path = shared_path(spark, "cells")
     S.write_cells_parquet(cells(spark, d), path, ("slide_id",))
     return spark.read.parquet(path).select("id", F.col("slide_id").cast("long").alias("slide_id"), "area", "perimeter", "classification")
 
@@ -130,7 +136,7 @@ def _(spark, d):
 
 @query("s20_report_csv", "SELECT sample, count(*) AS tiles, round(avg(value), 3) AS mean FROM metric_rows GROUP BY ALL")
 def _(spark, d):
-    path = folder(spark, "report")
+    path = shared_path(spark, "report")
     S.write_report_csv(rounded(D.metric_rows(spark, d).groupBy("sample").agg(F.count("*").alias("tiles"), F.avg("value").alias("mean")), 3), path)
     return spark.read.schema("sample string, tiles long, mean double").option("header", True).csv(path)
 

@@ -22,10 +22,17 @@ def cells(spark, d, branch="he_cell"):
     return D.detections(spark, d).filter(F.col("branch") == branch).select("slide_id", F.col("inst_id").alias("cell_id"), "ring")
 
 
-def octagons(spark, d):
-    """Rings with the corners cut by three pixels."""
-    c = [("xmin", 3, "ymin", 0), ("xmax", -3, "ymin", 0), ("xmax", 0, "ymin", 3), ("xmax", 0, "ymax", -3), ("xmax", -3, "ymax", 0), ("xmin", 3, "ymax", 0), ("xmin", 0, "ymax", -3), ("xmin", 0, "ymin", 3)]
-    return D.detections(spark, d).withColumn("ring", F.array(*[F.struct((F.col(x) + dx).cast("double").alias("x"), (F.col(y) + dy).cast("double").alias("y")) for x, dx, y, dy in c]))
+def octagons(spark, d, cut=3):
+    """Rings with the corners cut, by three pixels if not told otherwise."""
+    c = [("xmin", 1, "ymin", 0), ("xmax", -1, "ymin", 0), ("xmax", 0, "ymin", 1), ("xmax", 0, "ymax", -1), ("xmax", -1, "ymax", 0), ("xmin", 1, "ymax", 0), ("xmin", 0, "ymax", -1), ("xmin", 0, "ymin", 1)]
+    return D.detections(spark, d).withColumn("ring", F.array(*[F.struct((F.col(x) + dx * cut).cast("double").alias("x"), (F.col(y) + dy * cut).cast("double").alias("y")) for x, dx, y, dy in c]))
+
+
+def dented(spark, d):
+    """Rings with a dent of 1 to 11 pixels in the lower side; one in three goes through its points crosswise."""
+    at = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    a, b, c, dent, e = at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("(xmin + xmax) / 2", "ymax - 1 - inst_id % 11"), at("xmin", "ymax")
+    return D.detections(spark, d).withColumn("ring", F.when(F.expr("inst_id % 3 = 0"), F.array(a, c, b, dent, e)).otherwise(F.array(a, b, c, dent, e)))
 
 
 @query("f1_ring_measures", """SELECT inst_id, (w*h - 18)::DOUBLE AS area, round(2*(w-6) + 2*(h-6) + 4*sqrt(18.0::DOUBLE), 6) AS perimeter,
@@ -35,9 +42,9 @@ def _(spark, d):
     return rounded(octagons(spark, d).select("inst_id", G.area(r).alias("area"), G.perimeter(r).alias("perimeter"), G.circularity(r).alias("circularity"), F.size(G.closed(r)).alias("closed_points"), F.size(G.box_ring()).alias("box_points"), (F.col("xmax") - F.col("xmin")).cast("double").alias("box_width"), (F.col("ymax") - F.col("ymin")).cast("double").alias("box_height")), 6)
 
 
-@query("f6_solidity")
+@query("f6_solidity", "SELECT inst_id, round(1 - (1 + inst_id % 11) / (2.0::DOUBLE * (ymax - ymin)), 9) AS solidity FROM detections WHERE inst_id % 3 <> 0")
 def _(spark, d):
-    return rounded(with_ring_value(octagons(spark, d).select("inst_id", "ring"), "solidity", lambda p: abs(signed_area(p)) / (hull_area(p) or 1.0)).drop("ring"))
+    return rounded(with_ring_value(dented(spark, d).filter("inst_id % 3 <> 0").select("inst_id", "ring"), "solidity", lambda p: abs(signed_area(p)) / (hull_area(p) or 1.0)).drop("ring"))
 
 
 @query("f7_eccentricity", """WITH pt AS (SELECT inst_id, unnest([xmin+3, xmax-3, xmax, xmax, xmax-3, xmin+3, xmin, xmin])::DOUBLE AS x, unnest([ymin, ymin, ymin+3, ymax-3, ymax, ymax, ymax-3, ymin+3])::DOUBLE AS y FROM detections),
@@ -47,9 +54,9 @@ def _(spark, d):
     return octagons(spark, d).select("inst_id", F.round(G.eccentricity(F.col("ring")), 3).alias("eccentricity"))
 
 
-@query("f8_simplify")
+@query("f8_simplify", "SELECT inst_id, CASE WHEN inst_id % 11 + 1 > 4 THEN 5 ELSE 4 END AS points FROM detections WHERE inst_id % 3 <> 0")
 def _(spark, d):
-    return with_ring_value(octagons(spark, d).select("inst_id", "ring"), "points", lambda p: len(simplify(p, 4.0)), "int").drop("ring")
+    return with_ring_value(dented(spark, d).filter("inst_id % 3 <> 0").select("inst_id", "ring"), "points", lambda p: len(simplify(p, 4.0)), "int").drop("ring")
 
 
 @query("f9_rounded_ring", "SELECT inst_id, round_even(xmin / 8.0::DOUBLE, 1) AS x0, round_even(ymin / 8.0::DOUBLE, 1) AS y0 FROM detections")
@@ -57,14 +64,20 @@ def _(spark, d):
     return D.detections(spark, d).withColumn("ring", G.rounded_ring(G.scaled(F.col("ring"), 0.125), 1)).select("inst_id", F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0"))
 
 
-@query("f10_thinned_ring")
+THINNED = """WITH RECURSIVE pts AS (SELECT inst_id, [xmin+c, xmax-c, xmax, xmax, xmax-c, xmin+c, xmin, xmin] AS xs, [ymin, ymin, ymin+c, ymax-c, ymax, ymax, ymax-c, ymin+c] AS ys FROM (SELECT *, 3 + inst_id % 3 AS c FROM detections)),
+walk AS (SELECT inst_id, 1 AS k, 1 AS last, 1 AS n, xs, ys FROM pts
+  UNION ALL SELECT inst_id, k + 1, CASE WHEN far THEN k + 1 ELSE last END, n + far::INT, xs, ys FROM (SELECT *, pow(xs[k+1] - xs[last], 2) + pow(ys[k+1] - ys[last], 2) > 25 AS far FROM walk WHERE k < 8))
+SELECT inst_id, CASE WHEN n >= 4 THEN n ELSE 8 END AS points FROM walk WHERE k = 8"""
+
+
+@query("f10_thinned_ring", THINNED)
 def _(spark, d):
-    return octagons(spark, d).select("inst_id", F.size(G.thinned(F.col("ring"), 5.0)).alias("points"))
+    return octagons(spark, d, 3 + F.col("inst_id") % 3).select("inst_id", F.size(G.thinned(F.col("ring"), 5.0)).alias("points"))
 
 
-@query("f11_valid_rings")
+@query("f11_valid_rings", "SELECT inst_id, inst_id % 3 <> 0 AS valid FROM detections")
 def _(spark, d):
-    return with_ring_value(octagons(spark, d).select("inst_id", "ring"), "valid", lambda p: bool(is_simple(p)), "boolean").drop("ring")
+    return with_ring_value(dented(spark, d).select("inst_id", "ring"), "valid", lambda p: bool(is_simple(p)), "boolean").drop("ring")
 
 
 @query("j1_bbox_pairs", PAIRS + "SELECT slide_id, branch, a_id, b_id FROM pr")
@@ -119,12 +132,42 @@ def links(spark, d, t):
     return p.filter(P.iou(p) >= t)
 
 
-@query("d1_dedupe_iou")
+def kept_sql(links, n, order="node"):
+    """SQL tables of the objects that a scan in order keeps (n_kept): those linked with none that was kept before. Each
+    connected part is walked for itself."""
+    return f""", {n}_both AS MATERIALIZED (SELECT a_id AS node, b_id AS other, a_area AS area FROM {links} UNION SELECT b_id, a_id, b_area FROM {links}),
+{n}_reach AS (SELECT DISTINCT node, node AS root FROM {n}_both UNION SELECT e.other, w.root FROM {n}_reach w JOIN {n}_both e ON w.node = e.node WHERE e.other > w.root),
+{n}_order AS MATERIALIZED (SELECT node, part, others, area, row_number() OVER (PARTITION BY part ORDER BY {order}) AS r
+  FROM (SELECT node, min(root) AS part FROM {n}_reach GROUP BY node) JOIN (SELECT node, area, list(other) AS others FROM {n}_both GROUP BY ALL) USING (node)),
+{n}_walk AS (SELECT part, 0::BIGINT AS r, []::BIGINT[] AS kept FROM {n}_order WHERE r = 1
+  UNION ALL SELECT part, o.r, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, node) END FROM {n}_walk w JOIN {n}_order o USING (part) WHERE o.r = w.r + 1),
+{n}_kept AS MATERIALIZED (SELECT unnest(k) AS node FROM (SELECT arg_max(kept, r) AS k FROM {n}_walk GROUP BY part))"""
+
+
+def rounds_sql(rounds):
+    """SQL tables of the scan in id order, so many times: seeds own what they are first to reach, and of each cluster the
+    largest stays (ties: the seed, then the lower id). gone: what was removed."""
+    text = ""
+    for k in range(rounds):
+        n = f"s{k}"
+        text += kept_sql(f"l{k}", n) + f""",
+{n}_own AS (SELECT o.node, o.area, min(k.node) AS seed FROM {n}_order o JOIN {n}_both b ON b.node = o.node JOIN {n}_kept k ON b.other = k.node WHERE o.node NOT IN (SELECT node FROM {n}_kept) AND k.node < o.node GROUP BY ALL),
+{n}_members AS (SELECT seed, node, area, 0 AS is_seed FROM {n}_own UNION ALL SELECT DISTINCT seed, o.node, o.area, 1 FROM {n}_own w JOIN {n}_order o ON w.seed = o.node),
+{n}_gone AS MATERIALIZED (SELECT DISTINCT node FROM (SELECT node FROM {n}_members QUALIFY row_number() OVER (PARTITION BY seed ORDER BY area DESC, is_seed DESC, node) > 1)),
+l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} WHERE a_id NOT IN (SELECT node FROM {n}_gone) AND b_id NOT IN (SELECT node FROM {n}_gone))"""
+    return text + ", gone AS (" + " UNION ".join(f"SELECT node FROM s{k}_gone" for k in range(rounds)) + ")"
+
+
+SCANS = PAIRS.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("d1_dedupe_iou", SCANS + ", l0 AS MATERIALIZED (SELECT * FROM pr WHERE shared / (a_area + b_area - shared) >= 0.5)" + rounds_sql(5) + " SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM gone)")
 def _(spark, d):
     return P.dedupe_iou(D.detections(spark, d), K).select("inst_id")
 
 
-@query("d2_dedupe_containment")
+@query("d2_dedupe_containment", SCANS + """, edge AS (SELECT inst_id FROM detections WHERE xmin % 512 >= 256),
+l0 AS MATERIALIZED (SELECT * FROM pr WHERE shared / least(a_area, b_area) > 0.5 AND a_id IN (SELECT inst_id FROM edge) AND b_id IN (SELECT inst_id FROM edge))""" + rounds_sql(20) + " SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM gone)")
 def _(spark, d):
     det = D.detections(spark, d).withColumn("edge", F.when(F.expr("xmin % 512 < 256"), 0).otherwise(1))
     return P.dedupe_containment(det, K).select("inst_id")
@@ -136,7 +179,8 @@ def _(spark, d):
     return P.local_maxima(D.detections(spark, d), links(spark, d, 0.3)).select("inst_id")
 
 
-@query("d3_suppress")
+@query("d3_suppress", SCANS + ", l AS MATERIALIZED (SELECT * FROM pr WHERE shared / (a_area + b_area - shared) >= 0.3::DOUBLE)" + kept_sql("l", "s", "area DESC, node") + """
+SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM s_order) OR inst_id IN (SELECT node FROM s_kept)""")
 def _(spark, d):
     return P.suppress(D.detections(spark, d), links(spark, d, 0.3)).select("inst_id")
 

@@ -23,6 +23,21 @@ def grid(spark, d):
     return t.withColumn("tissue_pct", F.when((F.col("slide_id") + F.col("tile_row") * 3 + F.col("tile_col") * 5) % 4 == 0, 0.5).otherwise(0.0))
 
 
+# Connected parts: runs of a row are linked with those of the rows next to it, and each part's least run is followed.
+RUNS = """WITH RECURSIVE fg AS (SELECT tile_id, y, x, x - row_number() OVER (PARTITION BY tile_id, y ORDER BY x) AS k FROM label_pixels WHERE %(mask)s),
+{n}row_runs AS MATERIALIZED (SELECT tile_id, y, min(x) AS a, max(x) AS b, y * 16 + min(x) AS id, count(*) AS n FROM fg GROUP BY tile_id, y, k),
+{n}near AS MATERIALIZED (SELECT s.tile_id, s.id, t.id AS other FROM {n}row_runs s JOIN {n}row_runs t ON s.tile_id = t.tile_id AND abs(s.y - t.y) = 1 AND s.a <= t.b + %(reach)s AND t.a <= s.b + %(reach)s),
+{n}reach AS (SELECT tile_id, id, id AS root FROM {n}row_runs UNION SELECT w.tile_id, e.other, w.root FROM {n}reach w JOIN {n}near e ON w.tile_id = e.tile_id AND w.id = e.id WHERE e.other > w.root),
+{n}parts AS (SELECT tile_id, root, sum(n)::BIGINT AS area FROM {n}row_runs JOIN (SELECT tile_id, id, min(root) AS root FROM {n}reach GROUP BY ALL) USING (tile_id, id) GROUP BY ALL),
+{n}labelled AS (SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY root) AS label, area FROM {n}parts)
+"""
+
+
+def parts_sql(mask, connectivity=4, n=""):
+    text = RUNS.replace("{n}", n).replace("fg", f"{n}fg") % {"mask": mask, "reach": 1 if connectivity == 8 else 0}
+    return text if not n else text.replace("WITH RECURSIVE ", ", ", 1)
+
+
 PLAN = """WITH s0 AS (SELECT *, greatest(ceil((height - 64) / 448.0), 1)::INT AS n_h, greatest(ceil((width - 64) / 448.0), 1)::INT AS n_w FROM slides),
 s1 AS (SELECT *, unnest(range(n_h)) AS tile_row FROM s0), s2 AS (SELECT *, unnest(range(n_w)) AS tile_col FROM s1),
 plan AS (SELECT *, greatest(least(tile_row*448, height-512), 0) AS y1, greatest(least(tile_col*448, width-512), 0) AS x1, least(greatest(least(tile_row*448, height-512), 0)+512, height) AS y2, least(greatest(least(tile_col*448, width-512), 0)+512, width) AS x2 FROM s2)
@@ -79,13 +94,13 @@ def _(spark, d):
     return rounded(T.with_tile_value(T.packed_tiles(channels(spark, d).filter("channel = 0"), K, "value", 16), "tissue_pct", 16, T.tissue_share))
 
 
-@query("i21_connected_components")
+@query("i21_connected_components", parts_sql("pred_label > 0", 8) + "SELECT * FROM labelled")
 def _(spark, d):
     packed = T.packed_tiles(D.label_pixels(spark, d), K, "pred_label", 16)
     return T.connected_labels(packed, 16, 8).groupBy("tile_id", "label").agg(F.count("*").alias("area"))
 
 
-@query("i22_remove_small_objects")
+@query("i22_remove_small_objects", parts_sql("pred_label > 0") + "SELECT * FROM labelled WHERE area >= 10")
 def _(spark, d):
     packed = T.packed_tiles(D.label_pixels(spark, d), K, "pred_label", 16)
     return T.connected_labels(packed, 16, 4, min_size=10).groupBy("tile_id", "label").agg(F.count("*").alias("area"))
@@ -147,7 +162,8 @@ def _(spark, d):
     return T.merge_type_channels(both, K)
 
 
-@query("i25_two_class_instances")
+@query("i25_two_class_instances", parts_sql("gt_label > 0") + parts_sql("gt_label = 0 AND pred_label > 0", n="other_") + """SELECT tile_id, label, 'positive' AS class, area FROM labelled
+UNION ALL SELECT tile_id, label + coalesce(most, 0), 'negative', area FROM other_labelled LEFT JOIN (SELECT tile_id, max(label) AS most FROM labelled GROUP BY ALL) USING (tile_id)""")
 def _(spark, d):
     p = D.label_pixels(spark, d)
     pos = T.connected_labels(T.packed_tiles(p, K, "gt_label", 16), 16)
