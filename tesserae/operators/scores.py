@@ -6,10 +6,11 @@ Background is label 0. keys name the columns that tell tiles apart.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,24 +136,36 @@ def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flip else pairs
 
 
-def _per_tile(pairs: DataFrame, keys: Sequence[str], choose) -> DataFrame:
-    return pairs.groupBy(*keys).applyInPandas(choose, pairs.schema)
+def _packed(pairs: DataFrame, keys: Sequence[str], pair: Column) -> DataFrame:
+    """keys and pairs_: the pairs of each tile in order; a tile bounds the group."""
+    return pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("pairs_"))
 
 
 def assigned(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The overlapping pairs of the assignment of largest total IoU. Pairs that are each other's only partner need no solver."""
     alone = pairs.withColumn("dg_", F.count("*").over(_window(keys, "g"))).withColumn("dp_", F.count("*").over(_window(keys, "p")))
     easy = alone.filter("dg_ = 1 AND dp_ = 1").drop("dg_", "dp_")
+    rest = [c for c in pairs.columns if c not in keys]
+    hard = _packed(alone.filter("dg_ > 1 OR dp_ > 1"), keys, F.struct("g", "p", *[c for c in rest if c not in ("g", "p")]))
 
-    def choose(tile: pd.DataFrame) -> pd.DataFrame:
-        gs, ps = tile["g"].unique(), tile["p"].unique()
+    def solve(g: np.ndarray, p: np.ndarray, iou: np.ndarray) -> list[int]:
+        (gs, row), (ps, col) = np.unique(g, return_inverse=True), np.unique(p, return_inverse=True)
         weight = np.zeros((len(gs), len(ps)))
-        row, col = pd.Index(gs).get_indexer(tile["g"]), pd.Index(ps).get_indexer(tile["p"])
-        weight[row, col] = tile["iou"]
+        weight[row, col] = iou
         chosen = set(best_assignment(weight))
-        return tile[[(a, b) in chosen for a, b in zip(row, col, strict=True)]]
+        return [k for k, pair in enumerate(zip(row.tolist(), col.tolist(), strict=True)) if pair in chosen]
 
-    return easy.unionByName(_per_tile(alone.filter("dg_ > 1 OR dp_ > 1").drop("dg_", "dp_"), keys, choose))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("pairs_")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int)
+            g, p, iou = (pc.struct_field(lists.flatten(), c).to_numpy(zero_copy_only=False) for c in ("g", "p", "iou"))
+            kept = [solve(g[a:b], p[a:b], iou[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], names=[*batch.schema.names, "kept_"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hard.schema.fields)
+    solved = hard.mapInArrow(run, f"{kinds}, kept_ array<int>")
+    return easy.unionByName(solved.select(*keys, F.inline(F.transform("kept_", lambda k: F.get("pairs_", k)))))
 
 
 def _window(keys: Sequence[str], *more: str):
@@ -161,20 +174,19 @@ def _window(keys: Sequence[str], *more: str):
     return Window.partitionBy(*keys, *more)
 
 
-def greedy_matches(pairs: DataFrame, keys: Sequence[str], least_iou: float = 0.0, consume: bool = True) -> DataFrame:
+def greedy_matches(pairs: DataFrame, keys: Sequence[str], least_iou: float = 0.0) -> DataFrame:
     """By ascending true label, each takes the free prediction of best IoU (ties: the lower label), if it reaches
-    least_iou; with consume, a prediction below it is not used up."""
-
-    def choose(tile: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, own in tile.sort_values(["g", "iou", "p"], ascending=[True, False, True]).groupby("g", sort=True):
-            free = own[~own["p"].isin(used)]
-            if len(free) and free["iou"].iloc[0] >= least_iou:
-                used.add(free["p"].iloc[0])
-                keep.append(free.index[0])
-        return tile.loc[keep]
-
-    return _per_tile(pairs, keys, choose)
+    least_iou; a prediction below it is not used up."""
+    rest = [c for c in pairs.columns if c not in keys]
+    tiles = _packed(pairs.filter(F.col("iou") >= least_iou), keys, F.struct("g", (-F.col("iou")).alias("rank_"), "p", *[c for c in rest if c not in ("g", "p")]))
+
+    def step(taken: Column, pair: Column) -> Column:
+        free = F.coalesce(F.element_at(taken, -1)["g"] != pair["g"], F.lit(True)) & ~F.exists(taken, lambda t: t["p"] == pair["p"])
+        return F.when(free, F.concat(taken, F.array(pair))).otherwise(taken)
+
+    # The first pair is always taken.
+    taken = F.aggregate(F.slice("pairs_", F.lit(2), F.size("pairs_")), F.slice("pairs_", 1, 1), step)
+    return tiles.select(*keys, F.inline(taken)).drop("rank_").select(*pairs.columns)
 
 
 def aggregated_jaccard(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polygons import as_array, hull_area, is_simple, signed_area, simplify, with_ring_value
+from ..functions.polygons import as_array, hull_area, signed_area, simplify, with_ring_value
 from ..operators import spatial as P
 from ..operators.scores import rounded
 from ..sources import derived as D
@@ -77,7 +77,7 @@ def _(spark, d):
 
 @query("f11_valid_rings", "SELECT inst_id, inst_id % 3 <> 0 AS valid FROM detections")
 def _(spark, d):
-    return with_ring_value(dented(spark, d).select("inst_id", "ring"), "valid", lambda p: bool(is_simple(p)), "boolean").drop("ring")
+    return P.measured_rings(dented(spark, d).select("inst_id", "ring")).select("inst_id", F.col("simple_").alias("valid"))
 
 
 @query("j1_bbox_pairs", PAIRS + "SELECT slide_id, branch, a_id, b_id FROM pr")
