@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW as ITEM_WINDOW
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
 from .quality import BASE, RULES, STRICT
 from .substrings import WINDOW as WORD_WINDOW
 
@@ -27,6 +28,34 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
 
 
+def _rows(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('" + "', '".join(v.replace("'", "''") for v in r) + "')" for r in rows)
+
+
+def _lettered(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{LETTERED}')"
+
+
+#: A block is a line (c = 0) or 2 c words from a multiple of c, c the least power of two not below a template's words.
+LICENSES = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_lettered("coalesce(text, '')")} AS w FROM documents),
+phrases AS MATERIALIZED (SELECT label, len(u) AS z, array_to_string(u, ' ') AS g FROM (SELECT *, {_lettered("phrase")} AS u FROM (VALUES {_rows(list(PHRASES))}) v(phrase, label))),
+grams AS (SELECT r, i - 1 AS place, array_to_string(list_slice(w, i, i + z - 1), ' ') AS g FROM (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM d, (SELECT DISTINCT z FROM phrases) WHERE len(w) >= z)),
+base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS b, list_sort(list(DISTINCT label)) AS labels FROM grams JOIN phrases USING (g) GROUP BY r),
+t0 AS (SELECT DISTINCT label, list_sort(list_distinct(w)) AS tokens, CAST(pow(2, ceil(log2(len(w)))) AS BIGINT) AS c FROM (SELECT label, {_lettered("notice")} AS w FROM (VALUES {_rows([(k, x) for k, xs in TEMPLATES.items() for x in xs])}) v(label, notice))),
+t AS (SELECT row_number() OVER () AS k, label, c, len(tokens) AS size, ceil({THRESHOLD} * len(tokens) - 1e-9) AS need, tokens FROM t0),
+wanted AS MATERIALIZED (SELECT k, c, unnest(tokens) AS w FROM t),
+units AS (SELECT r, place, w[place + 1] AS w FROM (SELECT r, w, unnest(range(0, len(w))) AS place FROM d)),
+lines AS (SELECT r, line, unnest({_lettered("l[line]")}) AS w FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS line FROM (SELECT r, string_split(text, chr(10)) AS l FROM d))),
+blocks AS (SELECT DISTINCT r, 0 AS kind, line AS block, k, w FROM lines JOIN wanted USING (w)
+  UNION SELECT r, 1, block, k, w FROM (SELECT r, unnest([place // c, place // c - 1]) AS block, k, w FROM units JOIN wanted USING (w)) WHERE block >= 0),
+hits AS (SELECT r, label, share FROM (SELECT r, kind, block, k, count(*) AS n FROM blocks GROUP BY ALL) JOIN (SELECT k, label, need, size FROM t) USING (k), LATERAL (SELECT n / size AS share) WHERE n >= need),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS best FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels, CAST(CASE WHEN n > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN found USING (r)
+"""
+
 SUBSTRINGS = f"""
 WITH u AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
 windows AS (SELECT doc_id, i, list_slice(w, i, i + {WORD_WINDOW - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WORD_WINDOW} + 2)) AS i FROM u WHERE len(w) >= {WORD_WINDOW})),

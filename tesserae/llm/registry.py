@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE = {
     "op1_url_filters": url_filter.ORACLE,
     "op3_decontamination": oracle.DECONTAMINATION,
+    "op4_license_scans": oracle.LICENSES,
     "op6_quality_rules": oracle.QUALITY,
     "op10_substring_dedup": oracle.SUBSTRINGS,
     "quality_ablations": oracle.ABLATIONS,
