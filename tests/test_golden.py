@@ -195,6 +195,26 @@ def test_registry_falls_back_to_latin(spark, tmp_path):
     assert (r["dataset"], r["organ"]) == ("A", "Utérus")
 
 
+def test_tiles_by_count_with_missing_counts(spark):
+    rows = spark.createDataFrame([(1, 5, 0), (2, 3, 3), (3, None, None), (4, None, 9)], "tile_id long, a long, b long")
+    ids = lambda df: sorted(r["tile_id"] for r in df.collect())
+    assert ids(corpus.filter_tiles_by_count(rows, counts=("a", "b"))) == [1, 2, 3, 4]
+    assert ids(corpus.filter_tiles_by_count(rows, 6, counts=("a", "b"))) == [2, 4]
+    assert ids(corpus.filter_tiles_by_count(rows, drop_empty=True, counts=("a", "b"))) == [2]
+
+
+def test_greedy_takes_the_free_prediction_and_optimal_the_best_sum(spark):
+    from tesserae.operators import scores
+
+    rows = [(1, 1, 1, 0.6), (1, 1, 2, 0.5), (1, 2, 1, 0.55), (1, 2, 3, 0.1), (2, 1, 1, 0.4), (2, 2, 1, 0.4), (3, 7, 7, 0.3)]
+    pairs = spark.createDataFrame(rows, "tile long, g long, p long, iou double")
+    got = lambda df: sorted((r["tile"], r["g"], r["p"]) for r in df.collect())
+    assert got(scores.greedy_matches(pairs, ["tile"])) == [(1, 1, 1), (1, 2, 3), (2, 1, 1), (3, 7, 7)]
+    assert got(scores.greedy_matches(pairs, ["tile"], 0.5)) == [(1, 1, 1)]
+    assert got(scores.assigned(pairs, ["tile"]))[:2] == [(1, 1, 2), (1, 2, 1)] and len(got(scores.assigned(pairs, ["tile"]))) == 4
+    assert not got(scores.greedy_matches(pairs.limit(0), ["tile"])) and not got(scores.assigned(pairs.limit(0), ["tile"]))
+
+
 def test_slides_by_extension(spark, tmp_path):
     for n in ("a.svs", "b.svs", "c.txt"):
         (tmp_path / n).write_text("x")
