@@ -237,11 +237,16 @@ def label_components(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
     return renumber[flat]
 
 
-def gaussian_blur(image: np.ndarray, size: int = 7) -> np.ndarray:
-    """Separable blur with reflected borders; sigma follows from the size."""
+def gaussian_kernel(size: int = 7) -> np.ndarray:
+    """Weights that add up to 1; sigma follows from the size."""
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    k /= k.sum()
+    return k / k.sum()
+
+
+def gaussian_blur(image: np.ndarray, size: int = 7) -> np.ndarray:
+    """Separable blur with reflected borders."""
+    k = gaussian_kernel(size)
     for axis in (0, 1):
         pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)]
         padded = np.pad(image, pad, mode="reflect")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.polygons import gaussian_kernel
 from ..operators import tiles as T
 from ..operators.scores import rounded
 from ..sources import derived as D
@@ -89,7 +90,21 @@ def _(spark, d):
     return T.filter_tissue_tiles(grid(spark, d), ["slide_id"], 0.25, 2).groupBy("slide_id").agg(F.count("*").alias("tiles"))
 
 
-@query("i16_tissue_fraction")
+def blur_sql(along, size=7):
+    """The same sum, in the same order, as the blur of a tile of 16 x 16 in rows (img), along y or x at place q."""
+    weights = gaussian_kernel(size).tolist()
+    at = {"y": "(15 - abs(15 - abs(q // 16 + {j}))) * 16 + q % 16", "x": "q // 16 * 16 + 15 - abs(15 - abs(q % 16 + {j}))"}[along]
+    return " + ".join(f"'{w!r}'::DOUBLE * img[1 + {at.format(j=i - size // 2)}]" for i, w in enumerate(weights))
+
+
+TISSUE = CH + f""", st AS (SELECT tile_id, avg(value) > {T.BRIGHT} AS bright, min(value) AS lo, max(value) AS hi FROM ch WHERE channel = 0 GROUP BY ALL),
+i0 AS (SELECT tile_id, bright, hi - lo <= {T.NOISE_8} AS flat, list(CASE WHEN bright THEN value ELSE (value - lo) / (hi - lo) * 255 END ORDER BY y * 16 + x) AS img FROM ch JOIN st USING (tile_id) WHERE channel = 0 GROUP BY ALL),
+i1 AS (SELECT tile_id, bright, flat, list({blur_sql("y")} ORDER BY q) AS img FROM (SELECT *, unnest(range(256)) AS q FROM i0) GROUP BY ALL),
+i2 AS (SELECT tile_id, bright, flat, {blur_sql("x")} AS v FROM (SELECT *, unnest(range(256)) AS q FROM i1))
+SELECT tile_id, round(avg(CASE WHEN bright THEN (v <= {T.BRIGHT_TISSUE})::INT WHEN flat THEN 0 ELSE (v > {T.DARK_TISSUE})::INT END), 9) AS tissue_pct FROM i2 GROUP BY tile_id"""
+
+
+@query("i16_tissue_fraction", TISSUE)
 def _(spark, d):
     return rounded(T.with_tile_value(T.packed_tiles(channels(spark, d).filter("channel = 0"), K, "value", 16), "tissue_pct", 16, T.tissue_share))
 
