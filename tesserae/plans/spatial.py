@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polygons import as_array, hull_area, signed_area, simplify, with_ring_value
+from ..functions.polygons import hull_area, signed_area, simplify, with_ring_value
 from ..operators import spatial as P
 from ..operators.scores import rounded
 from ..sources import derived as D
@@ -28,11 +28,11 @@ def octagons(spark, d, cut=3):
     return D.detections(spark, d).withColumn("ring", F.array(*[F.struct((F.col(x) + dx * cut).cast("double").alias("x"), (F.col(y) + dy * cut).cast("double").alias("y")) for x, dx, y, dy in c]))
 
 
-def dented(spark, d):
-    """Rings with a dent of 1 to 11 pixels in the lower side; one in three goes through its points crosswise."""
+def dented(spark, d, crossed=False):
+    """Rings with a dent of 1 to 11 pixels in the lower side; with crossed, one in three goes through its points crosswise."""
     at = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
     a, b, c, dent, e = at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("(xmin + xmax) / 2", "ymax - 1 - inst_id % 11"), at("xmin", "ymax")
-    return D.detections(spark, d).withColumn("ring", F.when(F.expr("inst_id % 3 = 0"), F.array(a, c, b, dent, e)).otherwise(F.array(a, b, c, dent, e)))
+    return D.detections(spark, d).withColumn("ring", F.when(F.lit(crossed) & (F.col("inst_id") % 3 == 0), F.array(a, c, b, dent, e)).otherwise(F.array(a, b, c, dent, e)))
 
 
 @query("f1_ring_measures", """SELECT inst_id, (w*h - 18)::DOUBLE AS area, round(2*(w-6) + 2*(h-6) + 4*sqrt(18.0::DOUBLE), 6) AS perimeter,
@@ -42,9 +42,9 @@ def _(spark, d):
     return rounded(octagons(spark, d).select("inst_id", G.area(r).alias("area"), G.perimeter(r).alias("perimeter"), G.circularity(r).alias("circularity"), F.size(G.closed(r)).alias("closed_points"), F.size(G.box_ring()).alias("box_points"), (F.col("xmax") - F.col("xmin")).cast("double").alias("box_width"), (F.col("ymax") - F.col("ymin")).cast("double").alias("box_height")), 6)
 
 
-@query("f6_solidity", "SELECT inst_id, round(1 - (1 + inst_id % 11) / (2.0::DOUBLE * (ymax - ymin)), 9) AS solidity FROM detections WHERE inst_id % 3 <> 0")
+@query("f6_solidity", "SELECT inst_id, round(1 - (1 + inst_id % 11) / (2.0::DOUBLE * (ymax - ymin)), 9) AS solidity FROM detections")
 def _(spark, d):
-    return rounded(with_ring_value(dented(spark, d).filter("inst_id % 3 <> 0").select("inst_id", "ring"), "solidity", lambda p: abs(signed_area(p)) / (hull_area(p) or 1.0)).drop("ring"))
+    return rounded(with_ring_value(dented(spark, d).select("inst_id", "ring"), "solidity", lambda p: abs(signed_area(p)) / (hull_area(p) or 1.0)).drop("ring"))
 
 
 @query("f7_eccentricity", """WITH pt AS (SELECT inst_id, unnest([xmin+3, xmax-3, xmax, xmax, xmax-3, xmin+3, xmin, xmin])::DOUBLE AS x, unnest([ymin, ymin, ymin+3, ymax-3, ymax, ymax, ymax-3, ymin+3])::DOUBLE AS y FROM detections),
@@ -54,9 +54,9 @@ def _(spark, d):
     return octagons(spark, d).select("inst_id", F.round(G.eccentricity(F.col("ring")), 3).alias("eccentricity"))
 
 
-@query("f8_simplify", "SELECT inst_id, CASE WHEN inst_id % 11 + 1 > 4 THEN 5 ELSE 4 END AS points FROM detections WHERE inst_id % 3 <> 0")
+@query("f8_simplify", "SELECT inst_id, CASE WHEN inst_id % 11 + 1 > 4 THEN 5 ELSE 4 END AS points FROM detections")
 def _(spark, d):
-    return with_ring_value(dented(spark, d).filter("inst_id % 3 <> 0").select("inst_id", "ring"), "points", lambda p: len(simplify(p, 4.0)), "int").drop("ring")
+    return with_ring_value(dented(spark, d).select("inst_id", "ring"), "points", lambda p: len(simplify(p, 4.0)), "int").drop("ring")
 
 
 @query("f9_rounded_ring", "SELECT inst_id, round_even(xmin / 8.0::DOUBLE, 1) AS x0, round_even(ymin / 8.0::DOUBLE, 1) AS y0 FROM detections")
@@ -77,7 +77,7 @@ def _(spark, d):
 
 @query("f11_valid_rings", "SELECT inst_id, inst_id % 3 <> 0 AS valid FROM detections")
 def _(spark, d):
-    return P.measured_rings(dented(spark, d).select("inst_id", "ring")).select("inst_id", F.col("simple_").alias("valid"))
+    return P.measured_rings(dented(spark, d, crossed=True).select("inst_id", "ring")).select("inst_id", F.col("simple_").alias("valid"))
 
 
 @query("j1_bbox_pairs", PAIRS + "SELECT slide_id, branch, a_id, b_id FROM pr")
