@@ -92,3 +92,27 @@ def _ablation(policy, rule: str) -> str:
 
 
 ABLATIONS = MEASURES + " UNION ALL ".join(_ablation(p, r) for p in (BASE, STRICT) for r in p.rules)
+
+# A table of the CRC polynomial finds the tampered rows; levels of the trees and ways to the roots by recursion.
+MERKLE = """
+WITH RECURSIVE polynomials AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, n) ORDER BY n) AS t FROM range(0, 256) AS r(n)),
+crc AS (SELECT doc_id, xor(4294967295, list_reduce([ord(x) for x in string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 7 = 0 AS hit
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), polynomials),
+values_ AS (SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars, CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR) AS more FROM documents),
+hashed AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(strlen(more) || ':' || more, '-') || tail) AS changed FROM values_),
+leaves AS (SELECT row_number() OVER () AS row, h.doc_id, lang, leaf, CASE WHEN coalesce(hit, false) THEN changed ELSE leaf END AS claimed,
+  row_number() OVER (PARTITION BY lang ORDER BY h.doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed AS h LEFT JOIN crc USING (doc_id)),
+tree AS (SELECT lang, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2),
+subroots AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM tree WHERE n = 1),
+high AS (SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2),
+root AS (SELECT node AS root FROM high WHERE n = 1),
+steps AS (SELECT row, l.level AS k, (pos >> l.level) & 1 AS side, l.level, a.lang, xor(a.pos >> l.level, 1) AS beside FROM leaves AS a JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) AS l ON a.lang IS NOT DISTINCT FROM l.lang),
+low_path AS (SELECT row, list({'side': side, 'node': coalesce(node, '')} ORDER BY s.level) AS path FROM steps AS s LEFT JOIN tree AS t ON t.lang IS NOT DISTINCT FROM s.lang AND t.level = s.level AND t.pos = beside GROUP BY row),
+high_path AS (SELECT lang, list({'side': (s.pos >> l.level) & 1, 'node': coalesce(node, '')} ORDER BY l.level) AS path FROM subroots AS s CROSS JOIN (SELECT DISTINCT level FROM high WHERE n > 1) AS l LEFT JOIN high AS h ON h.level = l.level AND h.pos = xor(s.pos >> l.level, 1) GROUP BY lang),
+ways AS (SELECT a.*, subroot, root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path FROM leaves AS a JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM a.lang CROSS JOIN root LEFT JOIN low_path AS p USING (row) LEFT JOIN high_path AS q ON q.lang IS NOT DISTINCT FROM a.lang),
+folded AS (SELECT *, list_reduce([x.node || x.side for x in path], lambda h, x: sha256(CASE WHEN right(x, 1) = '1' THEN x[:-2] || h ELSE h || x[:-2] END), claimed) AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate([x.node for x in path], 'string_agg', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
