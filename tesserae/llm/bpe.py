@@ -4,7 +4,7 @@ An encoding is greedy by merge rank, yet its last token has a local test: among
 prefix exactly one, t, can follow the last token of what stands before it. Two tokens can stand side by side if undoing
 their merges from the latest on never meets a pair that would have merged across the border earlier. So one pass over a
 piece of text with an automaton that lists the tokens ending at each byte stores the last token of every prefix, and
-back-pointers from the end give the ids. The vocabulary's file is a parameter; its path must be readable on all nodes.
+back-pointers from the end give the ids. The vocabulary's file is a parameter: the driver reads it and broadcasts its bytes, whose size is that of a vocabulary.
 """
 
 from __future__ import annotations
@@ -29,6 +29,45 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CACHED, CACHED_BYTES = 400_000, 64
 
 
+LETTER, NUMBER, BLANK = 1, 2, 3
+
+
+@lru_cache(1)
+def letter_kinds() -> np.ndarray:
+    """LETTER, NUMBER, BLANK or 0 for every code point, as the pattern's classes have it."""
+    kinds = np.zeros(0x110000, np.int8)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for found in regex.finditer(pattern, text):
+            kinds[np.frombuffer(found[0].encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
+def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a piece of the pattern starts at each character of many texts, of which each starts where first is set."""
+    kind = letter_kinds()[codes]
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last blank before other characters stands alone or, if it is a space, belongs to them.
+    inner = np.flatnonzero(start[1:] & ~first[1:] & (kind[:-1] == BLANK)) + 1
+    start[inner - 1] = True
+    start[inner[codes[inner - 1] == 32]] = False
+    # An apostrophe at the start of a piece takes the ending that follows it.
+    tail = np.concatenate([codes, [0, 0, 0]])
+    border = np.concatenate([first, [True, True, True]])
+    at = np.flatnonzero(start & (codes == ord("'")))
+    at = at[~border[at + 1]]
+    one, two = tail[at + 1], np.where(border[at + 2], 0, tail[at + 2])
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for hit, size in ((short, 1), (long, 2)):
+        places = at[hit]
+        start[places + 1] = False
+        after = places + 1 + size
+        start[after[after < len(codes)]] = True
+    return start
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary's file: printable ones for themselves, the rest from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -39,9 +78,8 @@ def byte_letters() -> list[str]:
 class BytePairs:
     """Merges of a byte-level BPE vocabulary, the automaton of its tokens, and the two directions."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         vocab = spec["model"]["vocab"]
         byte = {c: b for b, c in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -145,6 +183,21 @@ class BytePairs:
             end -= len(self.bytes[last[end]])
         return out[::-1]
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_plain(), but special tokens in the texts are tokens of their own."""
+        marked = np.zeros(len(texts), bool)
+        for t in self.special:
+            marked |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.encode_plain(texts)
+        own = {k: np.frombuffer(self.encode(texts[k].as_py()), np.int32) for k in np.flatnonzero(marked).tolist()}
+        ids, counts = self.encode_plain(pc.if_else(pa.array(marked), "", texts))
+        parts, begin, done = [], np.cumsum(counts) - counts, 0
+        for k, found in own.items():
+            parts += [ids[done : begin[k]], found]
+            done, counts[k] = begin[k], len(found)
+        return np.concatenate([*parts, ids[done:]]), counts
+
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers, one after the other. Special tokens in the text are tokens of their own."""
         if self._cut and any(t in text for t in self.special):
@@ -160,6 +213,26 @@ class BytePairs:
                 out += [known[p] if p in known else self._new(p) for p in self._piece.findall(part)]
         return b"".join(out)
 
+    def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has. Special tokens in them are ordinary text; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = b"".join(texts.cast(pa.binary()).to_pylist())
+        if not data:
+            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
+        codes = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        offsets = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        first = np.zeros(len(codes), bool)
+        first[np.searchsorted(offsets, (np.cumsum(sizes) - sizes)[sizes > 0])] = True
+        starts = offsets[piece_starts(codes, first)]
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        coded = [self._known.get(p) or self._new(p) for p in words.dictionary.to_pylist()]
+        counts = np.array([len(c) // 4 for c in coded], np.int64)
+        each = words.indices.to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(counts[each])])
+        ids = np.frombuffer(b"".join(coded), np.int32)[spread((np.cumsum(counts) - counts)[each], counts[each])]
+        return ids, np.diff(total[np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))])
+
     def _new(self, piece: str) -> bytes:
         data = piece.encode()
         ids = np.array(self.encode_piece(data), np.int32).tobytes()
@@ -177,11 +250,22 @@ class BytePairs:
 
 
 @lru_cache(2)
-def load(path: str) -> BytePairs:
-    return BytePairs(path)
+def load(file: bytes) -> BytePairs:
+    return BytePairs(file)
+
+
+def file_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices starts[k], starts[k] + 1, ... of counts[k] places for each k."""
+    total = np.cumsum(counts)
+    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def _slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
+def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
     """Successive rows of about so many bytes of text, one row at least."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     row = 0
@@ -191,15 +275,13 @@ def _slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
         row = end
 
 
-def _tokenize(path: str, columns: list[str]):
+def _tokenize(file, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = load(path)
+        pairs = load(file.value)
         for batch in batches:
-            for row, end in _slices(batch.column("text")):
+            for row, end in text_slices(batch.column("text")):
                 part = batch.slice(row, end - row)
-                coded = [pairs.encode(t) if t else b"" for t in part.column("text").to_pylist()]
-                counts = np.array([len(c) // 4 for c in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), np.int32)
+                ids, counts = pairs.encode_all(part.column("text"))
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 text = pairs.decode(ids)
                 ends = np.concatenate([[0], np.cumsum(pairs.sizes[ids])])[starts]
@@ -223,7 +305,7 @@ def encode_and_decode(docs: DataFrame, path: str, keep: list[str] | None = None)
     rows = packed(docs, ["text"], keep)
     row = rows.schema["row_"].dataType.simpleString()
     columns = ["row_", "ids", "decoded"]
-    return rows.mapInArrow(_tokenize(path, columns), f"row_ {row}, ids array<int>, decoded string")
+    return rows.mapInArrow(_tokenize(docs.sparkSession.sparkContext.broadcast(file_bytes(path)), columns), f"row_ {row}, ids array<int>, decoded string")
 
 
 def default_vocabulary() -> str:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _slices
+from .bpe import file_bytes, spread, text_slices
 from .common import bound_batches, packed, table
 
 #: Fixed value: the letter that stands for a space in pieces.
@@ -35,12 +35,6 @@ def _codes(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices starts[k], starts[k] + 1, ... of counts[k] places for each k."""
-    total = np.cumsum(counts)
-    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
-
-
 def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * 31_337 + right) & ((1 << PAIR_BITS) - 1)
 
@@ -142,7 +136,7 @@ class Pieces:
         lengths = np.diff(np.append(starts, len(codes)))
         long = lengths > LONG
         if long.any():
-            at = _spread(starts[long], lengths[long])
+            at = spread(starts[long], lengths[long])
             word = np.repeat(np.arange(int(long.sum())), lengths[long])
             text, n = plain[at].astype(np.uint64), len(at)
             covered = np.zeros(n + 1, np.int64)
@@ -203,9 +197,12 @@ class Pieces:
             place = np.cumsum(stays) - 1
             sym, word, rank = sym[stays], word[stays], rank[stays]
             new = place[at]
-            changed = np.union1d(new, np.maximum(new - 1, 0))
-            rank[changed] = NONE
-            changed = changed[changed + 1 < len(sym)]
+            touched = np.zeros(len(sym), bool)
+            touched[new] = True
+            touched[np.maximum(new - 1, 0)] = True
+            rank[touched] = NONE
+            touched[-1] = False
+            changed = np.flatnonzero(touched)
             changed = changed[word[changed] == word[changed + 1]]
             rank[changed] = self._rank(sym[changed], sym[changed + 1])
         if not done:
@@ -256,11 +253,11 @@ class Pieces:
         places = (np.cumsum(counts) - counts)[each]
         total = np.concatenate([[0], np.cumsum(counts[each])])
         of_text = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        return ids[_spread(places, counts[each])], np.diff(total[of_text])
+        return ids[spread(places, counts[each])], np.diff(total[of_text])
 
     def raw(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after the other, as they stand."""
-        return self.blob[_spread(self.begins[ids], self.sizes[ids])]
+        return self.blob[spread(self.begins[ids], self.sizes[ids])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of any ids: one space in front is dropped, control pieces vanish, bytes that are no UTF-8 are replaced."""
@@ -317,7 +314,7 @@ def _encode(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model.value)
         for batch in batches:
-            for row, end in _slices(batch.column("text")):
+            for row, end in text_slices(batch.column("text")):
                 part = batch.slice(row, end - row)
                 ids, counts = pieces.encode(part.column("text"))
                 starts = np.concatenate([[0], np.cumsum(counts)])
@@ -328,11 +325,6 @@ def _encode(model, columns: list[str]):
     return run
 
 
-def file_bytes(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
-
-
 def encode_and_decode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
     """row_ (a struct of the kept columns, all by default), ids (an array of ints) and decoded, the text of the ids.
 

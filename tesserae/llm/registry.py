@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, licenses, merkle, oracle, pieces, quality, secrets, simhash, substrings, suffixes, url_filter
+from . import align, bpe, decontaminate, language, licenses, merkle, oracle, pieces, quality, secrets, simhash, substrings, suffixes, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_token_alignment": align.op12_token_alignment,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "quality_ablations": quality.quality_ablations,
 }

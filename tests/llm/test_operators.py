@@ -447,7 +447,7 @@ def test_components_of_a_long_path(spark):
 
 @pytest.fixture(scope="module")
 def pairs():
-    return bpe.load(bpe.default_vocabulary())
+    return bpe.load(bpe.file_bytes(bpe.default_vocabulary()))
 
 
 def test_bpe_equals_the_library(pairs, small):
