@@ -9,6 +9,7 @@ walked as one, since a text's end is an end of both.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from . import bpe, pieces
 from .bpe import file_bytes, spread, text_slices
 from .common import bound_batches, packed, table, written
 
+#: Bytes of text that are aligned at once.
+SLICE = 1 << 20
 #: Bits of an id within the number of a pair.
 ID_BITS = 20
 #: Groups of more links are counted by distinct ids, one by one.
@@ -28,15 +31,44 @@ LARGE = 256
 HOT = 1 << 16
 
 
+class ByteMerges:
+    """The byte-level vocabulary as merges of bytes, all distinct pieces of many texts at a time."""
+
+    def __init__(self, pairs: bpe.BytePairs):
+        keys, made = np.array([a << 32 | b for a, b in pairs.merged], np.int64), np.array([*pairs.merged.values()])
+        self.merges = pieces.Merges(keys, np.array(pairs.rank)[made], made)
+        self.byte = np.zeros(256, np.int32)
+        for i, b in enumerate(pairs.bytes):
+            if len(b) == 1 and pairs.rank[i] < 0:
+                self.byte[b[0]] = i
+        self.raw, self.known = pairs.decode, pieces.Known()
+        self.sizes = pairs.sizes
+
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        data = [w.encode() for w in words]
+        sizes = np.array([len(d) for d in data], np.int64)
+        ids, word = self.merges.merge(self.byte[np.frombuffer(b"".join(data), np.uint8)], np.repeat(np.arange(len(words)), sizes))
+        return pieces.by_word(ids, word, len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has. Special tokens in them are ordinary text."""
+        return bpe.encode_words(texts, bpe.piece_starts, lambda words: self.known.of(words.to_pylist(), self._encode_new))
+
+
+@lru_cache(2)
+def load(file: bytes) -> ByteMerges:
+    return ByteMerges(bpe.BytePairs(file))
+
+
 def runs(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First tokens of both sides and number of groups, for each stretch of one-to-one groups or, with number 1, each irregular
     group, of which the last tokens stand for the first. a and b are ascending and end alike."""
-    left, right, many = [], [], []
+    out: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
         k, step = 0, 1
-        while a[i + k] == b[j + k] and a[i + k : i + k + step] == b[j + k : j + k + step]:
+        while a[i + k : i + k + step] == b[j + k : j + k + step]:
             k += step
             step *= 2
             if i + k >= n or j + k >= m:
@@ -47,9 +79,7 @@ def runs(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray
                 if a[i + k : i + k + step] == b[j + k : j + k + step]:
                     k += step
             k = min(k, n - i, m - j)
-            left.append(i)
-            right.append(j)
-            many.append(k)
+            out += (i, j, k)
             i += k
             j += k
             if i >= n:
@@ -62,12 +92,11 @@ def runs(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             else:
                 j += 1
                 y = b[j]
-        left.append(i)
-        right.append(j)
-        many.append(1)
+        out += (i, j, 1)
         i += 1
         j += 1
-    return np.array(left, np.int64), np.array(right, np.int64), np.array(many, np.int64)
+    left, right, many = np.array(out, np.int64).reshape(-1, 3).T
+    return left, right, many
 
 
 def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +153,23 @@ def _written_groups(digits, a, b, ends_a, ends_b, last: np.ndarray) -> tuple[np.
     return rows[kept], np.concatenate([[0], np.cumsum(kept.sum(1))])
 
 
-def align_texts(pairs: bpe.BytePairs, model: pieces.Pieces, texts: pa.Array, digits) -> dict[str, pa.Array]:
-    """n_a, n_b, n_groups, n_links, groups and links of each text."""
+def align_texts(pairs: ByteMerges, model: pieces.Pieces, texts: pa.Array, digits) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+    """Successive rows of texts with n_a, n_b, n_groups, n_links, groups and links of each: encoded together, aligned about SLICE bytes at a time."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    led = pc.if_else(pa.array(full), pc.binary_join_element_wise(" ", texts, ""), "")
-    a, count_a = pairs.encode_plain(led)
-    b, count_b = model.encode(texts)
-    sizes = pc.binary_length(led).to_numpy(zero_copy_only=False).astype(np.int64)
+    led = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    coded = [pairs.encode(led), model.encode(texts)]
+    before = [np.concatenate([[0], np.cumsum(counts)]) for _, counts in coded]
+    for row, end in text_slices(led, SLICE):
+        sides = [(ids[at[row] : at[end]], counts[row:end]) for (ids, counts), at in zip(coded, before, strict=True)]
+        yield row, end, _align_slice(pairs, model, led.slice(row, end - row), *sides, digits)
+
+
+def _align_slice(pairs: ByteMerges, model: pieces.Pieces, texts: pa.Array, side_a, side_b, digits) -> dict[str, pa.Array]:
+    (a, count_a), (b, count_b) = side_a, side_b
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = sizes > 0
     size_a, size_b = pairs.sizes[a], model.sizes[b]
-    data, raw_a, raw_b = b"".join(led.cast(pa.binary()).to_pylist()), pairs.decode(a).tobytes(), model.raw(b).tobytes()
+    data, raw_a, raw_b = b"".join(texts.cast(pa.binary()).to_pylist()), pairs.raw(a).tobytes(), model.raw(b).tobytes()
     fits = full.copy()
     if raw_a != data or raw_b != data:
         at = [np.concatenate([[0], np.cumsum(x)]) for x in (sizes, _per_text(size_a, count_a), _per_text(size_b, count_b))]
@@ -169,13 +205,14 @@ def _per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _align(file, model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, piece_model = bpe.load(file.value), pieces.load(model.value)
-        digits = _digits(max(len(pairs.bytes), piece_model.size))
+        pairs, piece_model = load(file.value), pieces.load(model.value)
+        digits = _digits(max(len(pairs.sizes), piece_model.size))
         for batch in batches:
             for row, end in text_slices(batch.column("text")):
                 part = batch.slice(row, end - row)
-                made = align_texts(pairs, piece_model, part.column("text"), digits)
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in columns], names=columns)
+                for first, last, made in align_texts(pairs, piece_model, part.column("text"), digits):
+                    rows = part.slice(first, last - first)
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in columns], names=columns)
 
     return run
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -99,7 +99,8 @@ class BytePairs:
             self.merged[left, right] = i
             if self.rank[i] < 0:
                 self.left[i], self.right[i], self.rank[i] = left, right, r
-        self._automaton([i for token, i in vocab.items() if token not in self.special])
+        self._plain = [i for token, i in vocab.items() if token not in self.special]
+        self.next: dict[int, int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._known: dict[str, bytes] = {}
         self._piece = regex.compile(PIECES)
@@ -110,7 +111,6 @@ class BytePairs:
 
     def _automaton(self, ids: list[int]) -> None:
         """next state by state * 256 + byte; token of a state or -1; the nearest suffix state that is a token, or 0."""
-        self.next: dict[int, int] = {}
         self.token, self.shorter, fail = [-1], [0], [0]
         for i in ids:
             s = 0
@@ -162,6 +162,8 @@ class BytePairs:
                 limit, b = rank[b] + 1, self.left[b]
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        if not self.next:
+            self._automaton(self._plain)
         step, fail, token, shorter = self.next, self.fail, self.token, self.shorter
         last, s = [-1] * (len(piece) + 1), 0
         for end, b in enumerate(piece, 1):
@@ -215,23 +217,7 @@ class BytePairs:
 
     def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. Special tokens in them are ordinary text; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = b"".join(texts.cast(pa.binary()).to_pylist())
-        if not data:
-            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
-        codes = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
-        offsets = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        first = np.zeros(len(codes), bool)
-        first[np.searchsorted(offsets, (np.cumsum(sizes) - sizes)[sizes > 0])] = True
-        starts = offsets[piece_starts(codes, first)]
-        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
-        coded = [self._known.get(p) or self._new(p) for p in words.dictionary.to_pylist()]
-        counts = np.array([len(c) // 4 for c in coded], np.int64)
-        each = words.indices.to_numpy(zero_copy_only=False)
-        total = np.concatenate([[0], np.cumsum(counts[each])])
-        ids = np.frombuffer(b"".join(coded), np.int32)[spread((np.cumsum(counts) - counts)[each], counts[each])]
-        return ids, np.diff(total[np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))])
+        return encode_words(texts, piece_starts, lambda words: [self._known.get(p) or self._new(p) for p in words.to_pylist()])
 
     def _new(self, piece: str) -> bytes:
         data = piece.encode()
@@ -265,6 +251,28 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
 
 
+def encode_words(texts: pa.Array, cut: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[pa.Array], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and how many each has. cut tells where words start, given code points and where texts
+    start; encode gets the distinct words and gives each one's ids as 32-bit integers. Null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = b"".join(texts.cast(pa.binary()).to_pylist())
+    if not data:
+        return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
+    codes = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    offsets = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    first = np.zeros(len(codes), bool)
+    first[np.searchsorted(offsets, (np.cumsum(sizes) - sizes)[sizes > 0])] = True
+    starts = offsets[cut(codes, first)]
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+    coded = encode(words.dictionary)
+    counts = np.array([len(c) // 4 for c in coded], np.int64)
+    each = words.indices.to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(counts[each])])
+    ids = np.frombuffer(b"".join(coded), np.int32)[spread((np.cumsum(counts) - counts)[each], counts[each])]
+    return ids, np.diff(total[np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))])
+
+
 def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
     """Successive rows of about so many bytes of text, one row at least."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))

@@ -10,7 +10,7 @@ of it in the word waits for a later round: the result is the sequential one. Nor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import file_bytes, spread, text_slices
+from .bpe import CACHED, CACHED_BYTES, encode_words, file_bytes, spread, text_slices
 from .common import bound_batches, packed, table
 
 #: Fixed value: the letter that stands for a space in pieces.
@@ -35,10 +35,113 @@ def _codes(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
+def by_word(ids: np.ndarray, word: np.ndarray, n: int) -> list[bytes]:
+    """The ids of each of n words, which stand in order, as 32-bit integers."""
+    data = ids.astype(np.int32).tobytes()
+    ends = (4 * np.cumsum(np.bincount(word, minlength=n))).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Known:
+    """Ids of words that a worker has met, a bounded table."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+
+    def of(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        known = self.ids
+        found = [known.get(w) for w in words]
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if new:
+            made = encode(new)
+            if len(known) + len(new) > CACHED:
+                known.clear()
+            known.update((w, ids) for w, ids in zip(new, made) if len(w) <= CACHED_BYTES)
+            fresh = iter(made)
+            found = [next(fresh) if ids is None else ids for ids in found]
+        return found
+
+
 def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * 31_337 + right) & ((1 << PAIR_BITS) - 1)
 
 
+class Merges:
+    """Pairs of symbols, each with its rank and what it becomes."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks, self.made = keys[order], ranks[order].astype(np.int32), made[order].astype(np.int32)
+
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair among the keys, or -1."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self._lookup(left, right)
+        return np.where(at >= 0, self.ranks[at], NONE)
+
+    def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols after all merges and their words, in order."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(sym), NONE, np.int32)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._rank(sym[inner], sym[inner + 1])
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lengths = np.diff(np.append(starts, len(sym)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+            over = best == NONE
+            if over.any():
+                done.append((sym[over], word[over]))
+                sym, word, rank, best = sym[~over], word[~over], rank[~over], best[~over]
+                if not len(sym):
+                    break
+            # Overlapping occurrences form runs of neighbours, of which every second merges, from the left.
+            hit = rank == best
+            at = np.flatnonzero(hit)
+            begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            at = at[(at - at[begin][np.cumsum(begin) - 1]) % 2 == 0]
+            made = self.made[self._lookup(sym[at], sym[at + 1])]
+            # The pairs that a merge makes with its neighbours, the left one perhaps merged already.
+            left = np.full(len(at), NONE, np.int32)
+            k = np.flatnonzero((at > 0) & (word[np.maximum(at - 1, 0)] == word[at]))
+            after = (k > 0) & (at[np.maximum(k - 1, 0)] == at[k] - 2)
+            left[k] = self._rank(np.where(after, made[np.maximum(k - 1, 0)], sym[at[k] - 1]), made[k])
+            right = np.full(len(at), NONE, np.int32)
+            k = np.flatnonzero((at + 2 < len(sym)) & (word[np.minimum(at + 2, len(sym) - 1)] == word[at]))
+            right[k] = self._rank(made[k], sym[at[k] + 2])
+            sooner = np.minimum(left, right) <= best[at]
+            if sooner.any():
+                # What stands to the right of such a merge in its word waits.
+                before = np.cumsum(sooner) - sooner
+                first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
+                before -= before[first][np.cumsum(first) - 1]
+                keep = before == 0
+                at, made = at[keep], made[keep]
+            sym[at] = made
+            stays = np.ones(len(sym), bool)
+            stays[at + 1] = False
+            place = np.cumsum(stays) - 1
+            sym, word, rank = sym[stays], word[stays], rank[stays]
+            new = place[at]
+            touched = np.zeros(len(sym), bool)
+            touched[new] = True
+            touched[np.maximum(new - 1, 0)] = True
+            rank[touched] = NONE
+            touched[-1] = False
+            changed = np.flatnonzero(touched)
+            changed = changed[word[changed] == word[changed + 1]]
+            rank[changed] = self._rank(sym[changed], sym[changed + 1])
+        if not done:
+            return sym, word
+        sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return sym[order], word[order]
+
+
 class Pieces:
     """A vocabulary of pieces: ranks of pairs of symbols, and the two directions.
 
@@ -91,10 +194,8 @@ class Pieces:
                     ids.append(i)
             codes = np.array([ord(c) for c in piece], np.int64)
             inside[_pair_hash(codes[:-1], codes[1:])] = True
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys = np.array(keys, np.int64)[order]
-        self.made = np.array(ids, np.int32)[order]
-        self.ranks = rank.astype(np.int32)[self.made]
+        self.merges = Merges(np.array(keys, np.int64), rank[ids], np.array(ids))
+        self.known = Known()
         self.inside = inside
         self.symbol = np.arange(0x110000, dtype=np.int32) + np.int32(self.size)
         for piece, i in self.id.items():
@@ -117,16 +218,6 @@ class Pieces:
                     value = value * self.base + codes[:, k]
                 self.spans[length] = np.unique(value)
 
-    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The place of each pair among the keys, or -1."""
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        at = self._lookup(left, right)
-        return np.where(at >= 0, self.ranks[at], NONE)
-
     def _borders(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether a word starts at each character: where texts start, and where no piece reaches across."""
         plain = np.where(codes == 32, ord(SPACE), codes)
@@ -153,107 +244,25 @@ class Pieces:
             cut[at] |= np.cumsum(covered[:-1]) == 0
         return cut
 
-    def _merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols after all merges and their words, in order."""
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        rank = np.full(len(sym), NONE, np.int32)
-        inner = np.flatnonzero(word[:-1] == word[1:])
-        rank[inner] = self._rank(sym[inner], sym[inner + 1])
-        while len(sym):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            lengths = np.diff(np.append(starts, len(sym)))
-            best = np.repeat(np.minimum.reduceat(rank, starts), lengths)
-            over = best == NONE
-            if over.any():
-                done.append((sym[over], word[over]))
-                sym, word, rank, best = sym[~over], word[~over], rank[~over], best[~over]
-                if not len(sym):
-                    break
-            # Overlapping occurrences form runs of neighbours, of which every second merges, from the left.
-            hit = rank == best
-            at = np.flatnonzero(hit)
-            begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
-            at = at[(at - at[begin][np.cumsum(begin) - 1]) % 2 == 0]
-            made = self.made[self._lookup(sym[at], sym[at + 1])]
-            # The pairs that a merge makes with its neighbours, the left one perhaps merged already.
-            left = np.full(len(at), NONE, np.int32)
-            k = np.flatnonzero((at > 0) & (word[np.maximum(at - 1, 0)] == word[at]))
-            after = (k > 0) & (at[np.maximum(k - 1, 0)] == at[k] - 2)
-            left[k] = self._rank(np.where(after, made[np.maximum(k - 1, 0)], sym[at[k] - 1]), made[k])
-            right = np.full(len(at), NONE, np.int32)
-            k = np.flatnonzero((at + 2 < len(sym)) & (word[np.minimum(at + 2, len(sym) - 1)] == word[at]))
-            right[k] = self._rank(made[k], sym[at[k] + 2])
-            sooner = np.minimum(left, right) <= best[at]
-            if sooner.any():
-                # What stands to the right of such a merge in its word waits.
-                before = np.cumsum(sooner) - sooner
-                first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
-                before -= before[first][np.cumsum(first) - 1]
-                keep = before == 0
-                at, made = at[keep], made[keep]
-            sym[at] = made
-            stays = np.ones(len(sym), bool)
-            stays[at + 1] = False
-            place = np.cumsum(stays) - 1
-            sym, word, rank = sym[stays], word[stays], rank[stays]
-            new = place[at]
-            touched = np.zeros(len(sym), bool)
-            touched[new] = True
-            touched[np.maximum(new - 1, 0)] = True
-            rank[touched] = NONE
-            touched[-1] = False
-            changed = np.flatnonzero(touched)
-            changed = changed[word[changed] == word[changed + 1]]
-            rank[changed] = self._rank(sym[changed], sym[changed + 1])
-        if not done:
-            return sym, word
-        sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        return sym[order], word[order]
-
-    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after the other, and how many each has."""
-        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = b"".join(words.cast(pa.binary()).to_pylist())
-        codes = _codes(data)
-        flat = np.frombuffer(data, np.uint8)
-        ends = np.cumsum((flat & 0xC0) != 0x80)[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0, np.int64)
-        chars = np.diff(np.concatenate([[0], ends]))
-        sym, word = self._merge(self.symbol[codes], np.repeat(np.arange(len(chars)), chars))
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        chars = np.array([len(w) for w in words], np.int64)
+        sym, word = self.merges.merge(self.symbol[_codes("".join(words).encode())], np.repeat(np.arange(len(words)), chars))
         # A character that is no piece becomes its bytes.
         alone = sym >= self.size
+        ids = sym
         if alone.any():
             raw = [chr(c).encode() for c in (sym[alone] - self.size).tolist()]
             times = np.ones(len(sym), np.int64)
             times[alone] = [len(r) for r in raw]
             ids, word = np.repeat(sym, times), np.repeat(word, times)
             ids[np.repeat(alone, times)] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        else:
-            ids = sym
-        return ids.astype(np.int32), np.bincount(word, minlength=len(chars)).astype(np.int64)
+        return by_word(ids, word, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. Null and empty texts have none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         led = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
-        sizes = pc.binary_length(led).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = b"".join(led.cast(pa.binary()).to_pylist())
-        if not data:
-            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
-        codes = _codes(data)
-        offsets = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
-        first = np.zeros(len(codes), bool)
-        first[np.searchsorted(offsets, begins)] = True
-        starts = offsets[self._borders(codes, first)]
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
-        ids, counts = self.encode_words(words.dictionary)
-        each = words.indices.to_numpy(zero_copy_only=False)
-        places = (np.cumsum(counts) - counts)[each]
-        total = np.concatenate([[0], np.cumsum(counts[each])])
-        of_text = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        return ids[spread(places, counts[each])], np.diff(total[of_text])
+        return encode_words(led, self._borders, lambda words: self.known.of(words.to_pylist(), self._encode_new))
 
     def raw(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after the other, as they stand."""

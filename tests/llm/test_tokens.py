@@ -90,7 +90,7 @@ def test_a_merge_that_makes_a_better_pair_goes_first(model):
     name = {i: p for p, i in small.id.items()}
     for n in range(1, 11):
         for s in map("".join, itertools.product("ab", repeat=n)):
-            sym, _ = small._merge(np.array([small.id[c] for c in s], np.int32), np.zeros(n, np.int64))
+            sym, _ = small.merges.merge(np.array([small.id[c] for c in s], np.int32), np.zeros(n, np.int64))
             assert [name[i] for i in sym.tolist()] == sequential(s), s
 
 
