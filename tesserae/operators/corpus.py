@@ -7,8 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Prefixes of sample names and their data set, first match wins; exact names of older sets.
-ROUTES = (("Fold", "pannuke"), ("CRC", "crc"), ("TNBC", "tnbc"), ("Lizard", "lizard"))
+from .ranges import numbered
+
+# Prefixes of sample names and their data set, first match wins, then exact names and a prefix of older sets.
+ROUTES = (
+    ("tissuenet", "tissuenet"), ("pannuke", "pannuke"), ("lizard", "lizard"), ("monuseg", "monuseg"), ("monusac", "monusac"), ("tnbc", "tnbc"),
+    ("nuinsseg", "nuinsseg"), ("cryonuseg", "cryonuseg"), ("bc", "bc"), ("consep", "consep"), ("kumar", "kumar"), ("cpm17", "cpm17"), ("CRC", "crc"),
+    ("cpm15", "cpm15"), ("he_dsb2018", "he_dsb2018"), ("fluorescence_dsb2018", "fluorescence_dsb2018"), ("panoptils", "panoptils"), ("Fold", "pannuke"),
+)
 LEGACY = {"train": "tissuenet", "val": "tissuenet", "test": "tissuenet"}
 COUNTS = ("he_nuclei", "he_cell", "mif_nuclei", "mif_cell")
 
@@ -216,12 +222,10 @@ def split_ratio(df: DataFrame, id: str, train: float, val: float, test: float, s
 
 
 def split_holdout(df: DataFrame, group: str, id: str, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """Of each group's training rows a share by hash becomes val: one at least if there are several."""
-    w = Window.partitionBy(group)
-    n = F.count("*").over(w)
-    k = F.row_number().over(w.orderBy(keyed_hash(F.col(id), seed), id))
-    take = F.when(n > 1, F.greatest(F.lit(1), F.floor(n * share))).otherwise(0)
-    return df.withColumn("split", F.when(k <= take, "val").otherwise("train"))
+    """Of each group's training rows a share by hash becomes val: one at least if there are several. Rows are numbered by ranges."""
+    rows = numbered(df.withColumn("hash_", keyed_hash(F.col(id), seed)), [group], ["hash_", id], "k_", "n_")
+    take = F.when(F.col("n_") > 1, F.greatest(F.lit(1), F.floor(F.col("n_") * share))).otherwise(0)
+    return rows.withColumn("split", F.when(F.col("k_") < take, "val").otherwise("train")).drop("hash_", "k_", "n_")
 
 
 def split_by_group(df: DataFrame, group: str, splits: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 # The pixel size of the models' scale in microns, and margins in pixels.
 MODEL_MPP = 0.2125
 CORE_MARGIN, EDGE_MARGIN, TOUCH = 32, 64, 3
@@ -126,21 +128,8 @@ def remap_labels(pixels: DataFrame, keys: Sequence[str], label: str = "label") -
 
 
 def renumber(instances: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:
-    """1 to n in each group."""
-    return instances.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
-def renumber_all(instances: DataFrame, order: Sequence[str], name: str = "number", buckets: int = 64) -> DataFrame:
-    """1 to n over all rows in an order of long columns, without one task that sees them all: ranges of the first order
-    column are numbered apart and moved on by the sizes of the ranges before them."""
-    bounds = instances.stat.approxQuantile(order[0], [k / buckets for k in range(1, buckets)], 0.01)
-    place = F.lit(0)
-    for b in sorted(set(bounds)):
-        place = place + (F.col(order[0]) > b).cast("int")
-    parts = instances.withColumn("range_", place)
-    sizes = parts.groupBy("range_").agg(F.count("*").alias("n_"))
-    ahead = sizes.withColumn("ahead_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    return parts.join(F.broadcast(ahead), "range_").withColumn(name, F.col("ahead_") + F.row_number().over(Window.partitionBy("range_").orderBy(*order))).drop("range_", "ahead_")
+    """1 to n in each group, or over all rows without keys, by ranges: no task holds a group."""
+    return numbered(instances, keys, order, name).withColumn(name, F.col(name) + 1)
 
 
 def hv_targets(pixels: DataFrame, keys: Sequence[str], label: str = "label", method: str = "pannuke") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import saved
+from .tables import saved
 
 #: Rows of a range, which is one task.
 ROWS_PER_RANGE = 1_000_000
@@ -23,19 +23,19 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], number:
     keys = [*groups, *order]
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_range))
-    by = [*[F.col(f"`{c}`").asc_nulls_first() for c in keys], F.col("salt_")]
-    dealt = df.withColumn("salt_", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    by = [*[F.col(f"`{c}`").asc_nulls_first() for c in keys], F.col("run_salt_")]
+    dealt = df.withColumn("run_salt_", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
     # An id holds its partition in the upper bits and the row's place in the partition in the lower 33.
-    placed = saved(dealt.drop("salt_").withColumn("place_", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("place_", 33)
-    runs = placed.groupBy(*[F.col(f"`{c}`").alias(f"g{k}_") for k, c in enumerate(groups)], part.alias("range_")).agg(F.min("place_").alias("first_"), F.count("*").alias("n_"))
-    same = [f"g{k}_" for k in range(len(groups))]
-    before = Window.partitionBy(*same).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumns({"before_": F.coalesce(F.sum("n_").over(before), F.lit(0)), "of_": F.sum("n_").over(Window.partitionBy(*same))})
-    match = part == F.col("range_")
+    placed = saved(dealt.drop("run_salt_").withColumn("run_place_", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("run_place_", 33)
+    runs = placed.groupBy(*[F.col(f"`{c}`").alias(f"run_g{k}_") for k, c in enumerate(groups)], part.alias("run_")).agg(F.min("run_place_").alias("run_first_"), F.count("*").alias("run_rows_"))
+    same = [f"run_g{k}_" for k in range(len(groups))]
+    before = Window.partitionBy(*same).orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"run_before_": F.coalesce(F.sum("run_rows_").over(before), F.lit(0)), "run_of_": F.sum("run_rows_").over(Window.partitionBy(*same))})
+    match = part == F.col("run_")
     for k, c in enumerate(groups):
-        match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"g{k}_"))
-    made = {number: F.col("before_") + F.col("place_") - F.col("first_")}
+        match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"run_g{k}_"))
+    made = {number: F.col("run_before_") + F.col("run_place_") - F.col("run_first_")}
     if size is not None:
-        made[size] = F.col("of_")
-    return placed.join(runs, match).withColumns(made).drop("place_", "range_", "first_", "n_", "before_", "of_", *same)
+        made[size] = F.col("run_of_")
+    return placed.join(runs, match).withColumns(made).drop("run_place_", "run_", "run_first_", "run_rows_", "run_before_", "run_of_", *same)

@@ -6,57 +6,41 @@ intersection, and the pair is taken only there, so no distinct is needed. Points
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.polygons import are_simple, intersection_areas, padded_rings, signed_areas
+from .parts import one_to_one, removed_by_rank, removed_by_scan
+from .tables import saved
 
 #: Side of a grid cell: about twice the largest object, so that most objects meet one to four cells.
 CELL = 64
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares (spark.checkpoint.dir). Where none is set, a local session gets a
-    temporary folder and a cluster an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-tesserae-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _cells(box: DataFrame, cell: float) -> DataFrame:
     """Rows of box (with a struct column o) for each cell they meet."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(f"o.{lo}") / cell), F.floor(F.col(f"o.{hi}") / cell))
     return box.withColumn("gx_", F.explode(span("xmin", "xmax"))).withColumn("gy_", F.explode(span("ymin", "ymax")))
 
 
-def box_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
-    """keys, a, b: structs of the rows of objects whose boxes share area, a.id < b.id, within equal keys."""
-    packed = _cells(objects.select(*keys, F.struct(*objects.columns).alias("o")), cell)
-    on = [*keys, "gx_", "gy_"]
-    pairs = packed.withColumnRenamed("o", "a").join(packed.withColumnRenamed("o", "b"), on).filter(F.col(f"a.{id}") < F.col(f"b.{id}"))
+def box_meetings(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
+    """keys, a, b: structs of the rows of both tables whose boxes share area, within equal keys."""
+    dealt = lambda df, name: _cells(df.select(*keys, F.struct(*df.columns).alias("o")), cell).withColumnRenamed("o", name)
+    pairs = dealt(left, "a").join(dealt(right, "b"), [*keys, "gx_", "gy_"])
     lower = lambda c, g: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell) == F.col(g)
     return pairs.filter(lower("xmin", "gx_") & lower("ymin", "gy_") & (G.box_intersection() > 0)).select(*keys, "a", "b")
 
 
+def box_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
+    """keys, a, b: structs of the rows of objects whose boxes share area, a.id < b.id, within equal keys."""
+    return box_meetings(objects, objects, keys, cell).filter(F.col(f"a.{id}") < F.col(f"b.{id}"))
+
+
 def measured_rings(objects: DataFrame, ring: str = "ring") -> DataFrame:
     """objects with simple_ (no edges of the ring cross, and it has an area) and area_."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields)
@@ -69,11 +53,11 @@ def measured_rings(objects: DataFrame, ring: str = "ring") -> DataFrame:
     return objects.mapInArrow(run, f"{kinds}, simple_ boolean, area_ double")
 
 
-def ring_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
-    """keys, a_id, b_id, a_area, b_area, shared: exact areas of rings whose boxes meet. Rings that are not simple or have
-    no area take no part (measured_rings tells which). Each ring is measured once, before the join."""
-    good = measured_rings(objects.select(*dict.fromkeys([*keys, id, "xmin", "ymin", "xmax", "ymax", "ring"]))).filter("simple_")
-    pairs = box_pairs(good, keys, id, cell)
+def _simple_rings(objects: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
+    return measured_rings(objects.select(*dict.fromkeys([*keys, id, "xmin", "ymin", "xmax", "ymax", "ring"]))).filter("simple_")
+
+
+def _shared_areas(pairs: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
     flat = pairs.select(*keys, F.col(f"a.{id}").alias("a_id"), F.col(f"b.{id}").alias("b_id"), F.col("a.area_").alias("a_area"), F.col("b.area_").alias("b_area"), F.col("a.ring").alias("ra"), F.col("b.ring").alias("rb"))
     kept = [f for f in flat.schema.fields if f.name not in ("ra", "rb")]
 
@@ -85,6 +69,17 @@ def ring_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cel
     return flat.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", shared double").filter("shared > 0")
 
 
+def ring_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
+    """keys, a_id, b_id, a_area, b_area, shared: exact areas of rings whose boxes meet. Rings that are not simple or have
+    no area take no part (measured_rings tells which). Each ring is measured once, before the join."""
+    return _shared_areas(box_pairs(_simple_rings(objects, keys, id), keys, id, cell), keys, id)
+
+
+def ring_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL) -> DataFrame:
+    """As ring_pairs, for a ring of each of two tables."""
+    return _shared_areas(box_meetings(_simple_rings(left, keys, id), _simple_rings(right, keys, id), keys, cell), keys, id)
+
+
 def iou(pairs: DataFrame) -> Column:
     return F.col("shared") / (F.col("a_area") + F.col("b_area") - F.col("shared"))
 
@@ -118,61 +113,23 @@ def assign_to_many(points: DataFrame, named: Mapping[str, DataFrame], keys: Sequ
 
 
 def link_nuclei(nuclei: DataFrame, cells: DataFrame, keys: Sequence[str], id: str = "inst_id", cell: float = CELL, min_orphan_area: float = 30.0) -> tuple[DataFrame, DataFrame]:
-    """(links, orphans). links: every nucleus with the first cell that contains its centroid, or null. orphans: cells that
-    hold no nucleus and are larger than min_orphan_area."""
-    centres = nuclei.select(*keys, F.col(id).alias("nucleus_id"), "cx", "cy").withColumnsRenamed({"cx": "x", "cy": "y"})
-    links = points_in_rings(centres, cells.withColumnRenamed(id, "cell_id"), keys, "nucleus_id", "cell_id", cell).select(*keys, "nucleus_id", "cell_id")
-    orphans = cells.filter(G.area(F.col("ring")) > min_orphan_area).join(links.select(F.col("cell_id").alias(id)).distinct(), id, "left_anti")
+    """(links, orphans). links: every nucleus with its cell and the area they share, or nulls; no cell has two nuclei. Of all overlaps
+    the largest come first (ties: the lower nucleus, then cell) and link what is free on both sides. orphans: cells
+    that hold no nucleus and are larger than min_orphan_area."""
+    overlaps = saved(ring_overlaps(nuclei, cells, keys, id, cell).select("a_id", "b_id", "shared"), "overlaps")
+    chosen = one_to_one(overlaps.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("shared").alias("weight")))
+    chosen = saved(chosen.join(overlaps, (F.col("a") == F.col("a_id")) & (F.col("b") == F.col("b_id"))).select(F.col("a").alias("nucleus_id"), F.col("b").alias("cell_id"), "shared"), "chosen")
+    links = nuclei.select(*keys, F.col(id).alias("nucleus_id")).join(chosen, "nucleus_id", "left").select(*keys, "nucleus_id", "cell_id", "shared")
+    orphans = cells.filter(G.area(F.col("ring")) > min_orphan_area).join(chosen.select(F.col("cell_id").alias(id)), id, "left_anti")
     return links, orphans
 
 
-def claimed_by_seeds(links: DataFrame) -> DataFrame:
-    """node: objects that the scan in id order claims, for links lo, hi (lo < hi). An object is a seed if no linked object
-    of a lower id is one, else it is claimed. Each round decides all objects whose lower neighbours are decided, at least
-    the lowest one left; rounds follow the longest rising chain of open objects, and each is written to the shared folder."""
-    open_, claimed = links.select("lo", "hi"), None
-    while True:
-        seeds = open_.join(open_.select(F.col("hi").alias("h_")).distinct(), F.col("lo") == F.col("h_"), "left_anti")
-        new = saved(seeds.select(F.col("hi").alias("node")).distinct(), "claimed")
-        claimed = new if claimed is None else claimed.union(new)
-        n = new.withColumnRenamed("node", "n_")
-        open_ = saved(open_.join(n, F.col("lo") == F.col("n_"), "left_anti").join(n, F.col("hi") == F.col("n_"), "left_anti"), "open")
-        if not open_.limit(1).count():
-            return claimed
-
-
-def _replay(links: DataFrame, id: str, rounds: int) -> DataFrame:
-    """Ids removed by the order-dependent scan, as rounds of joins over the links (a_id, b_id, a_area, b_area): a claimed object
-    goes to its lowest seed, which is the first to reach it, and of each cluster the largest stays."""
-    low = F.col("a_id") < F.col("b_id")
-    side = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    alive = links.select(side("a_id", "b_id").alias("lo"), side("b_id", "a_id").alias("hi"), side("a_area", "b_area").alias("lo_area"), side("b_area", "a_area").alias("hi_area"))
-    removed = None
-    for _ in range(rounds):
-        if not alive.limit(1).count():
-            break
-        claimed = saved(claimed_by_seeds(alive), "claimed")
-        c = claimed.withColumnRenamed("node", "c_")
-        from_seeds = alive.join(c, F.col("lo") == F.col("c_"), "left_anti")
-        owned = from_seeds.groupBy("hi").agg(F.min_by(F.struct("lo", "lo_area", "hi_area"), "lo").alias("s"))
-        own = F.struct(F.col("s.hi_area").alias("area"), F.lit(False).alias("seed"), (-F.col("hi")).alias("order"))
-        seed = F.struct(F.col("s.lo_area").alias("area"), F.lit(True).alias("seed"), (-F.col("s.lo")).alias("order"))
-        members = saved(owned.select(F.col("s.lo").alias("cluster"), F.inline(F.array(own, seed))), "members")
-        keep = members.groupBy("cluster").agg((-F.max(F.struct("area", "seed", "order"))["order"]).alias("keep"))
-        gone = members.join(keep, "cluster").filter(-F.col("order") != F.col("keep")).select((-F.col("order")).alias(id)).distinct()
-        gone = saved(gone, "removed")
-        removed = gone if removed is None else removed.union(gone)
-        g = gone.withColumnRenamed(id, "g_")
-        alive = saved(alive.join(g, F.col("lo") == F.col("g_"), "left_anti").join(g, F.col("hi") == F.col("g_"), "left_anti"), "alive")
-    return links.select(F.col("a_id").alias(id)).limit(0) if removed is None else removed
-
-
 def dedupe_iou(objects: DataFrame, keys: Sequence[str], threshold: float = 0.5, rounds: int = 5, id: str = "inst_id", cell: float = CELL) -> DataFrame:
     """Objects left by the scan in id order: a seed and what overlaps it with IoU >= threshold make a cluster, of which
     the largest stays (ties: the seed, then the lower id); repeated until nothing merges, or rounds times."""
     pairs = ring_pairs(objects, keys, id, cell)
     links = saved(pairs.filter(iou(pairs) >= threshold).select("a_id", "b_id", "a_area", "b_area"), "links")
-    return objects.filter(G.area(F.col("ring")) > 0).join(_replay(links, id, rounds), id, "left_anti")
+    return objects.filter(G.area(F.col("ring")) > 0).join(removed_by_scan(links, rounds).withColumnRenamed("id", id), id, "left_anti")
 
 
 def dedupe_containment(objects: DataFrame, keys: Sequence[str], threshold: float = 0.5, rounds: int = 20, id: str = "inst_id", status: str = "edge", cell: float = CELL) -> DataFrame:
@@ -180,7 +137,7 @@ def dedupe_containment(objects: DataFrame, keys: Sequence[str], threshold: float
     edge = objects.filter(F.coalesce(F.col(status), F.lit(1)) != 0)
     pairs = ring_pairs(edge, keys, id, cell)
     links = saved(pairs.filter(containment(pairs) > threshold).select("a_id", "b_id", "a_area", "b_area"), "links")
-    return objects.filter(F.col(status) == 0).unionByName(edge.join(_replay(links, id, rounds), id, "left_anti"))
+    return objects.filter(F.col(status) == 0).unionByName(edge.join(removed_by_scan(links, rounds).withColumnRenamed("id", id), id, "left_anti"))
 
 
 def local_maxima(objects: DataFrame, links: DataFrame, id: str = "inst_id") -> DataFrame:
@@ -190,20 +147,7 @@ def local_maxima(objects: DataFrame, links: DataFrame, id: str = "inst_id") -> D
     return objects.join(beaten, id, "left_anti")
 
 
-def suppress(objects: DataFrame, links: DataFrame, id: str = "inst_id", max_rounds: int = 100) -> DataFrame:
-    """Order-free removal: an object stays if no linked object of higher rank (area, then lower id) stays. Each round keeps
-    the local maxima and drops what they touch; rounds follow the longest falling chain, which is short."""
-    open_, kept = saved(links.select("a_id", "b_id", "a_area", "b_area"), "links"), None
-    removed = None
-    for _ in range(max_rounds):
-        nodes = open_.select(F.col("a_id").alias(id)).union(open_.select("b_id")).distinct()
-        top = local_maxima(nodes, open_, id)
-        t = top.withColumnRenamed(id, "t_")
-        gone = open_.join(t, open_["a_id"] == t["t_"]).select(F.col("b_id").alias(id)).union(open_.join(t, open_["b_id"] == t["t_"]).select(F.col("a_id"))).distinct()
-        gone = saved(gone, "suppressed")
-        removed = gone if removed is None else removed.union(gone)
-        g = gone.withColumnRenamed(id, "g_")
-        open_ = saved(open_.join(g, open_["a_id"] == g["g_"], "left_anti").join(g, open_["b_id"] == g["g_"], "left_anti"), "links")
-        if not open_.limit(1).count():
-            return objects.join(removed, id, "left_anti")
-    raise RuntimeError("suppression did not settle")
+def suppress(objects: DataFrame, links: DataFrame, id: str = "inst_id") -> DataFrame:
+    """Removal by rank: an object stays if no linked object of higher rank (area, then lower id) stays."""
+    links = saved(links.select("a_id", "b_id", "a_area", "b_area"), "links")
+    return objects.join(removed_by_rank(links).withColumnRenamed("id", id), id, "left_anti")

@@ -140,6 +140,20 @@ def _(spark, d):
     return s.select("sample", C.route_dataset(F.col("sample"), [("Brand#1", "one"), ("Brand#2", "two")], {"Brand#3": "three"}).alias("routed"))
 
 
+# Names that the default routes meet: each prefix alone and with a number, older names, and others.
+SAMPLES = ["tissuenet", "pannuke", "lizard", "monuseg", "monusac", "tnbc", "nuinsseg", "cryonuseg", "bc", "consep", "kumar", "cpm17", "CRC", "cpm15", "he_dsb2018", "fluorescence_dsb2018", "panoptils", "Fold", "train", "val", "test", "Lizard", "crc", "Xenium"]
+ROUTED = """SELECT row_id, name, CASE
+  WHEN name IN ('train', 'val', 'test') THEN 'tissuenet' WHEN starts_with(name, 'Fold') THEN 'pannuke' WHEN starts_with(name, 'CRC') THEN 'crc'
+  ELSE coalesce(nullif(regexp_extract(name, '^(tissuenet|pannuke|lizard|monuseg|monusac|tnbc|nuinsseg|cryonuseg|bc|consep|kumar|cpm17|cpm15|he_dsb2018|fluorescence_dsb2018|panoptils)', 1), ''), 'xenium') END AS routed
+FROM (SELECT row_id, list_extract([%s], (row_id %% 24 + 1)::INT) || CASE WHEN row_id %% 3 = 0 THEN '' ELSE '_' || row_id END AS name FROM registry)""" % ", ".join(f"'{s}'" for s in SAMPLES)
+
+
+@query("p21_route_defaults", ROUTED)
+def _(spark, d):
+    name = F.concat(F.element_at(F.array(*[F.lit(s) for s in SAMPLES]), (F.col("row_id") % len(SAMPLES) + 1).cast("int")), F.when(F.col("row_id") % 3 == 0, "").otherwise(F.concat(F.lit("_"), F.col("row_id").cast("string"))))
+    return reg(spark, d).select("row_id", name.alias("name")).withColumn("routed", C.route_dataset(F.col("name")))
+
+
 MOD = "CASE WHEN he_nuclei + he_cell > 0 AND mif_nuclei + mif_cell > 0 THEN 'Mixed' WHEN mif_nuclei + mif_cell > 0 THEN 'MIF Only' WHEN he_nuclei + he_cell > 0 THEN 'HE Only' ELSE 'none' END"
 
 

@@ -11,8 +11,8 @@ from .catalog import query
 from .spatial import INSIDE, cells
 
 MARKERS = {"a": ["G1", "G2", "G3", "G4", "G5"], "b": ["G11", "G12", "G13"], "c": ["G21", "G99"]}
-EX = "WITH ex AS (SELECT cell_key % 97 AS cell_id, feature_name, count(*) AS count FROM transcripts WHERE cell_key % 11 <> 0 GROUP BY ALL), tot AS (SELECT cell_id, sum(count) AS total, count(*) AS genes FROM ex GROUP BY ALL)\n"
-CPM = EX.rstrip() + ", cpm AS (SELECT ex.cell_id, feature_name, ln(1 + count / total * 1e6) AS value FROM ex JOIN tot ON ex.cell_id = tot.cell_id)\n"
+#: The panel of genes, whose columns a matrix has.
+GENES = [f"G{k}" for k in range(40)]
 
 
 def assigned(spark, d):
@@ -56,10 +56,9 @@ def all_counts(spark, d):
     return X.expression_counts(D.transcripts(spark, d).withColumnRenamed("cell_key", "cell_id"))
 
 
-@query("x3_expression_matrix", EX_ALL + "SELECT cell_id, coalesce(COLUMNS(* EXCLUDE (cell_id)), 0)::BIGINT FROM (PIVOT ex ON feature_name USING sum(count) GROUP BY cell_id)")
+@query("x3_expression_matrix", EX_ALL + "SELECT cell_id, " + ", ".join(f"coalesce(sum(count) FILTER (feature_name = '{g}'), 0)::BIGINT AS {g}" for g in GENES) + " FROM ex GROUP BY cell_id")
 def _(spark, d):
-    c = all_counts(spark, d)
-    return X.expression_matrix(c, X.gene_names(D.transcripts(spark, d)))
+    return X.expression_matrix(all_counts(spark, d), GENES)
 
 
 @query("x4_transcripts_per_cell", EX_ALL + "SELECT count(*) AS cells, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std FROM tot")

@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query("w2_renumber", "SELECT inst_id, row_number() OVER (PARTITION BY slide_id ORDER BY inst_id) AS number, row_number() OVER (ORDER BY inst_id) AS overall FROM detections")
 def _(spark, d):
-    return I.renumber_all(I.renumber(D.detections(spark, d), ["slide_id"], ["inst_id"]), ["inst_id"], "overall").select("inst_id", F.col("number").cast("long").alias("number"), F.col("overall").cast("long").alias("overall"))
+    return I.renumber(I.renumber(D.detections(spark, d), ["slide_id"], ["inst_id"]), [], ["inst_id"], "overall").select("inst_id", F.col("number").cast("long").alias("number"), F.col("overall").cast("long").alias("overall"))
 
 
 @query("w3_hv_targets", """WITH a AS (SELECT tile_id, y, x, gt_label, x - min(x) OVER w AS ix, y - min(y) OVER w AS iy FROM label_pixels WINDOW w AS (PARTITION BY tile_id, gt_label)),

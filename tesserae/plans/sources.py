@@ -5,24 +5,44 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators.expression import polygons_to_boundaries
 from ..operators.scores import rounded
-from ..operators.spatial import saved, shared_path
+from ..operators.tables import saved, shared_path
 from ..sources import derived as D
 from ..sources import formats as S
+from ..sources import geojson as J
 from .catalog import query
+from .spatial import dented
 
 
 def cells(spark, d):
     return D.detections(spark, d).select(F.col("inst_id").alias("id"), "ring", F.col("branch").alias("type"), "slide_id")
 
 
+CORNERS = "concat_ws(' ', xmin, ymin, xmax, ymin, xmax, ymax, xmin, ymax)"
+
+
+def corners(ring):
+    """The whole coordinates of a ring without its closing point, as text."""
+    open_ = F.when(ring[0] == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    return F.array_join(F.transform(open_, lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))), " ")
+
+
 AREA = "SELECT inst_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS perimeter, (xmin+xmax)/2.0 AS cx FROM detections"
 
 
-@query("s1_geojson_cells", "SELECT inst_id::VARCHAR AS cell_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections")
+@query("s1_geojson_cells", f"SELECT inst_id::VARCHAR AS cell_id, {CORNERS} AS corners FROM detections")
 def _(spark, d):
     path = shared_path(spark, "geojson")
-    S.write_lines(S.polygon_features(cells(spark, d)), path)
-    return S.read_geojson_cells(spark, path, whole=False).select("cell_id", G.area(F.col("ring")).alias("area"))
+    J.write_collections(S.polygon_features(cells(spark, d)), path, documents=2)
+    return S.read_geojson_cells(spark, path).select("cell_id", corners(F.col("ring")).alias("corners"))
+
+
+@query("s19_one_document", f"SELECT inst_id::VARCHAR AS id, branch AS classification, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, {CORNERS} AS corners FROM detections")
+def _(spark, d):
+    path = shared_path(spark, "document")
+    J.write_collections(S.polygon_features(cells(spark, d)), path, metadata={"made": "[by] {tests} \\" + '"'})
+    f = J.read_features(spark, path, range_bytes=1 << 20).select("value", F.from_json("value", "properties struct<id:string,classification:string,area:double>, geometry struct<coordinates:array<array<array<double>>>>").alias("f"))
+    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return f.select("f.properties.id", "f.properties.classification", "f.properties.area", corners(ring).alias("corners"))
 
 
 @query("s2_geojson_annotations", "SELECT CASE WHEN branch = 'he_cell' THEN 'Cell' ELSE 'Nucleus' END AS type, count(*) AS n FROM detections GROUP BY ALL")
@@ -93,33 +113,39 @@ def _(spark, d):
     return S.slide_manifest(spark, path, is_list=True)
 
 
-@query("s11_detection_records", AREA.replace("perimeter, ", "p, ").replace("SELECT inst_id, ", "SELECT inst_id AS id, ").replace(", (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS p", ""))
+@query("s11_detection_records", "SELECT inst_id AS id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, branch AS type, (xmin+xmax)/2.0 AS cx, (ymin+ymax)/2.0 AS cy, concat_ws(' ', xmin, ymin, xmax, ymax) AS box FROM detections")
 def _(spark, d):
     path = shared_path(spark, "records")
     S.detection_records(cells(spark, d)).write.json(path)
-    return spark.read.schema("id long, centroid array<double>, area double").json(path).select("id", "area", F.col("centroid")[0].alias("cx"))
+    r = spark.read.schema("id long, centroid array<double>, area double, type string, bbox struct<min:array<double>,max:array<double>>").json(path)
+    box = F.array_join(F.transform(F.concat("bbox.min", "bbox.max"), lambda v: v.cast("long").cast("string")), " ")
+    return r.select("id", "area", "type", F.col("centroid")[0].alias("cx"), F.col("centroid")[1].alias("cy"), box.alias("box"))
 
 
-@query("s12_segmentation_records", AREA.replace("SELECT inst_id, ", "SELECT inst_id AS id, ").replace(", (xmin+xmax)/2.0 AS cx", ", 4 AS points"))
+@query("s12_segmentation_records", AREA.replace("SELECT inst_id, ", "SELECT inst_id AS id, ").replace(", (xmin+xmax)/2.0 AS cx", f", branch AS type, {CORNERS} AS corners"))
 def _(spark, d):
     path = shared_path(spark, "contours")
     S.detection_records(cells(spark, d), contour=True).write.json(path)
-    return spark.read.schema("id long, area double, perimeter double, contour array<array<double>>").json(path).select("id", "area", "perimeter", F.size("contour").alias("points"))
+    return spark.read.schema("id long, type string, area double, perimeter double, contour array<array<double>>").json(path).select("id", "area", "perimeter", "type", corners(F.transform("contour", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("corners"))
 
 
-@query("s13_points_geojson", "SELECT inst_id AS id, (xmax-xmin)::DOUBLE AS width, (ymax-ymin)::DOUBLE AS height FROM detections")
+@query("s13_points_geojson", "SELECT inst_id AS id, branch AS classification, (xmin+xmax)/2.0 AS x, (ymin+ymax)/2.0 AS y, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, (xmax-xmin)::DOUBLE AS width, (ymax-ymin)::DOUBLE AS height FROM detections")
 def _(spark, d):
     path = shared_path(spark, "points")
-    S.write_lines(S.point_features(cells(spark, d)), path)
-    p = spark.read.schema("properties struct<id:long,bbox_width:double,bbox_height:double>").json(path)
-    return p.select("properties.id", F.col("properties.bbox_width").alias("width"), F.col("properties.bbox_height").alias("height"))
+    J.write_collections(S.point_features(cells(spark, d)), path, documents=3)
+    p = J.read_features(spark, path).select(F.from_json("value", "geometry struct<type:string,coordinates:array<double>>, properties struct<id:long,classification:string,area:double,bbox_width:double,bbox_height:double>").alias("f")).filter("f.geometry.type = 'Point'")
+    at = F.col("f.geometry.coordinates")
+    return p.select("f.properties.id", "f.properties.classification", at[0].alias("x"), at[1].alias("y"), "f.properties.area", F.col("f.properties.bbox_width").alias("width"), F.col("f.properties.bbox_height").alias("height"))
 
 
-@query("s14_simplified_polygons", "SELECT inst_id::VARCHAR AS cell_id, 5 AS points FROM detections")
+# The dent is a corner of its own where it is deeper than the tolerance.
+@query("s14_simplified_polygons", """SELECT inst_id::VARCHAR AS cell_id, branch AS type, concat_ws(' ', xmin, ymin, xmax, ymin, xmax, ymax, CASE WHEN inst_id % 11 + 1 > 4 THEN concat_ws(' ', (xmin + xmax) // 2, ymax - 1 - inst_id % 11) END, xmin, ymax) AS corners FROM detections""")
 def _(spark, d):
     path = shared_path(spark, "polygons")
-    S.write_lines(S.polygon_features(cells(spark, d), eps=0.5), path)
-    return S.read_geojson_cells(spark, path, whole=False).select("cell_id", F.size("ring").alias("points"))
+    J.write_collections(S.polygon_features(dented(spark, d).select(F.col("inst_id").alias("id"), "ring", F.col("branch").alias("type")), eps=4.0, digits=0), path, documents=3)
+    f = J.read_features(spark, path).select(F.from_json("value", S.FEATURE).alias("f"))
+    ring = F.transform(F.from_json("f.geometry.coordinates", S.RING)[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return f.select(F.get_json_object("f.properties", "$.id").alias("cell_id"), F.get_json_object("f.properties", "$.classification").alias("type"), corners(ring).alias("corners"))
 
 
 @query("s15_cells_parquet", "SELECT inst_id AS id, slide_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area, (2*(xmax-xmin) + 2*(ymax-ymin))::DOUBLE AS perimeter, branch AS classification FROM detections")
@@ -129,9 +155,14 @@ def _(spark, d):
     return spark.read.parquet(path).select("id", F.col("slide_id").cast("long").alias("slide_id"), "area", "perimeter", "classification")
 
 
-@query("s18_split_parts", "SELECT part, count(*) AS n, min(inst_id) AS first FROM (SELECT inst_id, ((row_number() OVER (ORDER BY inst_id)) - 1) // CAST(ceil((SELECT count(*) FROM detections) / 7.0) AS BIGINT) AS part FROM detections) GROUP BY part")
+@query("s18_split_parts", f"SELECT ((row_number() OVER (ORDER BY inst_id)) - 1) // CAST(ceil((SELECT count(*) FROM detections) / 7.0) AS BIGINT) AS part, inst_id::VARCHAR AS cell_id, {CORNERS} AS corners FROM detections")
 def _(spark, d):
-    return S.split_parts(cells(spark, d), "id", 7).groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    path = shared_path(spark, "parts")
+    features = S.polygon_features(cells(spark, d)).withColumn("id", F.get_json_object("value", "$.properties.id").cast("long"))
+    J.write_collections(features, path, documents=7, order="id", gzip=True)
+    f = J.read_features(spark, path).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.from_json("value", S.FEATURE).alias("f"))
+    ring = F.transform(F.from_json("f.geometry.coordinates", S.RING)[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return f.select("part", F.get_json_object("f.properties", "$.id").alias("cell_id"), corners(ring).alias("corners"))
 
 
 @query("s20_report_csv", "SELECT sample, count(*) AS tiles, round(avg(value), 3) AS mean FROM metric_rows GROUP BY ALL")

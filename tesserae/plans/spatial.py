@@ -31,7 +31,7 @@ def octagons(spark, d, cut=3):
 def dented(spark, d, crossed=False):
     """Rings with a dent of 1 to 11 pixels in the lower side; with crossed, one in three goes through its points crosswise."""
     at = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
-    a, b, c, dent, e = at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("(xmin + xmax) / 2", "ymax - 1 - inst_id % 11"), at("xmin", "ymax")
+    a, b, c, dent, e = at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("(xmin + xmax) div 2", "ymax - 1 - inst_id % 11"), at("xmin", "ymax")
     return D.detections(spark, d).withColumn("ring", F.when(F.lit(crossed) & (F.col("inst_id") % 3 == 0), F.array(a, c, b, dent, e)).otherwise(F.array(a, b, c, dent, e)))
 
 
@@ -107,26 +107,6 @@ def _(spark, d):
     return P.assign_to_many(D.transcripts(spark, d), sets, ["slide_id"], "transcript_id", "cell_id").select("transcript_id", *sets)
 
 
-def linked(spark, d):
-    det = D.detections(spark, d).withColumn("cx", (F.col("xmin") + F.col("xmax")) / 2 + 0.25).withColumn("cy", (F.col("ymin") + F.col("ymax")) / 2 + 0.25)
-    return P.link_nuclei(det.filter("branch = 'he_nuclei'"), det.filter("branch = 'he_cell'"), ["slide_id"])
-
-
-LINKS = """WITH nuc AS (SELECT inst_id, slide_id, (xmin+xmax)/2.0 + 0.25 AS cx, (ymin+ymax)/2.0 + 0.25 AS cy FROM detections WHERE branch = 'he_nuclei'),
-lk AS (SELECT n.inst_id AS nucleus_id, min(c.inst_id) AS cell_id FROM nuc n LEFT JOIN detections c ON c.branch = 'he_cell' AND c.slide_id = n.slide_id AND n.cx > c.xmin AND n.cx < c.xmax AND n.cy > c.ymin AND n.cy < c.ymax GROUP BY ALL)
-"""
-
-
-@query("j7_nucleus_links", LINKS + "SELECT * FROM lk")
-def _(spark, d):
-    return linked(spark, d)[0].select("nucleus_id", "cell_id")
-
-
-@query("j7_orphan_cells", LINKS + "SELECT inst_id FROM detections WHERE branch = 'he_cell' AND (xmax-xmin)*(ymax-ymin) > 30 AND inst_id NOT IN (SELECT cell_id FROM lk WHERE cell_id IS NOT NULL)")
-def _(spark, d):
-    return linked(spark, d)[1].select("inst_id")
-
-
 def links(spark, d, t):
     p = P.ring_pairs(D.detections(spark, d), K)
     return p.filter(P.iou(p) >= t)
@@ -161,6 +141,28 @@ l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} WHERE a_id NOT IN (SELECT node FROM
 SCANS = PAIRS.replace("WITH", "WITH RECURSIVE", 1)
 
 
+def linked(spark, d):
+    det = D.detections(spark, d)
+    return P.link_nuclei(det.filter("branch = 'he_nuclei'"), det.filter("branch = 'he_cell'"), ["slide_id"])
+
+
+# The heaviest overlaps first: a candidate is kept if it shares no end with one that was kept before.
+CHOICE = PAIRS.replace("WITH", "WITH RECURSIVE", 1).replace("a.branch = b.branch AND a.inst_id < b.inst_id", "a.branch = 'he_nuclei' AND b.branch = 'he_cell'") + """, cand AS MATERIALIZED (SELECT row_number() OVER (ORDER BY shared DESC, a_id, b_id) AS k, a_id AS nucleus, b_id AS cell, shared FROM pr),
+clash AS MATERIALIZED (SELECT a.k AS a_id, b.k AS b_id, 0.0 AS a_area, 0.0 AS b_area FROM cand a JOIN cand b USING (nucleus) WHERE a.k < b.k UNION SELECT a.k, b.k, 0.0, 0.0 FROM cand a JOIN cand b USING (cell) WHERE a.k < b.k)""" + kept_sql("clash", "s") + """,
+lk AS (SELECT nucleus, cell, shared FROM cand WHERE k NOT IN (SELECT node FROM s_order) OR k IN (SELECT node FROM s_kept))
+"""
+
+
+@query("j7_nucleus_links", CHOICE + "SELECT inst_id AS nucleus_id, cell AS cell_id, shared FROM detections d LEFT JOIN lk ON d.inst_id = lk.nucleus WHERE branch = 'he_nuclei'")
+def _(spark, d):
+    return linked(spark, d)[0].select("nucleus_id", "cell_id", "shared")
+
+
+@query("j7_orphan_cells", CHOICE + "SELECT inst_id FROM detections WHERE branch = 'he_cell' AND (xmax-xmin)*(ymax-ymin) > 30 AND inst_id NOT IN (SELECT cell FROM lk)")
+def _(spark, d):
+    return linked(spark, d)[1].select("inst_id")
+
+
 @query("d1_dedupe_iou", SCANS + ", l0 AS MATERIALIZED (SELECT * FROM pr WHERE shared / (a_area + b_area - shared) >= 0.5)" + rounds_sql(5) + " SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM gone)")
 def _(spark, d):
     return P.dedupe_iou(D.detections(spark, d), K).select("inst_id")

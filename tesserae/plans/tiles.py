@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.polygons import gaussian_kernel
 from ..operators import tiles as T
 from ..operators.scores import rounded
+from ..operators.ranges import numbered
 from ..sources import derived as D
 from .catalog import query
 
@@ -148,10 +149,8 @@ def _(spark, d):
 mx AS (SELECT sample, k, max(gt_label) AS m FROM m GROUP BY ALL), sh AS (SELECT sample, k, coalesce(sum(m) OVER (PARTITION BY sample, k // 4 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM mx)
 SELECT sample, k // 4 AS mosaic, y + (k % 4) // 2 * 16 AS y, x + (k % 4) % 2 * 16 AS x, (CASE WHEN gt_label > 0 THEN gt_label + a ELSE 0 END)::BIGINT AS label FROM m JOIN sh USING (sample, k)""")
 def _(spark, d):
-    from pyspark.sql import Window
-
     p = D.label_pixels(spark, d)
-    number = p.select("sample", "tile_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("sample").orderBy("tile_id")) - 1)
+    number = numbered(p.select("sample", "tile_id").distinct(), ["sample"], ["tile_id"], "k")
     return T.mosaic_2x2(p.join(number, ["sample", "tile_id"]).withColumnRenamed("gt_label", "label"), ["sample"], "k", 16)
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.polygons import as_array, simplify
+from .geojson import read_features
 
 FEATURE = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
     T.StructField("properties", T.StringType()),
 ])
-COLLECTION = T.StructType([T.StructField("features", T.ArrayType(FEATURE))])
 RING = "array<array<array<double>>>"
 
 
@@ -29,13 +29,13 @@ def _parts(df: DataFrame) -> DataFrame:
 def _features(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     """One feature in each row: of FeatureCollections (a document in each file), or of a feature in each line."""
     if whole:
-        return spark.read.schema(COLLECTION).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+        return read_features(spark, path).select(F.from_json("value", FEATURE).alias("f"))
     return spark.read.schema(FEATURE).json(path).select(F.struct("id", "geometry", "properties").alias("f"))
 
 
 def read_geojson_cells(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """cell_id (properties.id, else properties.cell_id, else id), ring: exterior ring of the first polygon, three points at
-    least. A document in one file cannot be split; many files or a feature in each line (whole=False) are read in parallel."""
+    least. Documents are read by many tasks; whole=False is for files with a feature in each line."""
     prop = lambda k: F.get_json_object("f.properties", f"$.{k}")
     return _parts(_features(spark, path, whole)).filter("part_idx = 0").select(F.coalesce(prop("id"), prop("cell_id"), F.col("f.id")).alias("cell_id"), "ring")
 
@@ -186,14 +186,6 @@ def write_cells_parquet(cells: DataFrame, path: str, by: tuple[str, ...] = ()) -
     out.write.option("compression", "snappy").partitionBy(*by).parquet(path) if by else out.write.option("compression", "snappy").parquet(path)
 
 
-def split_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """part 0 to n - 1: runs of near equal size in an order of whole numbers."""
-    from ..operators.instances import renumber_all
-
-    size = max(1, -(-df.count() // parts))
-    return renumber_all(df, [order], "number_").withColumn("part", F.floor((F.col("number_") - 1) / size)).drop("number_")
-
-
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
@@ -204,5 +196,3 @@ def require(df: DataFrame, columns: tuple[str, ...] = ("bbox", "centroid")) -> D
     if missing:
         raise ValueError(f"detections need {', '.join(missing)}")
     return df.dropna(subset=list(columns))
-
-
