@@ -21,8 +21,8 @@ from . import bpe, pieces
 from .bpe import file_bytes, spread, text_slices
 from .common import bound_batches, packed, table, written
 
-#: Bytes of text that are aligned at once.
-SLICE = 1 << 20
+#: Bytes of text that are encoded at once, and aligned at once.
+ENCODED, SLICE = 2 << 20, 1 << 19
 #: Bits of an id within the number of a pair.
 ID_BITS = 20
 #: Groups of more links are counted by distinct ids, one by one.
@@ -208,7 +208,7 @@ def _align(file, model, columns: list[str]):
         pairs, piece_model = load(file.value), pieces.load(model.value)
         digits = _digits(max(len(pairs.sizes), piece_model.size))
         for batch in batches:
-            for row, end in text_slices(batch.column("text")):
+            for row, end in text_slices(batch.column("text"), ENCODED):
                 part = batch.slice(row, end - row)
                 for first, last, made in align_texts(pairs, piece_model, part.column("text"), digits):
                     rows = part.slice(first, last - first)
