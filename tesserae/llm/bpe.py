@@ -322,10 +322,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (an array of ints), n_tokens, ids_sha256 and decoded_sha256, a row for each row of docs.
+
+    Null and empty texts have no ids and the digests of the empty text; repeated rows give equal rows, whatever else they hold;
+    an empty table gives none; of columns with clashing names only doc_id and text are read; long texts are encoded whole.
+    """
     coded = encode_and_decode(docs, path, ["doc_id"])
-    return coded.select("row_.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("row_.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def token_digests(docs: DataFrame, path: str) -> DataFrame:
+    """As tokens(), without the ids."""
+    return tokens(docs, path).drop("ids")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
