@@ -79,16 +79,20 @@ def find_seeds(u: Units, shape: Shape) -> Entries:
     if n < shape.window:
         return Entries(none.astype(np.uint64), none, none, none, none)
     h = span_hash(u.form, u.begins[: n - shape.gram + 1], u.ends[shape.gram - 1 :])
-    bits = np.uint64(max(1, len(h).bit_length()))
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    # The least of a window's whole hashes, the first of equal ones: it depends on nothing outside the window.
+    least, seed = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64)
+
+    def widened(by: int) -> tuple[np.ndarray, np.ndarray]:
+        later = least[by:] < least[:-by]
+        return np.minimum(least[by:], least[:-by]), np.where(later, seed[by:], seed[:-by])
+
     width = 1
     while 2 * width <= shape.grams:
-        key = np.minimum(key[: len(key) - width], key[width:])
+        least, seed = widened(width)
         width *= 2
     if width < shape.grams:
-        rest = shape.grams - width
-        key = np.minimum(key[: len(key) - rest], key[rest:])
-    seed = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        least, seed = widened(shape.grams - width)
+    seed = seed.astype(np.int64)
     # Windows that lie within one text.
     whole = np.ones(len(seed), bool)
     for k in u.first[1:-1]:
