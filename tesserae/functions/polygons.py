@@ -1,24 +1,9 @@
-"""Helpers of tasks that work on rings as numpy arrays: intersection areas, hulls, simplification, filling, labelling."""
+"""Helpers of tasks that work on many rings as numpy arrays: areas, clipping, tests for crossings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-
-def as_array(ring) -> np.ndarray:
-    """Points as n x 2, without a closing point."""
-    p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-    return p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p
-
-
-def signed_area(p: np.ndarray) -> float:
-    q = np.roll(p, -1, 0)
-    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
 def padded_rings(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,122 +128,3 @@ def are_simple(p: np.ndarray, n: np.ndarray, at_once: int = 1 << 20) -> np.ndarr
 
 def is_simple(p: np.ndarray) -> bool:
     return bool(are_simple(p[None], np.array([len(p)]))[0]) if len(p) else False
-
-
-def hull_area(p: np.ndarray) -> float:
-    """Area of the convex hull, by Andrew's monotone chain."""
-    pts = sorted(map(tuple, p))
-
-    def half(points) -> list:
-        out: list = []
-        for q in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
-                out.pop()
-            out.append(q)
-        return out[:-1]
-
-    return abs(signed_area(np.array(half(pts) + half(pts[::-1])))) if len(set(pts)) > 2 else 0.0
-
-
-def simplify(p: np.ndarray, eps: float) -> np.ndarray:
-    """Douglas-Peucker on a closed ring, split at its first point and the one farthest from it."""
-    if len(p) < 4:
-        return p
-    far = int(np.argmax(((p - p[0]) ** 2).sum(1)))
-    ring = np.vstack([p, p[:1]])
-    keep = {0, far, len(p)}
-    stack = [(0, far), (far, len(p))]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        line, inner = ring[b] - ring[a], ring[a + 1 : b] - ring[a]
-        length = np.hypot(*line)
-        gap = np.abs(line[0] * inner[:, 1] - line[1] * inner[:, 0]) / length if length else np.hypot(*inner.T)
-        k = int(np.argmax(gap))
-        if gap[k] > eps:
-            keep.add(a + 1 + k)
-            stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    return ring[sorted(keep - {len(p)})]
-
-
-def fill(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs (y, first x, last x) of whole pixels whose centres lie inside or on the border of a ring."""
-    if len(p) < 3:
-        return []
-    q = np.roll(p, -1, 0)
-    runs = []
-    for y in range(int(np.ceil(p[:, 1].min())), int(np.floor(p[:, 1].max())) + 1):
-        xs = []
-        for (x1, y1), (x2, y2) in zip(p, q, strict=True):
-            if (y1 <= y < y2) or (y2 <= y < y1):
-                xs.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
-        xs.sort()
-        spans = [(int(np.ceil(a - 1e-9)), int(np.floor(b + 1e-9))) for a, b in zip(xs[::2], xs[1::2], strict=True)]
-        spans += [(int(np.ceil(min(x1, x2))), int(np.floor(max(x1, x2)))) for (x1, y1), (x2, y2) in zip(p, q, strict=True) if y1 == y2 == y]
-        for a, b in sorted(spans):
-            if runs and runs[-1][0] == y and a <= runs[-1][2] + 1:
-                runs[-1] = (y, runs[-1][1], max(b, runs[-1][2]))
-            elif b >= a:
-                runs.append((y, a, b))
-    return runs
-
-
-def label_components(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
-    """Labels 1 to n of connected parts in row order of their first pixel, by union of runs."""
-    labels, parent = np.zeros(mask.shape, np.int64), [0]
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    reach = 1 if connectivity == 8 else 0
-    for y in range(mask.shape[0]):
-        row = np.concatenate([[0], mask[y].astype(np.int8), [0]])
-        starts, stops = np.flatnonzero(np.diff(row) == 1), np.flatnonzero(np.diff(row) == -1)
-        for a, b in zip(starts, stops, strict=True):
-            above = np.unique(labels[y - 1, max(0, a - reach) : b + reach]) if y else np.zeros(0, int)
-            roots = sorted({root(int(k)) for k in above if k})
-            if roots:
-                new = roots[0]
-                for k in roots[1:]:
-                    parent[k] = new
-            else:
-                new = len(parent)
-                parent.append(new)
-            labels[y, a:b] = new
-    roots = np.array([root(k) for k in range(len(parent))])
-    flat = roots[labels]
-    values = [v for v in dict.fromkeys(flat[flat > 0].tolist())]
-    renumber = np.zeros(len(parent), np.int64)
-    renumber[values] = np.arange(1, len(values) + 1)
-    return renumber[flat]
-
-
-def gaussian_kernel(size: int = 7) -> np.ndarray:
-    """Weights that add up to 1; sigma follows from the size."""
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    return k / k.sum()
-
-
-def gaussian_blur(image: np.ndarray, size: int = 7) -> np.ndarray:
-    """Separable blur with reflected borders."""
-    k = gaussian_kernel(size)
-    for axis in (0, 1):
-        pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)]
-        padded = np.pad(image, pad, mode="reflect")
-        image = sum(w * np.take(padded, range(i, i + image.shape[axis]), axis) for i, w in enumerate(k))
-    return image
-
-
-def with_ring_value(df: DataFrame, name: str, of: Callable[[np.ndarray], float], kind: str = "double", ring: str = "ring") -> DataFrame:
-    """df with a column computed from each ring, in batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{name: [None if r is None else of(as_array(r)) for r in b[ring]]})
-
-    return df.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, {name} {kind}")

@@ -6,6 +6,7 @@ Background is label 0. keys name the columns that tell tiles apart.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -102,38 +103,64 @@ def prediction_first_quality(counts: DataFrame, keys: Sequence[str]) -> DataFram
     return _quality(pairwise_iou(counts, keys).filter("iou > 0.5"), object_counts(counts, keys), keys, 0.0)
 
 
-def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs (row, column) of largest total weight: shortest augmenting paths with potentials, O(n^3)."""
-    flip = weight.shape[0] > weight.shape[1]
-    cost = -(weight.T if flip else weight)
-    rows, cols = cost.shape
-    u, v = np.zeros(rows), np.zeros(cols)
-    row_of = np.full(cols, -1)
-    for r in range(rows):
-        dist, back, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
-        at, col, low = r, -1, 0.0
-        tree = [r]
+def best_assignment(row: Sequence[int], col: Sequence[int], weight: Sequence[float]) -> list[int]:
+    """Places of the pairs (row, column, positive weight) of a one-to-one choice of largest total weight. Shortest augmenting paths with
+    potentials over the pairs that there are; every row may also stay alone, at no weight."""
+    near: dict[int, list[tuple[int, float, int]]] = {}
+    for k, (r, c, w) in enumerate(zip(row, col, weight, strict=True)):
+        near.setdefault(r, []).append((c, -w, k))
+    u, v = {r: min(w for _, w, _ in edges) for r, edges in near.items()}, {}
+    row_of, edge_of = {}, {}
+    for first in near:
+        dist, back, done, heap = {}, {}, {}, []
+        at, low = first, 0.0
         while True:
-            step = low + cost[at] - u[at] - v
-            better = ~done & (step < dist)
-            dist[better], back[better] = step[better], col
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            low, done[col] = dist[col], True
-            if row_of[col] < 0:
+            # The last way out of a row is a column of its own.
+            for c, w, k in [*near[at], (-1 - at, 0.0, -1)]:
+                step = low + w - u[at] - v.get(c, 0.0)
+                if c not in done and step < dist.get(c, np.inf):
+                    dist[c], back[c] = step, (at, k)
+                    heapq.heappush(heap, (step, c))
+            low, column = heapq.heappop(heap)
+            while column in done:
+                low, column = heapq.heappop(heap)
+            done[column] = low
+            if column not in row_of:
                 break
-            at = row_of[col]
-            tree.append(at)
-        u[r] += low
-        for c in np.flatnonzero(done):
-            if c != col:
-                u[row_of[c]] += low - dist[c]
-                v[c] -= low - dist[c]
-        while col >= 0:
-            before = back[col]
-            row_of[col] = row_of[before] if before >= 0 else r
-            col = before
-    pairs = [(int(row_of[c]), c) for c in range(cols) if row_of[c] >= 0]
-    return [(c, r) for r, c in pairs] if flip else pairs
+            at = row_of[column]
+        u[first] += low
+        for c, d in done.items():
+            if c != column:
+                u[row_of[c]] += low - d
+                v[c] = v.get(c, 0.0) - (low - d)
+        while True:
+            r, k = back[column]
+            before = edge_of.get(r)
+            row_of[column], edge_of[r] = r, (column, k)
+            if r == first:
+                break
+            column = before[0]
+    return sorted(k for _, k in edge_of.values() if k >= 0)
+
+
+def overlap_parts(g: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
+    """Places of the pairs of each connected part of a tile's overlaps."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in zip(g.tolist(), p.tolist(), strict=True):
+        x, y = find((0, a)), find((1, b))
+        if x != y:
+            root[y] = x
+    parts: dict[tuple[int, int], list[int]] = {}
+    for k, a in enumerate(g.tolist()):
+        parts.setdefault(find((0, a)), []).append(k)
+    return [np.array(k) for k in parts.values()]
 
 
 def _packed(pairs: DataFrame, keys: Sequence[str], pair: Column) -> DataFrame:
@@ -142,18 +169,18 @@ def _packed(pairs: DataFrame, keys: Sequence[str], pair: Column) -> DataFrame:
 
 
 def assigned(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The overlapping pairs of the assignment of largest total IoU. Pairs that are each other's only partner need no solver."""
+    """The overlapping pairs of the assignment of largest total IoU. Pairs that are each other's only partner need no solver; others are
+    solved for each connected part of a tile's overlaps, in memory in proportion to its pairs."""
     alone = pairs.withColumn("dg_", F.count("*").over(_window(keys, "g"))).withColumn("dp_", F.count("*").over(_window(keys, "p")))
     easy = alone.filter("dg_ = 1 AND dp_ = 1").drop("dg_", "dp_")
     rest = [c for c in pairs.columns if c not in keys]
     hard = _packed(alone.filter("dg_ > 1 OR dp_ > 1"), keys, F.struct("g", "p", *[c for c in rest if c not in ("g", "p")]))
 
     def solve(g: np.ndarray, p: np.ndarray, iou: np.ndarray) -> list[int]:
-        (gs, row), (ps, col) = np.unique(g, return_inverse=True), np.unique(p, return_inverse=True)
-        weight = np.zeros((len(gs), len(ps)))
-        weight[row, col] = iou
-        chosen = set(best_assignment(weight))
-        return [k for k, pair in enumerate(zip(row.tolist(), col.tolist(), strict=True)) if pair in chosen]
+        kept = []
+        for at in overlap_parts(g, p):
+            kept += at[best_assignment(g[at].tolist(), p[at].tolist(), iou[at].tolist())].tolist()
+        return sorted(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

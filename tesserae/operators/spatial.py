@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.polygons import are_simple, intersection_areas, padded_rings, signed_areas
+from ..functions.rasters import hull_areas
 from .parts import one_to_one, removed_by_rank, removed_by_scan
 from .tables import saved
 
@@ -41,16 +42,17 @@ def box_pairs(objects: DataFrame, keys: Sequence[str], id: str = "inst_id", cell
     return box_meetings(objects, objects, keys, cell).filter(F.col(f"a.{id}") < F.col(f"b.{id}"))
 
 
-def measured_rings(objects: DataFrame, ring: str = "ring") -> DataFrame:
-    """objects with simple_ (no edges of the ring cross, and it has an area) and area_."""
+def measured_rings(objects: DataFrame, ring: str = "ring", hull: bool = False) -> DataFrame:
+    """objects with simple_ (no edges of the ring cross, and it has an area) and area_; with hull, hull_area_ too."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, n = padded_rings(batch.column(ring))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(are_simple(p, n)), pa.array(np.abs(signed_areas(p, n)))], names=[*batch.schema.names, "simple_", "area_"])
+            made = {"simple_": are_simple(p, n), "area_": np.abs(signed_areas(p, n)), **({"hull_area_": hull_areas(p, n)} if hull else {})}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made.values())], names=[*batch.schema.names, *made])
 
-    return objects.mapInArrow(run, f"{kinds}, simple_ boolean, area_ double")
+    return objects.mapInArrow(run, f"{kinds}, simple_ boolean, area_ double" + (", hull_area_ double" if hull else ""))
 
 
 def _simple_rings(objects: DataFrame, keys: Sequence[str], id: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.polygons import as_array, fill, gaussian_blur, label_components
+from ..functions.polygons import padded_rings
+from ..functions.rasters import blurred, fill_rings, grey, hull_rows, label_tiles
 from .instances import MODEL_MPP
 
 # Fixed values of the tissue test: brightness of a bright field, its threshold, and those of dark fields.
@@ -78,66 +80,111 @@ def filter_tissue_tiles(tiles: DataFrame, keys: Sequence[str], threshold: float,
     return dilate_tiles(tiles.withColumn("keep", F.col("tissue_pct") >= threshold), keys, radius).filter("keep")
 
 
-def tissue_share(image: np.ndarray, deep: bool = False) -> float:
-    """Share of tissue in a grey tile: dark on a bright field, else bright after stretching what exceeds the noise."""
-    grey = image.mean(2) if image.ndim == 3 else image.astype(float)
-    if not deep and grey.mean() > BRIGHT:
-        return float((gaussian_blur(grey) <= BRIGHT_TISSUE).mean())
-    low, high = float(grey.min()), float(grey.max())
-    if high - low <= (NOISE_16 if deep else NOISE_8):
-        return 0.0
-    return float((gaussian_blur((grey - low) / (high - low) * 255) > DARK_TISSUE).mean())
+def tissue_shares(images: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    """Share of tissue of tiles (tiles x channels x rows x columns, whole numbers; deep: of 16 bits): dark on a bright field, else
+    bright after stretching what exceeds the noise to bytes. Three channels are colours; else the first one counts."""
+    g = grey(images)
+    bright = g.mean((1, 2)) > BRIGHT
+    low, high = g.min((1, 2)), g.max((1, 2))
+    span = high - low
+    seen = span > np.where(deep, NOISE_16, NOISE_8)
+    stretched = (g - low[:, None, None]) * 255 // np.maximum(span, 1)[:, None, None]
+    # A bright tile of 16 bits is cut to its lower byte, as its conversion to bytes does.
+    b = blurred(np.where(bright[:, None, None], g & 255, np.where(seen[:, None, None], stretched, 0)))
+    return np.where(bright, (b <= BRIGHT_TISSUE).mean((1, 2)), (b > DARK_TISSUE).mean((1, 2)))
 
 
-def packed_tiles(pixels: DataFrame, keys: Sequence[str], value: str, size: int) -> DataFrame:
-    """Pixel rows of each tile as one array in row order; a tile bounds the group."""
-    return pixels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("y") * size + F.col("x")).alias("k"), F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("image"))
+def packed_tiles(pixels: DataFrame, keys: Sequence[str], value: str, size: int, channel: str | None = None) -> DataFrame:
+    """Pixel rows of each tile as one array of whole numbers in row order, channel by channel if they have one; a tile bounds the group."""
+    place = F.col("y") * size + F.col("x")
+    place = place if channel is None else F.col(channel) * (size * size) + place
+    return pixels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), F.col(value).cast("long").alias("v")))), lambda s: s["v"]).alias("image"))
 
 
-def with_tile_value(packed: DataFrame, name: str, size: int, of) -> DataFrame:
-    """packed without the image, with a double computed from it."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "image")
+def _images(column: pa.ListArray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a batch and their images (tiles x channels x rows x columns), for each number of channels."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1, size, size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="image").assign(**{name: [of(np.asarray(v).reshape(size, size)) for v in b["image"]]})
 
-    return packed.mapInPandas(run, f"{kinds}, {name} double")
+def _fields(df: DataFrame, *without: str) -> list:
+    return [f for f in df.schema.fields if f.name not in without]
+
+
+def _schema(fields: list, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), more])
+
+
+def tissue_fraction(packed: DataFrame, size: int, deep: str | None = None) -> DataFrame:
+    """packed tiles without the image, with tissue_pct; deep names a column that tells tiles of 16 bits."""
+    kept = _fields(packed, "image")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = np.zeros(batch.num_rows)
+            is_deep = np.zeros(batch.num_rows, bool) if deep is None else batch.column(deep).to_numpy(zero_copy_only=False).astype(bool)
+            for rows, images in _images(batch.column("image"), size):
+                share[rows] = tissue_shares(images, is_deep[rows])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(share)], names=[*(f.name for f in kept), "tissue_pct"])
+
+    return packed.mapInArrow(run, _schema(kept, "tissue_pct double"))
 
 
 def connected_labels(packed: DataFrame, size: int, connectivity: int = 4, min_size: int = 1) -> DataFrame:
-    """Rows (keys, y, x, label) of the connected parts of packed masks, those below min_size dropped."""
-    keys = [f for f in packed.schema.fields if f.name != "image"]
+    """Rows (keys, y, x, label) of the connected parts of packed masks, those below min_size dropped; all tiles of a batch at once."""
+    keys = _fields(packed, "image")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                labels = label_components(np.asarray(row.image).reshape(size, size) > 0, connectivity)
-                small = np.flatnonzero(np.bincount(labels.ravel()) < min_size)
-                labels[np.isin(labels, small)] = 0
-                y, x = np.nonzero(labels)
-                yield pd.DataFrame({**{k.name: getattr(row, k.name) for k in keys}, "y": y, "x": x, "label": labels[y, x]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, images in _images(batch.column("image"), size):
+                labels = label_tiles(images[:, 0] > 0, connectivity)
+                tile, y, x = np.nonzero(labels)
+                label = labels[tile, y, x]
+                part = np.unique(tile * (size * size + 1) + label, return_inverse=True)[1]
+                kept = np.bincount(part)[part] >= min_size if len(part) else np.zeros(0, bool)
+                at = pa.array(rows[tile[kept]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k.name).take(at) for k in keys), *(pa.array(v[kept]) for v in (y, x, label))], names=[*(k.name for k in keys), "y", "x", "label"])
 
-    return packed.mapInPandas(run, f"{', '.join(f'`{k.name}` {k.dataType.simpleString()}' for k in keys)}, y long, x long, label long")
+    return packed.mapInArrow(run, _schema(keys, "y long, x long, label long"))
 
 
 def rasterize(polygons: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
     """Pixels (keys, y, x, label) of rings with whole coordinates; where rings overlap the later in order wins."""
-    kinds = {f.name: f.dataType.simpleString() for f in polygons.schema.fields}
     names = list(dict.fromkeys([*keys, label, order]))
+    rings = polygons.select(*names, "ring")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                runs = fill(np.trunc(as_array(row.ring)))
-                if runs:
-                    yield pd.DataFrame({**{k: getattr(row, k) for k in names}, "y": [r[0] for r in runs], "x1": [r[1] for r in runs], "x2": [r[2] for r in runs]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ring, *runs = fill_rings(*padded_rings(batch.column("ring")))
+            at = pa.array(ring)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in names), *map(pa.array, runs)], names=[*names, "y", "x1", "x2"])
 
-    runs = polygons.select(*names, "ring").mapInPandas(run, f"{', '.join(f'`{k}` {kinds[k]}' for k in names)}, y long, x1 long, x2 long")
+    runs = rings.mapInArrow(run, _schema(_fields(rings, "ring"), "y long, x1 long, x2 long"))
     pixels = runs.withColumn("x", F.explode(F.sequence("x1", "x2")))
     return pixels.groupBy(*keys, "y", "x").agg(F.max_by(label, order).alias("label"))
 
 
+def hull_pixels(pixels: DataFrame, region: Sequence[str]) -> DataFrame:
+    """region, y, x: the pixels whose centres lie in the convex hull of each region's pixels (rows region, y, x). A region is at most a tile."""
+    ends = pixels.groupBy(*region, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    rows = ends.groupBy(*region).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(n):
+                continue
+            at = (np.cumsum(n) - n)[:, None] + np.minimum(np.arange(int(n.max())), n[:, None] - 1)
+            y, a, b = (lists.flatten().field(c).to_numpy(zero_copy_only=False)[at] for c in ("y", "a", "b"))
+            which, *runs = hull_rows(y, a, b, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(which)) for k in region), *map(pa.array, runs)], names=[*region, "y", "x1", "x2"])
+
+    return rows.mapInArrow(run, _schema(_fields(rows, "rows"), "y long, x1 long, x2 long")).select(*region, "y", F.explode(F.sequence("x1", "x2")).alias("x"))
+
+
 def stitch(pixels: DataFrame, keys: Sequence[str], tile: int, overlap: int) -> DataFrame:
     """Overlapping tiles' maps on the slide: seg by maximum, h and v by weights that fade over half the overlap.
 
@@ -180,11 +227,22 @@ def select_channels(pixels: DataFrame, nuclear: int, membrane: Sequence[int] | N
 
 
 def percentile_normalize(pixels: DataFrame, keys: Sequence[str], low: float = 0.01, high: float = 0.99, gamma: float = 1.0, positive_only: bool = False) -> DataFrame:
-    """value of each tile (keys) scaled from its exact percentiles to 0..1; keys with a channel scale channels apart."""
-    used = F.when(F.col("value") > 0, F.col("value")) if positive_only else F.col("value")
-    p = pixels.groupBy(*keys).agg(F.percentile(used, F.array(F.lit(low), F.lit(high))).alias("p_"))
-    scaled = F.least(F.greatest((F.col("value") - F.col("p_")[0]) / (F.col("p_")[1] - F.col("p_")[0] + 1e-8), F.lit(0.0)), F.lit(1.0))
-    return pixels.join(p, [*keys]).withColumn("value", F.pow(scaled, F.lit(gamma))).drop("p_")
+    """value of each tile (keys) scaled from its exact percentiles to 0..1; keys with a channel scale channels apart. A tile is packed into
+    one row, its values sorted and the percentiles read between two of them: pixels are dealt once. A tile bounds the group."""
+    rest = [c for c in pixels.columns if c not in keys]
+    packed = pixels.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("pixels_"))
+    values = F.transform("pixels_", lambda p: p["value"])
+    packed = packed.withColumn("sorted_", F.array_sort(F.filter(values, lambda v: v > 0) if positive_only else values))
+
+    def between(share: float) -> Column:
+        at = (F.size("sorted_") - 1) * F.lit(share)
+        under = F.floor(at).cast("int")
+        a, b = F.get("sorted_", under), F.get("sorted_", F.least(under + 1, F.size("sorted_") - 1))
+        return (under + 1 - at) * a + (at - under) * b
+
+    packed = packed.withColumns({"low_": between(low), "high_": between(high)})
+    scaled = lambda v: F.pow(F.least(F.greatest((v - F.col("low_")) / (F.col("high_") - F.col("low_") + 1e-8), F.lit(0.0)), F.lit(1.0)), F.lit(gamma))
+    return packed.select(*keys, F.inline(F.transform("pixels_", lambda p: F.struct(*[scaled(p["value"]).alias("value") if c == "value" else p[c].alias(c) for c in rest]))))
 
 
 def minmax_normalize(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -214,6 +272,19 @@ def marker_calls(pixels: DataFrame, region: Sequence[str], thresholds: dict[str,
     return ratio.withColumn("called", F.col("ratio") > limit)
 
 
+def marker_calls_by_role(pixels: DataFrame, tile: Sequence[str], nuclear: Sequence[str], thresholds: dict[str, float], default: float = 0.5) -> DataFrame:
+    """tile, role (nucleus or cell), label, channel, ratio, called. pixels: tile, y, x, nucleus and cell (labels, 0 where there is none), channel,
+    positive. Nuclear channels are asked of nuclei only and others of cells only, over the convex hull of the region's
+    pixels; a pixel outside every region of its channel's role does not count as positive."""
+    is_nuclear = F.col("channel").isin(list(nuclear))
+    own = F.when(is_nuclear, F.col("nucleus")).otherwise(F.col("cell"))
+    asked = pixels.select(*tile, "y", "x", "channel", F.when(is_nuclear, "nucleus").otherwise("cell").alias("role"), (F.col("positive") & (own > 0)).alias("positive"))
+    labels = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("label")) for r in ("nucleus", "cell")])
+    regions = pixels.select(*tile, "y", "x", "nucleus", "cell").distinct().select(*tile, "y", "x", F.inline(labels)).filter("label > 0")
+    hulls = hull_pixels(regions, [*tile, "role", "label"])
+    return marker_calls(hulls.join(asked, [*tile, "role", "y", "x"]), [*tile, "role", "label"], thresholds, default)
+
+
 def box_counts(pixels: DataFrame, keys: Sequence[str], size: int, box: int = 8, value: str = "value") -> DataFrame:
     """Sums over boxes that do not overlap; pixels beyond the last whole box are dropped."""
     whole = size // box * box

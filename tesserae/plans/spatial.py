@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polygons import hull_area, signed_area, simplify, with_ring_value
 from ..operators import spatial as P
 from ..operators.scores import rounded
 from ..sources import derived as D
+from ..sources.formats import simplified
 from .catalog import query
 
 K = ["slide_id", "branch"]
@@ -44,7 +44,8 @@ def _(spark, d):
 
 @query("f6_solidity", "SELECT inst_id, round(1 - (1 + inst_id % 11) / (2.0::DOUBLE * (ymax - ymin)), 9) AS solidity FROM detections")
 def _(spark, d):
-    return rounded(with_ring_value(dented(spark, d).select("inst_id", "ring"), "solidity", lambda p: abs(signed_area(p)) / (hull_area(p) or 1.0)).drop("ring"))
+    m = P.measured_rings(dented(spark, d).select("inst_id", "ring"), hull=True)
+    return rounded(m.select("inst_id", F.when(F.col("hull_area_") > 0, F.col("area_") / F.col("hull_area_")).otherwise(0.0).alias("solidity")))
 
 
 @query("f7_eccentricity", """WITH pt AS (SELECT inst_id, unnest([xmin+3, xmax-3, xmax, xmax, xmax-3, xmin+3, xmin, xmin])::DOUBLE AS x, unnest([ymin, ymin, ymin+3, ymax-3, ymax, ymax, ymax-3, ymin+3])::DOUBLE AS y FROM detections),
@@ -56,7 +57,7 @@ def _(spark, d):
 
 @query("f8_simplify", "SELECT inst_id, CASE WHEN inst_id % 11 + 1 > 4 THEN 5 ELSE 4 END AS points FROM detections")
 def _(spark, d):
-    return with_ring_value(dented(spark, d).select("inst_id", "ring"), "points", lambda p: len(simplify(p, 4.0)), "int").drop("ring")
+    return simplified(dented(spark, d).select("inst_id", "ring"), 4.0).select("inst_id", F.size("ring").alias("points"))
 
 
 @query("f9_rounded_ring", "SELECT inst_id, round_even(xmin / 8.0::DOUBLE, 1) AS x0, round_even(ymin / 8.0::DOUBLE, 1) AS y0 FROM detections")

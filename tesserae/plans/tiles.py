@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.polygons import gaussian_kernel
+from ..functions.rasters import BLUR
 from ..operators import tiles as T
 from ..operators.scores import rounded
 from ..operators.ranges import numbered
@@ -91,23 +91,29 @@ def _(spark, d):
     return T.filter_tissue_tiles(grid(spark, d), ["slide_id"], 0.25, 2).groupBy("slide_id").agg(F.count("*").alias("tiles"))
 
 
-def blur_sql(along, size=7):
-    """The same sum, in the same order, as the blur of a tile of 16 x 16 in rows (img), along y or x at place q."""
-    weights = gaussian_kernel(size).tolist()
+def blur_sql(along):
+    """The weighted sum along y or x at place q of a tile of 16 x 16 in rows (img), in whole numbers."""
     at = {"y": "(15 - abs(15 - abs(q // 16 + {j}))) * 16 + q % 16", "x": "q // 16 * 16 + 15 - abs(15 - abs(q % 16 + {j}))"}[along]
-    return " + ".join(f"'{w!r}'::DOUBLE * img[1 + {at.format(j=i - size // 2)}]" for i, w in enumerate(weights))
+    return " + ".join(f"{w} * img[1 + {at.format(j=i - len(BLUR) // 2)}]" for i, w in enumerate(BLUR))
 
 
-TISSUE = CH + f""", st AS (SELECT tile_id, avg(value) > {T.BRIGHT} AS bright, min(value) AS lo, max(value) AS hi FROM ch WHERE channel = 0 GROUP BY ALL),
-i0 AS (SELECT tile_id, bright, hi - lo <= {T.NOISE_8} AS flat, list(CASE WHEN bright THEN value ELSE (value - lo) / (hi - lo) * 255 END ORDER BY y * 16 + x) AS img FROM ch JOIN st USING (tile_id) WHERE channel = 0 GROUP BY ALL),
-i1 AS (SELECT tile_id, bright, flat, list({blur_sql("y")} ORDER BY q) AS img FROM (SELECT *, unnest(range(256)) AS q FROM i0) GROUP BY ALL),
-i2 AS (SELECT tile_id, bright, flat, {blur_sql("x")} AS v FROM (SELECT *, unnest(range(256)) AS q FROM i1))
-SELECT tile_id, round(avg(CASE WHEN bright THEN (v <= {T.BRIGHT_TISSUE})::INT WHEN flat THEN 0 ELSE (v > {T.DARK_TISSUE})::INT END), 9) AS tissue_pct FROM i2 GROUP BY tile_id"""
+# Four kinds of tiles: colours of 8 bits; two channels of 8 bits, the first dark; bright ones of 16 bits; dark ones of 16 bits, every other one below the noise.
+KINDS = """CASE tile_id % 4 WHEN 0 THEN (x*13 + y*7 + channel*31 + tile_id) % 256 WHEN 1 THEN CASE channel WHEN 0 THEN (x*13 + y*7 + tile_id) % 90 ELSE 250 END
+  WHEN 2 THEN (x*131 + y*977 + tile_id*7) % 3000 ELSE (x*31 + y*17 + tile_id) % (90 + (tile_id // 4) % 2 * 100) END"""
+TISSUE = f"""WITH px AS (SELECT tile_id, y * 16 + x AS q, channel, {KINDS} AS v FROM label_pixels, range(3) AS cs(channel) WHERE channel = 0 OR tile_id % 4 = 0 OR tile_id % 4 = 1 AND channel = 1),
+g AS (SELECT tile_id, q, CASE WHEN tile_id % 4 = 0 THEN (4899 * max(v) FILTER (channel = 0) + 9617 * max(v) FILTER (channel = 1) + 1868 * max(v) FILTER (channel = 2) + 8192) // 16384 ELSE max(v) FILTER (channel = 0) END AS v FROM px GROUP BY tile_id, q),
+st AS (SELECT tile_id, avg(v) > {T.BRIGHT} AS bright, min(v) AS lo, max(v) AS hi, CASE WHEN tile_id % 4 >= 2 THEN {T.NOISE_16} ELSE {T.NOISE_8} END AS noise FROM g GROUP BY tile_id),
+i0 AS (SELECT tile_id, bright, list(CASE WHEN bright THEN v % 256 WHEN hi - lo > noise THEN (v - lo) * 255 // (hi - lo) ELSE 0 END ORDER BY q) AS img FROM g JOIN st USING (tile_id) GROUP BY ALL),
+i1 AS (SELECT tile_id, bright, list({blur_sql("y")} ORDER BY q) AS img FROM (SELECT *, unnest(range(256)) AS q FROM i0) GROUP BY ALL),
+i2 AS (SELECT tile_id, bright, ({blur_sql("x")} + 32768) // 65536 AS v FROM (SELECT *, unnest(range(256)) AS q FROM i1))
+SELECT tile_id, round(avg(CASE WHEN bright THEN (v <= {T.BRIGHT_TISSUE})::INT ELSE (v > {T.DARK_TISSUE})::INT END), 9) AS tissue_pct FROM i2 GROUP BY tile_id"""
 
 
 @query("i16_tissue_fraction", TISSUE)
 def _(spark, d):
-    return rounded(T.with_tile_value(T.packed_tiles(channels(spark, d).filter("channel = 0"), K, "value", 16), "tissue_pct", 16, T.tissue_share))
+    p = D.label_pixels(spark, d).withColumn("channel", F.explode(F.expr("CASE tile_id % 4 WHEN 0 THEN array(0, 1, 2) WHEN 1 THEN array(0, 1) ELSE array(0) END")))
+    p = p.withColumn("value", F.expr(KINDS.replace("//", "div"))).withColumn("deep", F.col("tile_id") % 4 >= 2)
+    return rounded(T.tissue_fraction(T.packed_tiles(p, ["tile_id", "deep"], "value", 16, "channel"), 16, "deep").select("tile_id", "tissue_pct"))
 
 
 @query("i21_connected_components", parts_sql("pred_label > 0", 8) + "SELECT * FROM labelled")
@@ -191,6 +197,22 @@ def _(spark, d):
     return rounded(T.marker_calls(p, ["tile_id", "gt_label"], {"c2": 0.2}))
 
 
+# A row of a hull goes from the least to the greatest of all lines between two rows of the region, above and below it.
+ROLES = CH + """, lab AS (SELECT tile_id, y, x, gt_label AS nucleus, pred_label AS cell FROM label_pixels),
+reg AS (SELECT tile_id, 'nucleus' AS role, nucleus AS label, y, min(x) AS a, max(x) AS b FROM lab WHERE nucleus > 0 GROUP BY ALL UNION ALL SELECT tile_id, 'cell', cell, y, min(x), max(x) FROM lab WHERE cell > 0 GROUP BY ALL),
+line AS (SELECT p.tile_id, p.role, p.label, p.y AS y0, q.y AS y1, p.a AS a0, q.a AS a1, p.b AS b0, q.b AS b1, unnest(range(p.y, q.y + 1)) AS y FROM reg p JOIN reg q USING (tile_id, role, label) WHERE p.y <= q.y),
+rows_ AS (SELECT tile_id, role, label, y, ceil(min(a0 + (y - y0) * (a1 - a0) / greatest(y1 - y0, 1)::DOUBLE) - 1e-9) AS a, floor(max(b0 + (y - y0) * (b1 - b0) / greatest(y1 - y0, 1)::DOUBLE) + 1e-9) AS b FROM line GROUP BY ALL),
+asked AS (SELECT c.tile_id, c.y, c.x, channel, CASE WHEN channel = 0 THEN 'nucleus' ELSE 'cell' END AS role, value > 128 AND CASE WHEN channel = 0 THEN nucleus ELSE cell END > 0 AS positive FROM ch c JOIN lab USING (tile_id, y, x))
+SELECT r.tile_id, r.role, r.label, 'c' || channel AS channel, round(avg(positive::INT), 9) AS ratio, avg(positive::INT) > CASE WHEN channel = 2 THEN 0.2 ELSE 0.5 END AS called
+FROM rows_ r JOIN asked p ON r.tile_id = p.tile_id AND r.role = p.role AND r.y = p.y AND p.x BETWEEN r.a AND r.b GROUP BY r.tile_id, r.role, r.label, p.channel"""
+
+
+@query("i26_marker_roles", ROLES)
+def _(spark, d):
+    p = channels(spark, d).withColumnsRenamed({"gt_label": "nucleus", "pred_label": "cell"}).withColumn("positive", F.col("value") > 128).withColumn("channel", F.concat(F.lit("c"), F.col("channel").cast("string")))
+    return rounded(T.marker_calls_by_role(p, K, ["c0"], {"c2": 0.2}))
+
+
 @query("i27_box_counts", CH + "SELECT tile_id, channel, y // 5 AS by, x // 5 AS bx, sum(value) AS n FROM ch WHERE y < 15 AND x < 15 GROUP BY ALL")
 def _(spark, d):
     return T.box_counts(channels(spark, d), ["tile_id", "channel"], 16, 5)

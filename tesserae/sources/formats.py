@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..functions.polygons import as_array, simplify
+from ..functions.polygons import padded_rings
+from ..functions.rasters import simplified_rings
 from .geojson import read_features
 
 FEATURE = T.StructType([
@@ -155,14 +158,18 @@ def point_features(cells: DataFrame) -> DataFrame:
 
 
 def simplified(cells: DataFrame, eps: float) -> DataFrame:
-    """cells with rings simplified to within eps."""
+    """cells with rings simplified to within eps, all rings of a batch at once; a closing point is dropped."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
 
     def run(batches):
-        for b in batches:
-            yield b.assign(ring=[[{"x": x, "y": y} for x, y in simplify(as_array(r), eps).tolist()] for r in b["ring"]])
-
-    return cells.mapInPandas(run, kinds)
+        for batch in batches:
+            p, n = padded_rings(batch.column("ring"))
+            kept = simplified_rings(p, n, eps)
+            points = pa.StructArray.from_arrays([pa.array(p[kept][:, 0]), pa.array(p[kept][:, 1])], names=["x", "y"])
+            rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]), pa.int32()), points)
+            yield pa.RecordBatch.from_arrays([rings if name == "ring" else batch.column(name) for name in batch.schema.names], names=batch.schema.names)
+
+    return cells.mapInArrow(run, kinds)
 
 
 def polygon_features(cells: DataFrame, eps: float = 0.0, digits: int = 2) -> DataFrame:
