@@ -52,7 +52,7 @@ class ByteMerges:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. Special tokens in them are ordinary text."""
-        return bpe.encode_words(texts, bpe.piece_starts, lambda words: self.known.of(words.to_pylist(), self._encode_new))
+        return bpe.encode_words(texts, bpe.piece_starts, lambda words: self.known.of(words, self._encode_new))
 
 
 @lru_cache(2)
@@ -60,38 +60,42 @@ def load(file: bytes) -> ByteMerges:
     return ByteMerges(bpe.BytePairs(file))
 
 
-def runs(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First tokens of both sides and number of groups, for each stretch of one-to-one groups or, with number 1, each irregular
-    group, of which the last tokens stand for the first. a and b are ascending and end alike."""
+    group, of which the last tokens stand for the first. a and b are ascending 32-bit integers and end alike."""
     out: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
+    # Stretches are compared as bytes, four for each token.
+    one, two, x, y = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
     while i < n:
-        k, step = 0, 1
-        while a[i + k : i + k + step] == b[j + k : j + k + step]:
-            k += step
+        p, q, step = 4 * i, 4 * j, 16
+        while one[p : p + step] == two[q : q + step]:
+            p += step
+            q += step
             step *= 2
-            if i + k >= n or j + k >= m:
+            if p >= 4 * n or q >= 4 * m:
                 break
+        while step > 4:
+            step //= 2
+            if one[p : p + step] == two[q : q + step]:
+                p += step
+                q += step
+        k = min(p // 4, n, m + i - j) - i
         if k:
-            while step > 1:
-                step //= 2
-                if a[i + k : i + k + step] == b[j + k : j + k + step]:
-                    k += step
-            k = min(k, n - i, m - j)
             out += (i, j, k)
             i += k
             j += k
             if i >= n:
                 break
-        x, y = a[i], b[j]
-        while x != y:
-            if x < y:
+        left, right = x[i], y[j]
+        while left != right:
+            if left < right:
                 i += 1
-                x = a[i]
+                left = x[i]
             else:
                 j += 1
-                y = b[j]
+                right = y[j]
         out += (i, j, 1)
         i += 1
         j += 1
@@ -101,7 +105,7 @@ def runs(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each side up to the end of each group."""
-    left, right, many = runs(a.tolist(), b.tolist())
+    left, right, many = runs(a.astype(np.int32), b.astype(np.int32))
     return spread(left, many) + 1, spread(right, many) + 1
 
 

@@ -266,7 +266,7 @@ def encode_words(texts: pa.Array, cut: Callable[[np.ndarray, np.ndarray], np.nda
     starts = offsets[cut(codes, first)]
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
     coded = encode(words.dictionary)
-    counts = np.array([len(c) // 4 for c in coded], np.int64)
+    counts = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     each = words.indices.to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(counts[each])])
     ids = np.frombuffer(b"".join(coded), np.int32)[spread((np.cumsum(counts) - counts)[each], counts[each])]

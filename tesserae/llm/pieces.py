@@ -48,9 +48,9 @@ class Known:
     def __init__(self):
         self.ids: dict[str, bytes] = {}
 
-    def of(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        known = self.ids
-        found = [known.get(w) for w in words]
+    def of(self, words: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        known, words = self.ids, words.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, words))
         new = [w for w, ids in zip(words, found) if ids is None]
         if new:
             made = encode(new)
@@ -262,7 +262,7 @@ class Pieces:
         """Ids of all texts, one after the other, and how many each has. Null and empty texts have none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         led = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
-        return encode_words(led, self._borders, lambda words: self.known.of(words.to_pylist(), self._encode_new))
+        return encode_words(led, self._borders, lambda words: self.known.of(words, self._encode_new))
 
     def raw(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after the other, as they stand."""
