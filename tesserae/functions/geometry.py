@@ -120,3 +120,35 @@ def deaugmented(ring: Column, view: str, width: int, height: int) -> Column:
     if view == "v":
         return F.transform(ring, lambda p: point(p["x"], F.lit(height - 1) - p["y"]))
     return ring
+
+
+# Polygons with parts and holes: an array of parts, each an array of rings, the outer one first.
+
+
+def part_area(part: Column) -> Column:
+    """The outer ring's area without the holes'."""
+    return 2 * area(part[0]) - _sum(F.transform(part, area), lambda a: a)
+
+
+def parts_area(parts: Column) -> Column:
+    return _sum(F.transform(parts, part_area), lambda a: a)
+
+
+def largest_part(parts: Column) -> Column:
+    """Place and area of the largest part, the first of equals; null without parts."""
+    best = F.array_max(F.transform(parts, lambda p, k: F.struct(part_area(p).alias("area"), (-k).alias("k"))))
+    return F.when(best.isNotNull(), F.struct((-best["k"]).alias("part_idx"), best["area"].alias("area")))
+
+
+def parts_contain(parts: Column, x: Column, y: Column) -> Column:
+    """Even-odd test over all rings of a part: a point in a hole is outside."""
+    return F.exists(parts, lambda part: F.aggregate(part, F.lit(False), lambda acc, ring: acc != contains(ring, x, y)))
+
+
+def any_part_vertex_in(parts: Column, x0, x1, y0, y1) -> Column:
+    """Whether a vertex of any ring of any part lies in the window."""
+    return F.exists(parts, lambda part: F.exists(part, lambda ring: any_vertex_in(ring, x0, x1, y0, y1)))
+
+
+def translated_parts(parts: Column, dx, dy) -> Column:
+    return F.transform(parts, lambda part: F.transform(part, lambda ring: translated(ring, dx, dy)))

@@ -6,10 +6,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .corpus import keyed_hash
+from .tables import saved
 
 # Fixed value: microns in a pixel.
 PIXEL = 0.2125
@@ -120,15 +123,62 @@ def top_genes(points: DataFrame, k: int = 20, gene: str = "feature_name") -> Dat
     return points.groupBy(gene).agg(F.count("*").alias("n")).orderBy(F.desc("n"), gene).limit(k)
 
 
-def cluster(vectors: DataFrame, k: int, dimensions: int = 8, seed: int = 42, column: str = "embedding") -> DataFrame:
-    """vectors with a cluster: principal components, then k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+def _assigned(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector, the first of equals."""
+    return np.stack([((vectors - c) ** 2).sum(1) for c in centres], 1).argmin(1)
 
-    df = vectors.withColumn("v_", array_to_vector(F.col(column).cast("array<double>")))
-    df = PCA(k=dimensions, inputCol="v_", outputCol="p_").fit(df).transform(df)
-    return KMeans(k=k, seed=seed, featuresCol="p_", predictionCol="cluster").fit(df).transform(df).drop("v_", "p_")
+
+def _stacked(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def cluster_count(n: int, most: int = 8, least_rows: int = 20) -> int:
+    """Clusters for so many rows: a third of them, most at most; none below least_rows."""
+    return 0 if n < least_rows else min(most, n // 3)
+
+
+def cluster(vectors: DataFrame, id: str, column: str = "embedding", most: int = 8, least_rows: int = 20, seed: int = 42) -> DataFrame:
+    """id and cluster (0 to k - 1, nearest centre) by k-means over rows of one length; null below least_rows. k is min(most, rows / 3).
+
+    The first centres are the vectors of the k ids that a keyed hash puts first. A round is one pass over the table: batches add up
+    their vectors by nearest centre and count those whose nearest centre is another than in the round before; rounds end when
+    none is. Only centres (k vectors) and their sums meet on the driver. A centre that nothing is nearest to stays where it is.
+    """
+    spark = vectors.sparkSession
+    rows = saved(vectors.select(F.col(id).alias("id"), F.col(column).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    kind = rows.schema["id"].dataType.simpleString()
+    k = cluster_count(rows.count(), most, least_rows)
+    if not k:
+        return rows.select(F.col("id").alias(id), F.lit(None).cast("int").alias("cluster"))
+    first = rows.orderBy(keyed_hash(F.col("id").cast("long"), seed), "id").limit(k).select("v").collect()
+    centres, before = np.array([r["v"] for r in first]), None
+    while True:
+        now, old = centres, before
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, count, moved = np.zeros(now.shape), np.zeros(len(now), np.int64), 0
+            for batch in batches:
+                v = _stacked(batch.column("v"))
+                near = _assigned(v, now)
+                np.add.at(total, near, v)
+                count += np.bincount(near, minlength=len(now))
+                moved += len(v) if old is None else int((near != _assigned(v, old)).sum())
+            yield pa.RecordBatch.from_pydict({"cluster": pa.array(range(len(now)), pa.int32()), "n": count, "total": total.tolist(), "moved": [moved] * len(now)})
+
+        parts = rows.select("v").mapInArrow(summed, "cluster int, n long, total array<double>, moved long")
+        sums = parts.select("cluster", "n", "moved", F.posexplode("total").alias("p", "x")).groupBy("cluster", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("moved").alias("moved"))
+        found = sums.orderBy("cluster", "p").collect()
+        if not found[0]["moved"]:
+            break
+        size = np.array([r["n"] for r in found]).reshape(now.shape)
+        total = np.array([r["x"] for r in found]).reshape(now.shape)
+        centres, before = np.where(size > 0, total / np.maximum(size, 1), now), now
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_assigned(_stacked(batch.column("v")), centres).astype(np.int32))], names=["id", "cluster"])
+
+    return rows.mapInArrow(named, f"id {kind}, cluster int").withColumnRenamed("id", id)
 
 
 def silhouette(vectors: DataFrame, id: str, label: str, column: str, block: int = 1024) -> DataFrame:
@@ -161,17 +211,17 @@ def silhouette(vectors: DataFrame, id: str, label: str, column: str, block: int
     return ab.select(F.col("id").alias(id), F.col("label").alias(label), s.alias("silhouette"))
 
 
-def silhouette_squared(vectors: DataFrame, id: str, label: str, column: str, max_clusters: int = 1000) -> DataFrame:
+def silhouette_squared(vectors: DataFrame, id: str, label: str, column: str, at_once: int = 1000, salts: int = 64) -> DataFrame:
     """id, label, silhouette by squared Euclidean distances: linear in the rows, since the mean squared distance to a cluster
-    follows from its size, sum and sum of squares. A different number than silhouette() gives."""
+    follows from its size, sum and sum of squares. A different number than silhouette() gives. Clusters are dealt to blocks of about at_once,
+    copied for each salt, and joined with the vectors of that salt, so neither their number nor a block's vectors go to one task."""
     v = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(column).cast("array<double>").alias("v"))
     sums = v.select("label", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     clusters = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda t: t["s"]).alias("sum"), F.sum("q").alias("q"))
-    clusters = clusters.join(v.groupBy("label").agg(F.count("*").alias("n")), "label").withColumnRenamed("label", "to")
-    names = [r["to"] for r in clusters.select("to").limit(max_clusters + 1).collect()]
-    if len(names) > max_clusters:
-        raise ValueError("too many clusters to broadcast")
-    each = v.withColumn("to", F.explode(F.array(*[F.lit(n) for n in names]))).join(F.broadcast(clusters), "to")
+    clusters = saved(clusters.join(v.groupBy("label").agg(F.count("*").alias("n")), "label").withColumnRenamed("label", "to"), "clusters")
+    blocks = max(1, -(-clusters.count() // at_once))
+    dealt = clusters.withColumns({"block_": F.pmod(F.xxhash64("to"), F.lit(blocks)), "salt_": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))})
+    each = v.withColumns({"block_": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")), "salt_": F.pmod(F.xxhash64("id"), F.lit(salts))}).join(dealt, ["block_", "salt_"])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     total = F.col("n") * dot("v", "v") - 2 * dot("v", "sum") + F.col("q")
     own = F.col("to") == F.col("label")
@@ -201,7 +251,21 @@ def cells_metadata(cells: DataFrame, pixel: float = PIXEL) -> DataFrame:
     return cells.select("cell_id", px_to_um(G.vertex_mean(F.col("ring"), "x"), pixel).alias("x_centroid"), px_to_um(G.vertex_mean(F.col("ring"), "y"), pixel).alias("y_centroid"), first(["area_um", "area_um2"]).alias("cell_area"), first(["area_pixels", "area_px"]).alias("area_pixels"))
 
 
-def comparison_report(rates: DataFrame, first: str, second: str) -> DataFrame:
-    """One row: both rates, their difference in points and in percent."""
-    pick = lambda n: F.max(F.when(F.col("segmentation") == n, F.col("rate")))
-    return rates.agg(pick(first).alias("first_rate"), pick(second).alias("second_rate"), (pick(second) - pick(first)).alias("difference"), ((pick(second) - pick(first)) / pick(first) * 100).alias("gain_percent"))
+def doublet_rates(doublets: Mapping[str, DataFrame]) -> DataFrame:
+    """segmentation, cells and doublet_rate (percent) of tables made by detect_doublets."""
+    out = None
+    for name, d in doublets.items():
+        one = d.agg(F.lit(name).alias("segmentation"), F.count("*").alias("cells"), (F.avg(F.col("doublet").cast("double")) * 100).alias("doublet_rate"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def comparison_report(rates: DataFrame, doublets: DataFrame, silhouettes: DataFrame, first: str, second: str) -> DataFrame:
+    """One row that compares two segmentations: assignment rates (segmentation, rate) with their difference in points and in percent, doublet
+    rates (segmentation, cells, doublet_rate) and their reduction in points, mean silhouettes (segmentation, silhouette) and their gain in
+    percent of the first, and cells. What a table lacks is null; a gain on nothing is 0."""
+    facts = rates.select("segmentation", "rate").join(doublets, "segmentation", "full").join(silhouettes.select("segmentation", "silhouette"), "segmentation", "full")
+    pick = lambda n, c: F.max(F.when(F.col("segmentation") == n, F.col(c)))
+    one = facts.agg(*[pick(n, c).alias(f"{p}_{c}") for c in ("rate", "doublet_rate", "silhouette", "cells") for p, n in (("first", first), ("second", second))])
+    gain = lambda c: F.when(F.col(f"first_{c}") == 0, 0.0).otherwise((F.col(f"second_{c}") - F.col(f"first_{c}")) / F.abs(f"first_{c}") * 100)
+    return one.withColumns({"difference": F.col("second_rate") - F.col("first_rate"), "gain_percent": gain("rate"), "doublet_reduction": F.col("first_doublet_rate") - F.col("second_doublet_rate"), "silhouette_gain_percent": gain("silhouette")})

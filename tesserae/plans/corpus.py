@@ -92,10 +92,13 @@ def _(spark, d):
     return reg(spark, d).groupBy(F.split("organ_text", " ")[1].alias("organ")).agg(F.countDistinct("diagnosis").alias("datasets"), F.sum(F.col("row_id") % 7).alias("samples"))
 
 
-@query("f15_organ_matrix", "SELECT diagnosis, max(CASE WHEN organ_text LIKE '% ring' THEN 1 ELSE 0 END) AS ring, max(CASE WHEN organ_text LIKE '% bolt' THEN 1 ELSE 0 END) AS bolt, max(CASE WHEN organ_text LIKE '% ring' THEN 1 ELSE 0 END) + max(CASE WHEN organ_text LIKE '% bolt' THEN 1 ELSE 0 END) AS organs FROM registry GROUP BY diagnosis HAVING max(CASE WHEN organ_text LIKE '% ring' OR organ_text LIKE '% bolt' THEN 1 END) = 1")
+ORGANS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
+HAS = {o: f"max((split_part(organ_text, ' ', 2) = '{o}')::INT)" for o in ORGANS}
+
+
+@query("f15_organ_matrix", "SELECT diagnosis, " + ", ".join(f"{v} AS {o}" for o, v in HAS.items()) + ", " + " + ".join(HAS.values()) + " AS organs FROM registry GROUP BY diagnosis")
 def _(spark, d):
-    r = reg(spark, d).withColumn("organ", F.split("organ_text", " ")[1]).filter("organ IN ('ring', 'bolt')")
-    return C.organ_matrix(r, "diagnosis", ["ring", "bolt"])
+    return C.organ_matrix(reg(spark, d).withColumn("organ", F.split("organ_text", " ")[1]), "diagnosis", ORGANS)
 
 
 @query("f16_log_share", "SELECT row_id, round(least(greatest(log10(greatest(row_id, 1)) / log10(5000.0), 0), 1), 9) AS share FROM registry")

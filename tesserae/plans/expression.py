@@ -15,6 +15,11 @@ MARKERS = {"a": ["G1", "G2", "G3", "G4", "G5"], "b": ["G11", "G12", "G13"], "c":
 GENES = [f"G{k}" for k in range(40)]
 
 
+def every_cell(spark, d):
+    """Objects of all branches."""
+    return D.detections(spark, d).select("slide_id", F.col("inst_id").alias("cell_id"), "ring")
+
+
 def assigned(spark, d):
     return assign_to_many(D.transcripts(spark, d), {"by_cell": cells(spark, d), "by_nucleus": cells(spark, d, "he_nuclei")}, ["slide_id"], "transcript_id", "cell_id")
 
@@ -96,7 +101,7 @@ def _(spark, d):
 
 @query("x8_cluster")
 def _(spark, d):
-    return X.cluster(D.read(spark, d, "embeddings"), 8).groupBy("cluster").agg(F.count("*").alias("n"))
+    return X.cluster(D.read(spark, d, "embeddings"), "vec_id")
 
 
 @query("x9_silhouette", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), dd AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS s FROM e a, e b GROUP BY ALL),
@@ -122,24 +127,43 @@ def _(spark, d):
     return X.top_genes(D.transcripts(spark, d))
 
 
-@query("x11_comparison_report", RATE + "SELECT round(a / n * 100, 6) AS first_rate, round(b / n * 100, 6) AS second_rate, round(b / n * 100 - a / n * 100, 6) AS difference, round((b - a) / a * 100, 4) AS gain_percent FROM rt")
+# Doublets of cells and of nuclei by their transcripts; clusters of vectors by label and, for the second, by every third id.
+REPORT = RATE.rstrip() + """, mk AS (SELECT unnest(['a','a','a','a','a','b','b','b','c','c']) AS lineage, unnest(['G1','G2','G3','G4','G5','G11','G12','G13','G21','G99']) AS feature_name),
+own AS (SELECT 'first' AS seg, cell_id, feature_name FROM transcripts JOIN hits USING (transcript_id) UNION ALL SELECT 'second', cell_id, feature_name FROM transcripts JOIN hits2 USING (transcript_id)),
+lin AS (SELECT seg, cell_id, count(DISTINCT lineage) AS n FROM own LEFT JOIN mk USING (feature_name) GROUP BY ALL),
+db AS (SELECT seg, count(*) AS cells, avg((n >= 2)::INT) * 100 AS dr FROM lin GROUP BY seg),
+e AS (SELECT 'first' AS seg, vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT 'second', vec_id, (vec_id % 3)::VARCHAR, embedding::DOUBLE[] FROM embeddings),
+dd AS (SELECT a.seg, a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) AS s FROM e a JOIN e b USING (seg) GROUP BY ALL),
+nn AS (SELECT seg, label AS other, count(*) AS n FROM e GROUP BY ALL), me AS (SELECT seg, vec_id, label, other, n, s / CASE WHEN label = other THEN greatest(n - 1, 1) ELSE n END AS m FROM dd JOIN nn USING (seg, other)),
+ab AS (SELECT seg, vec_id, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM me GROUP BY seg, vec_id, label),
+si AS (SELECT seg, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS s FROM ab GROUP BY seg),
+f AS (SELECT a / n * 100 AS first_rate, b / n * 100 AS second_rate, d1.dr AS first_doublet_rate, d2.dr AS second_doublet_rate, s1.s AS first_silhouette, s2.s AS second_silhouette, d1.cells AS first_cells, d2.cells AS second_cells
+  FROM rt, db d1, db d2, si s1, si s2 WHERE d1.seg = 'first' AND d2.seg = 'second' AND s1.seg = 'first' AND s2.seg = 'second')
+SELECT first_cells, second_cells, """ + ", ".join(f"round({v}, 4) AS {n}" for n, v in {"first_rate": "first_rate", "second_rate": "second_rate", "difference": "second_rate - first_rate", "gain_percent": "(second_rate - first_rate) / first_rate * 100", "first_doublet_rate": "first_doublet_rate", "second_doublet_rate": "second_doublet_rate", "doublet_reduction": "first_doublet_rate - second_doublet_rate", "first_silhouette": "first_silhouette", "second_silhouette": "second_silhouette", "silhouette_gain_percent": "(second_silhouette - first_silhouette) / abs(first_silhouette) * 100"}.items()) + " FROM f"
+
+
+@query("x11_comparison_report", REPORT)
 def _(spark, d):
-    r = X.comparison_report(X.assignment_rate(assigned(spark, d), ["by_cell", "by_nucleus"]), "by_cell", "by_nucleus")
-    return rounded(r, 6).withColumn("gain_percent", F.round("gain_percent", 4))
+    own = assigned(spark, d)
+    doublets = {n: X.detect_doublets(X.expression_counts(own.withColumnRenamed(n, "cell_id")), MARKERS, 0) for n in ("by_cell", "by_nucleus")}
+    vectors = D.read(spark, d, "embeddings").withColumn("label", F.col("label").cast("string")).withColumn("third", (F.col("vec_id") % 3).cast("string"))
+    means = [X.silhouette_squared(vectors, "vec_id", c, "embedding").agg(F.lit(n).alias("segmentation"), F.avg("silhouette").alias("silhouette")) for n, c in (("by_cell", "label"), ("by_nucleus", "third"))]
+    report = X.comparison_report(X.assignment_rate(own, ["by_cell", "by_nucleus"]), X.doublet_rates(doublets), means[0].unionByName(means[1]), "by_cell", "by_nucleus")
+    return rounded(report, 4)
 
 
-@query("s16_polygons_to_boundaries", "SELECT inst_id AS cell_id, unnest([0, 1, 2, 3]) AS vertex_idx, round(unnest([xmin, xmax, xmax, xmin]) * 0.2125::DOUBLE, 6) AS vertex_x, round(unnest([ymin, ymin, ymax, ymax]) * 0.2125::DOUBLE, 6) AS vertex_y FROM detections WHERE branch = 'he_cell'")
+@query("s16_polygons_to_boundaries", "SELECT inst_id AS cell_id, unnest([0, 1, 2, 3]) AS vertex_idx, round(unnest([xmin, xmax, xmax, xmin]) * 0.2125::DOUBLE, 6) AS vertex_x, round(unnest([ymin, ymin, ymax, ymax]) * 0.2125::DOUBLE, 6) AS vertex_y FROM detections")
 def _(spark, d):
-    return rounded(X.polygons_to_boundaries(cells(spark, d)), 6)
+    return rounded(X.polygons_to_boundaries(every_cell(spark, d)), 6)
 
 
-@query("i12_boundaries_to_polygons", "SELECT inst_id AS cell_id, 5 AS points, round(((xmax-xmin)*(ymax-ymin))::DOUBLE, 8) AS area_px, round((xmax-xmin)*(ymax-ymin) * 0.2125::DOUBLE * 0.2125::DOUBLE, 8) AS area_um FROM detections WHERE branch = 'he_cell'")
+@query("i12_boundaries_to_polygons", "SELECT inst_id AS cell_id, 5 AS points, round(((xmax-xmin)*(ymax-ymin))::DOUBLE, 8) AS area_px, round((xmax-xmin)*(ymax-ymin) * 0.2125::DOUBLE * 0.2125::DOUBLE, 8) AS area_um FROM detections")
 def _(spark, d):
-    p = X.boundaries_to_polygons(X.polygons_to_boundaries(cells(spark, d)))
+    p = X.boundaries_to_polygons(X.polygons_to_boundaries(every_cell(spark, d)))
     return rounded(p.select("cell_id", F.size("ring").alias("points"), "area_px", "area_um"), 8)
 
 
-@query("s17_cells_metadata", "SELECT inst_id AS cell_id, round((3*xmin + 2*xmax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS x_centroid, round((3*ymin + 2*ymax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS y_centroid, 0.0::DOUBLE AS cell_area, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area_pixels FROM detections WHERE branch = 'he_cell'")
+@query("s17_cells_metadata", "SELECT inst_id AS cell_id, round((3*xmin + 2*xmax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS x_centroid, round((3*ymin + 2*ymax) / 5.0::DOUBLE * 0.2125::DOUBLE, 6) AS y_centroid, 0.0::DOUBLE AS cell_area, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area_pixels FROM detections")
 def _(spark, d):
-    c = cells(spark, d).withColumn("ring", G.closed(F.col("ring"))).withColumn("area_px", G.area(F.col("ring")))
+    c = every_cell(spark, d).withColumn("ring", G.closed(F.col("ring"))).withColumn("area_px", G.area(F.col("ring")))
     return rounded(X.cells_metadata(c), 6)

@@ -10,7 +10,7 @@ from ..sources import derived as D
 from ..sources import formats as S
 from ..sources import geojson as J
 from .catalog import query
-from .spatial import dented
+from .spatial import SHAPES, dented, shapes
 
 
 def cells(spark, d):
@@ -45,11 +45,20 @@ def _(spark, d):
     return f.select("f.properties.id", "f.properties.classification", "f.properties.area", corners(ring).alias("corners"))
 
 
-@query("s2_geojson_annotations", "SELECT CASE WHEN branch = 'he_cell' THEN 'Cell' ELSE 'Nucleus' END AS type, count(*) AS n FROM detections GROUP BY ALL")
+@query("s2_geojson_annotations", SHAPES + """SELECT CASE WHEN branch = 'he_cell' THEN 'Cell' ELSE 'Nucleus' END AS type, 0 AS part_idx, 1 + (inst_id % 2 = 0)::INT AS rings, first_area AS area, xmin::DOUBLE AS x0, ymin::DOUBLE AS y0 FROM sh
+UNION ALL SELECT CASE WHEN branch = 'he_cell' THEN 'Cell' ELSE 'Nucleus' END, 1, 1, second_area, (xmin + 40)::DOUBLE, ymin::DOUBLE FROM sh WHERE second_area IS NOT NULL""")
 def _(spark, d):
     path = shared_path(spark, "annotations")
-    S.write_lines(S.polygon_features(cells(spark, d)), path, gzip=True)
-    return S.read_geojson_annotations(spark, path, whole=False).groupBy("type").agg(F.count("*").alias("n"))
+    J.write_collections(S.multipolygon_features(shapes(spark, d).select(F.col("inst_id").alias("id"), "parts", F.col("branch").alias("type"))), path, documents=4, gzip=True)
+    a = S.read_geojson_annotations(spark, path)
+    return a.select("type", "part_idx", F.size("rings").alias("rings"), G.part_area(F.col("rings")).alias("area"), F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0"))
+
+
+@query("s2_polygons_with_parts", SHAPES + "SELECT inst_id::VARCHAR AS id, branch AS classification, 1 + (inst_id % 3 = 0)::INT AS parts, first_area + coalesce(second_area, 0) AS area FROM sh")
+def _(spark, d):
+    path = shared_path(spark, "polygons")
+    J.write_collections(S.multipolygon_features(shapes(spark, d).select(F.col("inst_id").alias("id"), "parts", F.col("branch").alias("type"))), path)
+    return S.read_geojson_polygons(spark, path).select("id", "classification", F.size("parts").alias("parts"), G.parts_area(F.col("parts")).alias("area"))
 
 
 def stored_transcripts(spark, d):
@@ -63,10 +72,10 @@ def _(spark, d):
     return stored_transcripts(spark, d).groupBy("feature_name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"), left.alias("n_left"))
 
 
-@query("s3_read_boundaries", "SELECT inst_id AS cell_id, 4 AS vertices, round(4 * 0.2125::DOUBLE * (xmin + xmax) / 2, 6) AS sx, round(ymin * 0.2125::DOUBLE, 6) AS first_y FROM detections WHERE branch = 'he_cell'")
+@query("s3_read_boundaries", "SELECT inst_id AS cell_id, 4 AS vertices, round(4 * 0.2125::DOUBLE * (xmin + xmax) / 2, 6) AS sx, round(ymin * 0.2125::DOUBLE, 6) AS first_y FROM detections")
 def _(spark, d):
     path = shared_path(spark, "boundaries")
-    polygons_to_boundaries(cells(spark, d).filter("type = 'he_cell'").withColumnRenamed("id", "cell_id")).write.parquet(path)
+    polygons_to_boundaries(cells(spark, d).withColumnRenamed("id", "cell_id")).write.parquet(path)
     b = S.read_boundaries(spark, path)
     return b.groupBy("cell_id").agg(F.count("*").cast("int").alias("vertices"), F.round(F.sum("vertex_x"), 6).alias("sx"), F.round(F.min_by("vertex_y", "vertex_idx"), 6).alias("first_y"))
 
@@ -78,11 +87,11 @@ def _(spark, d):
     return S.read_registry_csv(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
 
 
-@query("s5_rle_masks", """WITH px AS (SELECT p_partkey % 50 AS image_id, dense_rank() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS label, unnest(range(p_partkey % 97, p_partkey % 97 + 5)) AS p FROM part)
-SELECT image_id, p % 16 AS y, p // 16 AS x, max(label) AS label FROM px GROUP BY ALL""")
+@query("s5_rle_masks", """WITH px AS (SELECT p_partkey // 3 AS image_id, dense_rank() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) AS label, unnest(range((p_partkey * 7919) % 4000, (p_partkey * 7919) % 4000 + 5)) AS p FROM part)
+SELECT image_id, p % 64 AS y, p // 64 AS x, max(label) AS label FROM px GROUP BY ALL""")
 def _(spark, d):
-    m = D.read(spark, d, "part").selectExpr("p_partkey % 50 AS image_id", "p_partkey AS row_idx", "concat(cast(p_partkey % 97 + 1 as string), ' 2 ', cast(p_partkey % 97 + 3 as string), ' 3') AS encoded")
-    return S.rle_pixels(m, 16).select("image_id", "y", "x", F.col("label").cast("long").alias("label"))
+    m = D.read(spark, d, "part").selectExpr("p_partkey div 3 AS image_id", "p_partkey AS row_idx", "concat(cast((p_partkey * 7919) % 4000 + 1 as string), ' 2 ', cast((p_partkey * 7919) % 4000 + 3 as string), ' 3') AS encoded")
+    return S.rle_pixels(m, 64).select("image_id", "y", "x", F.col("label").cast("long").alias("label"))
 
 
 @query("s6_polyline_csv", "SELECT inst_id, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections WHERE branch = 'he_cell'")

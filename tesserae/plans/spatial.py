@@ -188,18 +188,48 @@ def _(spark, d):
     return P.suppress(D.detections(spark, d), links(spark, d, 0.3)).select("inst_id")
 
 
-@query("t1_largest_part", """SELECT slide_id, branch, inst_id, a AS area, xmin::DOUBLE AS x0, ymin::DOUBLE AS y0, 4 AS points FROM (SELECT *, ((xmax-xmin)*(ymax-ymin))::DOUBLE AS a FROM detections)
-QUALIFY row_number() OVER (PARTITION BY slide_id, branch ORDER BY a DESC, inst_id) = 1""")
+def shapes(spark, d):
+    """Objects of one or two parts: the box, every other one with a hole three pixels inside; for one in three a second box to its right."""
+    at = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    box = lambda a, b, c, e: F.array(at(a, b), at(c, b), at(c, e), at(a, e))
+    outer, hole, second = box("xmin", "ymin", "xmax", "ymax"), box("xmin + 3", "ymin + 3", "xmax - 3", "ymax - 3"), box("xmin + 40", "ymin", "xmin + 45 + inst_id % 40", "ymin + 20")
+    first = F.when(F.col("inst_id") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return D.detections(spark, d).withColumn("parts", F.when(F.col("inst_id") % 3 == 0, F.array(first, F.array(second))).otherwise(F.array(first)))
+
+
+SHAPES = """WITH sh AS (SELECT *, ((xmax-xmin)*(ymax-ymin) - CASE WHEN inst_id % 2 = 0 THEN (xmax-xmin-6)*(ymax-ymin-6) ELSE 0 END)::DOUBLE AS first_area, CASE WHEN inst_id % 3 = 0 THEN ((5 + inst_id % 40) * 20)::DOUBLE END AS second_area FROM detections)
+"""
+
+
+@query("t1_largest_part", SHAPES + """SELECT inst_id, CASE WHEN second_area > first_area THEN 1 ELSE 0 END AS part_idx, greatest(first_area, coalesce(second_area, 0)) AS area, CASE WHEN second_area > first_area THEN xmin + 40 ELSE xmin END::DOUBLE AS x0,
+CASE WHEN second_area <= first_area OR second_area IS NULL THEN 1 + (inst_id % 2 = 0)::INT ELSE 1 END AS rings FROM sh""")
+def _(spark, d):
+    best = shapes(spark, d).withColumn("best", G.largest_part(F.col("parts"))).withColumn("kept", F.get("parts", F.col("best.part_idx")))
+    return best.select("inst_id", "best.part_idx", "best.area", F.col("kept")[0][0]["x"].alias("x0"), F.size("kept").alias("rings"))
+
+
+# The window is so narrow that it often holds a vertex of a hole or of a second part only.
+P13 = " OR ".join(f"({c} AND (({x1}) % 256 >= 100 AND ({x1}) % 256 < 110 OR ({x2}) % 256 >= 100 AND ({x2}) % 256 < 110) AND (({y1}) >= 1000 AND ({y1}) < 2000 OR ({y2}) >= 1000 AND ({y2}) < 2000))" for c, x1, x2, y1, y2 in [("true", "xmin", "xmax", "ymin", "ymax"), ("inst_id % 2 = 0", "xmin + 3", "xmax - 3", "ymin + 3", "ymax - 3"), ("inst_id % 3 = 0", "xmin + 40", "xmin + 45 + inst_id % 40", "ymin", "ymin + 20")])
+
+
+@query("p13_crop_any_vertex", f"SELECT inst_id, (xmin - xmin // 256 * 256 - 100)::DOUBLE AS x0, (ymin - 1000)::DOUBLE AS y0, 1 + (inst_id % 3 = 0)::INT AS parts FROM detections WHERE {P13.replace('xmin + 45 + inst_id % 40', 'xmin + 45 + inst_id % 40')}")
 def _(spark, d):
-    a = G.area(F.col("ring"))
-    best = D.detections(spark, d).groupBy(*K).agg(F.max_by(F.struct("inst_id", "ring", a.alias("area")), F.struct(a, -F.col("inst_id"))).alias("kept"))
-    return best.select(*K, "kept.inst_id", "kept.area", F.col("kept.ring")[0]["x"].alias("x0"), F.col("kept.ring")[0]["y"].alias("y0"), F.size("kept.ring").alias("points"))
+    # A window in each column of 256 pixels, told by the object's own column or the next one.
+    s = shapes(spark, d)
+    column = F.floor(F.col("xmin") / 256) * 256
+    near = F.lit(False)
+    for k in (0, 256):
+        near = near | G.any_part_vertex_in(F.col("parts"), column + k + 100, column + k + 110, 1000, 2000)
+    roi = s.filter(near).withColumn("parts", G.translated_parts(F.col("parts"), column + 100, 1000))
+    first = F.col("parts")[0][0][0]
+    return roi.select("inst_id", first["x"].alias("x0"), first["y"].alias("y0"), F.size("parts").alias("parts"))
 
 
-@query("p13_crop_any_vertex", "SELECT inst_id, (xmin - 1000)::DOUBLE AS x0, (ymin - 1000)::DOUBLE AS y0 FROM detections WHERE (xmin >= 1000 AND xmin < 2000 OR xmax >= 1000 AND xmax < 2000) AND (ymin >= 1000 AND ymin < 2000 OR ymax >= 1000 AND ymax < 2000)")
+@query("f4_points_in_parts", SHAPES + """SELECT inst_id, inst_id % 2 = 1 AS centre, inst_id % 3 = 0 AS second FROM sh""")
 def _(spark, d):
-    roi = D.detections(spark, d).filter(G.any_vertex_in(F.col("ring"), 1000, 2000, 1000, 2000)).withColumn("ring", G.translated(F.col("ring"), 1000, 1000))
-    return roi.select("inst_id", F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0"))
+    s = shapes(spark, d)
+    inside = lambda x, y: G.parts_contain(F.col("parts"), F.expr(x), F.expr(y))
+    return s.select("inst_id", inside("(xmin + xmax) / 2 + 0.25D", "(ymin + ymax) / 2 + 0.25D").alias("centre"), inside("xmin + 42.5D", "ymin + 10.25D").alias("second"))
 
 
 @query("i20_deaugment_contours", "SELECT inst_id, (4095 - xmin)::DOUBLE AS hx, (4095 - ymin)::DOUBLE AS vy, round((xmin % 7 + ymin % 5 + 1) / 3.0::DOUBLE, 9) AS score FROM detections")

@@ -134,14 +134,15 @@ def _(spark, d):
     return T.rasterize(D.detections(spark, d), ["slide_id", "branch"], "inst_id", "inst_id").groupBy("label").agg(F.count("*").alias("pixels"))
 
 
-STITCH = """WITH w AS (SELECT sample, (tile_id % 5) * 12 + x AS gx, y AS gy, least((least(x, 15-x) + 1) / 3.0::DOUBLE, 1) * least((least(y, 15-y) + 1) / 3.0::DOUBLE, 1) AS w, pred_label::DOUBLE AS seg, x / 15.0::DOUBLE AS h, y / 15.0::DOUBLE AS v FROM label_pixels)
-SELECT sample, gy, gx, max(seg) AS seg, round(sum(w*h)/sum(w), 6) AS h, round(sum(w*v)/sum(w), 6) AS v FROM w GROUP BY ALL"""
+# A slide of 32 x 32 tiles that overlap by four pixels, for each 1,024 tiles.
+STITCH = """WITH w AS (SELECT tile_id // 1024 AS slide, tile_id % 32 * 12 + x AS gx, tile_id // 32 % 32 * 12 + y AS gy, least((least(x, 15-x) + 1) / 3.0::DOUBLE, 1) * least((least(y, 15-y) + 1) / 3.0::DOUBLE, 1) AS w, pred_label::DOUBLE AS seg, x / 15.0::DOUBLE AS h, y / 15.0::DOUBLE AS v FROM label_pixels)
+SELECT slide, gy, gx, max(seg) AS seg, round(sum(w*h)/sum(w), 6) AS h, round(sum(w*v)/sum(w), 6) AS v FROM w GROUP BY ALL"""
 
 
 @query("i18_stitch_predictions", STITCH)
 def _(spark, d):
-    p = D.label_pixels(spark, d).selectExpr("sample", "(tile_id % 5) * 12 AS x1", "0 AS y1", "y", "x", "cast(pred_label as double) AS seg", "x / 15.0D AS h", "y / 15.0D AS v")
-    return rounded(T.stitch(p, ["sample"], 16, 4), 6)
+    p = D.label_pixels(spark, d).selectExpr("tile_id div 1024 AS slide", "tile_id % 32 * 12 AS x1", "tile_id div 32 % 32 * 12 AS y1", "y", "x", "cast(pred_label as double) AS seg", "x / 15.0D AS h", "y / 15.0D AS v")
+    return rounded(T.stitch(p, ["slide"], 16, 4), 6)
 
 
 @query("i19_merge_views", """WITH v3 AS (SELECT tile_id, y, CASE view WHEN 'h' THEN 15 - x ELSE x END AS x, CASE view WHEN 'v' THEN 15 - y ELSE y END AS yy, pred_label::DOUBLE AS seg, CASE view WHEN 'h' THEN -(x / 15.0::DOUBLE) ELSE x / 15.0::DOUBLE END AS h, CASE view WHEN 'v' THEN -(y / 15.0::DOUBLE) ELSE y / 15.0::DOUBLE END AS v FROM label_pixels, (SELECT unnest(['none', 'h', 'v']) AS view))

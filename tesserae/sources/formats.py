@@ -21,12 +21,20 @@ FEATURE = T.StructType([
 RING = "array<array<array<double>>>"
 
 
-def _parts(df: DataFrame) -> DataFrame:
-    """A row for each polygon: part_idx and ring, from the coordinates of a Polygon or MultiPolygon."""
-    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+def _points(ring: Column) -> Column:
+    return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+
+def _polygons(kind: Column, text: Column) -> Column:
+    """The parts of a Polygon's or MultiPolygon's coordinates, each with all its rings, as points."""
     parts = F.when(kind == "Polygon", F.array(F.from_json(text, RING))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RING}>"))
-    ring = F.transform(F.col("part_")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return df.select("*", F.posexplode(parts).alias("part_idx", "part_")).withColumn("ring", ring).drop("part_").filter(F.size("ring") > 2)
+    return F.transform(parts, lambda part: F.transform(part, _points))
+
+
+def _parts(df: DataFrame) -> DataFrame:
+    """A row for each polygon: part_idx, ring (the outer one) and rings (with the holes), from the coordinates of a Polygon or MultiPolygon."""
+    parts = df.select("*", F.posexplode(_polygons(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))).alias("part_idx", "rings"))
+    return parts.withColumn("ring", F.col("rings")[0]).filter(F.size("ring") > 2)
 
 
 def _features(spark: SparkSession, path: str, whole: bool) -> DataFrame:
@@ -44,15 +52,23 @@ def read_geojson_cells(spark: SparkSession, path: str, whole: bool = True) -> Da
 
 
 def read_geojson_annotations(spark: SparkSession, path: str, kind: str | None = None, whole: bool = True) -> DataFrame:
-    """type (canonical), part_idx and ring of every polygon part; the classification may be an object or a text."""
+    """type (canonical), part_idx, ring (the outer one) and rings (with holes) of every polygon part; the classification may be an object or a text."""
     from ..operators.corpus import canonical_type
 
     name = F.coalesce(F.get_json_object("f.properties", "$.classification.name"), F.get_json_object("f.properties", "$.classification"))
     typed = canonical_type(name, F.get_json_object("f.properties", "$.objectType"))
-    df = _parts(_features(spark, path, whole)).select(typed.alias("type"), "part_idx", "ring")
+    df = _parts(_features(spark, path, whole)).select(typed.alias("type"), "part_idx", "ring", "rings")
     return df if kind is None else df.filter(F.col("type") == kind)
 
 
+def read_geojson_polygons(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """id, classification and parts (each an array of rings, the outer one first) of every Polygon and MultiPolygon, as they stand."""
+    f = _features(spark, path, whole)
+    prop = lambda k: F.get_json_object("f.properties", f"$.{k}")
+    parts = _polygons(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    return f.select(F.coalesce(prop("id"), prop("cell_id"), F.col("f.id")).alias("id"), F.coalesce(prop("classification.name"), prop("classification")).alias("classification"), parts.alias("parts")).filter("parts IS NOT NULL")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("x_location").alias("x"), F.col("y_location").alias("y"), "feature_name")
 
@@ -181,6 +197,14 @@ def polygon_features(cells: DataFrame, eps: float = 0.0, digits: int = 2) -> Dat
     return m.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("value"))
 
 
+def multipolygon_features(objects: DataFrame, digits: int = 2) -> DataFrame:
+    """One text column: a MultiPolygon feature of each object (id, parts, type), all rings rounded and closed."""
+    rings = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(G.closed(G.rounded_ring(ring, digits)), lambda p: F.array(p["x"], p["y"]))))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), rings.alias("coordinates"))
+    properties = F.struct("id", G.parts_area(F.col("parts")).alias("area"), F.col("type").alias("classification"))
+    return objects.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str, gzip: bool = False) -> None:
     """A feature or record in each line; compact by nature."""
     writer = lines.write
