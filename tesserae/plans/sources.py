@@ -6,6 +6,7 @@ from ..functions import geometry as G
 from ..operators.expression import polygons_to_boundaries
 from ..operators.scores import rounded
 from ..operators.tables import saved, shared_path
+from ..operators.tiles import plan_tiles_edge_aligned
 from ..sources import derived as D
 from ..sources import formats as S
 from ..sources import geojson as J
@@ -101,11 +102,11 @@ def _(spark, d):
     return S.polyline_rings(rows).select("inst_id", G.area(F.col("ring")).alias("area"))
 
 
-@query("s7_aperio_xml", "SELECT branch AS class_name, count(*) AS n, sum((xmax-xmin)*(ymax-ymin))::DOUBLE AS area FROM detections GROUP BY ALL")
+@query("s7_aperio_xml", f"SELECT inst_id::VARCHAR AS id, branch AS class_name, row_number() OVER (PARTITION BY inst_id // 10000 ORDER BY inst_id) AS region_id, {CORNERS} AS corners FROM detections")
 def _(spark, d):
     path = shared_path(spark, "xml")
     S.write_documents(S.aperio_documents(cells(spark, d)), path)
-    return S.read_aperio_xml(spark, path).groupBy("class_name").agg(F.count("*").alias("n"), F.sum(G.area(F.col("ring"))).alias("area"))
+    return S.read_aperio_xml(spark, path).select("id", "class_name", "region_id", corners(F.col("ring")).alias("corners"))
 
 
 @query("s8_decode_color_ids", "SELECT tile_id, max((x * 16 + y) % 256 * 256 + (x + y) % 256) AS id FROM label_pixels GROUP BY tile_id")
@@ -181,7 +182,20 @@ def _(spark, d):
     return spark.read.schema("sample string, tiles long, mean double").option("header", True).csv(path)
 
 
-@query("p24_require", "SELECT count(*) AS n FROM detections WHERE inst_id % 3 <> 0")
+# Nuclei are counted in the tile of a regular grid that holds their box's upper left corner; slides are planned at 4,096 pixels.
+@query("s20_tile_metadata", """WITH t AS (SELECT slide_id, r AS tile_row, c AS tile_col, r * 512 AS y1, c * 512 AS x1 FROM (SELECT DISTINCT slide_id FROM detections), range(8) AS rs(r), range(8) AS cs(c)),
+n AS (SELECT slide_id, ymin // 512 AS tile_row, xmin // 512 AS tile_col, count(*) AS n FROM detections WHERE branch = 'he_nuclei' GROUP BY ALL)
+SELECT slide_id, 'slide' || slide_id || '.svs' AS original_file, 'patient' || slide_id AS patient_id, CASE WHEN slide_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, tile_row AS tile_y, tile_col AS tile_x, y1 AS y_start, x1 AS x_start, coalesce(n, 0) AS num_nuclei FROM t LEFT JOIN n USING (slide_id, tile_row, tile_col)""")
+def _(spark, d):
+    path = shared_path(spark, "metadata")
+    det = D.detections(spark, d)
+    plan = plan_tiles_edge_aligned(det.select("slide_id").distinct().withColumns({"width": F.lit(4096), "height": F.lit(4096)})).withColumns({"tile_row": F.floor(F.col("y1") / 512), "tile_col": F.floor(F.col("x1") / 512)})
+    counts = det.filter("branch = 'he_nuclei'").groupBy("slide_id", F.floor(F.col("ymin") / 512).alias("tile_row"), F.floor(F.col("xmin") / 512).alias("tile_col")).agg(F.count("*").alias("n"))
+    S.write_tile_metadata(S.tile_metadata(plan, counts, F.when(F.col("slide_id") % 5 == 0, "test").otherwise("train")), path)
+    return spark.read.schema("original_file string, patient_id string, split string, tile_y long, tile_x long, y_start long, x_start long, num_nuclei long, slide_id long").option("header", True).csv(path)
+
+
+@query("p24_require", "SELECT inst_id, branch AS type FROM detections WHERE inst_id % 3 <> 0")
 def _(spark, d):
     det = cells(spark, d).withColumn("bbox", F.when(F.col("id") % 3 != 0, F.col("ring"))).withColumn("centroid", F.lit(1))
-    return S.require(det).agg(F.count("*").alias("n"))
+    return S.require(det).select(F.col("id").alias("inst_id"), "type")

@@ -164,6 +164,26 @@ def _(spark, d):
     return linked(spark, d)[1].select("inst_id")
 
 
+# Slides as dense as in one growing region: all objects on four slides, whatever their number.
+DENSE = PAIRS.replace("FROM detections a JOIN detections b ON a.slide_id = b.slide_id", "FROM detections a JOIN detections b ON a.slide_id % 4 = b.slide_id % 4").replace("a.slide_id, a.branch", "a.slide_id % 4 AS slide_id, a.branch")
+
+
+def dense(spark, d):
+    return D.detections(spark, d).withColumn("slide_id", F.col("slide_id") % 4)
+
+
+@query("j3_polygon_overlap_dense", DENSE + "SELECT slide_id, branch, count(*) AS pairs, round(sum(shared), 3) AS shared, round(sum(shared / (a_area + b_area - shared)), 6) AS iou FROM pr GROUP BY ALL")
+def _(spark, d):
+    p = P.ring_pairs(dense(spark, d), K)
+    return p.groupBy(*K).agg(F.count("*").alias("pairs"), F.round(F.sum("shared"), 3).alias("shared"), F.round(F.sum(P.iou(p)), 6).alias("iou"))
+
+
+@query("d3_suppress_dense", DENSE.replace("WITH", "WITH RECURSIVE", 1) + ", l AS MATERIALIZED (SELECT * FROM pr WHERE shared / (a_area + b_area - shared) >= 0.3::DOUBLE)" + kept_sql("l", "s", "area DESC, node") + " SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM s_order) OR inst_id IN (SELECT node FROM s_kept)")
+def _(spark, d):
+    p = P.ring_pairs(dense(spark, d), K)
+    return P.suppress(dense(spark, d), p.filter(P.iou(p) >= 0.3)).select("inst_id")
+
+
 @query("d1_dedupe_iou", SCANS + ", l0 AS MATERIALIZED (SELECT * FROM pr WHERE shared / (a_area + b_area - shared) >= 0.5)" + rounds_sql(5) + " SELECT inst_id FROM detections WHERE inst_id NOT IN (SELECT node FROM gone)")
 def _(spark, d):
     return P.dedupe_iou(D.detections(spark, d), K).select("inst_id")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..functions.polygons import padded_rings
 from ..functions.rasters import simplified_rings
+from ..operators.ranges import numbered
 from .geojson import read_features
 
 FEATURE = T.StructType([
@@ -124,7 +125,7 @@ def aperio_documents(cells: DataFrame, ids: int = 10_000) -> DataFrame:
     the table. id is an integer and unique."""
     vertex = F.array_join(F.transform("ring", lambda p: F.concat(F.lit('<Vertex X="'), p["x"].cast("string"), F.lit('" Y="'), p["y"].cast("string"), F.lit('"/>'))), "")
     row = F.concat(F.lit('<Annotation Name="'), F.col("type"), F.lit('"><Regions><Region Id="'), F.col("id").cast("string"), F.lit('"><Vertices>'), vertex, F.lit("</Vertices></Region></Regions></Annotation>"))
-    groups = cells.groupBy(F.floor(F.col("id") / ids).alias("b")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    groups = cells.groupBy(F.floor(F.col("id") / ids).alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
     return groups.select(F.concat(F.lit("<Annotations>"), "rows", F.lit("</Annotations>")).alias("value"))
 
 
@@ -134,11 +135,16 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def read_aperio_xml(spark: SparkSession, path: str) -> DataFrame:
-    """class_name, region and ring of every region with three vertices or more."""
+    """file, region_id, id, class_name and ring of every region with three vertices or more; region_id counts a file's regions from 1, as
+    they stand there, by ranges, so a large file is no group of one task."""
     df = spark.read.format("xml").option("rowTag", "Annotation").schema(APERIO).load(path)
-    df = df.select(F.col("_Name").alias("class_name"), F.posexplode("Regions.Region").alias("region", "r"))
+    # Annotations of a file come in order within each block that is read, and blocks tell where they begin.
+    df = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("row_"), F.col("_Name").alias("class_name"), "Regions")
+    df = df.select("file", "block_", "row_", "class_name", F.posexplode("Regions.Region").alias("region_", "r"))
     ring = F.transform("r.Vertices.Vertex", lambda v: F.struct(v["_X"].alias("x"), v["_Y"].alias("y")))
-    return df.select("class_name", "region", ring.alias("ring")).filter(F.size("ring") > 2)
+    regions = df.select("file", "block_", "row_", "region_", F.col("r._Id").alias("id"), "class_name", ring.alias("ring")).filter(F.size("ring") > 2)
+    counted = numbered(regions, ["file"], ["block_", "row_", "region_"], "region_id")
+    return counted.select("file", (F.col("region_id") + 1).alias("region_id"), "id", "class_name", "ring")
 
 
 def color_id(green: Column, blue: Column) -> Column:
@@ -217,6 +223,21 @@ def write_cells_parquet(cells: DataFrame, path: str, by: tuple[str, ...] = ()) -
     out.write.option("compression", "snappy").partitionBy(*by).parquet(path) if by else out.write.option("compression", "snappy").parquet(path)
 
 
+def tile_metadata(tiles: DataFrame, counts: DataFrame, split: Column, tile: int = 512) -> DataFrame:
+    """A row for each planned tile (slide_id, tile_row, tile_col, y1, x1): original_file, patient_id, split, tile_y, tile_x, y_start, x_start and
+    num_nuclei, from counts (slide_id, tile_row, tile_col, n); tiles without one have 0."""
+    found = tiles.join(counts, ["slide_id", "tile_row", "tile_col"], "left")
+    slide = F.col("slide_id").cast("string")
+    return found.select("slide_id", F.concat(F.lit("slide"), slide, F.lit(".svs")).alias("original_file"), F.concat(F.lit("patient"), slide).alias("patient_id"), split.alias("split"), F.col("tile_row").alias("tile_y"), F.col("tile_col").alias("tile_x"), F.col("y1").alias("y_start"), F.col("x1").alias("x_start"), F.coalesce("n", F.lit(0)).alias("num_nuclei"))
+
+
+def write_tile_metadata(metadata: DataFrame, path: str, by: str = "slide_id", files_per_slide: int = 1) -> None:
+    """A folder of CSV for each slide, whose tiles are in order. Rows are dealt by slide and range, so that slides share tasks but none writes
+    more files than asked for by each task."""
+    dealt = metadata.repartition(by) if files_per_slide == 1 else metadata.repartition(by, F.pmod(F.xxhash64("tile_y"), F.lit(files_per_slide)))
+    dealt.sortWithinPartitions(by, "tile_y", "tile_x").write.option("header", True).partitionBy(by).csv(path)
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
