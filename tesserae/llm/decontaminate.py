@@ -13,16 +13,20 @@ broadcast, and windows are held as places in the block's text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, LETTERED, equal_spans, span_hasher, span_places, text_slices
-from .common import LOWER, UPPER, WORD_CLASS, bound_batches, drop_written, packed, table, written
+from .common import LOWER, UPPER, WORD_CLASS, bound_batches, drop_written, packed, shared_folder, table, written
 
 WINDOW = 13
 #: Bytes of benchmark text that are compiled, broadcast and searched for at once; words of a piece of a long item.
@@ -258,24 +262,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([piece])], names=["item_id", "text"])
 
 
-def _blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark, a stated set of queries, in blocks of bounded size; one block at a time is on the driver, as pieces are
+def _blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """The benchmark, a stated set of queries, in blocks of bounded size, each with whether there are several; one block at a time is on the driver, as pieces are
     dealt to partitions of about that size, which are fetched one by one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     pieces = written(items.mapInArrow(_pieces, "item_id string, text string"), "benchmark")
     total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = pieces.repartition(-(-total // limit)) if total > limit else pieces
+    several = total > limit
+    dealt = pieces.repartition(-(-total // limit)) if several else pieces
     block: list[tuple[str, str]] = []
     size = 0
     for r in dealt.toLocalIterator():
         n = len(r["text"].encode())
         if block and size + n > limit:
-            yield block
+            yield several, block
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
         size += n
     if block:
-        yield block
+        yield several, block
     drop_written(pieces)
 
 
@@ -291,22 +296,20 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
 def _search(matcher, columns: list[str]):
-    """The task's function: adds one block's findings to the columns spans and items, and sets n_words."""
+    """The task's function: one block's findings as the columns spans and items, and n_words."""
 
     def results(block: Matcher, part: pa.RecordBatch, data: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         n_words, texts, firsts, windows = search_slice(block, data, starts)
-        spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
+        spans: list = [[] for _ in n_words]
+        items: list = [[] for _ in n_words]
         cut = np.searchsorted(texts, np.arange(len(n_words) + 1))
         begun, held = 0, 0
         for t in range(len(n_words)):
             a, b = int(cut[t]), int(cut[t + 1])
             if b > a:
-                first, end = firsts[a:b], firsts[a:b] + block.words[windows[a:b]]
-                old = np.array([(s["first"], s["first"] + s["n"]) for s in spans[t]], np.int64).reshape(-1, 2)
-                runs = _runs(np.concatenate([first, old[:, 0]]), np.concatenate([end, old[:, 1]]))
+                runs = _runs(firsts[a:b], firsts[a:b] + block.words[windows[a:b]])
                 spans[t] = [{"first": x, "n": y - x} for x, y in zip(*(r.tolist() for r in runs), strict=True)]
-                found = block.items_of(windows[a:b])
-                items[t] = sorted({*found, *items[t]}) if items[t] else found
+                items[t] = block.items_of(windows[a:b])
             held += len(items[t])
             if held > IDS_PER_BATCH or t == len(n_words) - 1:
                 made = {"n_words": pa.array(n_words[begun : t + 1], pa.int64()), "spans": pa.array(spans[begun : t + 1], SPANS), "items": pa.array(items[begun : t + 1], pa.list_(pa.string()))}
@@ -334,29 +337,63 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     all its texts. Rows of docs that repeat give repeated rows; an empty table gives none, an empty benchmark no hits.
     Columns of docs with the names of results stay in row_.
 
-    A benchmark of one block costs one pass; each further block of block_bytes costs one more and a written table.
+    A benchmark of one block costs one pass. For a larger one the rows are written once with a number; each block of
+    block_bytes then costs a pass that writes only what it finds, and the findings are merged by number at the end.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = packed(docs, ["text"], keep).withColumn("n_words", F.lit(None).cast("long")).withColumn("spans", F.array().cast("array<struct<first:long,n:long>>")).withColumn("items", F.array().cast("array<string>"))
-    # The rows searched for a block are written before the next block is broadcast, so that one block is alive at a time.
-    used, table_ = None, None
-    for block in _blocks(benchmark, block_bytes):
-        if used is not None:
-            new = written(rows, "searched")
-            used.unpersist()
-            if table_ is not None:
-                drop_written(table_)
-            rows = table_ = new
-        used = spark.sparkContext.broadcast(Matcher.compile(block))
-        rows = rows.mapInArrow(_search(used, rows.columns), rows.schema)
-    if used is None:
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Matcher.compile([])), rows.columns), rows.schema)
+    rows = packed(docs, ["text"], keep)
+    blocks = _blocks(benchmark, block_bytes)
+    several, first = next(blocks, (False, []))
+    if several:
+        rows = written(rows.withColumn("id_", F.monotonically_increasing_id()), "numbered")
+        found = rows.select("id_", "row_").join(_findings(rows.select("id_", "text"), chain([first], (block for _, block in blocks))), "id_")
+    else:
+        found = _searched(rows, first)[0]
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    out = rows.select("row_", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    out = found.select("row_", "n_words", n_hit.alias("n_hit"), "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _searched(rows: DataFrame, block: list[tuple[str, str]]) -> tuple[DataFrame, Broadcast]:
+    """rows (with text) and one block's findings, and the broadcast block."""
+    made = rows.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<struct<first:long,n:long>>"), "items": F.array().cast("array<string>")})
+    used = rows.sparkSession.sparkContext.broadcast(Matcher.compile(block))
+    return made.mapInArrow(_search(used, made.columns), made.schema), used
+
+
+def _findings(texts: DataFrame, blocks: Iterable[list[tuple[str, str]]]) -> DataFrame:
+    """id_, n_words, spans and items of texts (id_, text) over all blocks. One block is alive at a time; the first one's pass writes a row for
+    each text, the others those with a hit."""
+    spark = texts.sparkSession
+    path, schema = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}", None
+    for k, block in enumerate(blocks):
+        found, used = _searched(texts, block)
+        found = found.drop("text").filter(F.lit(k == 0) | (F.size("spans") > 0))
+        found.write.mode("append").parquet(path)
+        schema = found.schema
+        used.unpersist()
+    every = spark.read.schema(schema).parquet(path)
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    merged = every.groupBy("id_").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), items.alias("items"))
+    return merged.mapInArrow(_joined_spans, merged.schema)
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose spans, in any order, are joined to maximal runs."""
+    for batch in batches:
+        column = batch.column("spans")
+        counts = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, n = (column.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("first", "n"))
+        # Texts stand behind each other, so far apart that no run reaches the next one.
+        apart = int((first + n).max(initial=0)) + 1
+        base = np.repeat(np.arange(len(counts)), counts) * apart
+        begin, end = _runs(first + base, first + base + n) if len(first) else (first, first)
+        starts = np.searchsorted(begin, np.arange(len(counts) + 1) * apart)
+        spans = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(begin % apart), pa.array(end - begin)], names=["first", "n"]))
+        yield pa.RecordBatch.from_arrays([spans.cast(SPANS) if name == "spans" else batch.column(name) for name in batch.schema.names], names=batch.schema.names)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; nulls, repeated rows and an empty table as find_contamination has them."""
     return find_contamination(docs, benchmark).filter(~F.col("contaminated")).select("row_.*")
