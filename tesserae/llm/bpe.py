@@ -25,7 +25,8 @@ from .common import bound_batches, packed, table
 
 # Fixed value: how the vocabulary's format cuts text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces kept with their ids in a worker, and the longest that is kept.
+#: Bytes of text that are encoded at once; pieces kept with their ids in a worker, and the longest that is kept.
+SLICE = 1 << 20
 CACHED, CACHED_BYTES = 400_000, 64
 
 
@@ -287,7 +288,7 @@ def _tokenize(file, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(file.value)
         for batch in batches:
-            for row, end in text_slices(batch.column("text")):
+            for row, end in text_slices(batch.column("text"), SLICE):
                 part = batch.slice(row, end - row)
                 ids, counts = pairs.encode_all(part.column("text"))
                 starts = np.concatenate([[0], np.cumsum(counts)])
