@@ -632,4 +632,4 @@ def test_licenses_with_clashing_columns_and_a_template_table(spark):
 
 
 def test_registry_names():
-    assert {m[1] for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))} == {str(k) for k in range(1, 11)}
+    assert {m[1] for n in registry.QUERIES if (m := re.match(r"op(\d+)_", n))} == {str(k) for k in range(1, 14)}
