@@ -148,6 +148,39 @@ def test_intersection_of_any_simple_rings():
     assert not P.is_simple(bow) and P.is_simple(touching) and P.is_simple(corners((0, 0, 2, 2)))
 
 
+def test_rings_that_cross_at_a_point_are_not_simple(spark):
+    """Small integer rings against winding numbers on a fine grid; f11's own case goes through a point of another edge."""
+    fine = np.stack(np.meshgrid(np.arange(-0.487, 4.6, 0.05), np.arange(-0.489, 4.6, 0.05)), -1).reshape(-1, 1, 2)
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+
+    def expected(a):
+        b = np.roll(a, -1, 0)
+        side = cross((b - a)[:, None], a[None] - a[:, None])
+        parted = side * np.roll(side, -1, 1) < 0
+        left = cross(b - a, fine - a) > 0
+        wound = ((a[:, 1] <= fine[..., 1]) & (fine[..., 1] < b[:, 1]) & left).sum(1) - ((b[:, 1] <= fine[..., 1]) & (fine[..., 1] < a[:, 1]) & ~left).sum(1)
+        turn = np.sign(cross(a, b).sum())
+        return bool(turn and not (parted & parted.T).any() and set(wound.tolist()) <= {0, int(turn)})
+
+    rng = np.random.default_rng(3)
+    rings = [rng.integers(0, 5, (int(rng.integers(3, 9)), 2)).astype(float) for _ in range(1500)]
+    through = [(0, 0), (8, 8), (8, 0), (4, 4), (0, 9)]
+    retraced = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]
+    twice = [(0, 0), (4, 0), (4, 4), (0, 4)] * 2
+    twisted = [(0, 0), (1, 0), (1, 1), (3, 1), (3, 0), (4, 0), (4, 2), (3, 2), (3, 1), (1, 1), (1, 2), (0, 2)]
+    other_way = [(0, 0), (1, 0), (1, 1), (3, 1), (3, 2), (4, 2), (4, 0), (3, 0), (3, 1), (1, 1), (1, 2), (0, 2)]
+    named = [np.array(r, float) for r in (through, retraced, twice, twisted, other_way)]
+    found = [P.is_simple(r) for r in named]
+    assert found == [False, True, False, True, False]
+    want = [expected(r) for r in rings]
+    assert [P.is_simple(r) for r in rings] == want and 100 < sum(want) < 1400
+    count = np.array([len(r) for r in rings])
+    padded = np.stack([np.concatenate([r, np.repeat(r[-1:], 8 - len(r), 0)]) for r in rings])
+    assert P.are_simple(padded, count, 500).tolist() == want
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r.tolist()]) for k, r in enumerate(named)], "inst_id long, ring array<struct<x:double,y:double>>")
+    assert [r["simple_"] for r in spatial.measured_rings(df).orderBy("inst_id").collect()] == found
+
+
 def test_intersection_of_concave_polygons():
     ell = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float)
     assert shared_area(ell, ell) == pytest.approx(7)
