@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import mix, span_hash, span_places
+from .bytetext import BLOCK, mix, span_hash, span_places
 from .common import bound_batches
 
 #: Bytes of text in a batch, on average, and in a slice of whole texts, which is what a task works on at once; buckets
@@ -78,32 +78,33 @@ def find_seeds(u: Units, shape: Shape) -> Entries:
     n, none = len(u.begins), np.zeros(0, np.int64)
     if n < shape.window:
         return Entries(none.astype(np.uint64), none, none, none, none)
-    h = span_hash(u.form, u.begins[: n - shape.gram + 1], u.ends[shape.gram - 1 :])
+    # Units are not empty, so if the last one ends at n they are single bytes.
+    h = span_hash(u.form, u.begins[: n - shape.gram + 1], u.ends[shape.gram - 1 :], every=bool(u.ends[-1] == n))
     # The least of a window's whole hashes, the first of equal ones: it depends on nothing outside the window.
-    least, seed = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64)
-
-    def widened(by: int) -> tuple[np.ndarray, np.ndarray]:
-        later = least[by:] < least[:-by]
-        return np.minimum(least[by:], least[:-by]), np.where(later, seed[by:], seed[:-by])
-
-    width = 1
-    while 2 * width <= shape.grams:
-        least, seed = widened(width)
-        width *= 2
-    if width < shape.grams:
-        least, seed = widened(shape.grams - width)
-    seed = seed.astype(np.int64)
-    # Windows that lie within one text.
-    whole = np.ones(len(seed), bool)
+    least = np.empty(n - shape.window + 1, np.uint64)
+    for begin in range(0, len(least), BLOCK):
+        own, width = least[begin : begin + BLOCK], 1
+        part = h[begin : begin + len(own) + shape.grams - 1]
+        while 2 * width <= shape.grams:
+            part = np.minimum(part[width:], part[:-width])
+            width *= 2
+        np.minimum(part[len(part) - len(own) :], part[: len(own)], out=own)
+    # Windows that lie within one text, in runs of one seed: it is another one if it is less, or if the last one is left behind.
+    whole = np.ones(len(least), bool)
     for k in u.first[1:-1]:
         whole[max(0, k - shape.window + 1) : k] = False
-    window = np.flatnonzero(whole)
-    if not len(window):
-        return Entries(none.astype(np.uint64), none, none, none, none)
-    seed = seed[window]
-    new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (window[1:] != window[:-1] + 1)]))
-    at, lo = seed[new], window[new]
-    hi = window[np.concatenate([new[1:], [len(window)]]) - 1]
+    new = np.ones(len(least) + 1, bool)
+    new[1:-1] = (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1]) | ~whole[:-1] | ~whole[1:]
+    lo, hi = np.flatnonzero(new[:-1] & whole), np.flatnonzero(new[1:] & whole)
+    # The seed is a run's last window's first gram, if that is the least; or the first window's last gram, if it made the run;
+    # else it is looked for.
+    at = np.where(h[hi] == least[hi], hi, lo)
+    entered = (at == lo) & (lo > 0) & (least[lo] < least[np.maximum(lo, 1) - 1])
+    at[entered] += shape.grams - 1
+    open_ = np.flatnonzero(h[at] != least[lo])
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[h[at[open_]] != least[lo[open_]]]
     # Least hashes are small ones; mixed again they spread evenly over the buckets.
     return Entries(mix(h[at]), np.searchsorted(u.first, at, "right") - 1, at, lo, hi)
 
@@ -146,18 +147,28 @@ def slices(table: pa.Table, shape: Shape, limit: int = SLICE_BYTES, seeds: bool
         yield Slice(first, np.array([ids[k] for k in order[first:at]], np.int64), units, find_seeds(units, shape) if seeds else None)
 
 
+def _sorted_distinct(v: np.ndarray) -> np.ndarray:
+    v = np.sort(v)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets that occur, cuts between them) of hashes in order."""
     some, cut = np.unique(((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), return_index=True)
     return some, np.append(cut, len(h))
 
 
-def _distinct_hashes(table: pa.Table, shape: Shape) -> tuple[list[Entries], np.ndarray, np.ndarray, np.ndarray]:
+def _distinct_hashes(table: pa.Table, shape: Shape, counted: bool = True) -> tuple[list[Entries], np.ndarray, np.ndarray, np.ndarray]:
     """The seeds of each slice; their hashes in order, whether each stands in several slices, and its different contexts in
-    all of them, 65535 at most."""
+    all of them, 65535 at most (0 if they are not to be counted)."""
     seeds, parts, numbers = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for s in slices(table, shape):
         u, e = s.units, s.seeds
+        if not counted:
+            seeds.append(e)
+            parts.append(_sorted_distinct(e.hash))
+            numbers.append(np.zeros(len(parts[-1]), np.int64))
+            continue
         context = span_hash(u.form, u.begins[e.lo], u.ends[e.hi + shape.window - 1])
         order = np.lexsort((context, e.hash))
         h, context = e.hash[order], context[order]
@@ -248,10 +259,10 @@ class Rows:
             order, group = order[several[group]], group[several[group]]
         if len(order):
             begin = np.cumsum(self.size) - self.size
-            seed = np.unique(group, return_inverse=True)[1]
+            seed = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
             which, a, b = compare(Contexts(seed, self.doc[order], self.windows[order], self.before[order], begin[order], self.size[order], self.blob))
             # As single windows, then as maximal runs; a context has fewer windows than SPREAD - 1.
-            window = np.unique(np.repeat(order[which] * SPREAD, b - a + 1) + span_places(a, b - a + 1))
+            window = _sorted_distinct(np.repeat(order[which] * SPREAD, b - a + 1) + span_places(a, b - a + 1))
             first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1] + 1])) if len(window) else window
             last = np.append(first[1:], len(window))[: len(first)] - 1
             runs = np.stack([window[first] // SPREAD, window[first] % SPREAD, window[last] % SPREAD], 1)
@@ -274,7 +285,7 @@ def _context_rows(shape: Shape, buckets: int, compare: Compare):
         number = key[0].as_py()
         if not table.num_rows or not answers.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch") else pa.binary()) for c in ("bucket", "batch", *PACKED, "bytes", "cover")})
-        seeds, values, several, _ = _distinct_hashes(table, shape)
+        seeds, values, several, _ = _distinct_hashes(table, shape, counted=False)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         flags = answers.column("flags").to_pylist()
         flag = np.maximum(np.concatenate([np.frombuffer(flags[k], np.uint8) for k in order]), several)

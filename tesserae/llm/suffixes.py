@@ -90,15 +90,16 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _letters(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: np.ndarray, step: int) -> np.ndarray:
+def _letters(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: np.ndarray | int, step: int) -> np.ndarray:
     """Eight bytes from depth on as one number, most significant first; past the end of a string there are zeros."""
     out = np.zeros(len(begin), np.uint64)
+    last = np.maximum(size - 1, 0)
     for k in range(LETTER):
         place = depth + k
-        inside = size > place
-        byte = np.zeros(len(begin), np.uint64)
-        byte[inside] = blob[begin[inside] + place[inside] * step]
-        out = out << np.uint64(8) | byte
+        byte = blob[begin + np.minimum(place, last) * step]
+        byte[size <= place] = 0
+        out <<= np.uint64(8)
+        out |= byte
     return out
 
 
@@ -109,11 +110,15 @@ def _multikey_quicksort(blob: np.ndarray, order: np.ndarray, new: np.ndarray, be
     A segment is split into letters below, equal to and above the median of three; only the middle part goes on to the next
     letter. Returns new.
     """
-    n = len(order)
-    depth = np.zeros(n, np.int64)
-    letter = _letters(blob, begin[order], size[order], depth, step)
+    n, alike = len(order), 0
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, n))
+    letter = _letters(blob, begin[order], size[order], 0, step)
+    # Letters that are the same throughout each segment, as a seed's own ones, split nothing.
+    while alike < shallow and (letter == np.repeat(letter[start], count)).all():
+        alike += LETTER
+        letter = _letters(blob, begin[order], size[order], alike, step)
+    depth = np.full(n, alike)
     while True:
         go = (count > 1) & (depth[start] < shallow)
         start, count = start[go], count[go]
@@ -144,9 +149,10 @@ def _multikey_quicksort(blob: np.ndarray, order: np.ndarray, new: np.ndarray, be
         letter[deeper] = _letters(blob, begin[order[deeper]], size[order[deeper]], depth[deeper], step)
 
 
-def deep_shallow_sort(blob: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings within their groups, and for each in that order the bytes in common with the one before it
-    (-1 at the first of a group). A string is size bytes from begin on in steps of step, padded with zeros to limit."""
+def shallow_sort(blob: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings within their groups, by their first SHALLOW bytes, and for each in that order the bytes in common
+    with the one before it: -1 at the first of a group, limit if they are equal so far. A string is size bytes from begin on in
+    steps of step, padded with zeros to limit."""
     order = np.argsort(group, kind="stable")
     n = len(order)
     if not n:
@@ -159,55 +165,116 @@ def deep_shallow_sort(blob: np.ndarray, group: np.ndarray, begin: np.ndarray, si
     pair = np.flatnonzero(new & ~head)
     for depth in range(0, shallow, LETTER):
         x, y = order[pair - 1], order[pair]
-        d = np.full(len(pair), depth)
-        differ = _letters(blob, begin[x], size[x], d, step) ^ _letters(blob, begin[y], size[y], d, step)
+        differ = _letters(blob, begin[x], size[x], depth, step) ^ _letters(blob, begin[y], size[y], depth, step)
         apart = differ != 0
         same = np.zeros(int(apart.sum()), np.int64)
         for k in range(1, LETTER):
             same += differ[apart] < np.uint64(1) << np.uint64(64 - 8 * k)
         common[pair[apart]] = depth + same
         pair = pair[~apart]
-    # Deep groups, if anything stands beyond the shallow depth.
-    start = np.flatnonzero(new)
-    stop = np.append(start[1:], n)
-    deep = (stop - start > 1) & (np.maximum.reduceat(size[order], start) > shallow)
+    common[head] = -1
+    return order, np.minimum(common, limit)
+
+
+def sort_deep(order: np.ndarray, common: np.ndarray, blob: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, limit: int) -> None:
+    """Sorts on in place what shallow_sort left equal. Groups of strings that are equal to the end are in order as they are."""
+    shallow = min(SHALLOW, limit)
+    start = np.flatnonzero(common < limit)
+    stop = np.append(start[1:], len(order))
+    if not len(start):
+        return
+    y = np.flatnonzero(common == limit)
+    same, before, after = np.ones(len(order), bool), order[y - 1], order[y]
+    differ = np.zeros(len(y), bool)
+    for depth in range(shallow, limit, LETTER):
+        ends = [np.minimum(size[x], limit) for x in (before, after)]
+        differ |= _letters(blob, begin[before], ends[0], depth, step) != _letters(blob, begin[after], ends[1], depth, step)
+    same[y] = ~differ
+    deep = ~np.logical_and.reduceat(same, start)
     for a, b in zip(start[deep].tolist(), stop[deep].tolist(), strict=True):
         trie, texts = BlindTrie(), {}
         for x in order[a:b].tolist():
-            m = min(int(size[x]), limit)
+            m = max(min(int(size[x]), limit), shallow)
             s = blob[begin[x] + shallow : begin[x] + m] if step > 0 else blob[begin[x] - m + 1 : begin[x] - shallow + 1][::-1]
             texts[x] = s.tobytes().ljust(limit - shallow, b"\0")
             trie.insert(texts[x], x, texts)
         numbers, shared = trie.in_order()
         order[a:b] = numbers
         common[a + 1 : b] = [limit if c < 0 else shallow + c for c in shared[1:]]
-    common[head] = -1
-    return order, np.minimum(common, limit)
+
+
+def deep_shallow_sort(blob: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shallow_sort, by the whole strings; common is limit where they are equal."""
+    order, common = shallow_sort(blob, group, begin, size, step, limit)
+    sort_deep(order, common, blob, begin, size, step, limit)
+    return order, common
+
+
+def _reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each string the most bytes it has in common with any other of its group: with a neighbour."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
+    return out
+
+
+def _among(kept: np.ndarray, order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """order and common of the kept strings alone (a flag for each string), numbered anew."""
+    place = np.flatnonzero(kept[order])
+    if not len(place):
+        return place, place
+    between = np.minimum.reduceat(common, np.concatenate([[0], place + 1]) if place[-1] + 1 < len(common) else np.concatenate([[0], place[:-1] + 1]))[: len(place)]
+    return (np.cumsum(kept) - 1)[order[place]], between
 
 
 def compare_suffixes(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that a context shares with one of a smaller doc, by the two suffix arrays."""
-    n = len(c.seed)
-    at = c.begin + c.before
-    right, right_common = deep_shallow_sort(c.blob, c.seed, at, c.size - c.before, 1, WINDOW)
-    left, left_common = deep_shallow_sort(c.blob, c.seed, at - 1, c.before, -1, WINDOW - GRAM)
-    found = []
+    """Runs of windows that a context shares with one of a smaller doc, by the two suffix arrays.
+
+    A window with k bytes before its seed is shared if both arrays have a neighbour with as many bytes in common, k to the
+    left and the rest to the right. Contexts without such a window leave both arrays as soon as that is seen.
+    """
+    # Bytes before the seed, of a context's windows: least and most.
+    least, most = np.maximum(c.before - c.windows + 1, 0), np.minimum(c.before, WINDOW - GRAM)
+    at, rest, one = c.begin + c.before, c.size - c.before, np.arange(len(c.seed))
+    right, right_common = shallow_sort(c.blob, c.seed, at, rest, 1, WINDOW)
+    left = left_common = one[:0]
+
+    def narrowed(kept: np.ndarray) -> None:
+        nonlocal one, at, rest, least, most, right, right_common, left, left_common
+        right, right_common = _among(kept, right, right_common)
+        if len(left):
+            left, left_common = _among(kept, left, left_common)
+        one, at, rest, least, most = one[kept], at[kept], rest[kept], least[kept], most[kept]
+
+    def bounded() -> None:
+        nonlocal least, most
+        least = np.maximum(least, WINDOW - _reach(right, right_common))
+        if len(left):
+            most = np.minimum(most, _reach(left, left_common))
+        narrowed(least <= most)
+
+    bounded()
+    left, left_common = shallow_sort(c.blob, c.seed[one], at - 1, c.before[one], -1, WINDOW - GRAM)
+    bounded()
+    sort_deep(right, right_common, c.blob, at, rest, 1, WINDOW)
+    bounded()
+    sort_deep(left, left_common, c.blob, at - 1, c.before[one], -1, WINDOW - GRAM)
+    bounded()
+    n, doc, found = len(one), c.doc[one], []
+    class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for before in range(WINDOW - GRAM + 1):
         # Windows with so many bytes before the seed: classes of equal bytes on either side of its first byte.
-        k = c.before - before
-        valid = np.flatnonzero((k >= 0) & (k < c.windows))
+        valid = np.flatnonzero((least <= before) & (before <= most))
         if not len(valid):
             continue
-        class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
         class_r[right] = np.cumsum(right_common < WINDOW - before)
         class_l[left] = np.cumsum(left_common < before)
         code = class_r[valid] * (n + 1) + class_l[valid]
-        by = np.lexsort((c.doc[valid], code))
-        sorted_code = code[by]
+        by = np.argsort(code)
+        sorted_code, valid = code[by], valid[by]
         new = np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]])
-        least = c.doc[valid[by[np.flatnonzero(new)]]][np.cumsum(new) - 1]
-        later = valid[by[c.doc[valid[by]] > least]]
-        found.append(np.stack([later, k[later]], 1))
+        first = np.minimum.reduceat(doc[valid], np.flatnonzero(new))[np.cumsum(new) - 1]
+        later = one[valid[doc[valid] > first]]
+        found.append(np.stack([later, c.before[later] - before], 1))
     hits = np.concatenate([np.zeros((0, 2), np.int64), *found])
     return hits[:, 0], hits[:, 1], hits[:, 1]
 
