@@ -20,8 +20,15 @@ SMOOTH = 1e-5
 
 
 def overlaps(pixels: DataFrame, keys: Sequence[str], true: str = "gt_label", pred: str = "pred_label") -> DataFrame:
-    """keys, g, p, n: pixels of each pair of labels, background included. A missing label counts as background."""
-    return pixels.groupBy(*keys, F.coalesce(true, F.lit(0)).alias("g"), F.coalesce(pred, F.lit(0)).alias("p")).agg(F.count("*").alias("n"))
+    """keys, g, p, n: pixels of each pair of labels, background included. A missing label counts as background. Counts are dealt by
+    tile, so that what follows is done where they are, and once for all that is asked of them."""
+    counts = pixels.groupBy(*keys, F.coalesce(true, F.lit(0)).alias("g"), F.coalesce(pred, F.lit(0)).alias("p")).agg(F.count("*").alias("n"))
+    return counts.repartition(*keys)
+
+
+def by_tile(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of tables by tile. Neither side is broadcast: how many rows pixels become is not known before they are counted."""
+    return df.join(right.hint("merge"), [*keys], how)
 
 
 def side_by_side(true: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,8 +74,10 @@ def soft_dice(pixels: DataFrame, keys: Sequence[str], prob: str, true: str, smoo
 
 def pairwise_iou(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, g, p, n, g_size, p_size, iou of every overlapping pair."""
-    pairs = overlap_pairs(counts).join(sizes(counts, keys, "g"), [*keys, "g"]).join(sizes(counts, keys, "p"), [*keys, "p"])
-    return pairs.withColumn("iou", F.col("n") / (F.col("g_size") + F.col("p_size") - F.col("n")))
+    sized = counts
+    for side in ("g", "p"):
+        sized = sized.withColumn(f"{side}_size", F.sum("n").over(_window(keys, side)))
+    return overlap_pairs(sized).withColumn("iou", F.col("n") / (F.col("g_size") + F.col("p_size") - F.col("n")))
 
 
 def object_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,7 +88,7 @@ def object_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _quality(matched: DataFrame, objects: DataFrame, keys: Sequence[str], both_empty: float = 1.0) -> DataFrame:
     """pq, dq, sq, tp, fp, fn from matched pairs with their iou."""
     tp = matched.groupBy(*keys).agg(F.count("*").alias("tp"), F.sum("iou").alias("total"))
-    df = objects.join(tp, [*keys], "left").fillna(0, ["tp", "total"])
+    df = by_tile(objects, tp, keys, "left").fillna(0, ["tp", "total"])
     fp, fn = F.col("n_p") - F.col("tp"), F.col("n_g") - F.col("tp")
     empty = (F.col("n_g") == 0) & (F.col("n_p") == 0)
     dq = F.when(empty, F.lit(both_empty)).otherwise(F.col("tp") / F.greatest(F.col("tp") + 0.5 * fp + 0.5 * fn, F.lit(0.5)))
@@ -221,7 +230,7 @@ def aggregated_jaccard(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = pairwise_iou(counts, keys)
     match = greedy_matches(pairs, keys).groupBy(*keys).agg(F.sum("n").alias("i"), F.sum(F.col("g_size") + F.col("p_size") - F.col("n")).alias("u"), F.sum("g_size").alias("mg"), F.sum("p_size").alias("mp"))
     area = counts.groupBy(*keys).agg(F.sum(F.when(F.col("g") > 0, F.col("n")).otherwise(0)).alias("ag"), F.sum(F.when(F.col("p") > 0, F.col("n")).otherwise(0)).alias("ap"))
-    df = area.join(match, [*keys], "left").fillna(0)
+    df = by_tile(area, match, keys, "left").fillna(0)
     union = F.col("u") + F.col("ag") - F.col("mg") + F.col("ap") - F.col("mp")
     return df.select(*keys, F.when(F.col("ag") + F.col("ap") == 0, F.lit(1.0)).when(F.col("ag") == 0, F.lit(0.0)).otherwise(F.col("i") / union).alias("aji"))
 
@@ -231,10 +240,10 @@ def aggregated_jaccard_plus(counts: DataFrame, keys: Sequence[str]) -> DataFrame
     count for several. Not the published one-to-one measure. Both empty: 1; only the truth empty: 0."""
     per_g = pairwise_iou(counts, keys).groupBy(*keys, "g").agg(F.sum("n").alias("i"), F.first("g_size").alias("gs"), F.sum("p_size").alias("ps"))
     hit = per_g.groupBy(*keys).agg(F.sum("i").alias("i"), F.sum(F.col("gs") + F.col("ps") - F.col("i")).alias("u"), F.sum("gs").alias("hg"))
-    touched = overlap_pairs(counts).select(*keys, "p").distinct()
-    lost = sizes(counts, keys, "p").join(touched, [*keys, "p"], "left_anti").groupBy(*keys).agg(F.sum("p_size").alias("lp"))
+    seen = counts.filter("p > 0").groupBy(*keys, "p").agg(F.sum("n").alias("p_size"), F.max(F.col("g") > 0).alias("touched"))
+    lost = seen.filter("NOT touched").groupBy(*keys).agg(F.sum("p_size").alias("lp"))
     area = counts.groupBy(*keys).agg(F.sum(F.when(F.col("g") > 0, F.col("n")).otherwise(0)).alias("ag"), F.sum(F.when(F.col("p") > 0, F.col("n")).otherwise(0)).alias("ap"))
-    df = area.join(hit, [*keys], "left").join(lost, [*keys], "left").fillna(0)
+    df = by_tile(by_tile(area, hit, keys, "left"), lost, keys, "left").fillna(0)
     union = F.col("u") + F.col("ag") - F.col("hg") + F.col("lp")
     return df.select(*keys, F.when(F.col("ag") + F.col("ap") == 0, F.lit(1.0)).when(F.col("ag") == 0, F.lit(0.0)).otherwise(F.col("i") / union).alias("aji_plus"))
 
@@ -242,7 +251,7 @@ def aggregated_jaccard_plus(counts: DataFrame, keys: Sequence[str]) -> DataFrame
 def detection_scores(counts: DataFrame, keys: Sequence[str], least_iou: float = 0.5) -> DataFrame:
     """det_f1, det_precision, det_recall of greedy matches. Both empty: 1, 1, 1; no truth: 0, 0, 1; no prediction: 0, 1, 0."""
     tp = greedy_matches(pairwise_iou(counts, keys), keys, least_iou).groupBy(*keys).agg(F.count("*").alias("tp"))
-    df = object_counts(counts, keys).join(tp, [*keys], "left").fillna(0, ["tp"])
+    df = by_tile(object_counts(counts, keys), tp, keys, "left").fillna(0, ["tp"])
     ratio = lambda n: F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.col("tp") / F.greatest(F.col(n), F.lit(1)))
     p, r = ratio("n_p"), ratio("n_g")
     return df.select(*keys, F.when(p + r > 0, 2 * p * r / F.greatest(p + r, F.lit(1e-12))).otherwise(F.lit(0.0)).alias("det_f1"), p.alias("det_precision"), r.alias("det_recall"))
@@ -251,7 +260,7 @@ def detection_scores(counts: DataFrame, keys: Sequence[str], least_iou: float =
 def unmatched(pairs: DataFrame, counts: DataFrame, keys: Sequence[str], least_iou: float = 0.5) -> DataFrame:
     """keys, side ('gt' or 'pred') and label of objects without a match above least_iou."""
     good = pairs.filter(F.col("iou") > least_iou)
-    side = lambda s, name: sizes(counts, keys, s).join(good, [*keys, s], "left_anti").select(*keys, F.lit(name).alias("side"), F.col(s).alias("label"))
+    side = lambda s, name: by_tile(sizes(counts, keys, s), good, [*keys, s], "left_anti").select(*keys, F.lit(name).alias("side"), F.col(s).alias("label"))
     return side("g", "gt").unionByName(side("p", "pred"))
 
 
@@ -261,10 +270,10 @@ def all_scores(pixels: DataFrame, keys: Sequence[str], method: str = "optimal",
     parts = [pixel_scores(counts, keys), panoptic_quality(counts, keys, method=method), aggregated_jaccard(counts, keys), aggregated_jaccard_plus(counts, keys), detection_scores(counts, keys)]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, [*keys])
+        out = by_tile(out, p, keys)
     if zero_without_truth:
         has = object_counts(counts, keys).select(*keys, (F.col("n_g") > 0).alias("has_"))
-        out = out.join(has, [*keys])
+        out = by_tile(out, has, keys)
         for c in ("pq", "dq", "sq", "aji", "aji_plus", "det_f1"):
             out = out.withColumn(c, F.when(F.col("has_"), F.col(c)).otherwise(F.lit(0.0)))
         out = out.drop("has_")
@@ -273,7 +282,7 @@ def all_scores(pixels: DataFrame, keys: Sequence[str], method: str = "optimal",
 
 def only_with_truth(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tiles that hold a true object."""
-    return pixels.join(pixels.filter("gt_label > 0").select(*keys).distinct(), [*keys], "left_semi")
+    return by_tile(pixels, pixels.filter("gt_label > 0").select(*keys).distinct(), keys, "left_semi")
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
