@@ -122,9 +122,11 @@ def binarize(value: Column, threshold: float, strict: bool = True) -> Column:
 
 
 def remap_labels(pixels: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
-    """Labels of each tile as 1 to n in their order; 0 stays."""
-    distinct = pixels.filter(F.col(label) > 0).select(*keys, label).distinct().withColumn("new_", F.row_number().over(Window.partitionBy(*keys).orderBy(label)).cast("long"))
-    return pixels.join(distinct, [*keys, label], "left").withColumn(label, F.coalesce("new_", F.lit(0))).drop("new_")
+    """Labels of each tile as 1 to n in their order; 0 stays. A tile's labels are one array, which its pixels meet by the tile alone; it is
+    hashed where they are and not broadcast."""
+    labels = pixels.filter(F.col(label) > 0).groupBy(*keys, label).agg(F.count("*").alias("n_")).groupBy(*keys).agg(F.array_sort(F.collect_list(label)).alias("labels_"))
+    new = F.when(F.col(label) > 0, F.array_position("labels_", F.col(label)))
+    return pixels.join(labels.hint("shuffle_hash"), [*keys], "left").withColumn(label, F.coalesce(new, F.lit(0)).cast("long")).drop("labels_")
 
 
 def renumber(instances: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:

@@ -68,11 +68,16 @@ def cut_tiles(pixels: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
 
 
 def dilate_tiles(tiles: DataFrame, keys: Sequence[str], radius: int = 1, kept: str = "keep") -> DataFrame:
-    """tiles with kept true if any tile within radius rows and columns is kept; places off the grid do not exist."""
-    step = F.sequence(F.lit(-radius), F.lit(radius))
-    reached = tiles.filter(kept).select(*keys, "tile_row", "tile_col").withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
-    reached = reached.select(*keys, (F.col("tile_row") + F.col("dr")).alias("tile_row"), (F.col("tile_col") + F.col("dc")).alias("tile_col")).distinct().withColumn("near_", F.lit(True))
-    return tiles.join(reached, [*keys, "tile_row", "tile_col"], "left").withColumn(kept, F.coalesce("near_", F.lit(False))).drop("near_")
+    """tiles with kept true if any tile within radius rows and columns is kept; places off the grid do not exist.
+
+    A kept tile leaves a mark in each of its row's columns within reach; a tile is reached by a mark in its own column in a row within
+    reach. Marks stand among the tiles, so no table is joined."""
+    here = F.array(F.struct(F.col("tile_col").alias("at"), F.lit(False).alias("mark")))
+    marks = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.struct((F.col("tile_col") + d).alias("at"), F.lit(True).alias("mark")))
+    rows = tiles.withColumn("m_", F.explode(F.when(F.col(kept), F.concat(here, marks)).otherwise(here)))
+    near = Window.partitionBy(*keys, "m_.at").orderBy("tile_row").rangeBetween(-radius, radius)
+    reached = rows.withColumn(kept, F.max("m_.mark").over(near)).filter("NOT m_.mark")
+    return reached.select(*tiles.columns)
 
 
 def filter_tissue_tiles(tiles: DataFrame, keys: Sequence[str], threshold: float, radius: int = 1) -> DataFrame:
@@ -212,7 +217,8 @@ def mosaic_2x2(pixels: DataFrame, group: Sequence[str], index: str, size: int, l
     shifts = numbered.select(*group, index, "mosaic", ahead.alias("ahead_"))
     q = F.col(index) % 4
     moved = F.when(F.col(label) > 0, F.col(label) + F.col("ahead_")).otherwise(0)
-    return pixels.join(shifts, [*group, index]).select(*group, "mosaic", (F.col("y") + F.floor(q / 2) * size).alias("y"), (F.col("x") + q % 2 * size).alias("x"), moved.alias(label))
+    # A row for each tile is hashed where its pixels are, which are many more than the engine can tell.
+    return pixels.join(shifts.hint("shuffle_hash"), [*group, index]).select(*group, "mosaic", (F.col("y") + F.floor(q / 2) * size).alias("y"), (F.col("x") + q % 2 * size).alias("x"), moved.alias(label))
 
 
 def select_channels(pixels: DataFrame, nuclear: int, membrane: Sequence[int] | None, combine: str = "max", n_channels: int | None = None) -> DataFrame:

@@ -157,8 +157,8 @@ mx AS (SELECT sample, k, max(gt_label) AS m FROM m GROUP BY ALL), sh AS (SELECT
 SELECT sample, k // 4 AS mosaic, y + (k % 4) // 2 * 16 AS y, x + (k % 4) % 2 * 16 AS x, (CASE WHEN gt_label > 0 THEN gt_label + a ELSE 0 END)::BIGINT AS label FROM m JOIN sh USING (sample, k)""")
 def _(spark, d):
     p = D.label_pixels(spark, d)
-    number = numbered(p.select("sample", "tile_id").distinct(), ["sample"], ["tile_id"], "k")
-    return T.mosaic_2x2(p.join(number, ["sample", "tile_id"]).withColumnRenamed("gt_label", "label"), ["sample"], "k", 16)
+    number = numbered(D.tiles(spark, d).select("sample", "tile_id").distinct(), ["sample"], ["tile_id"], "k")
+    return T.mosaic_2x2(p.join(number.hint("shuffle_hash"), ["sample", "tile_id"]).withColumnRenamed("gt_label", "label"), ["sample"], "k", 16)
 
 
 @query("i13_select_channels", CH + "SELECT tile_id, y, x, max(CASE WHEN channel = 0 THEN value END) AS nuclear, avg(CASE WHEN channel IN (1, 2) THEN value END) AS membrane FROM ch GROUP BY ALL")

@@ -310,3 +310,20 @@ def test_replay_of_a_long_chain(spark):
     links = [(min(a, b), max(a, b), 1.0 + min(a, b) % 7, 1.0 + max(a, b) % 7) for a, b in itertools.pairwise(ids)]
     df = spark.createDataFrame(links, "a_id long, b_id long, a_area double, b_area double")
     assert {r["id"] for r in parts.removed_by_scan(df, 1, 0).collect()} == scanned(links, 1)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_dilation_on_a_grid_with_holes(spark, radius):
+    rng = np.random.default_rng(radius)
+    rows = [(int(s), int(r), int(c), bool(rng.random() < 0.1)) for s in range(3) for r in range(12) for c in range(12) if rng.random() < 0.6]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "slide_id long, tile_row int, tile_col int, keep boolean, other string")
+    got = tiles.dilate_tiles(df, ["slide_id"], radius)
+    assert got.columns == df.columns
+    want = [(s, r, c, any(k and s == t and abs(r - q) <= radius and abs(c - e) <= radius for t, q, e, k in rows), "x") for s, r, c, _ in rows]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_labels_are_renumbered_with_nulls_and_negatives(spark):
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate([0, 7, 7, 3, None, -2, 12])] + [(2, 0, 5), (3, 0, 0)], "tile_id long, x int, label long")
+    got = I.remap_labels(df, ["tile_id"])
+    assert sorted((r["tile_id"], r["x"], r["label"]) for r in got.collect()) == [(1, 0, 0), (1, 1, 2), (1, 2, 2), (1, 3, 1), (1, 4, 0), (1, 5, 0), (1, 6, 3), (2, 0, 1), (3, 0, 0)]
