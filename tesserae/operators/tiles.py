@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.polygons import padded_rings
-from ..functions.rasters import blurred, fill_rings, grey, hull_rows, label_tiles
+from ..functions.rasters import blurred, fill_rings, grey, hull_rows, label_tiles, spread
+from .groups import by_group
 from .instances import MODEL_MPP
 
+#: Side of the blocks in which rings are painted, in pixels, how many are painted at once, and how many pixels.
+BLOCK, BLOCKS, PIXELS = 512, 16, 1 << 22
+
 # Fixed values of the tissue test: brightness of a bright field, its threshold, and those of dark fields.
 BRIGHT, BRIGHT_TISSUE, DARK_TISSUE, NOISE_8, NOISE_16 = 100, 210, 40, 15, 100
 
@@ -155,20 +159,64 @@ def connected_labels(packed: DataFrame, size: int, connectivity: int = 4, min_si
     return packed.mapInArrow(run, _schema(keys, "y long, x long, label long"))
 
 
-def rasterize(polygons: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
-    """Pixels (keys, y, x, label) of rings with whole coordinates; where rings overlap the later in order wins."""
-    names = list(dict.fromkeys([*keys, label, order]))
-    rings = polygons.select(*names, "ring")
+def painted_runs(ring: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, y, first x, last x) of what stays to be seen of runs of pixels within their blocks (0, 1, ..), of which later rings cover
+    earlier ones. y and x count from the block's corner. The last rings are painted first, some pixels at once, and others where nothing is."""
+    order = np.argsort(-ring, kind="stable")
+    count = (last - first + 1)[order]
+    picture = np.full((int(block.max(initial=-1)) + 1) * BLOCK * BLOCK, -1, np.int32)
+    borders = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()), PIXELS))
+    out = []
+    for a, b in zip(borders.tolist(), [*borders.tolist()[1:], len(order)]):
+        run, x = np.repeat(order[a:b], count[a:b]), spread(first[order[a:b]], count[a:b])
+        place = (block[run] * BLOCK + y[run]) * BLOCK + x
+        free = picture[place] < 0
+        run, x, place = run[free], x[free], place[free]
+        entry = np.arange(len(place), dtype=np.int32)
+        picture[place[::-1]] = entry[::-1]
+        seen = picture[place] == entry
+        run, x = run[seen], x[seen]
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (x[1:] != x[:-1] + 1)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(run)) - 1
+        out.append((run[begin], y[run[begin]], x[begin], x[end[: len(begin)]]))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def rasterized_runs(polygons: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
+    """Runs of pixels (keys, y, x1, x2, label), none of which share a pixel, of rings with whole coordinates; where rings overlap the
+    later in order wins. Rings are dealt to the blocks that they meet and painted there, so pixels are neither shuffled nor kept."""
+    names = list(dict.fromkeys([*keys, label]))
+    span = lambda c: F.transform("ring", lambda p: p[c].cast("long"))
+    blocks = lambda c: F.sequence(F.floor(F.array_min(span(c)) / BLOCK), F.floor(F.array_max(span(c)) / BLOCK))
+    rings = polygons.select(*names, F.col(order).alias("order_"), "ring").withColumn("by_", F.explode(blocks("y"))).withColumn("bx_", F.explode(blocks("x")))
+
+    def work(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(starts), BLOCKS):
+            begin, end = int(starts[at]), int(starts[at + BLOCKS]) if at + BLOCKS < len(starts) else batch.num_rows
+            part = batch.slice(begin, end - begin)
+            ring, y, first, last = fill_rings(*padded_rings(part.column("ring")))
+            top, left = (part.column(c).to_numpy(zero_copy_only=False) * BLOCK for c in ("by_", "bx_"))
+            y, first, last = y - top[ring], np.maximum(first - left[ring], 0), np.minimum(last - left[ring], BLOCK - 1)
+            inside = (y >= 0) & (y < BLOCK) & (first <= last)
+            ring, y, first, last = (v[inside] for v in (ring, y, first, last))
+            block = np.searchsorted(starts[at : at + BLOCKS] - begin, ring, "right") - 1
+            run, y, first, last = painted_runs(ring, y, first, last, block)
+            ring = ring[run]
+            kept = pa.array(ring)
+            places = [y + top[ring], first + left[ring], last + left[ring]]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(kept) for k in names), *map(pa.array, places)], names=[*names, "y", "x1", "x2"])
+
+    kinds = _fields(polygons.select(*names))
+    runs = by_group(rings, [*keys, "by_", "bx_"], work, _schema(kinds, "y long, x1 long, x2 long"), ["order_"])
+    return runs.select(*keys, "y", "x1", "x2", F.col(label).alias("label"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ring, *runs = fill_rings(*padded_rings(batch.column("ring")))
-            at = pa.array(ring)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in names), *map(pa.array, runs)], names=[*names, "y", "x1", "x2"])
 
-    runs = rings.mapInArrow(run, _schema(_fields(rings, "ring"), "y long, x1 long, x2 long"))
-    pixels = runs.withColumn("x", F.explode(F.sequence("x1", "x2")))
-    return pixels.groupBy(*keys, "y", "x").agg(F.max_by(label, order).alias("label"))
+def rasterize(polygons: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
+    """Pixels (keys, y, x, label) of rings with whole coordinates; where rings overlap the later in order wins."""
+    runs = rasterized_runs(polygons, keys, label, order)
+    return runs.select(*keys, "y", F.explode(F.sequence("x1", "x2")).alias("x"), "label")
 
 
 def hull_pixels(pixels: DataFrame, region: Sequence[str]) -> DataFrame:
@@ -232,23 +280,36 @@ def select_channels(pixels: DataFrame, nuclear: int, membrane: Sequence[int] | N
     return pixels.groupBy("tile_id", "y", "x").agg(F.max(F.when(F.col("channel") == nuclear, F.col("value"))).alias("nuclear"), how(value).alias("membrane"))
 
 
-def percentile_normalize(pixels: DataFrame, keys: Sequence[str], low: float = 0.01, high: float = 0.99, gamma: float = 1.0, positive_only: bool = False) -> DataFrame:
-    """value of each tile (keys) scaled from its exact percentiles to 0..1; keys with a channel scale channels apart. A tile is packed into
-    one row, its values sorted and the percentiles read between two of them: pixels are dealt once. A tile bounds the group."""
+def _percentile(values: np.ndarray, start: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
+    """Of groups of count sorted values from start on, between two of them; nan without any."""
+    at = np.maximum(count - 1, 0) * share
+    under = np.floor(at).astype(np.int64)
+    low, high = (values[np.minimum(start + np.minimum(k, np.maximum(count - 1, 0)), len(values) - 1)] for k in (under, under + 1))
+    return np.where(count > 0, (under + 1 - at) * low + (at - under) * high, np.nan)
+
+
+def percentile_normalize(pixels: DataFrame, keys: Sequence[str], low: float = 0.01, high: float = 0.99, gamma: float = 1.0, positive_only: bool = False, together: bool = False) -> DataFrame:
+    """value of each tile (keys) scaled from its exact percentiles to 0..1; keys with a channel scale channels apart. A missing value has
+    no part in the percentiles and becomes 0. Rows stream through a task by tile, many tiles at once; only an open tile is held.
+    together: the rows of a tile are in one partition already."""
     rest = [c for c in pixels.columns if c not in keys]
-    packed = pixels.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("pixels_"))
-    values = F.transform("pixels_", lambda p: p["value"])
-    packed = packed.withColumn("sorted_", F.array_sort(F.filter(values, lambda v: v > 0) if positive_only else values))
+    rows = pixels.select(*keys, *rest)
 
-    def between(share: float) -> Column:
-        at = (F.size("sorted_") - 1) * F.lit(share)
-        under = F.floor(at).cast("int")
-        a, b = F.get("sorted_", under), F.get("sorted_", F.least(under + 1, F.size("sorted_") - 1))
-        return (under + 1 - at) * a + (at - under) * b
+    def work(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        column = batch.column("value")
+        missing = column.is_null().to_numpy(zero_copy_only=False)
+        v = column.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+        tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(v))))
+        out = missing | (v <= 0) if positive_only else missing
+        ranked = v[np.lexsort((v, out, tile))]
+        count = np.bincount(tile[~out], minlength=len(starts))
+        a, b = (_percentile(ranked, starts, count, share)[tile] for share in (low, high))
+        scaled = np.clip((v - a) / (b - a + 1e-8), 0.0, 1.0) ** gamma
+        scaled[missing | np.isnan(a)] = 0.0
+        yield pa.RecordBatch.from_arrays([pa.array(scaled) if c == "value" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
-    packed = packed.withColumns({"low_": between(low), "high_": between(high)})
-    scaled = lambda v: F.pow(F.least(F.greatest((v - F.col("low_")) / (F.col("high_") - F.col("low_") + 1e-8), F.lit(0.0)), F.lit(1.0)), F.lit(gamma))
-    return packed.select(*keys, F.inline(F.transform("pixels_", lambda p: F.struct(*[scaled(p["value"]).alias("value") if c == "value" else p[c].alias(c) for c in rest]))))
+    kinds = ", ".join(f"`{f.name}` {'double' if f.name == 'value' else f.dataType.simpleString()}" for f in rows.schema.fields)
+    return by_group(rows, keys, work, kinds, together=together)
 
 
 def minmax_normalize(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -269,26 +330,72 @@ def two_class_instances(positive: DataFrame, negative: DataFrame, keys: Sequence
     return positive.withColumn("class", F.lit("positive")).unionByName(moved.withColumn("class", F.lit("negative")))
 
 
-def marker_calls(pixels: DataFrame, region: Sequence[str], thresholds: dict[str, float], default: float = 0.5) -> DataFrame:
-    """Share of positive pixels of a channel in a region, and whether it exceeds the channel's threshold."""
-    ratio = pixels.groupBy(*region, "channel").agg(F.avg(F.col("positive").cast("double")).alias("ratio"))
+def _called(ratio: DataFrame, thresholds: dict[str, float], default: float) -> DataFrame:
     limit = F.lit(default)
     for c, t in thresholds.items():
         limit = F.when(F.col("channel") == c, F.lit(t)).otherwise(limit)
     return ratio.withColumn("called", F.col("ratio") > limit)
 
 
-def marker_calls_by_role(pixels: DataFrame, tile: Sequence[str], nuclear: Sequence[str], thresholds: dict[str, float], default: float = 0.5) -> DataFrame:
+def marker_calls(pixels: DataFrame, region: Sequence[str], thresholds: dict[str, float], default: float = 0.5) -> DataFrame:
+    """Share of positive pixels of a channel in a region, and whether it exceeds the channel's threshold."""
+    return _called(pixels.groupBy(*region, "channel").agg(F.avg(F.col("positive").cast("double")).alias("ratio")), thresholds, default)
+
+
+def hull_shares(tile: np.ndarray, y: np.ndarray, x: np.ndarray, label: np.ndarray, channel: np.ndarray, asked: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, label, channel, share) of each region (a tile's pixels of a label above 0) and asked channel: the share of positive ones among
+    the asked pixels within the region's hull. Sums along a tile's rows are read at the ends of the hull's rows."""
+    tiles, channels = int(tile.max()) + 1, int(channel.max()) + 1
+    corner = lambda v: np.minimum.reduceat(v, np.flatnonzero(np.diff(tile, prepend=-1)))
+    y, x = y - corner(y)[tile], x - corner(x)[tile]
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    names, code = np.unique(label, return_inverse=True)
+    own = label > 0
+    key = ((tile * len(names) + code) * h + y)[own]
+    order = np.argsort(key, kind="stable")
+    key, ends = key[order], x[own][order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(first):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    row, low, high = key[first], np.minimum.reduceat(ends, first), np.maximum.reduceat(ends, first)
+    region, count = np.unique(row // h, return_counts=True)
+    at = (np.cumsum(count) - count)[:, None] + np.minimum(np.arange(int(count.max())), count[:, None] - 1)
+    which, ys, x1, x2 = hull_rows((row % h)[at], low[at], high[at], count)
+    place = ((tile * channels + channel) * h + y) * (w + 1) + x + 1
+    sums = [np.bincount(place[m], minlength=tiles * channels * h * (w + 1)).reshape(-1, w + 1).cumsum(1) for m in (asked, asked & positive)]
+    line = (region[which] // len(names) * channels)[:, None] + np.arange(channels)
+    line = line * h + ys[:, None]
+    of = (which[:, None] * channels + np.arange(channels)).ravel()
+    total, hits = (np.bincount(of, (s[line, x2[:, None] + 1] - s[line, x1[:, None]]).ravel(), len(region) * channels) for s in sums)
+    got = np.flatnonzero(total)
+    return region[got // channels] // len(names), names[region[got // channels] % len(names)], got % channels, hits[got] / total[got]
+
+
+def marker_calls_by_role(pixels: DataFrame, tile: Sequence[str], nuclear: Sequence[str], thresholds: dict[str, float], default: float = 0.5, together: bool = False) -> DataFrame:
     """tile, role (nucleus or cell), label, channel, ratio, called. pixels: tile, y, x, nucleus and cell (labels, 0 where there is none), channel,
     positive. Nuclear channels are asked of nuclei only and others of cells only, over the convex hull of the region's
-    pixels; a pixel outside every region of its channel's role does not count as positive."""
+    pixels; a pixel outside every region of its channel's role does not count as positive. Rows stream through a task by tile, many
+    tiles at once. together: the rows of a tile are in one partition already."""
     is_nuclear = F.col("channel").isin(list(nuclear))
     own = F.when(is_nuclear, F.col("nucleus")).otherwise(F.col("cell"))
-    asked = pixels.select(*tile, "y", "x", "channel", F.when(is_nuclear, "nucleus").otherwise("cell").alias("role"), (F.col("positive") & (own > 0)).alias("positive"))
-    labels = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("label")) for r in ("nucleus", "cell")])
-    regions = pixels.select(*tile, "y", "x", "nucleus", "cell").distinct().select(*tile, "y", "x", F.inline(labels)).filter("label > 0")
-    hulls = hull_pixels(regions, [*tile, "role", "label"])
-    return marker_calls(hulls.join(asked, [*tile, "role", "y", "x"]), [*tile, "role", "label"], thresholds, default)
+    rows = pixels.select(*tile, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "nucleus", "cell", "channel", F.coalesce(is_nuclear, F.lit(False)).alias("nuclear_"), (F.col("positive") & (own > 0)).alias("positive"))
+
+    def work(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+        y, x, nuclear_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "nuclear_"))
+        known = batch.column("positive").is_valid().to_numpy(zero_copy_only=False)
+        positive = batch.column("positive").fill_null(False).to_numpy(zero_copy_only=False)
+        channels = batch.column("channel").dictionary_encode("encode")
+        code = channels.indices.to_numpy(zero_copy_only=False)
+        for role, mine in (("nucleus", nuclear_), ("cell", ~nuclear_)):
+            labels = batch.column(role)
+            found, label, channel, ratio = hull_shares(number, y, x, labels.fill_null(0).to_numpy(zero_copy_only=False), code, known & mine, positive)
+            columns = [*(batch.column(k).take(pa.array(starts[found])) for k in tile), pa.array([role] * len(found), pa.string()), pa.array(label).cast(labels.type), channels.dictionary.take(pa.array(channel)), pa.array(ratio)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*tile, "role", "label", "channel", "ratio"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in tile), f"role string, label {kinds['nucleus']}, channel {kinds['channel']}, ratio double"])
+    return _called(by_group(rows, tile, work, schema, together=together), thresholds, default)
 
 
 def box_counts(pixels: DataFrame, keys: Sequence[str], size: int, box: int = 8, value: str = "value") -> DataFrame:

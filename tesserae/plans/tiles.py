@@ -131,7 +131,8 @@ def _(spark, d):
 @query("i23_rasterize", """WITH px AS (SELECT slide_id, branch, unnest(range(ymin, ymax + 1)) AS y, xmin, xmax, inst_id FROM detections), q AS (SELECT slide_id, branch, y, unnest(range(xmin, xmax + 1)) AS x, inst_id FROM px)
 SELECT label, count(*) AS pixels FROM (SELECT slide_id, branch, y, x, max(inst_id) AS label FROM q GROUP BY ALL) GROUP BY label""")
 def _(spark, d):
-    return T.rasterize(D.detections(spark, d), ["slide_id", "branch"], "inst_id", "inst_id").groupBy("label").agg(F.count("*").alias("pixels"))
+    runs = T.rasterized_runs(D.detections(spark, d), ["slide_id", "branch"], "inst_id", "inst_id")
+    return runs.groupBy("label").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("pixels"))
 
 
 # A slide of 32 x 32 tiles that overlap by four pixels, for each 1,024 tiles.
@@ -168,7 +169,7 @@ def _(spark, d):
 
 @query("i14_percentile_normalize", CH + ", p AS (SELECT tile_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM ch GROUP BY ALL) SELECT tile_id, y, x, channel, round(least(greatest((value - a) / (b - a + 1e-8), 0), 1), 6) AS value FROM ch JOIN p USING (tile_id)")
 def _(spark, d):
-    return rounded(T.percentile_normalize(channels(spark, d), K).select("tile_id", "y", "x", "channel", "value"), 6)
+    return rounded(T.percentile_normalize(channels(spark, d).select("tile_id", "y", "x", "channel", "value"), K, together=True), 6)
 
 
 @query("i15_minmax_normalize", CH + "SELECT tile_id, y, x, channel, floor((value - min(value) OVER w) * 255 / (max(value) OVER w - min(value) OVER w))::BIGINT AS value FROM ch WINDOW w AS (PARTITION BY tile_id, channel)")
@@ -211,7 +212,7 @@ FROM rows_ r JOIN asked p ON r.tile_id = p.tile_id AND r.role = p.role AND r.y =
 @query("i26_marker_roles", ROLES)
 def _(spark, d):
     p = channels(spark, d).withColumnsRenamed({"gt_label": "nucleus", "pred_label": "cell"}).withColumn("positive", F.col("value") > 128).withColumn("channel", F.concat(F.lit("c"), F.col("channel").cast("string")))
-    return rounded(T.marker_calls_by_role(p, K, ["c0"], {"c2": 0.2}))
+    return rounded(T.marker_calls_by_role(p, K, ["c0"], {"c2": 0.2}, together=True))
 
 
 @query("i27_box_counts", CH + "SELECT tile_id, channel, y // 5 AS by, x // 5 AS bx, sum(value) AS n FROM ch WHERE y < 15 AND x < 15 GROUP BY ALL")
