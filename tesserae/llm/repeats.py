@@ -276,15 +276,28 @@ class Rows:
 
 SPREAD = 64
 PACKED = ("h", "text", "doc", "lo", "windows", "before", "size")
-CONTEXTS = "bucket long, batch long, " + ", ".join(f"{c} binary" for c in PACKED) + ", bytes binary, cover binary"
+CONTEXTS = "bucket long, batch long, n long, head binary, bytes binary, cover binary"
 TYPES = {"h": np.uint64, "text": np.int32, "doc": np.int64, "lo": np.int32, "windows": np.uint8, "before": np.uint32, "size": np.uint32}
 
 
+def packed_head(columns: dict[str, np.ndarray]) -> bytes:
+    """The columns of contexts by the bytes' places, which compress better than numbers do: most upper bytes are equal."""
+    planes = [np.ascontiguousarray(columns[c].astype(t)).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for c, t in TYPES.items()]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpacked_head(head: bytes, n: int) -> dict[str, np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in TYPES.values()]
+    data = np.frombuffer(pa.decompress(head, n * sum(widths), "zstd", asbytes=True), np.uint8)
+    cut = np.split(data, np.cumsum([n * w for w in widths])[:-1])
+    return {c: np.ascontiguousarray(v.reshape(w, n).T).view(t).reshape(n) for (c, t), w, v in zip(TYPES.items(), widths, cut, strict=True)}
+
+
 def _context_rows(shape: Shape, buckets: int, compare: Compare):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         number = key[0].as_py()
         if not table.num_rows or not answers.num_rows:
-            return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch") else pa.binary()) for c in ("bucket", "batch", *PACKED, "bytes", "cover")})
+            return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "batch", "n") else pa.binary()) for c in ("bucket", "batch", "n", "head", "bytes", "cover")})
         seeds, values, several, _ = _distinct_hashes(table, shape, counted=False)
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         flags = answers.column("flags").to_pylist()
@@ -323,21 +336,22 @@ def _packed_rows(rows: Rows, buckets: int, number: int, cover: np.ndarray) -> pa
     """A row for each bucket; what the batch has found itself goes with the first one and comes back to it."""
     some, cut = _by_bucket(rows.h, buckets)
     at = np.concatenate([[0], np.cumsum(rows.size)])
-    out = {}
-    for c, t in TYPES.items():
-        v = getattr(rows, c).astype(t)
-        out[c] = [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    out["bytes"] = [pa.compress(rows.blob[at[a] : at[b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     if not len(some) and len(cover):
-        some, out = np.zeros(1, np.int64), {c: [pa.compress(b"", "zstd", asbytes=True) if c == "bytes" else b""] for c in out}
-    out["cover"] = [cover.tobytes() if k == 0 else b"" for k in range(len(some))]
-    return pa.table({"bucket": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), number), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+        some, cut = np.zeros(1, np.int64), np.zeros(2, np.int64)
+    out = {"head": [], "bytes": [], "cover": []}
+    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        out["head"].append(packed_head({c: getattr(rows, c)[a:b] for c in PACKED}))
+        out["bytes"].append(pa.compress(rows.blob[at[a] : at[b]].tobytes(), "zstd", asbytes=True))
+        out["cover"].append(cover.tobytes() if k == 0 else b"")
+    longs = {"bucket": some, "batch": np.full(len(some), number), "n": np.diff(cut)}
+    return pa.table({**{c: pa.array(v, pa.int64()) for c, v in longs.items()}, **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
 
 def _cover_rows(compare: Compare):
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        parts = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in TYPES.items()}
+        heads = [unpacked_head(x, k) for x, k in zip(table.column("head").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        parts = {c: [h[c] for h in heads] for c in TYPES}
         held = [int(x.sum()) for x in parts["size"]]
         owner = np.repeat(np.arange(n), [len(x) for x in parts["h"]])
         blob = np.frombuffer(b"".join(pa.decompress(x, k, "zstd", asbytes=True) for x, k in zip(table.column("bytes").to_pylist(), held, strict=True)), np.uint8)

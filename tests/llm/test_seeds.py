@@ -83,3 +83,17 @@ def test_contexts_that_share_no_window_are_not_sorted_deep(monkeypatch):
     ends = [late + filler(4) for _ in range(5)]
     assert compared(ends) == [(w, k) for w in range(1, 5) for k in range(35) if any(e[k : k + 50] == ends[w][k : k + 50] for e in ends[:w])]
     assert inserted
+
+
+def test_heads_of_contexts_are_packed_by_bytes():
+    import numpy as np
+
+    from tesserae.llm import repeats
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        columns = {"h": np.sort(rng.integers(0, 1 << 63, n)).astype(np.uint64), "text": np.arange(n), "doc": rng.integers(-5, 60_000, n), "lo": rng.integers(0, 9000, n), "windows": rng.integers(1, 30, n), "before": rng.integers(0, 60, n), "size": rng.integers(50, 99, n)}
+        head = repeats.packed_head(columns)
+        assert all((v == columns[c]).all() and v.dtype == repeats.TYPES[c] for c, v in repeats.unpacked_head(head, n).items())
+    # Numbers as they are took 33 bytes each.
+    assert len(head) < 500 * 18
